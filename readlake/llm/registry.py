@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from . import bpe, flac, licenses, mixing, sharding
+from . import bpe, flac, licenses, mixing, secrets, sharding
 
 QUERIES = {
     "op1_license_automaton": licenses.op1_license_automaton,
     "op3_flac_media": flac.op3_flac_media,
+    "op4_linked_secrets": secrets.op4_linked_secrets,
     "op5_pivotal_mix": mixing.op5_pivotal_mix,
     "op7_forced_boundary_bpe": bpe.op7_forced_boundary_bpe,
     "op10_kd_tree_shards": sharding.op10_kd_tree_shards,
