@@ -2,14 +2,16 @@
 
 from __future__ import annotations
 
-from . import bpe, flac, licenses, mixing, secrets, sharding
+from . import bpe, embeddings, flac, licenses, minhash, mixing, secrets, sharding
 
 QUERIES = {
     "op1_license_automaton": licenses.op1_license_automaton,
+    "op2_pstable_near_vectors": embeddings.op2_pstable_near_vectors,
     "op3_flac_media": flac.op3_flac_media,
     "op4_linked_secrets": secrets.op4_linked_secrets,
     "op5_pivotal_mix": mixing.op5_pivotal_mix,
     "op7_forced_boundary_bpe": bpe.op7_forced_boundary_bpe,
+    "op9_bayes_minhash": minhash.op9_bayes_minhash,
     "op10_kd_tree_shards": sharding.op10_kd_tree_shards,
 }
 
