@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import bpe, embeddings, flac, licenses, minhash, mixing, secrets, sharding
+from . import bpe, embeddings, flac, langid, licenses, minhash, mixing, secrets, sharding
 
 QUERIES = {
     "op1_license_automaton": licenses.op1_license_automaton,
@@ -10,6 +10,7 @@ QUERIES = {
     "op3_flac_media": flac.op3_flac_media,
     "op4_linked_secrets": secrets.op4_linked_secrets,
     "op5_pivotal_mix": mixing.op5_pivotal_mix,
+    "op6_crf_language": langid.op6_crf_language,
     "op7_forced_boundary_bpe": bpe.op7_forced_boundary_bpe,
     "op9_bayes_minhash": minhash.op9_bayes_minhash,
     "op10_kd_tree_shards": sharding.op10_kd_tree_shards,
