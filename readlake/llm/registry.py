@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import bpe, embeddings, flac, langid, licenses, minhash, mixing, secrets, sharding
+from . import bpe, embeddings, flac, langid, licenses, minhash, mixing, secrets, sharding, toxicity
 
 QUERIES = {
     "op1_license_automaton": licenses.op1_license_automaton,
@@ -12,6 +12,7 @@ QUERIES = {
     "op5_pivotal_mix": mixing.op5_pivotal_mix,
     "op6_crf_language": langid.op6_crf_language,
     "op7_forced_boundary_bpe": bpe.op7_forced_boundary_bpe,
+    "op8_chain_toxicity": toxicity.op8_chain_toxicity,
     "op9_bayes_minhash": minhash.op9_bayes_minhash,
     "op10_kd_tree_shards": sharding.op10_kd_tree_shards,
 }
