@@ -300,5 +300,22 @@ def identify(docs: DataFrame, model: Model | None = None) -> DataFrame:
     return rows.mapInArrow(run, "doc_id long, held_out boolean, lang_pred string, score double")
 
 
+def keep_identified(docs: DataFrame, least: float, model: Model | None = None) -> DataFrame:
+    """The documents, with all their columns, whose language is predicted with a mean chance of at
+    least ``least``; those that are ``und`` go. Nothing is moved or joined."""
+    model = model or fit(training_sample(docs))
+    shared = docs.sparkSession.sparkContext.broadcast(model)
+    place = docs.columns.index("text")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for a in range(0, batch.num_rows, 1000):
+                part = batch.slice(a, 1000)
+                found = predict(shared.value, [(t or "").encode("utf-8", "surrogatepass") for t in part.column(place).to_pylist()])
+                yield part.filter(pa.array([lang != UNKNOWN and score >= least for lang, score in found], pa.bool_()))
+
+    return docs.mapInArrow(run, docs.schema)
+
+
 def op6_crf_language(spark, sf_dir: str) -> DataFrame:
     return identify(spark.read.parquet(f"{sf_dir}/documents.parquet"))
