@@ -5,7 +5,8 @@ Documents of equal shingle sets are one class. Classes meet in the buckets of ``
 values at a time, and the pair is dropped once the posterior chance that its similarity reaches
 the threshold falls below ``MISS``. What survives is verified on the full sets, in two rounds: first
 the likeliest pairs that connect a bucket, then every surviving pair between classes that the
-verified links have not joined. So a group of copies costs a tree of links, not all its pairs.
+verified links have not joined; a class with many such pairs is compared with the whole of the
+other group in blocks. So a group of copies costs a tree of links, and its pairs are no rows.
 """
 
 from __future__ import annotations
@@ -30,6 +31,9 @@ HASHES = ROWS * BANDS
 MISS = 1e-6
 #: Classes of a bucket that one group holds; a larger bucket is dealt over several.
 BLOCK = 1500
+#: Pairs between two roots of a bucket that are rows of their own; where more survive, members are
+#: compared with the whole root instead.
+FEW = 4
 #: Pairs that are compared at once.
 PAIRS = 100_000
 _WORDS = 300_000
@@ -150,51 +154,86 @@ def _forest(i: np.ndarray, j: np.ndarray, matches: np.ndarray, group: np.ndarray
     return np.array(chosen, np.int64)
 
 
-def _bucket_pairs(rows: DataFrame, threshold: tuple[int, int], first_round: bool) -> DataFrame:
-    """(a, b) of set ids that survive in the groups (bucket, part) of rows (bucket, part, set_id,
-    n_shingles, signature, root, rare). First round: the pairs that connect each group. Second:
-    all pairs of different roots with a rare member, both rare ones in part 0 only."""
+def _first_pairs(rows: DataFrame, threshold: tuple[int, int]) -> DataFrame:
+    """(a, b) of set ids: of the pairs that survive in each group (bucket, part) of rows (bucket,
+    part, set_id, n_shingles, signature), the likeliest that connect it."""
     num, den = threshold
     least = least_matches(num / den)
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for table in whole_runs(batches):
-            table = table.combine_chunks()
-            bucket, part = table["bucket"].to_numpy(), table["part"].to_numpy()
-            cuts = np.flatnonzero((bucket[1:] != bucket[:-1]) | (part[1:] != part[:-1])) + 1
-            sizes = np.diff(np.concatenate([[0], cuts, [len(bucket)]]))
-            ids, n = table["set_id"].to_pylist(), table["n_shingles"].to_numpy()
-            matrix = np.frombuffer(b"".join(table["signature"].to_pylist()), np.uint16).reshape(-1, HASHES)
-            if not first_round:
-                roots = np.unique(np.array(table["root"].to_pylist(), dtype="S16"), return_inverse=True)[1]
-                rare = table["rare"].to_numpy(zero_copy_only=False)
-            found = []
-            for group, i, j in pairs_within(sizes, PAIRS):
-                if not first_round:
-                    keep = (roots[i] != roots[j]) & (rare[i] | rare[j]) & ((part[i] == 0) | ~(rare[i] & rare[j]))
-                    i, j = i[keep], j[keep]
-                i, j, matches = survivors(matrix, n, i, j, least, num, den)
-                if len(i):
-                    found.append((i, j, matches))
-            if not found:
-                continue
-            i, j, matches = (np.concatenate(x) for x in zip(*found))
-            if first_round:
-                group = np.repeat(np.arange(len(sizes)), sizes)[i]
-                chosen = _forest(i, j, matches, group, sizes)
-                i, j = i[chosen], j[chosen]
-            pairs = {(min(ids[x], ids[y]), max(ids[x], ids[y])) for x, y in zip(i.tolist(), j.tolist())}
-            a, b = zip(*sorted(pairs)) if pairs else ((), ())
-            yield pa.RecordBatch.from_arrays([pa.array(a, pa.binary()), pa.array(b, pa.binary())], ["a", "b"])
-
-    dealt = rows.repartition("bucket", "part").sortWithinPartitions("bucket", "part", "set_id")
-    return dealt.mapInArrow(compare, "a binary, b binary").distinct()
-
-
-def verify(docs: DataFrame, members: DataFrame, pairs: DataFrame, k: int, threshold: tuple[int, int]) -> DataFrame:
-    """The pairs (a, b) whose full sets are similar: ``den * common >= num * union``."""
+            ids, n, matrix, sizes, _ = _columns(table)
+            found = [x for group, i, j in pairs_within(sizes, PAIRS) if len((x := survivors(matrix, n, i, j, least, num, den))[0])]
+            if found:
+                i, j, matches = (np.concatenate(x) for x in zip(*found))
+                chosen = _forest(i, j, matches, np.repeat(np.arange(len(sizes)), sizes)[i], sizes)
+                yield _named_pairs(ids, i[chosen], j[chosen])
+
+    return _dealt(rows).mapInArrow(compare, "a binary, b binary").distinct()
+
+
+def _later_pairs(rows: DataFrame, threshold: tuple[int, int]) -> DataFrame:
+    """(a, b, root) for pairs that survive between different roots, of rows with root and rare
+    besides: the pair (a, b), or where more than ``FEW`` survive between two roots of a group, for
+    each member of the side with fewer of them a task (a, null, root): compare it with all of that root."""
     num, den = threshold
-    wanted = pairs.select(F.explode(F.array("a", "b")).alias("set_id")).distinct()
+    least = least_matches(num / den)
+
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for table in whole_runs(batches):
+            ids, n, matrix, sizes, part = _columns(table)
+            names = table["root"].to_pylist()
+            place = {r: k for k, r in enumerate(dict.fromkeys(names))}
+            root, rare = np.array([place[r] for r in names]), table["rare"].to_numpy()
+            tasks: set[tuple[bytes, bytes]] = set()
+            pairs: set[tuple[bytes, bytes]] = set()
+            found = []
+            for _, i, j in pairs_within(sizes, PAIRS):
+                keep = (root[i] != root[j]) & (rare[i] | rare[j]) & ((part[i] == 0) | ~(rare[i] & rare[j]))
+                i, j, _ = survivors(matrix, n, i[keep], j[keep], least, num, den)
+                found.append((i, j))
+            i, j = (np.concatenate(x) for x in zip(*found)) if found else (np.zeros(0, int), np.zeros(0, int))
+            group = np.repeat(np.arange(len(sizes)), sizes)
+            swap = root[i] > root[j]
+            i, j = np.where(swap, j, i), np.where(swap, i, j)
+            key = np.stack([group[i], root[i], root[j]], 1)
+            _, which, count = np.unique(key, axis=0, return_inverse=True, return_counts=True)
+            which = which.ravel()
+            many = count[which] > FEW
+            pairs.update((ids[x], ids[y]) for x, y in zip(i[~many].tolist(), j[~many].tolist()))
+            order, ends = np.argsort(which, kind="stable"), np.cumsum(count)
+            for k in np.flatnonzero(count > FEW).tolist():
+                own = order[ends[k] - count[k] : ends[k]]
+                x, y = np.unique(i[own]), np.unique(j[own])
+                few, other = (x, y) if len(x) <= len(y) else (y, x)
+                tasks.update((ids[m], names[other[0]]) for m in few.tolist())
+            rows = [(min(p), max(p), None) for p in sorted(pairs)] + [(a, None, r) for a, r in sorted(tasks)]
+            if rows:
+                yield pa.RecordBatch.from_arrays([pa.array(c, pa.binary()) for c in zip(*rows)], ["a", "b", "root"])
+
+    return _dealt(rows).mapInArrow(compare, "a binary, b binary, root binary").distinct()
+
+
+def _dealt(rows: DataFrame) -> DataFrame:
+    return rows.repartition("bucket", "part").sortWithinPartitions("bucket", "part", "set_id")
+
+
+def _columns(table: pa.Table):
+    """Set ids, set sizes, signatures, sizes of the groups (bucket, part), and the parts."""
+    bucket, part = table["bucket"].to_numpy(), table["part"].to_numpy()
+    cuts = np.flatnonzero((bucket[1:] != bucket[:-1]) | (part[1:] != part[:-1])) + 1
+    sizes = np.diff(np.concatenate([[0], cuts, [len(bucket)]]))
+    matrix = np.frombuffer(b"".join(table["signature"].to_pylist()), np.uint16).reshape(-1, HASHES)
+    return table["set_id"].to_pylist(), table["n_shingles"].to_numpy(), matrix, sizes, part
+
+
+def _named_pairs(ids: list[bytes], i: np.ndarray, j: np.ndarray) -> pa.RecordBatch:
+    pairs = sorted({(min(ids[x], ids[y]), max(ids[x], ids[y])) for x, y in zip(i.tolist(), j.tolist())})
+    return pa.RecordBatch.from_arrays([pa.array([p[k] for p in pairs], pa.binary()) for k in (0, 1)], ["a", "b"])
+
+
+def full_sets(docs: DataFrame, members: DataFrame, wanted: DataFrame, k: int) -> DataFrame:
+    """(set_id, shingles) of the wanted set ids, made again from the texts of one document each."""
     chosen = members.join(wanted, "set_id", "left_semi").groupBy("set_id").agg(F.min("doc_id").alias("doc_id"))
     texts = docs.select(docs["doc_id"].cast("long").alias("doc_id"), whole_text().cast("binary").alias("data")).join(chosen.select("doc_id"), "doc_id", "left_semi")
 
@@ -205,23 +244,65 @@ def verify(docs: DataFrame, members: DataFrame, pairs: DataFrame, k: int, thresh
             ids = [hashlib.blake2b(s, digest_size=16).digest() for s in own]
             yield pa.RecordBatch.from_arrays([pa.array(ids, pa.binary()), pa.array(own, pa.binary())], ["set_id", "shingles"])
 
+    return texts.mapInArrow(sets, "set_id binary, shingles binary").dropDuplicates(["set_id"])
+
+
+def similar(x: np.ndarray, y: np.ndarray, num: int, den: int) -> bool:
+    """``den * common >= num * union`` of two sorted sets."""
+    if len(y) < len(x):
+        x, y = y, x
+    n = int(np.count_nonzero(y[np.minimum(np.searchsorted(y, x), len(y) - 1)] == x))
+    return den * n >= num * (len(x) + len(y) - n)
+
+
+def verify_pairs(pairs: DataFrame, full: DataFrame, threshold: tuple[int, int]) -> DataFrame:
+    """The pairs (a, b) whose full sets are similar."""
+
     def common(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            good = []
-            for x, y in zip(batch["x"], batch["y"]):
-                x, y = np.frombuffer(x.as_py(), np.uint64), np.frombuffer(y.as_py(), np.uint64)
-                if len(y) < len(x):
-                    x, y = y, x
-                at = np.searchsorted(y, x)
-                n = int(np.count_nonzero(y[np.minimum(at, len(y) - 1)] == x))
-                good.append(den * n >= num * (len(x) + len(y) - n))
-            yield batch.select(["a", "b"]).filter(pa.array(good))
-
-    full = texts.mapInArrow(sets, "set_id binary, shingles binary").dropDuplicates(["set_id"])
+            good = [similar(np.frombuffer(x.as_py(), np.uint64), np.frombuffer(y.as_py(), np.uint64), *threshold) for x, y in zip(batch["x"], batch["y"])]
+            yield batch.select(["a", "b"]).filter(pa.array(good, pa.bool_()))
+
     both = pairs.join(full.select(F.col("set_id").alias("a"), F.col("shingles").alias("x")), "a").join(full.select(F.col("set_id").alias("b"), F.col("shingles").alias("y")), "b")
     return both.select("a", "b", "x", "y").mapInArrow(common, "a binary, b binary")
 
 
+def verify_tasks(tasks: DataFrame, rooted: DataFrame, full: DataFrame, threshold: tuple[int, int]) -> DataFrame:
+    """A link (a, b) for each task (a, root) and block of that root's members where there is one.
+    Members are dealt over blocks of about ``BLOCK`` and the tasks' sets go to every block of theirs."""
+    num, den = threshold
+    least = least_matches(num / den)
+    own = rooted.join(tasks.select("root").distinct(), "root", "left_semi").join(full, "set_id")
+    blocks = own.groupBy("root").agg(F.ceil(F.count(F.lit(1)) / BLOCK).alias("blocks"))
+    mine = own.join(blocks, "root").select("root", F.pmod(F.xxhash64("set_id"), F.col("blocks")).alias("part"), F.lit(False).alias("asks"), "set_id", "n_shingles", "signature", "shingles")
+    sets = rooted.drop("root").join(full, "set_id")
+    asks = tasks.select("root", F.col("a").alias("set_id")).join(blocks, "root").join(sets, "set_id")
+    asks = asks.select("root", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).alias("part"), F.lit(True).alias("asks"), "set_id", "n_shingles", "signature", "shingles")
+
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for table in whole_runs(batches):
+            ids, n, matrix, sizes, _ = _columns(table)
+            asking, sets = table["asks"].to_numpy(), table["shingles"]
+            links, at = [], 0
+            for size in sizes.tolist():
+                mine = at + np.flatnonzero(~asking[at : at + size])
+                arrays: dict[int, np.ndarray] = {}
+                load = lambda k, arrays=arrays: arrays[k] if k in arrays else arrays.setdefault(k, np.frombuffer(sets[k].as_py(), np.uint64))
+                for x in (at + np.flatnonzero(asking[at : at + size])).tolist():
+                    _, j, matches = survivors(matrix, n, np.full(len(mine), x), mine, least, num, den)
+                    for y in j[np.argsort(-matches, kind="stable")].tolist():
+                        if ids[x] != ids[y] and similar(load(x), load(y), num, den):
+                            links.append((x, y))
+                            break
+                at += size
+            if links:
+                i, j = np.array(links).T
+                yield _named_pairs(ids, i, j)
+
+    rows = mine.unionByName(asks).withColumn("bucket", F.xxhash64("root"))
+    return _dealt(rows).select("bucket", "part", "asks", "set_id", "n_shingles", "signature", "shingles").mapInArrow(compare, "a binary, b binary").distinct()
+
+
 def near_duplicates(docs: DataFrame, k: int = 5, threshold: tuple[int, int] = (80, 100)) -> DataFrame:
     """doc_id, n_shingles, component_id, kept: groups of documents linked by a Jaccard similarity
     of at least ``num / den`` of their sets of distinct ``k``-word shingles.
@@ -242,7 +323,9 @@ def near_duplicates(docs: DataFrame, k: int = 5, threshold: tuple[int, int] = (8
 
     parts = F.ceil(F.col("size") / BLOCK)
     first = inside.withColumn("part", F.pmod(F.xxhash64("set_id", "bucket"), parts)).join(signatures, "set_id").select("bucket", "part", "set_id", "n_shingles", "signature")
-    links = saved(verify(docs, slim, saved(_bucket_pairs(first, threshold, True)), k, threshold))
+    pairs = saved(_first_pairs(first, threshold))
+    ends = lambda p: p.select(F.explode(F.array("a", "b")).alias("set_id")).where("set_id is not null").distinct()
+    links = saved(verify_pairs(pairs, full_sets(docs, slim, ends(pairs), k), threshold))
     roots = saved(components(links.select(F.col("a").alias("u"), F.col("b").alias("v"))))
 
     rooted = inside.join(roots.withColumnRenamed("node", "set_id"), "set_id", "left").withColumn("root", F.coalesce("root", "set_id"))
@@ -251,8 +334,13 @@ def near_duplicates(docs: DataFrame, k: int = 5, threshold: tuple[int, int] = (8
     open_ = rooted.join(major, "bucket").withColumn("rare", F.col("root") != F.col("most.root"))
     spread_over = F.when(F.col("rare"), F.sequence(F.lit(0).cast("long"), parts - 1)).otherwise(F.array(F.pmod(F.xxhash64("set_id", "bucket"), parts)))
     second = open_.withColumn("part", F.explode(spread_over)).join(signatures, "set_id").select("bucket", "part", "set_id", "n_shingles", "signature", "root", "rare")
-    later = saved(_bucket_pairs(second, threshold, False).join(links, ["a", "b"], "left_anti"))
-    more = verify(docs, slim, later, k, threshold)
+    later = saved(_later_pairs(second, threshold))
+    tasks = later.where("b is null").select("a", "root")
+    pairs = later.where("b is not null").select("a", "b").join(links, ["a", "b"], "left_anti")
+    by_root = classes.select("set_id", "n_shingles", "signature").join(roots.withColumnRenamed("node", "set_id"), "set_id", "left").withColumn("root", F.coalesce("root", "set_id"))
+    asked = by_root.join(tasks.select("root").distinct(), "root", "left_semi").select("set_id")
+    full = saved(full_sets(docs, slim, ends(pairs).union(tasks.select("a")).union(asked).distinct(), k))
+    more = verify_pairs(pairs, full, threshold).unionByName(verify_tasks(tasks, by_root, full, threshold))
     links = saved(links.unionByName(more))
     roots = components(links.select(F.col("a").alias("u"), F.col("b").alias("v")))
 
