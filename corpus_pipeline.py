@@ -17,14 +17,12 @@ LEAST_SCORE = 0.4
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose text has a language: letters, and one that the model is not lost about."""
-    found = langid.identify(docs).where((F.col("lang_pred") != langid.UNKNOWN) & (F.col("score") >= LEAST_SCORE))
-    return docs.join(found.select("doc_id").distinct(), "doc_id", "left_semi")
+    return langid.keep_identified(docs, LEAST_SCORE)
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near copies (five-word shingles, similarity 0.8): that of the smallest id."""
-    kept = minhash.near_duplicates(docs).where("kept").select("doc_id").distinct()
-    return docs.join(kept, "doc_id", "left_semi").dropDuplicates(["doc_id"])
+    return minhash.keep_one_of_each(docs)
 
 
 def redact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -33,10 +31,11 @@ def redact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Every document as many times as the mix of the sources takes it."""
-    copies = mixing.mix_sources(docs).where("copies > 0").select(F.col("doc_id").alias("taken_id"), "copies")
-    taken = docs.join(copies, F.col("doc_id").cast("long") == F.col("taken_id"))
-    return taken.withColumn("copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("copies")))).select(*docs.columns)
+    """Every document as many times as the mix of the sources takes it; rows that share an id as
+    often as the most taken of them."""
+    copies = mixing.mix_sources(docs).groupBy(F.col("doc_id").alias("taken_id")).agg(F.max("copies").alias("taken_copies"))
+    taken = docs.join(copies.where("taken_copies > 0"), F.col("doc_id").cast("long").eqNullSafe(F.col("taken_id")))
+    return taken.withColumn("taken_copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("taken_copies")))).select(*docs.columns)
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -91,7 +91,8 @@ def least_matches(threshold: float, miss: float = MISS) -> dict[int, int]:
 
 
 def features(docs: DataFrame, k: int) -> DataFrame:
-    """doc_id, n_shingles, set_id (digest of the set) and signature of every row; both null for an empty set."""
+    """doc_id, text_hash, n_shingles, set_id (digest of the set) and signature of every row; the last
+    two are null for an empty set."""
 
     def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes = _WordHashes()
@@ -102,10 +103,10 @@ def features(docs: DataFrame, k: int) -> DataFrame:
                 n.append(len(s))
                 ids.append(hashlib.blake2b(s.tobytes(), digest_size=16).digest() if len(s) else None)
                 signatures.append(signature(s).tobytes() if len(s) else None)
-            yield pa.RecordBatch.from_arrays([batch["doc_id"], pa.array(n, pa.int64()), pa.array(ids, pa.binary()), pa.array(signatures, pa.binary())], ["doc_id", "n_shingles", "set_id", "signature"])
+            yield pa.RecordBatch.from_arrays([batch["doc_id"], batch["text_hash"], pa.array(n, pa.int64()), pa.array(ids, pa.binary()), pa.array(signatures, pa.binary())], ["doc_id", "text_hash", "n_shingles", "set_id", "signature"])
 
-    rows = spread(docs.select(docs["doc_id"].cast("long").alias("doc_id"), whole_text().cast("binary").alias("data")), "doc_id")
-    return rows.mapInArrow(make, "doc_id long, n_shingles long, set_id binary, signature binary")
+    rows = spread(docs.select(docs["doc_id"].cast("long").alias("doc_id"), F.xxhash64(whole_text()).alias("text_hash"), whole_text().cast("binary").alias("data")), "doc_id")
+    return rows.mapInArrow(make, "doc_id long, text_hash long, n_shingles long, set_id binary, signature binary")
 
 
 def _bands(classes: DataFrame) -> DataFrame:
@@ -304,11 +305,12 @@ def verify_tasks(tasks: DataFrame, rooted: DataFrame, full: DataFrame, threshold
 
 
 def near_duplicates(docs: DataFrame, k: int = 5, threshold: tuple[int, int] = (80, 100)) -> DataFrame:
-    """doc_id, n_shingles, component_id, kept: groups of documents linked by a Jaccard similarity
+    """doc_id, n_shingles, component_id, kept, text_hash: groups of documents linked by a Jaccard similarity
     of at least ``num / den`` of their sets of distinct ``k``-word shingles.
 
     A shorter text is one shingle; an empty or null one has the empty set and links with nothing.
-    component_id is the smallest doc_id that links reach, kept marks it. Equal texts are linked
+    component_id is the smallest doc_id that links reach, kept marks it (null where no
+    member has an id). Equal texts are linked
     always; a pair of different sets at the threshold shares no bucket with chance ``(1 - s**ROWS)
     ** BANDS`` (5e-7 at 0.8). Repeated rows of a doc_id give a row each; an empty table gives none.
     """
@@ -347,10 +349,18 @@ def near_duplicates(docs: DataFrame, k: int = 5, threshold: tuple[int, int] = (8
     own = classes.select("set_id", "least").join(roots.withColumnRenamed("node", "set_id"), "set_id", "left").withColumn("root", F.coalesce("root", "set_id"))
     tops = own.groupBy("root").agg(F.min("least").alias("component_id"))
     labels = own.join(tops, "root").select("set_id", "component_id")
-    out = members.select("doc_id", "n_shingles", "set_id").join(labels, "set_id", "left")
+    out = members.select("doc_id", "n_shingles", "set_id", "text_hash").join(labels, "set_id", "left")
     component = F.coalesce("component_id", "doc_id")
-    return out.select("doc_id", "n_shingles", component.alias("component_id"), (F.col("doc_id") == component).alias("kept"))
+    return out.select("doc_id", "n_shingles", component.alias("component_id"), F.col("doc_id").eqNullSafe(component).alias("kept"), "text_hash")
+
+
+def keep_one_of_each(docs: DataFrame, k: int = 5, threshold: tuple[int, int] = (80, 100)) -> DataFrame:
+    """The documents, with all their columns, without all but one of each group of near duplicates.
+    Rows are told apart by id and text, so one without an id stays if no group has taken it."""
+    found = near_duplicates(docs, k, threshold).where("kept").select(F.col("doc_id").alias("k_doc"), F.col("text_hash").alias("k_hash")).distinct()
+    on = F.col("doc_id").cast("long").eqNullSafe(F.col("k_doc")) & (F.xxhash64(whole_text()) == F.col("k_hash"))
+    return docs.join(found, on, "left_semi").dropDuplicates(["doc_id", "text"])
 
 
 def op9_bayes_minhash(spark, sf_dir: str) -> DataFrame:
-    return near_duplicates(spark.read.parquet(f"{sf_dir}/documents.parquet"), k=2)
+    return near_duplicates(spark.read.parquet(f"{sf_dir}/documents.parquet"), k=2).drop("text_hash")
