@@ -128,14 +128,15 @@ def hash_uniform(seed: int, *columns) -> Column:
     return F.shiftrightunsigned(hash_bits(seed, *columns), 11).cast("double") * number(2.0**-53)
 
 
+def _bases(bits: Column, n: int) -> Column:
+    """n letters of ACGT, two bits of a 64-bit number for each."""
+    letter = lambda k: F.substring(F.lit("ACGT"), F.call_function("shiftrightunsigned", bits, 2 * k).bitwiseAND(3).cast("int") + 1, F.lit(1))
+    return F.array_join(F.transform(F.sequence(F.lit(0), F.lit(n - 1)), lambda k: letter(k)), "")
+
+
 def random_bases(length: int, seed: int, *columns) -> Column:
-    """A string of ACGT, two hash bits for each base."""
-    parts = []
-    for start in range(0, length, 32):
-        bits = hash_bits(seed + start, *columns)
-        own = F.sequence(F.lit(0), F.lit(min(32, length - start) - 1))
-        parts.append(F.array_join(F.transform(own, lambda k, b=bits: F.substring(F.lit("ACGT"), F.call_function("shiftrightunsigned", b, 2 * k).bitwiseAND(3).cast("int") + 1, F.lit(1))), ""))
-    return F.concat(*parts)
+    """A string of ACGT, by the values alone."""
+    return F.concat(*(_bases(hash_bits(seed + start, *columns), min(32, length - start)) for start in range(0, length, 32)))
 
 
 def truncated(text: Column, start: Column, target: Column) -> Column:

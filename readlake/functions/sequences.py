@@ -9,6 +9,7 @@ import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
+from pyspark.sql.types import DoubleType, LongType
 
 END_BASES = 50
 #: Hairpin arms: bases compared, and the distance between the arms' starts.
@@ -48,7 +49,7 @@ def homopolymer_ratio(s: Column) -> Column:
     return F.coalesce(F.try_divide(F.array_max(F.transform(runs, F.length)).cast("double"), F.length(s).cast("double")), F.lit(0.0))
 
 
-@pandas_udf("long")
+@pandas_udf(LongType())
 def distinct_kmers(s: pd.Series) -> pd.Series:
     """Distinct k-mers, k = min(4, n // 2) or 1 for n up to 4; by characters."""
 
@@ -81,7 +82,7 @@ def kmer_complexity(s: Column, norm: str = "capped") -> Column:
     return F.when(F.length(s) > least, F.try_divide(distinct_kmers(s).cast("double"), most.cast("double"))).otherwise(0.0)
 
 
-@pandas_udf("double")
+@pandas_udf(DoubleType())
 def hairpin_potential(s: pd.Series) -> pd.Series:
     """Best match of ten bases with the complement of those twenty further on."""
 
@@ -100,7 +101,7 @@ def hairpin_potential(s: pd.Series) -> pd.Series:
     return s.map(score).astype("float64")
 
 
-@pandas_udf("double")
+@pandas_udf(DoubleType())
 def g_quadruplex_potential(s: pd.Series) -> pd.Series:
     """Part of the windows of 15 bases that hold more than ten G; the last window isn't looked at."""
 
