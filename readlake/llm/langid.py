@@ -15,6 +15,7 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from .common import spread, whole_text
@@ -256,27 +257,17 @@ def training_sample(docs: DataFrame, docs_each: int = TRAIN_DOCS, langs: int = T
     """Up to ``docs_each`` documents of each of the ``langs`` most frequent languages, by hash of
     their id, ``size`` characters each: a bounded sample, the same in any layout."""
     place = F.xxhash64(F.col("doc_id").cast("string"))
-    usable = docs.where(~held_out(F.col("doc_id")) & F.col("lang").isNotNull() & F.col("text").isNotNull())
+    usable = docs.where(~held_out(F.col("doc_id")) & F.col("lang").isNotNull())  # counted without the texts
     most = usable.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(langs)
     n = {r["lang"]: r["count"] for r in most.collect()}
-    out = []
     if not n:
-        return out
+        return []
     # hashes are uniform, so a slightly generous share of them holds the sample; the smallest are kept
     share = F.create_map(*[x for k, c in n.items() for x in (F.lit(k), F.lit(min(1.0, (docs_each + 6 * docs_each**0.5) / c)))])
     below = (place.cast("double") / F.lit(2.0**63) + 1) / 2 <= share[F.col("lang")]
-    rows = usable.where(F.col("lang").isin(list(n)) & below).select("lang", place.alias("h"), F.substring("text", 1, size).alias("text"))
-    for lang in sorted(n):
-        own = rows.where(F.col("lang") == lang) if len(n) > 8 else None
-        if own is not None:
-            out += [(lang, r["text"].encode()) for r in own.orderBy("h", "text").limit(docs_each).collect()]
-    if len(n) <= 8:
-        got: dict[str, int] = dict.fromkeys(n, 0)
-        for r in rows.orderBy("h", "text").limit(2 * docs_each * len(n)).collect():
-            if got[r["lang"]] < docs_each:
-                got[r["lang"]] += 1
-                out.append((r["lang"], r["text"].encode()))
-    return out
+    rows = usable.where(F.col("text").isNotNull() & F.col("lang").isin(list(n)) & below).select("lang", place.alias("h"), F.substring("text", 1, size).alias("text"))
+    first = F.row_number().over(W.partitionBy("lang").orderBy("h", "text"))
+    return [(r["lang"], r["text"].encode()) for r in rows.withColumn("k", first).where(F.col("k") <= docs_each).collect()]
 
 
 def identify(docs: DataFrame, model: Model | None = None) -> DataFrame:
