@@ -61,7 +61,7 @@ def position_density(points: DataFrame, by: Sequence[str], *, value: str = "posi
     step = 1.0 / (grid - 1)
     reach = (-2.0 * math.log(floor)) ** 0.5
     weights = points.where(F.col(value).isNotNull()).groupBy(*by, F.round(value, DECIMALS).alias("_p")).agg(F.count(F.lit(1)).cast("double").alias("_w"))
-    near = weights.join(F.broadcast(stats.where("_h is not null")), list(by))
+    near = weights.join(stats.where("_h is not null"), list(by))
     low = F.greatest(F.floor((F.col("_p") - F.col("_h") * reach) / step), F.lit(0)).cast("int")
     high = F.least(F.ceil((F.col("_p") + F.col("_h") * reach) / step), F.lit(grid - 1)).cast("int")
     met = near.where(low <= high).withColumn("i", F.explode(F.sequence(low, high)))

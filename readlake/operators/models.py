@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 import math
-from collections.abc import Mapping, Sequence
+from collections.abc import Iterator, Mapping, Sequence
 
+import numpy as np
+import pandas as pd
 from pyspark.ml import Pipeline
 from pyspark.ml.feature import RobustScaler, VectorAssembler
 from pyspark.ml.regression import GBTRegressor, RandomForestRegressor
@@ -47,13 +49,27 @@ def sequence_features(sequences: DataFrame, norm: str = "capped", least: int = 0
 
 def local_profiles(sequences: DataFrame, width: int) -> DataFrame:
     """Our definition: (seq_id, start, gc, entropy) of consecutive windows of ``width`` bases; entropy
-    in bits of the window's letters."""
-    s = sequences.select("seq_id", S.ascii_upper(F.col("seq")).alias("_s")).where(F.length("_s") >= width)
-    starts = F.explode(F.sequence(F.lit(0), F.length("_s") - width, F.lit(width))).alias("start")
-    windows = s.select("seq_id", "_s", starts).select("seq_id", "start", F.substr("_s", F.col("start") + 1, F.lit(width)).alias("w"))
-    letters = windows.select("seq_id", "start", S.gc_content(F.col("w")).alias("gc"), F.explode(F.split("w", "")).alias("c")).where("c != ''")
-    counts = letters.groupBy("seq_id", "start", "gc", "c").agg((F.count(F.lit(1)) / float(width)).alias("p"))
-    return counts.groupBy("seq_id", "start", "gc").agg((-F.sum(F.col("p") * F.log2("p"))).alias("entropy"))
+    in bits of the window's letters. A sequence is cut where it lies: copies of it or substrings by
+    position would cost the square of its length."""
+    kind = dict(sequences.dtypes)["seq_id"]
+    bits = np.concatenate([[0.0], np.arange(1, width + 1) * np.log2(np.arange(1, width + 1))])
+
+    def cut(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            for seq_id, text in zip(frame["seq_id"], frame["s"]):
+                letters = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
+                n = len(letters) // width
+                windows = np.sort(letters[: n * width].reshape(n, width), axis=1)
+                new = np.ones((n, width + 1), bool)
+                new[:, 1:-1] = windows[:, 1:] != windows[:, :-1]
+                row, place = np.nonzero(new)
+                runs = np.diff(place)[np.diff(row) == 0]
+                total = np.bincount(row[:-1][np.diff(row) == 0], bits[runs], n)
+                gc = np.isin(windows, [ord("G"), ord("C")]).sum(1) / width
+                yield pd.DataFrame({"seq_id": [seq_id] * n, "start": np.arange(n, dtype=np.int32) * width, "gc": gc, "entropy": np.log2(width) - total / width})
+
+    rows = sequences.where(F.length("seq") >= width).select("seq_id", S.ascii_upper(F.col("seq")).alias("s"))
+    return rows.mapInPandas(cut, f"seq_id {kind}, start int, gc double, entropy double")
 
 
 def positional_design(profile: DataFrame, features: DataFrame, n_bins: int, weights: Mapping[str, float] | None = None) -> DataFrame:

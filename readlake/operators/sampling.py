@@ -38,7 +38,7 @@ def numbered(df: DataFrame, order: Sequence[str], name: str = "row") -> DataFram
     starts = own.groupBy("_block").agg(F.count(F.lit(1)).alias("_n"))
     starts = starts.select("_block", (F.sum("_n").over(W.orderBy("_block")) - F.col("_n")).alias("_start"))
     inside = F.row_number().over(W.partitionBy("_block").orderBy(F.xxhash64(F.lit(1), *order), *order)) - 1
-    return own.withColumn("_in", inside).join(F.broadcast(starts), "_block").withColumn(name, F.col("_start") + F.col("_in")).drop("_block", "_in", "_start")
+    return own.withColumn("_in", inside).join(starts, "_block").withColumn(name, F.col("_start") + F.col("_in")).drop("_block", "_in", "_start")
 
 
 def draw_rows(draws: DataFrame, pool: DataFrame, order: Sequence[str], seed: int, take: Sequence[str]) -> DataFrame:

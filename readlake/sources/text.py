@@ -44,7 +44,7 @@ def read_fasta(spark: SparkSession, paths: str | Sequence[str]) -> DataFrame:
         starts = lines.groupBy("block").agg(F.sum("head").alias("heads"))
         starts = starts.select("block", (F.sum("heads").over(W.orderBy("block")) - F.col("heads")).alias("before"))
         inside = F.sum("head").over(W.partitionBy("block").orderBy("n"))
-        rows = lines.withColumn("inside", inside).join(F.broadcast(starts), "block").withColumn("rec", F.col("before") + F.col("inside")).where("rec > 0")
+        rows = lines.withColumn("inside", inside).join(starts, "block").withColumn("rec", F.col("before") + F.col("inside")).where("rec > 0")
         body = F.array_join(F.transform(F.array_sort(F.collect_list(F.when(F.col("head") == 0, F.struct("n", F.trim("line").alias("line"))))), lambda x: x["line"]), "")
         out = rows.groupBy("rec").agg(F.max(F.when(F.col("head") == 1, F.col("line"))).alias("h"), body.alias("seq"))
         return out.select(F.regexp_extract("h", r"^>(\S*)", 1).alias("seq_id"), "seq", F.length("seq").alias("length"))

@@ -179,3 +179,16 @@ def test_labels(spark):
     assert [x[0] for x in df.select(R.bias_category(F.col("r"))).collect()] == ["strongly 5'-biased", "moderately 5'-biased", "balanced", "moderately 3'-biased", "strongly 3'-biased", "strongly 3'-biased"]
     assert [x[0] for x in df.na.drop().select(R.fit_quality(F.col("r"))).collect()] == ["limited", "moderate", "good", "excellent", "excellent"]
     assert df.limit(1).select(R.overfit(F.lit(0.9), F.lit(0.6))).first()[0] is True
+
+
+def test_local_profiles(spark):
+    r = random.Random(8)
+    texts = ["".join(r.choices("ACGTNé", k=r.randrange(0, 90))) for _ in range(30)] + ["AAAAAAAAAA", "acgtacgtac", "short"]
+    got = {(x.seq_id, x.start): (x.gc, x.entropy) for x in models.local_profiles(spark.createDataFrame(enumerate(texts), "seq_id int, seq string"), 10).collect()}
+    want = {}
+    for i, t in enumerate(texts):
+        for s in range(0, len(t) - 9, 10):
+            w = t[s : s + 10].upper().replace("É", "é")
+            counts = Counter(w)
+            want[(i, s)] = ((counts["G"] + counts["C"]) / 10, -sum(c / 10 * math.log2(c / 10) for c in counts.values()))
+    assert set(got) == set(want) and all(math.isclose(a, b, abs_tol=1e-9) for k in want for a, b in zip(got[k], want[k]))
