@@ -184,7 +184,7 @@ def cell_summary(spark, d):
     return cells.cell_summary(cells.parse_headers(B.headers(spark, d)))
 
 
-@query(with_sql("hdr") + "SELECT count(*) AS cells_with_umi, sum(n)::BIGINT AS total_umis, sum(n)::DOUBLE / count(*) AS mean_umis, min(a) AS min_umi, max(b) AS max_umi FROM (SELECT barcode, count(DISTINCT umi) AS n, min(length(umi)) AS a, max(length(umi)) AS b FROM hdr WHERE umi IS NOT NULL GROUP BY 1)")
+@query(with_sql("hdr") + "SELECT count(*) AS cells_with_umi, sum(n)::BIGINT AS total_umis, sum(n)::DOUBLE / count(*) AS mean_umis, CAST(min(a) AS INTEGER) AS min_umi, CAST(max(b) AS INTEGER) AS max_umi FROM (SELECT barcode, count(DISTINCT umi) AS n, min(length(umi)) AS a, max(length(umi)) AS b FROM hdr WHERE umi IS NOT NULL GROUP BY 1)")
 def umi_summary(spark, d):
     return cells.umi_summary(cells.parse_headers(B.headers(spark, d)))
 
@@ -210,7 +210,7 @@ def select_reads(spark, d):
     return cells.select_reads(reads, B.table(spark, d, "lineitem").select(F.col("l_orderkey").alias("read_id")))
 
 
-@query("SELECT doc_id AS read_id, length(text) AS n FROM documents WHERE regexp_matches(text, '(?i)licen[sc]e')")
+@query("SELECT doc_id AS read_id, CAST(length(text) AS INTEGER) AS n FROM documents WHERE regexp_matches(text, '(?i)licen[sc]e')")
 def select_reads_by_pattern(spark, d):
     docs = B.table(spark, d, "documents").select(F.col("doc_id").alias("read_id"), F.col("text").alias("header"))
     return cells.select_reads(docs, docs, pattern="licen[sc]e").select("read_id", F.length("header").alias("n"))
