@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import bpe, embeddings, flac, langid, licenses, minhash, mixing, secrets, sharding, toxicity
+from . import bpe, embeddings, flac, langid, licenses, minhash, mixing, oracles, secrets, sharding, toxicity
 
 QUERIES = {
     "op1_license_automaton": licenses.op1_license_automaton,
@@ -17,4 +17,8 @@ QUERIES = {
     "op10_kd_tree_shards": sharding.op10_kd_tree_shards,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {
+    "op2_pstable_near_vectors": oracles.NEAR_VECTORS,
+    "op4_linked_secrets": oracles.linked_secrets(secrets.BASE, secrets.WEAK, secrets.ROLES, secrets.SCOPE),
+    "op9_bayes_minhash": oracles.NEAR_DOCUMENTS,
+}
