@@ -33,9 +33,9 @@ def redact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Every document as many times as the mix of the sources takes it; rows that share an id as
     often as the most taken of them."""
-    copies = mixing.mix_sources(docs).groupBy(F.col("doc_id").alias("taken_id")).agg(F.max("copies").alias("taken_copies"))
-    taken = docs.join(copies.where("taken_copies > 0"), F.col("doc_id").cast("long").eqNullSafe(F.col("taken_id")))
-    return taken.withColumn("taken_copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("taken_copies")))).select(*docs.columns)
+    copies = mixing.mix_sources(docs).groupBy(F.col("doc_id").alias("_readlake_taken_id")).agg(F.max("copies").alias("_readlake_taken_copies"))
+    taken = docs.join(copies.where("_readlake_taken_copies > 0"), F.col("doc_id").cast("long").eqNullSafe(F.col("_readlake_taken_id")))
+    return taken.withColumn("_readlake_taken_copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("_readlake_taken_copies")))).select(*docs.columns)
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

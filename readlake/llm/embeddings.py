@@ -167,7 +167,7 @@ def near_vectors(vectors: DataFrame, least: float = 0.9, id_col: str = "vec_id",
     labels = labelled.join(tops, "root").join(links, "rep", "left").select("rep", "component_id", (F.coalesce("links", F.lit(0)) + F.col("weight") - 1).alias("n_links"))
     out = rows.select("vec_id", F.when(F.col("vector").isNotNull(), F.xxhash64("vector")).alias("rep")).join(labels, "rep", "left")
     component = F.coalesce("component_id", "vec_id")
-    return out.select("vec_id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), component.alias("component_id"), (F.col("vec_id") == component).alias("kept"))
+    return out.select("vec_id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), component.alias("component_id"), F.col("vec_id").eqNullSafe(component).alias("kept"))
 
 
 def op2_pstable_near_vectors(spark, sf_dir: str) -> DataFrame:

@@ -357,8 +357,8 @@ def near_duplicates(docs: DataFrame, k: int = 5, threshold: tuple[int, int] = (8
 def keep_one_of_each(docs: DataFrame, k: int = 5, threshold: tuple[int, int] = (80, 100)) -> DataFrame:
     """The documents, with all their columns, without all but one of each group of near duplicates.
     Rows are told apart by id and text, so one without an id stays if no group has taken it."""
-    found = near_duplicates(docs, k, threshold).where("kept").select(F.col("doc_id").alias("k_doc"), F.col("text_hash").alias("k_hash")).distinct()
-    on = F.col("doc_id").cast("long").eqNullSafe(F.col("k_doc")) & (F.xxhash64(whole_text()) == F.col("k_hash"))
+    found = near_duplicates(docs, k, threshold).where("kept").select(F.col("doc_id").alias("_readlake_doc"), F.col("text_hash").alias("_readlake_hash")).distinct()
+    on = F.col("doc_id").cast("long").eqNullSafe(F.col("_readlake_doc")) & (F.xxhash64(whole_text()) == F.col("_readlake_hash"))
     return docs.join(found, on, "left_semi").dropDuplicates(["doc_id", "text"])
 
 

@@ -96,18 +96,18 @@ def redact_secrets(docs: DataFrame) -> DataFrame:
     """The documents with every reported span replaced by ``MASK``, overlapping spans by one;
     n_chars follows the text. Rows without a span stay as they are."""
     spans = find_secrets(docs).where((F.size("base") > 0) | (F.size("linked") > 0))
-    spans = spans.select(F.col("doc_id").alias("s_doc"), F.col("text_hash").alias("s_hash"), F.array_sort(F.concat("base", "linked")).alias("s")).dropDuplicates(["s_doc", "s_hash"])
+    spans = spans.select(F.col("doc_id").alias("_readlake_doc"), F.col("text_hash").alias("_readlake_hash"), F.array_sort(F.concat("base", "linked")).alias("_readlake_spans")).dropDuplicates(["_readlake_doc", "_readlake_hash"])
     start = F.struct(F.lit(0).alias("at"), F.array().cast("array<string>").alias("out"))
 
     def step(acc: Column, s: Column) -> Column:
         piece = F.substring(F.col("text"), acc["at"] + 1, s["start"] - acc["at"])
         return F.struct(F.greatest(acc["at"], s["stop"]).alias("at"), F.when((s["start"] >= acc["at"]) & ((acc["at"] == 0) | (s["start"] > acc["at"])), F.concat(acc["out"], F.array(piece))).otherwise(acc["out"]).cast("array<string>").alias("out"))
 
-    masked = F.aggregate("s", start, step, lambda acc: F.concat(F.array_join(F.concat(acc["out"], F.array(F.lit(""))), MASK), F.substring(F.col("text"), acc["at"] + 1, F.length("text"))))
-    on = F.col("doc_id").eqNullSafe(F.col("s_doc")) & (F.xxhash64(whole_text()) == F.col("s_hash"))
-    text = F.when(F.col("s").isNotNull(), masked).otherwise(F.col("text"))
+    masked = F.aggregate("_readlake_spans", start, step, lambda acc: F.concat(F.array_join(F.concat(acc["out"], F.array(F.lit(""))), MASK), F.substring(F.col("text"), acc["at"] + 1, F.length("text"))))
+    on = F.col("doc_id").eqNullSafe(F.col("_readlake_doc")) & (F.xxhash64(whole_text()) == F.col("_readlake_hash"))
+    text = F.when(F.col("_readlake_spans").isNotNull(), masked).otherwise(F.col("text"))
     joined = docs.join(spans, on, "left").withColumn("text", text)
-    changed = F.when(F.col("s").isNotNull(), F.length("text").cast("long")).otherwise(F.col("n_chars"))
+    changed = F.when(F.col("_readlake_spans").isNotNull(), F.length("text").cast("long")).otherwise(F.col("n_chars"))
     return joined.withColumn("n_chars", changed).select(*docs.columns)
 
 

@@ -2,7 +2,7 @@
 
 import random
 
-SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, size long, shard int, bucket long, base string"
+SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, size long, shard int, bucket long, base string, s string, k_doc string, copies long"
 
 
 def table(spark, texts, sources=None, langs=None, ids=None):
@@ -11,7 +11,7 @@ def table(spark, texts, sources=None, langs=None, ids=None):
     ids = ids if ids is not None else list(range(n))
     sources = sources or [None if i % 7 == 6 else f"s{i % 3}" for i in range(n)]
     langs = langs or [None] * n
-    rows = [(i, t, lang, s, len(t) if t is not None else None, -1, -1, -1, "x") for i, t, lang, s in zip(ids, texts, langs, sources)]
+    rows = [(i, t, lang, s, len(t) if t is not None else None, -1, -1, -1, "x", "y", "z", -1) for i, t, lang, s in zip(ids, texts, langs, sources)]
     return spark.createDataFrame(rows, SCHEMA).repartition(3)
 
 
