@@ -21,7 +21,7 @@ from .common import spread, whole_text
 #: Labelled documents that the models are fitted on at most, folds, hashed features and those kept.
 TRAIN_ROWS, FOLDS, SPACE, KEPT = 8000, 4, 1 << 20, 3000
 #: Least documents with a feature, passes, step and penalty.
-LEAST_DOCS, PASSES, STEP, PENALTY = 4, 400, 0.5, 2e-4
+LEAST_DOCS, PASSES, STEP, PENALTY = 4, 150, 0.5, 2e-4
 _CACHE = 300_000
 _PARTS = bytes(b if b > 127 or chr(b).isalnum() else 32 for b in range(256))
 
@@ -53,21 +53,25 @@ def _chance(x: np.ndarray) -> np.ndarray:
 
 
 class _Rows:
-    """Sparse counts of features by row."""
+    """Which rows have which features; features of fewer than ``LEAST_DOCS`` rows are left out."""
 
     def __init__(self, ids: Sequence[np.ndarray]):
-        self.row = np.repeat(np.arange(len(ids)), [len(x) for x in ids])
-        self.names, self.col = np.unique(np.concatenate(ids) if len(ids) else np.zeros(0, np.int64), return_inverse=True)
         self.n = len(ids)
-
-    def choose(self, y: np.ndarray, most: int) -> np.ndarray:
-        """Columns whose presence tells most about the label, by the score of a two-by-two table."""
-        both = np.unique(self.row.astype(np.int64) * max(1, len(self.names)) + self.col)
-        row, col = both // max(1, len(self.names)), both % max(1, len(self.names))
-        df = np.bincount(col, minlength=len(self.names)).astype(float)
-        pos = np.bincount(col, y[row], minlength=len(self.names))
-        rate = y.mean()
-        score = (pos - df * rate) ** 2 / np.maximum(df * rate * (1 - rate) * (1 - df / self.n), 1e-9)
+        own = [np.unique(x) for x in ids]
+        row = np.repeat(np.arange(self.n), [len(x) for x in own])
+        flat = np.concatenate(own) if own else np.zeros(0, np.int64)
+        common = np.bincount(flat, minlength=SPACE) >= LEAST_DOCS
+        self.names = np.flatnonzero(common)
+        self.row, self.col = row[common[flat]], np.searchsorted(self.names, flat[common[flat]])
+
+    def choose(self, y: np.ndarray, most: int, train: np.ndarray) -> np.ndarray:
+        """Columns whose presence tells most about the label in the rows marked in ``train``, by the
+        score of a two-by-two table."""
+        part = train[self.row]
+        df = np.bincount(self.col[part], minlength=len(self.names)).astype(float)
+        pos = np.bincount(self.col[part], y[self.row[part]], minlength=len(self.names))
+        n, rate = train.sum(), y[train].mean()
+        score = (pos - df * rate) ** 2 / np.maximum(df * rate * (1 - rate) * (1 - df / n), 1e-9)
         score[df < LEAST_DOCS] = 0
         best = np.argsort(-score, kind="stable")[:most]
         return np.sort(best[score[best] > 6])
@@ -75,20 +79,17 @@ class _Rows:
 
 def _fit(rows: _Rows, extra: np.ndarray, y: np.ndarray, train: np.ndarray):
     """Weights by column, weights of the extra columns, and the bias, from the rows marked in ``train``."""
-    part = train[rows.row]
-    own = _Rows([])
-    own.row, own.col, own.names, own.n = np.cumsum(train)[rows.row[part]] - 1, rows.col[part], rows.names, int(train.sum())
-    goal, more = y[train], extra[train]
-    columns = own.choose(goal, KEPT)
+    columns = rows.choose(y, KEPT, train)
     place = np.full(len(rows.names) + 1, -1)
     place[columns] = np.arange(len(columns))
-    col = place[own.col]
-    r, c = own.row[col >= 0], col[col >= 0]
+    own = train[rows.row] & (place[rows.col] >= 0)
+    r, c = (np.cumsum(train) - 1)[rows.row[own]], place[rows.col[own]]
+    goal, more, n = y[train], extra[train], int(train.sum())
     w, v = np.zeros(len(columns)), np.zeros(extra.shape[1])
     bias = float(np.log((goal.mean() + 1e-6) / (1 - goal.mean() + 1e-6)))
     seen_w, seen_v, seen_b = np.full(len(w), 1e-8), np.full(len(v), 1e-8), 1e-8
     for _ in range(PASSES):
-        error = (_chance(np.bincount(r, w[c], own.n) + more @ v + bias) - goal) / own.n
+        error = (_chance(np.bincount(r, w[c], n) + more @ v + bias) - goal) / n
         g_w, g_v, g_b = np.bincount(c, error[r], len(w)) + PENALTY * w, more.T @ error + PENALTY * v, error.sum()
         seen_w, seen_v, seen_b = seen_w + g_w**2, seen_v + g_v**2, seen_b + g_b**2
         w, v, bias = w - STEP * g_w / np.sqrt(seen_w), v - STEP * g_v / np.sqrt(seen_v), bias - STEP * g_b / np.sqrt(seen_b)
