@@ -29,7 +29,7 @@ LEXICON_COUNT = 3
 #: Words of a training sequence, words of one language in a row there, passes, step and decay.
 SEQUENCE, SWITCH, EPOCHS, STEP, DECAY = 64, 16, 6, 0.3, 1e-4
 #: Words of a block, and bytes of text that are worked on at once.
-BLOCK, CHUNK = 32, 1 << 20
+BLOCK, CHUNK = 32, 1 << 18
 UNKNOWN = "und"
 #: Bytes that are no letters part words; A-Z are in lower case by then.
 _LETTERS = bytes(b if b > 127 or chr(b).isalpha() else 32 for b in range(256))
@@ -171,7 +171,7 @@ def predict(model: Model, texts: list[bytes]) -> list[tuple[str, float]]:
         mean = np.add.reduceat(chances, np.cumsum(counts) - counts, axis=0) / counts[:, None]
         best = mean.argmax(1)
         for n, k, p in zip(rows, best.tolist(), mean[np.arange(len(best)), best].tolist()):
-            out[n] = (model.labels[k], min(1.0, p))
+            out[n] = (model.labels[k], round(min(1.0, p), 9))  # batches differ in the last bits
     return out
 
 
