@@ -28,16 +28,14 @@ def saved(df: DataFrame) -> DataFrame:
 
 
 def spread(df: DataFrame, *keys: str) -> DataFrame:
-    """Deal rows by key over the session's shuffle partitions: a file of few row groups is
-    scanned by as few tasks, and what follows costs far more than moving the rows once."""
+    """A table that is read in fewer pieces than there are cores is dealt over the shuffle
+    partitions by key, since what follows costs far more than moving its rows; any other stays
+    where it is read. For tables as they are read: counting the pieces only plans the scan."""
+    if df.rdd.getNumPartitions() >= df.sparkSession.sparkContext.defaultParallelism:
+        return df
     return df.repartition(*keys)
 
 
-def documents(docs: DataFrame, *columns: str) -> DataFrame:
-    """Only the named columns, so that further ones can't clash with those made here."""
-    return docs.select(*columns)
-
-
 def whole_text(name: str = "text") -> Column:
     """The text, a null one as empty."""
     return F.coalesce(F.col(name), F.lit(""))
