@@ -11,7 +11,8 @@ from pyspark.sql import functions as F
 from readlake.llm import bpe, langid, minhash, mixing, secrets
 from readlake.llm.common import checkpoint_dir
 
-#: A document whose language is predicted with less than this mean chance is rejected.
+#: A document is rejected if its words' highest chances are less than this on the average: 1.2 times
+#: an even chance among three languages, and as many times among more.
 LEAST_SCORE = 0.4
 
 

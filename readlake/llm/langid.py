@@ -161,20 +161,27 @@ def label_words(model: Model, texts: list[bytes]) -> tuple[np.ndarray, np.ndarra
     return marginals(emissions(features, begin, model.weights), counts, model.transitions), counts
 
 
-def predict(model: Model, texts: list[bytes]) -> list[tuple[str, float]]:
-    """Language and its mean chance over the words of each whole text."""
-    out = [(UNKNOWN, 0.0)] * len(texts)
+def judge(model: Model, texts: list[bytes]) -> list[tuple[str, float, float]]:
+    """Language, its mean chance over the words, and the mean of each word's highest chance, of each whole text."""
+    out = [(UNKNOWN, 0.0, 0.0)] * len(texts)
     if not model.labels:
         return out
     for rows, own in _batches([t if has_letter(t) else b"" for t in texts]):
         chances, counts = label_words(model, own)
-        mean = np.add.reduceat(chances, np.cumsum(counts) - counts, axis=0) / counts[:, None]
+        first = np.cumsum(counts) - counts
+        mean = np.add.reduceat(chances, first, axis=0) / counts[:, None]
         best = mean.argmax(1)
-        for n, k, p in zip(rows, best.tolist(), mean[np.arange(len(best)), best].tolist()):
-            out[n] = (model.labels[k], round(min(1.0, p), 9))  # batches differ in the last bits
+        sure = np.add.reduceat(chances.max(1), first) / counts
+        for n, k, p, c in zip(rows, best.tolist(), mean[np.arange(len(best)), best].tolist(), sure.tolist()):
+            out[n] = (model.labels[k], round(min(1.0, p), 9), round(min(1.0, c), 9))  # batches differ in the last bits
     return out
 
 
+def predict(model: Model, texts: list[bytes]) -> list[tuple[str, float]]:
+    """Language and its mean chance over the words of each whole text."""
+    return [(lang, score) for lang, score, _ in judge(model, texts)]
+
+
 def fit(samples: list[tuple[str, bytes]], seed: int = 1) -> Model:
     """A model of (language, text) samples. Training sequences switch language every ``SWITCH``
     words on the average, so that the transitions are learned from switches as well."""
@@ -292,9 +299,11 @@ def identify(docs: DataFrame, model: Model | None = None) -> DataFrame:
 
 
 def keep_identified(docs: DataFrame, least: float, model: Model | None = None) -> DataFrame:
-    """The documents, with all their columns, whose language is predicted with a mean chance of at
-    least ``least``; those that are ``und`` go. Nothing is moved or joined."""
+    """The documents, with all their columns, in which the mean of each word's highest chance is at
+    least ``least``, or with more than three labels that share of three even chances; those that are
+    ``und`` go. Words may be of several languages, in any shares. Nothing is moved or joined."""
     model = model or fit(training_sample(docs))
+    least = least * 3 / max(3, len(model.labels))
     shared = docs.sparkSession.sparkContext.broadcast(model)
     place = docs.columns.index("text")
 
@@ -302,8 +311,8 @@ def keep_identified(docs: DataFrame, least: float, model: Model | None = None) -
         for batch in batches:
             for a in range(0, batch.num_rows, 1000):
                 part = batch.slice(a, 1000)
-                found = predict(shared.value, [(t or "").encode("utf-8", "surrogatepass") for t in part.column(place).to_pylist()])
-                yield part.filter(pa.array([lang != UNKNOWN and score >= least for lang, score in found], pa.bool_()))
+                found = judge(shared.value, [(t or "").encode("utf-8", "surrogatepass") for t in part.column(place).to_pylist()])
+                yield part.filter(pa.array([lang != UNKNOWN and sure >= least for lang, _, sure in found], pa.bool_()))
 
     return docs.mapInArrow(run, docs.schema)
 

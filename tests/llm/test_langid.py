@@ -101,6 +101,25 @@ def test_filter_keeps_rows_whole(spark):
     assert set(rows) == set(range(60)) and rows[5].text == texts[5] and rows[5].base == "x"
 
 
+def test_filter_keeps_code_switched_texts(spark):
+    r = random.Random(4)
+    own = {"aa": "ba ko ti mu".split(), "bb": "ster eng lich auf".split(), "cc": "ción ñe llo ar".split(), "dd": "wyz prz szc dło".split()}
+    say = lambda lang, n: " ".join("".join(r.choices(own[lang], k=r.randrange(1, 4))) for _ in range(n))
+    model = L.fit([(lang, say(lang, 40).encode()) for lang in own for _ in range(60)])
+    texts = [" ".join(say(lang, 30) for lang in langs) for langs in (["aa", "bb", "cc"], ["bb", "cc", "dd"], list(own), list(own)[::-1])]
+    assert all(score < 0.4 for _, score in L.predict(model, [t.encode() for t in texts]))
+    kept = L.keep_identified(table(spark, [*texts, "12 34", None]), 0.4, model)
+    assert sorted(r.doc_id for r in kept.collect()) == [0, 1, 2, 3]
+
+
+@pytest.mark.parametrize("size", [3, 4, 64])
+def test_filter_rejects_what_the_model_is_lost_about(spark, size):
+    lost = L.Model([f"l{k:02}" for k in range(size)], np.zeros((3 * L.TABLE + 1, size), np.float32), np.zeros((size, size)), np.zeros(0, np.uint64))
+    assert L.keep_identified(table(spark, ["ba ko ti", "mu " * 50]), 0.4, lost).count() == 0
+    lost.weights[:, 1:3] = 0.5  # split between two related languages
+    assert L.keep_identified(table(spark, ["ba ko ti", "mu " * 50]), 0.4, lost).count() == 2
+
+
 @pytest.mark.parametrize("word", ["a", "ab", "straße"])
 def test_word_features_have_one_entry_each(word):
     data = np.frombuffer(L.prepare(word.encode()), np.uint8)
