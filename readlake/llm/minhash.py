@@ -234,9 +234,12 @@ def _named_pairs(ids: list[bytes], i: np.ndarray, j: np.ndarray) -> pa.RecordBat
 
 
 def full_sets(docs: DataFrame, members: DataFrame, wanted: DataFrame, k: int) -> DataFrame:
-    """(set_id, shingles) of the wanted set ids, made again from the texts of one document each."""
-    chosen = members.join(wanted, "set_id", "left_semi").groupBy("set_id").agg(F.min("doc_id").alias("doc_id"))
-    texts = docs.select(docs["doc_id"].cast("long").alias("doc_id"), whole_text().cast("binary").alias("data")).join(chosen.select("doc_id"), "doc_id", "left_semi")
+    """(set_id, shingles) of the wanted set ids, made again from the texts of one document each: of
+    that of the least id, or of any where none has an id."""
+    least = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_hash")).alias("least")
+    chosen = members.join(wanted, "set_id", "left_semi").groupBy("set_id").agg(least).select(F.col("least.doc_id").alias("own_id"), F.col("least.text_hash").alias("own_hash"))
+    texts = docs.select(docs["doc_id"].cast("long").alias("doc_id"), F.xxhash64(whole_text()).alias("text_hash"), whole_text().cast("binary").alias("data"))
+    texts = texts.join(chosen, F.col("doc_id").eqNullSafe(F.col("own_id")) & (F.col("text_hash") == F.col("own_hash")), "left_semi").select("data")
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes = _WordHashes()
@@ -309,19 +312,19 @@ def near_duplicates(docs: DataFrame, k: int = 5, threshold: tuple[int, int] = (8
     of at least ``num / den`` of their sets of distinct ``k``-word shingles.
 
     A shorter text is one shingle; an empty or null one has the empty set and links with nothing.
-    component_id is the smallest doc_id that links reach, kept marks it (null where no
-    member has an id). Equal texts are linked
+    component_id is the smallest doc_id that links reach, kept marks it; where no
+    member has an id, component_id is null and kept marks the rows of one text. Equal texts are linked
     always; a pair of different sets at the threshold shares no bucket with chance ``(1 - s**ROWS)
     ** BANDS`` (5e-7 at 0.8). Repeated rows of a doc_id give a row each; an empty table gives none.
     """
     docs = docs.select("doc_id", "text")
     members = saved(features(docs, k))
-    classes = saved(members.where(F.col("set_id").isNotNull()).groupBy("set_id").agg(F.min("doc_id").alias("least"), F.first("n_shingles").alias("n_shingles"), F.first("signature").alias("signature")))
+    classes = saved(members.where(F.col("set_id").isNotNull()).groupBy("set_id").agg(F.min("doc_id").alias("least"), F.min("text_hash").alias("least_hash"), F.first("n_shingles").alias("n_shingles"), F.first("signature").alias("signature")))
     bands = _bands(classes)
     shared = bands.groupBy("bucket").agg(F.count(F.lit(1)).alias("size")).where("size > 1")
     inside = saved(bands.join(shared, "bucket"))
     signatures = classes.select("set_id", "signature")
-    slim = members.select("set_id", "doc_id")
+    slim = members.select("set_id", "doc_id", "text_hash")
 
     parts = F.ceil(F.col("size") / BLOCK)
     first = inside.withColumn("part", F.pmod(F.xxhash64("set_id", "bucket"), parts)).join(signatures, "set_id").select("bucket", "part", "set_id", "n_shingles", "signature")
@@ -346,12 +349,13 @@ def near_duplicates(docs: DataFrame, k: int = 5, threshold: tuple[int, int] = (8
     links = saved(links.unionByName(more))
     roots = components(links.select(F.col("a").alias("u"), F.col("b").alias("v")))
 
-    own = classes.select("set_id", "least").join(roots.withColumnRenamed("node", "set_id"), "set_id", "left").withColumn("root", F.coalesce("root", "set_id"))
-    tops = own.groupBy("root").agg(F.min("least").alias("component_id"))
-    labels = own.join(tops, "root").select("set_id", "component_id")
+    own = classes.select("set_id", "least", "least_hash").join(roots.withColumnRenamed("node", "set_id"), "set_id", "left").withColumn("root", F.coalesce("root", "set_id"))
+    tops = own.groupBy("root").agg(F.min("least").alias("component_id"), F.min("least_hash").alias("top_hash"))
+    labels = own.join(tops, "root").select("set_id", "component_id", "top_hash")
     out = members.select("doc_id", "n_shingles", "set_id", "text_hash").join(labels, "set_id", "left")
     component = F.coalesce("component_id", "doc_id")
-    return out.select("doc_id", "n_shingles", component.alias("component_id"), F.col("doc_id").eqNullSafe(component).alias("kept"), "text_hash")
+    kept = F.col("doc_id").eqNullSafe(component) & (component.isNotNull() | F.coalesce(F.col("text_hash") == F.col("top_hash"), F.lit(True)))
+    return out.select("doc_id", "n_shingles", component.alias("component_id"), kept.alias("kept"), "text_hash")
 
 
 def keep_one_of_each(docs: DataFrame, k: int = 5, threshold: tuple[int, int] = (80, 100)) -> DataFrame:

@@ -88,5 +88,23 @@ def test_ids_that_are_null_or_repeated(spark):
     assert sorted((r.doc_id, r.text or "") for r in kept.collect()) == [(5, "a b c d e f"), (7, ""), (7, "x y z")]
 
 
+def test_near_copies_without_ids(spark):
+    r = random.Random(8)
+    two, bridged, alone = (near_copies(r, n, 60, (0, 3)) for n in (3, 2, 1))
+    docs = table(spark, two + two[:1] + bridged + alone + [None], ids=[None] * 4 + [9, None, None, None])
+    rows = M.near_duplicates(docs, 2).collect()
+    assert sorted((r.doc_id or -1, r.component_id or -1, r.kept) for r in rows if r.component_id) == [(-1, 9, False), (9, 9, True)]
+    kept = [r.text for r in M.keep_one_of_each(docs, 2).collect()]
+    assert len(kept) == 4 and {bridged[0], alone[0], None} < set(kept) and len(set(kept) & set(two)) == 1
+
+
+def test_bridge_without_id(spark):
+    """a and b are linked only by way of a text that has no id."""
+    words = [f"v{i}" for i in range(100)]
+    texts = [" ".join(words[a : a + 80]) for a in (0, 8, 16)]
+    rows = M.near_duplicates(table(spark, texts, ids=[1, None, 2]), 2).collect()
+    assert [r.component_id for r in rows] == [1, 1, 1]
+
+
 def test_empty_table(spark):
     assert M.near_duplicates(empty(spark)).count() == 0 and M.keep_one_of_each(empty(spark)).count() == 0
