@@ -32,12 +32,18 @@ def whole_runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
         yield pa.Table.from_batches(held)
 
 
-def pairs_within(sizes: np.ndarray, most: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+def pairs_within(sizes: np.ndarray, most: int, lefts: np.ndarray | None = None) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
     """All pairs i < j within consecutive groups of the given sizes, at most about ``most`` at a
-    time: (group, i, j). A row of a large group stands against its followers in one piece."""
+    time: (group, i, j). A row of a large group stands against its followers in one piece. Where
+    ``lefts`` of a group is not negative, only its first so many rows stand against the others."""
     first = np.cumsum(sizes) - sizes
     row_group = np.repeat(np.arange(len(sizes)), sizes)
     after = np.repeat(first + sizes, sizes) - np.arange(sizes.sum()) - 1  # followers of each row
+    follower = np.arange(sizes.sum()) + 1
+    if lefts is not None:
+        cross, bound = np.repeat(lefts >= 0, sizes), np.repeat(first + lefts, sizes)
+        after = np.where(cross, np.where(follower <= bound, np.repeat(sizes - lefts, sizes), 0), after)
+        follower = np.where(cross, bound, follower)
     total = np.cumsum(after)
     begin = 0
     while begin < len(after):
@@ -45,7 +51,7 @@ def pairs_within(sizes: np.ndarray, most: int) -> Iterator[tuple[np.ndarray, np.
         stop = max(begin + 1, int(np.searchsorted(total, done + most, "right")))
         n = after[begin:stop]
         i = np.repeat(np.arange(begin, stop), n)
-        j = i + 1 + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+        j = np.repeat(follower[begin:stop], n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
         if len(i):
             yield row_group[i], i, j
         begin = stop

@@ -174,23 +174,25 @@ def _first_pairs(rows: DataFrame, threshold: tuple[int, int]) -> DataFrame:
 
 
 def _later_pairs(rows: DataFrame, threshold: tuple[int, int]) -> DataFrame:
-    """(a, b, root) for pairs that survive between different roots, of rows with root and rare
-    besides: the pair (a, b), or where more than ``FEW`` survive between two roots of a group, for
+    """(a, b, root) for pairs that survive between different roots, of rows with root and side
+    besides (0 in a group that is compared with itself, else 1 or 2): the pair (a, b), or where more than ``FEW`` survive between two roots of a group, for
     each member of the side with fewer of them a task (a, null, root): compare it with all of that root."""
     num, den = threshold
     least = least_matches(num / den)
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for table in whole_runs(batches):
-            ids, n, matrix, sizes, part = _columns(table)
+            ids, n, matrix, sizes, _ = _columns(table)
             names = table["root"].to_pylist()
             place = {r: k for k, r in enumerate(dict.fromkeys(names))}
-            root, rare = np.array([place[r] for r in names]), table["rare"].to_numpy()
+            root, side = np.array([place[r] for r in names]), table["side"].to_numpy()
+            first = np.cumsum(sizes) - sizes
+            lefts = np.where(side[first] > 0, np.add.reduceat((side == 1).astype(np.int64), first), -1)
             tasks: set[tuple[bytes, bytes]] = set()
             pairs: set[tuple[bytes, bytes]] = set()
             found = []
-            for _, i, j in pairs_within(sizes, PAIRS):
-                keep = (root[i] != root[j]) & (rare[i] | rare[j]) & ((part[i] == 0) | ~(rare[i] & rare[j]))
+            for _, i, j in pairs_within(sizes, PAIRS, lefts):
+                keep = root[i] != root[j]
                 i, j, _ = survivors(matrix, n, i[keep], j[keep], least, num, den)
                 found.append((i, j))
             i, j = (np.concatenate(x) for x in zip(*found)) if found else (np.zeros(0, int), np.zeros(0, int))
@@ -212,11 +214,28 @@ def _later_pairs(rows: DataFrame, threshold: tuple[int, int]) -> DataFrame:
             if rows:
                 yield pa.RecordBatch.from_arrays([pa.array(c, pa.binary()) for c in zip(*rows)], ["a", "b", "root"])
 
-    return _dealt(rows).mapInArrow(compare, "a binary, b binary, root binary").distinct()
+    return _dealt(rows, "side").mapInArrow(compare, "a binary, b binary, root binary").distinct()
+
+
+def _paired(rows: DataFrame) -> DataFrame:
+    """Rows (bucket, size, most, set_id, root, ...) dealt so that two of different roots meet once, with part
+    and side: a bucket of more than ``BLOCK`` is cut into blocks of its largest root and of the rare
+    rest, and each rare block meets itself and every other block in a group of its own."""
+    rare = F.col("root") != F.col("most.root")
+    large = F.col("size") > BLOCK
+    few = F.when(large, F.ceil((F.col("size") - F.col("most.n")) / BLOCK)).otherwise(F.lit(1).cast("long"))
+    rest = F.when(large, F.ceil(F.col("most.n") / BLOCK)).otherwise(F.lit(0).cast("long"))
+    rows = rows.withColumns({"few": few, "blocks": few + rest, "rare": rare | ~large})
+    place = F.xxhash64("set_id", "bucket")
+    own = F.when(F.col("rare"), F.pmod(place, "few")).otherwise(F.col("few") + F.pmod(place, F.greatest(F.col("blocks") - F.col("few"), F.lit(1))))
+    mates = F.sequence(F.lit(0).cast("long"), F.when(F.col("rare"), F.col("blocks")).otherwise(F.col("few")) - 1)
+    rows = rows.withColumn("own", own).withColumn("mate", F.explode(mates))
+    side = F.when(F.col("own") == F.col("mate"), 0).when(F.col("own") < F.col("mate"), 1).otherwise(2)
+    return rows.withColumn("part", F.least("own", "mate") * F.col("blocks") + F.greatest("own", "mate")).withColumn("side", side)
 
 
-def _dealt(rows: DataFrame) -> DataFrame:
-    return rows.repartition("bucket", "part").sortWithinPartitions("bucket", "part", "set_id")
+def _dealt(rows: DataFrame, *order: str) -> DataFrame:
+    return rows.repartition("bucket", "part").sortWithinPartitions("bucket", "part", *order, "set_id")
 
 
 def _columns(table: pa.Table):
@@ -336,9 +355,7 @@ def near_duplicates(docs: DataFrame, k: int = 5, threshold: tuple[int, int] = (8
     rooted = inside.join(roots.withColumnRenamed("node", "set_id"), "set_id", "left").withColumn("root", F.coalesce("root", "set_id"))
     per_root = rooted.groupBy("bucket", "root").agg(F.count(F.lit(1)).alias("n"))
     major = per_root.groupBy("bucket").agg(F.max(F.struct("n", "root")).alias("most"), F.count(F.lit(1)).alias("roots")).where("roots > 1")
-    open_ = rooted.join(major, "bucket").withColumn("rare", F.col("root") != F.col("most.root"))
-    spread_over = F.when(F.col("rare"), F.sequence(F.lit(0).cast("long"), parts - 1)).otherwise(F.array(F.pmod(F.xxhash64("set_id", "bucket"), parts)))
-    second = open_.withColumn("part", F.explode(spread_over)).join(signatures, "set_id").select("bucket", "part", "set_id", "n_shingles", "signature", "root", "rare")
+    second = _paired(rooted.join(major, "bucket")).join(signatures, "set_id").select("bucket", "part", "side", "set_id", "n_shingles", "signature", "root")
     later = saved(_later_pairs(second, threshold))
     tasks = later.where("b is null").select("a", "root")
     pairs = later.where("b is not null").select("a", "b").join(links, ["a", "b"], "left_anti")

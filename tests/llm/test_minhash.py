@@ -5,6 +5,7 @@ from itertools import combinations
 import numpy as np
 
 from readlake.llm import minhash as M
+from readlake.llm.buckets import pairs_within
 
 from .data import awkward, empty, table
 
@@ -66,6 +67,35 @@ def test_large_group_with_stragglers(spark, monkeypatch):
     check(spark, near_copies(r, 160, 120, (4, 22)) + shared, 5)
 
 
+def test_round_two_deals_pairs_of_blocks(spark, monkeypatch):
+    """A template that many documents share: no group has more than two blocks, no pair meets twice."""
+    monkeypatch.setattr(M, "BLOCK", 40)
+    seen = []
+    later = M._later_pairs
+    monkeypatch.setattr(M, "_later_pairs", lambda rows, threshold: seen.append(rows.collect()) or later(rows, threshold))
+    r = random.Random(7)
+    passage = [f"p{i}" for i in range(90)]
+    texts = [" ".join(passage + [f"q{r.randrange(10**6)}" for _ in range(20)]) for _ in range(200)] + [" ".join(passage + [f"u{i}" for i in range(19)] + [f"v{k}"]) for k in range(90)]
+    check(spark, texts, 2)
+    groups, met, buckets = {}, {}, {}
+    for row in seen[0]:
+        groups.setdefault((row.bucket, row.part), []).append(row)
+        buckets.setdefault(row.bucket, {})[row.set_id] = row.root
+    assert max(map(len, buckets.values())) > 150 and max(map(len, groups.values())) <= 130
+    for (bucket, _), rows in groups.items():
+        for x, y in combinations(rows, 2):
+            if x.root != y.root and (x.side == 0 or x.side != y.side):
+                pair = (bucket, *sorted((bytes(x.set_id), bytes(y.set_id))))
+                met[pair] = met.get(pair, 0) + 1
+    assert set(met.values()) == {1}
+    assert len(met) == sum(a != b for roots in buckets.values() for a, b in combinations(roots.values(), 2))
+
+
+def test_pairs_between_sides():
+    found = [(g, i, j) for part in pairs_within(np.array([3, 4, 2, 2]), 2, np.array([-1, 1, 0, 2])) for g, i, j in zip(*map(np.ndarray.tolist, part))]
+    assert found == [(0, 0, 1), (0, 0, 2), (0, 1, 2), (1, 3, 4), (1, 3, 5), (1, 3, 6)]
+
+
 def test_thresholds_of_the_posterior():
     least = M.least_matches(0.8, 1e-4)
     r = np.random.default_rng(0)
