@@ -98,20 +98,19 @@ def _count_links(dealt: DataFrame, least: float) -> DataFrame:
         for table in whole_runs(batches):
             table = table.combine_chunks()
             bucket, part = table["bucket"].to_numpy(), table["part"].to_numpy()
-            cuts = np.flatnonzero((bucket[1:] != bucket[:-1]) | (part[1:] != part[:-1])) + 1
-            bounds = np.concatenate([[0], cuts, [len(bucket)]])
             reps, weights, at, right = (table[c].to_numpy(zero_copy_only=False) for c in ("rep", "weight", "place", "right"))
             keys = np.frombuffer(b"".join(table["keys"].to_pylist()), np.uint32).reshape(-1, TABLES)
             vectors = table["vector"].combine_chunks()
             lengths = np.diff(vectors.offsets.to_numpy())
+            # vectors of different length never link: each length of a bucket is a group of its own
+            cuts = np.flatnonzero((bucket[1:] != bucket[:-1]) | (part[1:] != part[:-1]) | (lengths[1:] != lengths[:-1])) + 1
+            bounds = np.concatenate([[0], cuts, [len(bucket)]])
             flat = vectors.flatten().to_numpy().astype(np.float64)
             starts = np.cumsum(lengths) - lengths
             out: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
             for a, b in zip(bounds[:-1].tolist(), bounds[1:].tolist()):
                 dim, t = int(lengths[a]), int(at[a])
                 x = flat[starts[a] : starts[a] + (b - a) * dim]
-                if len(x) != (b - a) * dim or np.any(lengths[a:b] != dim):
-                    continue  # vectors of different length never link
                 unit, k = _units(x, dim), keys[a:b]
                 cross = bool(right[a:b].any())
                 i = np.flatnonzero(~right[a:b])
@@ -158,7 +157,7 @@ def near_vectors(vectors: DataFrame, least: float = 0.9, id_col: str = "vec_id",
     inside = inside.withColumn("blocks", blocks).withColumn("own", own).withColumn("mate", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
     inside = inside.withColumn("part", F.least("own", "mate") * F.col("blocks") + F.greatest("own", "mate")).withColumn("right", F.col("own") > F.col("mate"))
     full = inside.join(classes.select("rep", "weight", "vector"), "rep").join(hashed, "rep")
-    dealt = full.select("bucket", "part", "right", "rep", "weight", "place", "keys", "vector").repartition("bucket", "part").sortWithinPartitions("bucket", "part", "rep")
+    dealt = full.select("bucket", "part", "right", "rep", "weight", "place", "keys", "vector").repartition("bucket", "part").sortWithinPartitions("bucket", "part", F.size("vector"), "rep")
     found = saved(_count_links(dealt, least))
     links = found.groupBy("rep").agg(F.sum("links").alias("links"))
     roots = components(found.select(F.col("rep").alias("u"), F.col("other").alias("v")))

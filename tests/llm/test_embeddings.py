@@ -57,6 +57,17 @@ def test_links_and_components(spark, monkeypatch):
     assert rows[0].n_links == 3 and rows[len(v) - 13].component_id == 0
 
 
+def test_lengths_that_share_buckets(spark, monkeypatch):
+    """One vector of another length in a bucket costs the others no link."""
+    v = [[1.0, k / 50, 0.0] for k in range(6)] + [[1.0, 0.5], [1.0, 0.6], [0.0] * 4 + [1.0]]
+    links, component = brute(v)
+    zero = bytes(4 * E.TABLES)
+    monkeypatch.setattr(E, "_hashed", lambda classes: classes.selectExpr("rep", f"unhex('{zero.hex()}') keys"))
+    got = {r.vec_id: r for r in E.near_vectors(frame(spark, v)).collect()}
+    assert {i: r.n_links for i, r in got.items()} == {i: len(x) for i, x in links.items()}
+    assert {i: r.component_id for i, r in got.items()} == component
+
+
 def test_repeated_ids_and_empty_table(spark):
     rows = E.near_vectors(frame(spark, [[1.0, 0.0], [1.0, 0.0], [0.0, 1.0]], ids=[4, 4, None])).collect()
     assert sorted((r.vec_id or -1, r.n_links) for r in rows) == [(-1, 0), (4, 1), (4, 1)]
