@@ -102,6 +102,7 @@ def detection_rate(expected: Column, observed: Column) -> Column:
 
 def bias_category(three_to_five: Column) -> Column:
     """Label of a 3'/5' mass ratio; a null ratio (no 5' mass) counts as infinite."""
+    # fixed values: labels and limits
     r = F.coalesce(three_to_five, number("inf"))
     return (
         F.when((r >= 0.8) & (r <= 1.2), "balanced").when(r > 2, "strongly 3'-biased").when(r > 1.2, "moderately 3'-biased").when(r < 0.5, "strongly 5'-biased").otherwise("moderately 5'-biased")
@@ -109,6 +110,7 @@ def bias_category(three_to_five: Column) -> Column:
 
 
 def fit_quality(test_r2: Column) -> Column:
+    # fixed values: labels and limits
     return F.when(test_r2 > 0.9, "excellent").when(test_r2 > 0.7, "good").when(test_r2 > 0.5, "moderate").otherwise("limited")
 
 
@@ -119,24 +121,30 @@ def overfit(train_r2: Column, test_r2: Column) -> Column:
 # --- reads that are made -----------------------------------------------------
 
 
+#: Bits of a draw: as many as 15 hexadecimal digits hold, so any engine that has MD5 can repeat it.
+DRAW_BITS = 60
+
+
 def hash_bits(seed: int, *columns) -> Column:
-    return F.xxhash64(F.lit(seed), *columns)
+    """60 bits that depend on the seed and the values alone; columns are taken as text."""
+    return F.conv(F.substring(F.md5(F.concat_ws(":", F.lit(str(seed)), *(F.col(c).cast("string") if isinstance(c, str) else c.cast("string") for c in columns)).cast("binary")), 1, DRAW_BITS // 4), 16, 10).cast("long")
 
 
 def hash_uniform(seed: int, *columns) -> Column:
     """[0, 1), by the values alone."""
-    return F.shiftrightunsigned(hash_bits(seed, *columns), 11).cast("double") * number(2.0**-53)
+    return F.shiftright(hash_bits(seed, *columns), DRAW_BITS - 53).cast("double") * number(2.0**-53)
 
 
 def _bases(bits: Column, n: int) -> Column:
-    """n letters of ACGT, two bits of a 64-bit number for each."""
-    letter = lambda k: F.substring(F.lit("ACGT"), F.call_function("shiftrightunsigned", bits, 2 * k).bitwiseAND(3).cast("int") + 1, F.lit(1))
+    """n letters of ACGT, two bits of a number for each."""
+    letter = lambda k: F.substring(F.lit("ACGT"), F.call_function("shiftright", bits, 2 * k).bitwiseAND(3).cast("int") + 1, F.lit(1))
     return F.array_join(F.transform(F.sequence(F.lit(0), F.lit(n - 1)), lambda k: letter(k)), "")
 
 
 def random_bases(length: int, seed: int, *columns) -> Column:
-    """A string of ACGT, by the values alone."""
-    return F.concat(*(_bases(hash_bits(seed + start, *columns), min(32, length - start)) for start in range(0, length, 32)))
+    """A string of ACGT, by the values alone; each draw gives half as many letters as it has bits."""
+    each = DRAW_BITS // 2
+    return F.concat(*(_bases(hash_bits(seed + start, *columns), min(each, length - start)) for start in range(0, length, each)))
 
 
 def truncated(text: Column, start: Column, target: Column) -> Column:

@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 
 from readlake.functions import reads as R
 
+from .quality import own_range_histogram
+
 
 def parse_headers(reads: DataFrame, header: str = "header") -> DataFrame:
     """The reads with barcode, umi and header_format."""
@@ -81,3 +83,8 @@ def transcripts_per_cell_summary(tracking: DataFrame) -> DataFrame:
     t = F.col("transcripts")
     n, s, ss = F.count(F.lit(1)).cast("double"), F.sum(t).cast("double"), F.sum(t * t).cast("double")
     return transcripts_per_cell(tracking).agg((s / n).alias("mean"), F.sqrt(F.try_divide(ss - s * s / n, n - 1)).alias("std"), F.min(t).alias("min"), F.max(t).alias("max"))
+
+
+def transcripts_per_cell_histogram(tracking: DataFrame, bins: int = 10) -> DataFrame:
+    """(bin, n) of the cells' numbers of distinct transcripts over their own range."""
+    return own_range_histogram(transcripts_per_cell(tracking), F.col("transcripts"), bins)

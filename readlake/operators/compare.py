@@ -8,9 +8,13 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .quality import METRICS
 
+#: Datasets that one is compared with at most; their names come to the driver.
+MOST_DATASETS = 1000
+
 FIXED_EDGES = (0.0, 500.0, 1000.0, 2000.0, 5000.0, math.inf)
 
 
@@ -52,19 +56,29 @@ def match_by_length(rows: DataFrame, reference: str, tolerance: float = 0.1, lea
     reads: dataset, ref_transcript, ref_length, transcript_id, length, n. Ties go to the smaller
     id; a reference transcript without a match has a row with nulls.
 
-    Lengths meet in logarithmic buckets so wide that the band spans one neighbour at most.
+    Only distinct lengths meet. They are dealt into logarithmic buckets so wide that the band spans
+    one neighbour at most, and in each bucket one ordered pass up and one down give the nearest
+    length on either side, so the work grows with the lengths and never with their pairs.
     """
     per = rows.groupBy("dataset", "transcript_id").agg(F.max("transcript_length").alias("length"), F.count(F.lit(1)).alias("n")).where(F.col("n") >= least)
-    place = F.floor(F.log(F.col("length").cast("double")) / F.lit(-math.log(1 - tolerance)))
-    refs = per.where(F.col("dataset") == reference).select(F.col("transcript_id").alias("ref_transcript"), F.col("length").alias("ref_length"), place.alias("b"))
-    others = per.where(F.col("dataset") != reference).select("dataset", "transcript_id", "length", "n", place.alias("b"))
-    near = refs.withColumn("b", F.explode(F.array(*(F.col("b") + d for d in (-1, 0, 1)))))
-    ref, length = F.col("ref_length").cast("double"), F.col("length").cast("double")
-    band = (length >= ref * F.lit(1 - tolerance)) & (length <= ref * F.lit(1 + tolerance))
-    first = F.row_number().over(W.partitionBy("dataset", "ref_transcript").orderBy(F.abs(ref - length), "transcript_id"))
-    best = near.join(others, "b").where(band).withColumn("k", first).where("k = 1").select("dataset", "ref_transcript", "transcript_id", "length", "n")
-    grid = refs.select("ref_transcript", "ref_length").crossJoin(F.broadcast(rows.select("dataset").distinct().where(F.col("dataset") != reference)))
-    return grid.join(best, ["dataset", "ref_transcript"], "left")
+    names = [r[0] for r in rows.where(F.col("dataset") != reference).select("dataset").distinct().limit(MOST_DATASETS + 1).collect()]
+    if len(names) > MOST_DATASETS:
+        raise ValueError(f"more than {MOST_DATASETS} datasets to compare with")
+    each = F.explode(F.array(*(F.lit(x) for x in sorted(names))).cast(T.ArrayType(rows.schema["dataset"].dataType)))
+    place = F.floor(F.log(F.greatest(F.col("length").cast("double"), F.lit(1.0))) / F.lit(-2 * math.log(1 - tolerance)))
+    refs = per.where(F.col("dataset") == reference).select(F.col("transcript_id").alias("ref_transcript"), F.col("length").alias("ref_length"))
+    known = per.where(F.col("dataset") != reference).groupBy("dataset", "length").agg(F.min(F.struct("transcript_id", "n")).alias("best"))
+    known = known.select("dataset", "length", F.explode(F.array(place - 1, place, place + 1)).alias("b"), F.struct("best.transcript_id", "length", "best.n").alias("hit"))
+    hit = known.schema["hit"].dataType
+    asked = refs.select(F.col("ref_length").alias("length")).distinct().select(each.alias("dataset"), "length", place.alias("b"), F.lit(None).cast(hit).alias("hit"))
+    one = W.partitionBy("dataset", "b")
+    nearest = lambda length: F.last("hit", ignorenulls=True).over(one.orderBy(length, F.col("hit").isNull()).rowsBetween(W.unboundedPreceding, 0))
+    both = asked.unionByName(known).withColumns({"below": nearest(F.col("length")), "above": nearest(F.desc("length"))}).where("hit is null")
+    ref, away = F.col("length").cast("double"), lambda x: F.col(f"{x}.length").cast("double")
+    inside = lambda x: F.when((away(x) >= ref * F.lit(1 - tolerance)) & (away(x) <= ref * F.lit(1 + tolerance)), F.struct(F.abs(ref - away(x)).alias("off"), f"{x}.transcript_id", f"{x}.length", f"{x}.n"))
+    best = both.select("dataset", F.col("length").alias("ref_length"), F.least(inside("below"), inside("above")).alias("m"))
+    grid = refs.select(each.alias("dataset"), "ref_transcript", "ref_length")
+    return grid.join(best, ["dataset", "ref_length"], "left").select("dataset", "ref_transcript", "ref_length", "m.transcript_id", "m.length", "m.n")
 
 
 def matched_statistics(rows: DataFrame, matches: DataFrame, metrics: Sequence[str] = METRICS) -> DataFrame:

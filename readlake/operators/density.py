@@ -110,3 +110,13 @@ def fit_density_model(alignments: DataFrame, transcripts: DataFrame, least: int
     filled = base.join(each.select("length_bin", "i", "y"), ["length_bin", "i"], "left").select("length_bin", "i", "x", F.coalesce("y", "_all").alias("y"))
     density = overall.select("length_bin", "i", "x", "y").unionByName(filled)
     return density, length_effect(density.where("length_bin >= 0"), grid)
+
+
+def choose_model(spark: SparkSession, *, alignments: DataFrame | None = None, transcripts: DataFrame | None = None, preset: str | None = None, **settings) -> tuple[DataFrame, DataFrame]:
+    """density and length_effect, learned from ``alignments`` and ``transcripts`` or of ``preset``.
+    Exactly one is to be given: a model that cannot be learned is never replaced by a preset unasked."""
+    if (alignments is None) == (preset is None):
+        raise ValueError("give either alignments with transcripts or a preset")
+    if preset is not None:
+        return preset_model(spark, preset)
+    return fit_density_model(alignments, transcripts, **settings)

@@ -24,6 +24,13 @@ DESIGN = ("rel_pos", "log_length", "gc", "pos_gc", "five_gc", "rev_five_gc", "th
 #: What a transcript without sequence features gets (fixed values).
 DEFAULTS = {"gc_content": 0.5}
 
+#: Which features the weights of a technology stand for.
+WEIGHTED = {"gc_content": ("gc_content",), "sequence_complexity": ("complexity",), "secondary_structure": ("hairpin_potential", "g_quadruplex_potential")}
+#: The 3-mers of ACGT, as ``local_profiles`` counts them.
+KMERS = tuple(a + b + c for a in "ACGT" for b in "ACGT" for c in "ACGT")
+#: Windows of a sequence that are worked on at once.
+WINDOWS = 1000
+
 #: Technologies: trees, depth, least rows to split and in a leaf, feature weights (fixed values).
 TECHNOLOGIES = {
     "nanopore_cdna": {"trees": 150, "depth": 8, "min_split": 5, "min_leaf": 2, "weights": {"gc_content": 2.0, "sequence_complexity": 1.5, "secondary_structure": 1.0}},
@@ -40,6 +47,12 @@ def forest_settings(technology: str = "default", **changes) -> dict:
     return {"trees": max(10, own["trees"]), "depth": max(1, own["depth"]), "min_leaf": own["min_leaf"]}
 
 
+def feature_weights(technology: str = "default") -> dict[str, float]:
+    """Weights of the sequence features by their names in ``SEQUENCE_FEATURES``. Trees split a
+    feature at any scale alike; weights matter to learners that don't."""
+    return {f: w for k, w in TECHNOLOGIES[technology]["weights"].items() for f in WEIGHTED[k]}
+
+
 def sequence_features(sequences: DataFrame, norm: str = "capped", least: int = 0) -> DataFrame:
     """One row of features for each sequence of at least ``least`` bases; an empty one is all 0."""
     s = F.col("_s")
@@ -48,28 +61,43 @@ def sequence_features(sequences: DataFrame, norm: str = "capped", least: int = 0
 
 
 def local_profiles(sequences: DataFrame, width: int) -> DataFrame:
-    """Our definition: (seq_id, start, gc, entropy) of consecutive windows of ``width`` bases; entropy
-    in bits of the window's letters. A sequence is cut where it lies: copies of it or substrings by
-    position would cost the square of its length."""
+    """Our definition: (seq_id, start, gc, entropy, kmers) of consecutive windows of ``width`` bases,
+    the last one shorter where the length is no multiple; entropy in bits of the window's letters,
+    and shares of the ``KMERS`` among the runs of three letters inside the window. An empty or null
+    sequence has no window. A sequence is cut where it lies, ``WINDOWS`` windows at a time: copies of
+    it or substrings by position would cost the square of its length."""
     kind = dict(sequences.dtypes)["seq_id"]
-    bits = np.concatenate([[0.0], np.arange(1, width + 1) * np.log2(np.arange(1, width + 1))])
+    base = np.full(128, -1, np.int64)
+    base[[ord(c) for c in "ACGT"]] = range(4)
+
+    def measured(letters: np.ndarray, w: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        rows = letters.reshape(-1, w)
+        n = len(rows)
+        windows = np.sort(rows, axis=1)
+        new = np.ones((n, w + 1), bool)
+        new[:, 1:-1] = windows[:, 1:] != windows[:, :-1]
+        row, place = np.nonzero(new)
+        inner = np.diff(row) == 0
+        runs = np.diff(place)[inner]
+        total = np.bincount(row[:-1][inner], runs * np.log2(runs), n)
+        code = np.where(rows < 128, base[np.minimum(rows, 127)], -1)
+        three = code[:, :-2] * 16 + code[:, 1:-1] * 4 + code[:, 2:] if w > 2 else np.zeros((n, 0), np.int64)
+        good = (code[:, :-2] >= 0) & (code[:, 1:-1] >= 0) & (code[:, 2:] >= 0) if w > 2 else np.zeros((n, 0), bool)
+        counts = np.bincount((np.arange(n)[:, None] * 64 + three)[good], minlength=n * 64).reshape(n, 64)
+        return np.isin(rows, [ord("G"), ord("C")]).sum(1) / w, np.log2(w) - total / w, counts / max(1, w - 2)
 
     def cut(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
             for seq_id, text in zip(frame["seq_id"], frame["s"]):
                 letters = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
-                n = len(letters) // width
-                windows = np.sort(letters[: n * width].reshape(n, width), axis=1)
-                new = np.ones((n, width + 1), bool)
-                new[:, 1:-1] = windows[:, 1:] != windows[:, :-1]
-                row, place = np.nonzero(new)
-                runs = np.diff(place)[np.diff(row) == 0]
-                total = np.bincount(row[:-1][np.diff(row) == 0], bits[runs], n)
-                gc = np.isin(windows, [ord("G"), ord("C")]).sum(1) / width
-                yield pd.DataFrame({"seq_id": [seq_id] * n, "start": np.arange(n, dtype=np.int32) * width, "gc": gc, "entropy": np.log2(width) - total / width})
+                whole = len(letters) - len(letters) % width
+                pieces = [(a, min(a + width * WINDOWS, whole), width) for a in range(0, whole, width * WINDOWS)]
+                for a, b, w in pieces + ([(whole, len(letters), len(letters) - whole)] if whole < len(letters) else []):
+                    gc, entropy, kmers = measured(letters[a:b], w)
+                    yield pd.DataFrame({"seq_id": [seq_id] * len(gc), "start": a + np.arange(len(gc), dtype=np.int64) * width, "gc": gc, "entropy": entropy, "kmers": list(kmers)})
 
-    rows = sequences.where(F.length("seq") >= width).select("seq_id", S.ascii_upper(F.col("seq")).alias("s"))
-    return rows.mapInPandas(cut, f"seq_id {kind}, start int, gc double, entropy double")
+    rows = sequences.where("seq <> ''").select("seq_id", S.ascii_upper(F.col("seq")).alias("s"))
+    return rows.mapInPandas(cut, f"seq_id {kind}, start long, gc double, entropy double, kmers array<double>")
 
 
 def positional_design(profile: DataFrame, features: DataFrame, n_bins: int, weights: Mapping[str, float] | None = None) -> DataFrame:
@@ -86,17 +114,33 @@ def positional_design(profile: DataFrame, features: DataFrame, n_bins: int, weig
     return own.select("transcript_id", "bin", *(v.alias(n) for n, v in zip(DESIGN, values)), "value")
 
 
-def positional_design_enhanced(profile: DataFrame, lengths: DataFrame, density: DataFrame, n_bins: int, grid: int = 1000) -> DataFrame:
+def positional_design_enhanced(profile: DataFrame, lengths: DataFrame, density: DataFrame, n_bins: int, grid: int = 1000, local: DataFrame | None = None, width: int = 100) -> DataFrame:
     """Bins with coverage of transcripts of 50 bases or more: position, log length, distances to both
-    ends, sine and cosine of the position, the density of the length bin there, and the bin's share."""
+    ends, sine and cosine of the position, the density of the length bin there, and the bin's share.
+
+    With ``local``, the ``local_profiles`` of windows of ``width`` whose seq_id is the transcript, also
+    GC content and entropy of the window at the bin (the last one beyond the sequence's end), both
+    times the position too, and its 3-mers; all 0 without a sequence. ``density`` has ``grid`` rows a
+    length bin, so it is joined as a broadcast table.
+    """
     own = profile.join(lengths.select("transcript_id", "length", "length_bin"), "transcript_id").where("length >= 50")
     pos = F.col("bin") / float(max(1, n_bins - 1))
     own = own.withColumn("target", F.try_divide("value", F.sum("value").over(W.partitionBy("transcript_id")))).where("value > 0")
     own = own.withColumns({"rel_pos": pos, "i": F.least(F.floor(pos * (grid - 1) + 0.5), F.lit(grid - 1)).cast("int")})
     score = density.select("length_bin", "i", F.col("y").alias("score"))
     met = own.join(F.broadcast(score), ["length_bin", "i"], "left")
+    extra = []
+    if local is not None:
+        windows = local.select(F.col("seq_id").alias("transcript_id"), F.floor(F.col("start") / width).alias("window"), F.col("gc").alias("local_gc"), F.col("entropy").alias("local_entropy"), "kmers")
+        last = windows.groupBy("transcript_id").agg(F.max("window").alias("last"))
+        at = F.least(F.floor(F.col("rel_pos") * (F.col("length") - 1) / width), F.col("last"))
+        met = met.join(last, "transcript_id", "left").withColumn("window", at).join(windows, ["transcript_id", "window"], "left")
+        value = lambda c: F.coalesce(c, F.lit(0.0))
+        for name in ("local_gc", "local_entropy"):
+            extra += [value(F.col(name)).alias(name), (F.col("rel_pos") * value(F.col(name))).alias(f"pos_{name}")]
+        extra += [value(F.col("kmers")[i]).alias(f"kmer_{k}") for i, k in enumerate(KMERS)]
     angle = 2 * math.pi * F.col("rel_pos")
-    return met.select("transcript_id", "bin", "rel_pos", F.log(F.col("length").cast("double")).alias("log_length"), (F.col("rel_pos") * F.col("length")).alias("from_five"), ((1 - F.col("rel_pos")) * F.col("length")).alias("from_three"), F.sin(angle).alias("sin_pos"), F.cos(angle).alias("cos_pos"), F.coalesce("score", F.lit(0.0)).alias("density"), "target")
+    return met.select("transcript_id", "bin", "rel_pos", F.log(F.col("length").cast("double")).alias("log_length"), (F.col("rel_pos") * F.col("length")).alias("from_five"), ((1 - F.col("rel_pos")) * F.col("length")).alias("from_three"), F.sin(angle).alias("sin_pos"), F.cos(angle).alias("cos_pos"), F.coalesce("score", F.lit(0.0)).alias("density"), *extra, "target")
 
 
 def split(design: DataFrame, test: float = 0.2, seed: int = 42, by_transcript: bool = False) -> DataFrame:

@@ -41,16 +41,17 @@ def primary_alignment(alignments: DataFrame, ties: Sequence[str], fill_nulls: bo
     return alignments.withColumn("n", F.row_number().over(order)).where("n = 1").drop("n")
 
 
-def transcript_summary(primary: DataFrame) -> DataFrame:
-    return primary.groupBy("transcript_id").agg(F.median("read_coverage").alias("median_coverage"), F.max("transcript_length").alias("max_length"), F.count(F.lit(1)).alias("reads"))
+def transcript_summary(primary: DataFrame, by: Sequence[str] = ()) -> DataFrame:
+    return primary.groupBy(*by, "transcript_id").agg(F.median("read_coverage").alias("median_coverage"), F.max("transcript_length").alias("max_length"), F.count(F.lit(1)).alias("reads"))
 
 
-def alignment_summary(primary: DataFrame) -> DataFrame:
-    """(metric, value) rows over primary alignments."""
+def alignment_summary(primary: DataFrame, by: Sequence[str] = ()) -> DataFrame:
+    """(metric, value) rows over primary alignments, or (*by, metric, value) for each group of them."""
     full = F.count_if(F.col("read_coverage") > 0.95)
-    of_reads = primary.agg(F.count(F.lit(1)).cast("double").alias("reads"), full.cast("double").alias("full_length"), F.try_divide(100.0 * full, F.count(F.lit(1)).cast("double")).alias("percent_full_length"), F.median("read_coverage").alias("median_coverage"), F.median("aligned_length").alias("median_aligned_length"), F.median(F.col("read_accuracy") * 100).alias("median_accuracy"))
-    of_transcripts = transcript_summary(primary).agg(F.count(F.lit(1)).cast("double").alias("transcripts"), F.median("median_coverage").alias("median_of_medians"), F.median("max_length").cast("double").alias("median_transcript_length"))
-    return of_reads.crossJoin(of_transcripts).unpivot([], [*of_reads.columns, *of_transcripts.columns], "metric", "value")
+    of_reads = primary.groupBy(*by).agg(F.count(F.lit(1)).cast("double").alias("reads"), full.cast("double").alias("full_length"), F.try_divide(100.0 * full, F.count(F.lit(1)).cast("double")).alias("percent_full_length"), F.median("read_coverage").alias("median_coverage"), F.median("aligned_length").alias("median_aligned_length"), F.median(F.col("read_accuracy") * 100).alias("median_accuracy"))
+    of_transcripts = transcript_summary(primary, by).groupBy(*by).agg(F.count(F.lit(1)).cast("double").alias("transcripts"), F.median("median_coverage").alias("median_of_medians"), F.median("max_length").cast("double").alias("median_transcript_length"))
+    both = of_reads.join(of_transcripts, list(by)) if by else of_reads.crossJoin(of_transcripts)  # one row each
+    return both.unpivot(list(by), [c for c in both.columns if c not in by], "metric", "value")
 
 
 def flag_profile(alignments: DataFrame) -> DataFrame:
@@ -70,10 +71,10 @@ def histogram(df: DataFrame, value: Column, low, high, n: int, by: Sequence[str]
 
 
 def own_range_histogram(df: DataFrame, value: Column, n: int, by: Sequence[str] = ()) -> DataFrame:
-    """Histogram over the values' own range; equal values all fall into the first bin."""
+    """Histogram over the values' own range; if all are equal, they fall into the middle bin."""
     rows = df.withColumn("_v", value.cast("double")).where("_v is not null")
     ends = rows.agg(F.min("_v").alias("_low"), F.max("_v").alias("_high"))
-    place = F.when(F.col("_high") > F.col("_low"), F.least(F.floor(F.try_divide((F.col("_v") - F.col("_low")) * n, F.col("_high") - F.col("_low"))).cast("int"), F.lit(n - 1))).otherwise(0)
+    place = F.when(F.col("_high") > F.col("_low"), F.least(F.floor(F.try_divide((F.col("_v") - F.col("_low")) * n, F.col("_high") - F.col("_low"))).cast("int"), F.lit(n - 1))).otherwise(n // 2)
     return rows.crossJoin(F.broadcast(ends)).groupBy(*by, place.alias("bin")).agg(F.count(F.lit(1)).alias("n"))
 
 
@@ -114,6 +115,19 @@ def read_length_histogram(tracking: DataFrame, bins: int = 29) -> DataFrame:
     return counts.withColumn("share", F.col("n") / F.sum("n").over(W.partitionBy("kind")))
 
 
+def comparative_length_histogram(rows: DataFrame, bins: int = 49, high: float = 5000.0) -> DataFrame:
+    """(dataset, bin, n, density) of read_length on [0, high]: shares of the dataset's reads in the
+    range, for each base."""
+    counts = histogram(rows, F.col("read_length").cast("double"), 0.0, high, bins, ["dataset"])
+    return counts.withColumn("density", F.col("n") / (F.sum("n").over(W.partitionBy("dataset")) * R.number(high / bins)))
+
+
+def read_length_means(tracking: DataFrame) -> DataFrame:
+    """One row: reads, and their mean original and sampled length."""
+    n = F.count(F.lit(1)).cast("double")
+    return tracking.agg(F.count(F.lit(1)).alias("reads"), *(F.try_divide(F.sum(f"{k}_length").cast("double"), n).alias(f"mean_{k}") for k in ("original", "sampled")))
+
+
 def pearson(x: Column, y: Column) -> Column:
     """Correlation as an aggregate of sums; null where either side is constant."""
     x, y = x.cast("double"), y.cast("double")

@@ -2,7 +2,7 @@
 
 Draws are functions of (seed, row id) through a 64-bit hash, so they don't depend on partitioning.
 A cell is drawn as the cell of a uniformly drawn read: the same law as cumulative weights, but an
-equi-join on row numbers instead of a range join.
+equi-join on row numbers instead of a range join. Rows that share an id may swap numbers.
 """
 
 from __future__ import annotations
@@ -18,6 +18,8 @@ from readlake.functions import reads as R
 from . import cells
 
 CELLS_OF_PROFILE = 1000
+#: Ranges of the hash in which rows are numbered, as a power of two.
+BLOCK_BITS = 14
 #: Parameters of the log-normal law of lengths where none were sampled, and its bounds.
 LOG_MEAN, LOG_STD, SHORTEST, LONGEST = 8.5, 0.5, 200, 15000
 
@@ -29,25 +31,24 @@ def n_to_insert(total: int, rate: float) -> int:
     return int(total * rate / (1 - rate))
 
 
-def numbered(df: DataFrame, order: Sequence[str], name: str = "row") -> DataFrame:
-    """Rows numbered from 0 in the hash order of ``order``: within hashed blocks by a window, each
-    block after those before it by their counts; no task sees all rows."""
-    n = df.count()
-    block = F.pmod(F.xxhash64(*order), F.lit(max(1, n // 50_000 + 1)))
-    own = df.withColumn("_block", block)
+def numbered(df: DataFrame, order: Sequence[str], name: str = "row", seed: int = 1) -> DataFrame:
+    """Rows numbered from 0 in the order of a hash of ``order``: within ``BLOCKS`` ranges of the hash
+    by a window, each range after those before it by their counts; no task sees all rows and nothing
+    is counted beforehand."""
+    h = R.hash_bits(seed, *order)
+    own = df.withColumn("_h", h).withColumn("_block", F.shiftright("_h", R.DRAW_BITS - BLOCK_BITS))
     starts = own.groupBy("_block").agg(F.count(F.lit(1)).alias("_n"))
-    starts = starts.select("_block", (F.sum("_n").over(W.orderBy("_block")) - F.col("_n")).alias("_start"))
-    inside = F.row_number().over(W.partitionBy("_block").orderBy(F.xxhash64(F.lit(1), *order), *order)) - 1
-    return own.withColumn("_in", inside).join(starts, "_block").withColumn(name, F.col("_start") + F.col("_in")).drop("_block", "_in", "_start")
+    starts = starts.select("_block", (F.sum("_n").over(W.orderBy("_block")) - F.col("_n")).alias("_start"))  # at most 2**BLOCK_BITS rows
+    inside = F.row_number().over(W.partitionBy("_block").orderBy("_h", *order)) - 1
+    return own.withColumn("_in", inside).join(starts, "_block").withColumn(name, F.col("_start") + F.col("_in")).drop("_block", "_in", "_start", "_h")
 
 
 def draw_rows(draws: DataFrame, pool: DataFrame, order: Sequence[str], seed: int, take: Sequence[str]) -> DataFrame:
-    """Each draw (column ``draw``) with the ``take`` columns of a uniformly drawn row of ``pool``."""
+    """Each draw (column ``draw``) with the ``take`` columns of a uniformly drawn row of ``pool``; none if that is empty."""
     rows = numbered(pool.select(*dict.fromkeys([*order, *take])), order, "_row").select("_row", *take)
-    n = pool.count()
-    if n == 0:
-        return draws.limit(0).select("*", *(F.lit(None).cast(dict(pool.dtypes)[c]).alias(c) for c in take))
-    return draws.withColumn("_row", F.pmod(R.hash_bits(seed, "draw"), F.lit(n))).join(rows, "_row").drop("_row")
+    size = pool.agg(F.count(F.lit(1)).alias("_size"))  # one row
+    drawn = draws.crossJoin(F.broadcast(size)).where("_size > 0").withColumn("_row", F.pmod(R.hash_bits(seed, "draw"), F.col("_size")))
+    return drawn.drop("_size").join(rows, "_row").drop("_row")
 
 
 def assign_cells(draws: DataFrame, reads: DataFrame, order: Sequence[str], seed: int) -> DataFrame:
@@ -57,23 +58,20 @@ def assign_cells(draws: DataFrame, reads: DataFrame, order: Sequence[str], seed:
 
 def sample_reads(pool: DataFrame, n: int, order: Sequence[str], seed: int) -> DataFrame:
     """n rows of ``pool`` with a column ``draw`` from 0; with replacement only if the pool is smaller."""
-    spark = pool.sparkSession
-    columns = pool.columns
     if pool.count() < n:
-        draws = spark.range(n).withColumnRenamed("id", "draw")
-        return draw_rows(draws, pool, order, seed, columns)
-    chosen = pool.orderBy(R.hash_bits(seed, *order), *order).limit(n)
-    return numbered(chosen, order, "draw").select("draw", *columns)
+        return draw_rows(pool.sparkSession.range(n).withColumnRenamed("id", "draw"), pool, order, seed, pool.columns)
+    return numbered(pool, order, "draw", seed).where(F.col("draw") < n).select("draw", *pool.columns)
 
 
 def length_distribution(reads: DataFrame, k: int, seed: int, low: int = SHORTEST, high: int = LONGEST) -> DataFrame:
-    """Lengths in [low, high] of a sample of ``k`` reads."""
-    return sample_reads(reads, min(k, reads.count()), ["read_id"], seed).select("read_id", F.length("seq").alias("length")).where(F.col("length").between(low, high))
+    """Lengths in [low, high] of a sample of ``k`` reads, or of all if there are fewer."""
+    chosen = numbered(reads.select("read_id", F.length("seq").alias("length")), ["read_id"], "draw", seed).where(F.col("draw") < k)
+    return chosen.select("read_id", "length").where(F.col("length").between(low, high))
 
 
 def draw_length(draws: DataFrame, lengths: DataFrame, seed: int, low: int = SHORTEST, high: int = LONGEST) -> DataFrame:
     """A target length for each draw: of a drawn row of ``lengths``, else log-normal in the bounds."""
-    if lengths.limit(1).count():
+    if not lengths.isEmpty():
         return draw_rows(draws, lengths, ["read_id"], seed, ["length"]).withColumnRenamed("length", "target")
     u, v = 1 - R.hash_uniform(seed, "draw"), R.hash_uniform(seed + 1, "draw")
     normal = F.sqrt(-2 * F.log(u)) * F.cos(2 * F.pi() * v)
@@ -124,7 +122,7 @@ def mix(reads: DataFrame, pool: DataFrame, profile: DataFrame, *, rate: float, s
     nothing and leaves tracking and expected empty.
     """
     n = n_to_insert(reads.where("barcode is not null").count(), rate)
-    n = n if pool.limit(1).count() else 0
+    n = 0 if pool.isEmpty() else n
     taken = sample_reads(pool.select("read_id", "transcript_id", "seq", "qual"), n, ["read_id"], seed).withColumnRenamed("read_id", "original_read_id")
     taken = assign_cells(taken, reads, ["read_id"], seed + 1).withColumn("umi", R.random_bases(umi_length, seed + 2, F.col("draw")))
     taken = taken.withColumn("original_length", F.length("seq"))

@@ -49,7 +49,8 @@ def headers(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def sequences(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "documents").where(F.length("text") > 8).select(F.col("doc_id").alias("seq_id"), ascii_upper(F.col("text")).alias("seq"))
+    """Every document as a sequence; a null text is empty."""
+    return table(spark, sf_dir, "documents").select(F.col("doc_id").alias("seq_id"), ascii_upper(F.coalesce("text", F.lit(""))).alias("seq"))
 
 
 def counts(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
@@ -65,9 +66,8 @@ def tracking(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Mean embedding of each label as a profile."""
-    v = table(spark, sf_dir, "embeddings").where("label is not null")
-    rows = v.select(F.col("label").alias("dataset"), F.posexplode("embedding").alias("bin", "x"))
+    """Summed embedding of each label as a profile; no label is a dataset of its own."""
+    rows = table(spark, sf_dir, "embeddings").select(F.coalesce(F.col("label").cast("string"), F.lit("none")).alias("dataset"), F.posexplode("embedding").alias("bin", "x"))
     return rows.groupBy("dataset", "bin").agg((F.sum(F.floor(F.col("x").cast("double") * 1000000).cast("long")).cast("double") / 1000000.0).alias("value"))
 
 
@@ -96,7 +96,20 @@ SQL = {
     "cmp": """SELECT coalesce(ex.barcode, ob.barcode) AS barcode, coalesce(ex.transcript_id, ob.transcript_id) AS transcript_id, coalesce(ex.n, 0) AS ec, coalesce(ob.n, 0) AS oc
         FROM ex FULL OUTER JOIN ob ON ex.barcode = ob.barcode AND ex.transcript_id = ob.transcript_id""",
     "trk": """SELECT read_id, transcript_id, supplier AS barcode, read_length AS ol, al AS sl FROM aln""",
-    "seqs": """SELECT doc_id AS seq_id, translate(text, 'abcdefghijklmnopqrstuvwxyz', 'ABCDEFGHIJKLMNOPQRSTUVWXYZ') AS s FROM documents WHERE length(text) > 8""",
+    "seqs": """SELECT doc_id AS seq_id, translate(coalesce(text, ''), 'abcdefghijklmnopqrstuvwxyz', 'ABCDEFGHIJKLMNOPQRSTUVWXYZ') AS s FROM documents""",
+    "kmer": """SELECT *, len(list_distinct(list_transform(range(1, n - k + 2), lambda i: substr(s, i, k)))) AS kmers FROM (SELECT seq_id, s, length(s) AS n, CAST(CASE WHEN length(s) > 4 THEN least(4, length(s) // 2) ELSE 1 END AS INTEGER) AS k FROM seqs)""",
+    "chars": """SELECT seq_id, length(s) AS n, unnest(string_split(s, '')) AS c, unnest(range(length(s))) AS p FROM seqs WHERE length(s) > 0""",
+    "arms": """SELECT seq_id, max(h) FILTER (p < n - 30) AS h, count(*) FILTER (p < n - 15 AND g > 10) AS g FROM (
+        SELECT seq_id, n, p, sum(hit) OVER (o ROWS BETWEEN CURRENT ROW AND 9 FOLLOWING) AS h, sum(CAST(c = 'G' AS INTEGER)) OVER (o ROWS BETWEEN CURRENT ROW AND 14 FOLLOWING) AS g FROM (
+            SELECT *, CAST(c IN ('A', 'C', 'G', 'T') AND c = translate(lead(c, 20) OVER (PARTITION BY seq_id ORDER BY p), 'ACGT', 'TGCA') AS INTEGER) AS hit FROM chars)
+        WINDOW o AS (PARTITION BY seq_id ORDER BY p)) GROUP BY 1""",
+    "feat": """SELECT seq_id, CAST(n AS INTEGER) AS length, {gc(s)} AS gc_content, {gc(left(s, 50))} AS five_prime_gc, {gc(right(s, 50))} AS three_prime_gc,
+        CASE WHEN n > 0 THEN kmers::DOUBLE / least(4 ** k, n - k + 1) ELSE 0 END AS complexity, CASE WHEN n > 30 THEN h / 10.0::DOUBLE ELSE 0 END AS hairpin_potential,
+        CASE WHEN n >= 15 THEN g::DOUBLE / (n - 14) ELSE 0 END AS g_quadruplex_potential, {run} AS homopolymer_ratio, {skew} AS gc_skew FROM kmer LEFT JOIN arms USING (seq_id)""",
+    "local_": """SELECT seq_id, w, any_value(n) AS n, sum(m) FILTER (c IN ('G', 'C')) AS gc, sum(m) AS size, abs(log2(sum(m)) - sum(m * log2(m)) / sum(m)) AS entropy FROM (SELECT seq_id, p // 100 AS w, c, any_value(n) AS n, count(*) AS m FROM chars GROUP BY ALL) GROUP BY 1, 2""",
+    "three": """SELECT seq_id, w, kmer, count(*)::DOUBLE / greatest(1, least(100, any_value(n) - w * 100) - 2) AS share FROM (
+        SELECT seq_id, n, p, p // 100 AS w, c || lead(c) OVER o || lead(c, 2) OVER o AS kmer FROM chars WINDOW o AS (PARTITION BY seq_id ORDER BY p))
+        WHERE (p + 2) // 100 = w AND regexp_full_match(kmer, '[ACGT]{3}') GROUP BY 1, 2, 3""",
     "events_": """SELECT transcript_id, pos, sum(step) AS step FROM (
         SELECT a.transcript_id, greatest(a.s, 0) AS pos, 1 AS step FROM aln a JOIN tx USING (transcript_id) WHERE least(a.e, len) > greatest(a.s, 0)
         UNION ALL SELECT a.transcript_id, least(a.e, len), -1 FROM aln a JOIN tx USING (transcript_id) WHERE least(a.e, len) > greatest(a.s, 0)
@@ -105,8 +118,21 @@ SQL = {
     "bins": """SELECT t.transcript_id, b.bin, t.len, coalesce(sum(greatest(0, least(r.seg_end, ((b.bin + 1) * t.len) // 20) - greatest(r.seg_start, (b.bin * t.len) // 20)) * r.depth)::DOUBLE / nullif(((b.bin + 1) * t.len) // 20 - (b.bin * t.len) // 20, 0), 0) AS v
         FROM tx t CROSS JOIN (SELECT range AS bin FROM range(20)) b JOIN runs r ON r.transcript_id = t.transcript_id GROUP BY t.transcript_id, b.bin, t.len""",
 }
+
+#: Parts of the SQL of sequences.
+GC = "coalesce((length(x) - length(translate(x, 'GC', '')))::DOUBLE / nullif(length(x), 0), 0)"
+RUN = "coalesce(coalesce(list_max(list_transform(regexp_extract_all(s, 'A+|C+|G+|T+'), lambda r: length(r))), 0)::DOUBLE / nullif(length(s), 0), 0)"
+SKEW = "coalesce((length(replace(s, 'C', '')) - length(replace(s, 'G', '')))::DOUBLE / nullif(length(s) - length(translate(s, 'GC', '')), 0), 0)"
+
+
+def gc_sql(x: str) -> str:
+    return GC.replace("(x", f"({x}")
+
+
+SQL["feat"] = SQL["feat"].replace("{gc(s)}", gc_sql("s")).replace("{gc(left(s, 50))}", gc_sql("left(s, 50)")).replace("{gc(right(s, 50))}", gc_sql("right(s, 50)")).replace("{run}", RUN).replace("{skew}", SKEW)
+
 #: What each of them is made from.
-_FROM = {"met": ["aln"], "prim": ["aln", "met"], "cmp": ["ex", "ob"], "trk": ["aln"], "events_": ["aln", "tx"], "runs": ["aln", "tx", "events_"], "bins": ["aln", "tx", "events_", "runs"]}
+_FROM = {"kmer": ["seqs"], "chars": ["seqs"], "arms": ["seqs", "chars"], "feat": ["seqs", "kmer", "chars", "arms"], "local_": ["seqs", "chars"], "three": ["seqs", "chars"], "met": ["aln"], "prim": ["aln", "met"], "cmp": ["ex", "ob"], "trk": ["aln"], "events_": ["aln", "tx"], "runs": ["aln", "tx", "events_"], "bins": ["aln", "tx", "events_", "runs"]}
 
 
 def with_sql(*names: str) -> str:

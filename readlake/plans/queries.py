@@ -11,6 +11,8 @@ from pyspark.sql import functions as F
 from readlake.functions import reads as R
 from readlake.functions import sequences as S
 from readlake.operators import cells, compare, density, evaluate, intervals, models, quality, sampling
+from readlake.scratch import new_path
+from readlake.sources import text
 
 from . import bindings as B
 from . import workflows
@@ -123,9 +125,11 @@ def coverage_histogram(spark, d):
     return quality.histogram(_primary(spark, d), F.col("read_coverage"), 0.1, 0.6, 180)
 
 
-@query(with_sql("prim") + "SELECT least(CAST(floor((coverage - 0.5::DOUBLE) * 180::DOUBLE / (1.0::DOUBLE - 0.5::DOUBLE)) AS INTEGER), 179) AS bin, count(*) AS n, count(*) FILTER (coverage > 0.95::DOUBLE) AS n_full FROM prim WHERE coverage BETWEEN 0.5::DOUBLE AND 1.0::DOUBLE GROUP BY 1")
+@query(with_sql("prim") + "SELECT least(CAST(floor((fraction - 0.5::DOUBLE) * 180::DOUBLE / (1.0::DOUBLE - 0.5::DOUBLE)) AS INTEGER), 179) AS bin, count(*) AS n, count(*) FILTER (fraction > 0.95::DOUBLE) AS n_full FROM prim WHERE fraction BETWEEN 0.5::DOUBLE AND 1.0::DOUBLE GROUP BY 1")
 def coverage_fraction_histogram(spark, d):
-    return quality.coverage_fraction_histogram(_primary(spark, d))
+    """Of reads whose transcript is as long as they are, so that their coverage reaches 1."""
+    own = B.alignments(spark, d).withColumn("transcript_length", F.col("read_length"))
+    return quality.coverage_fraction_histogram(quality.primary_alignment(quality.alignment_metrics(own), B.TIES))
 
 
 @query(with_sql("prim") + "SELECT CAST(floor(tl::DOUBLE / 50.0::DOUBLE) AS BIGINT) AS cell_x, CAST(floor(coverage / 0.02::DOUBLE) AS BIGINT) AS cell_y, count(*) AS n FROM prim GROUP BY 1, 2")
@@ -159,7 +163,7 @@ def min_reads(spark, d):
     return cells.min_reads(B.alignments(spark, d), 30).select("read_id", *B.TIES, "transcript_id")
 
 
-@query(with_sql("aln", "tx") + "SELECT read_id, line, supplier, price, s::DOUBLE / len AS position FROM (SELECT aln.*, tx.len FROM aln JOIN tx USING (transcript_id)) WHERE (flag & 2304) = 0")
+@query(with_sql("aln", "tx") + "SELECT read_id, line, supplier, price, aln.s::DOUBLE / len AS position FROM (SELECT aln.*, tx.len FROM aln JOIN tx USING (transcript_id)) WHERE (flag & 2304) = 0")
 def relative_position(spark, d):
     own = intervals.annotated(B.alignments(spark, d), B.transcripts(spark, d)).where(R.is_primary(F.col("flag")))
     return own.select("read_id", *B.TIES, R.relative_position(F.col("start"), F.col("transcript_length")).alias("position"))
@@ -368,7 +372,7 @@ def match_by_length(spark, d):
     return compare.match_by_length(_metrics(spark, d), "A", 0.1, 8)
 
 
-@query("""WITH p AS (SELECT label AS dataset, k AS bin, sum(CAST(floor(x::DOUBLE * 1000000) AS BIGINT))::DOUBLE / 1000000.0::DOUBLE AS v FROM (SELECT label, unnest(embedding) AS x, generate_subscripts(embedding, 1) - 1 AS k FROM embeddings WHERE label IS NOT NULL) GROUP BY 1, 2)
+@query("""WITH p AS (SELECT label AS dataset, k AS bin, sum(CAST(floor(x::DOUBLE * 1000000) AS BIGINT))::DOUBLE / 1000000.0::DOUBLE AS v FROM (SELECT coalesce(CAST(label AS VARCHAR), 'none') AS label, unnest(embedding) AS x, generate_subscripts(embedding, 1) - 1 AS k FROM embeddings) GROUP BY 1, 2)
     SELECT l.dataset AS a, r.dataset AS b, round(sum(l.v * r.v) / (sqrt(sum(l.v * l.v)) * sqrt(sum(r.v * r.v))), 9) AS cosine FROM p l JOIN p r ON l.bin = r.bin GROUP BY 1, 2""")
 def profile_similarity(spark, d):
     return rounded(compare.profile_similarity(B.vectors(spark, d)), "cosine")
@@ -408,7 +412,7 @@ def truncation_summary(spark, d):
 
 
 @query(with_sql("trk") + """, c AS (SELECT transcript_id, (ol - sl)::DOUBLE AS x FROM trk WHERE ol > sl), r AS (SELECT min(x) AS lo, max(x) AS hi FROM c)
-    SELECT transcript_id, CASE WHEN hi > lo THEN least(CAST(floor((x - lo) * 30 / (hi - lo)) AS INTEGER), 29) ELSE 0 END AS bin, count(*) AS n FROM c, r GROUP BY 1, 2""")
+    SELECT transcript_id, CASE WHEN hi > lo THEN least(CAST(floor((x - lo) * 30 / (hi - lo)) AS INTEGER), 29) ELSE 15 END AS bin, count(*) AS n FROM c, r GROUP BY 1, 2""")
 def truncation_histogram(spark, d):
     return quality.truncation_histogram(B.tracking(spark, d), "truncation")
 
@@ -420,59 +424,96 @@ def per_transcript_lengths(spark, d):
 
 # --- sequences ---------------------------------------------------------------
 
-_GC = "(length(x) - length(translate(x, 'GC', '')))::DOUBLE / length(x)"
 
-
-@query(with_sql("seqs") + f"SELECT seq_id, length(s) AS length, {_GC.replace('x', 's').replace('leng' + 'th', 'length')} AS gc_content, {_GC.replace('(x', '(left(s, 50)')} AS five_prime_gc, {_GC.replace('(x', '(right(s, 50)')} AS three_prime_gc, coalesce((length(replace(s, 'C', '')) - length(replace(s, 'G', '')))::DOUBLE / nullif(length(s) - length(translate(s, 'GC', '')), 0), 0) AS gc_skew FROM seqs")
+@query(with_sql("seqs") + f"SELECT seq_id, length(s) AS length, {B.gc_sql('s')} AS gc_content, {B.gc_sql('left(s, 50)')} AS five_prime_gc, {B.gc_sql('right(s, 50)')} AS three_prime_gc, {B.SKEW} AS gc_skew FROM seqs")
 def gc_features(spark, d):
     s = F.col("seq")
     return B.sequences(spark, d).select("seq_id", F.length(s).alias("length"), S.gc_content(s).alias("gc_content"), S.five_prime_gc(s).alias("five_prime_gc"), S.three_prime_gc(s).alias("three_prime_gc"), S.gc_skew(s).alias("gc_skew"))
 
 
-@query(with_sql("seqs") + "SELECT seq_id, coalesce(list_max(list_transform(regexp_extract_all(s, 'A+|C+|G+|T+'), lambda r: length(r))), 0)::DOUBLE / length(s) AS homopolymer_ratio FROM seqs")
+@query(with_sql("seqs") + f"SELECT seq_id, {B.RUN} AS homopolymer_ratio FROM seqs")
 def homopolymer_ratio(spark, d):
     return B.sequences(spark, d).select("seq_id", S.homopolymer_ratio(F.col("seq")).alias("homopolymer_ratio"))
 
 
-@query(with_sql("seqs") + "SELECT seq_id, len(list_distinct(list_transform(range(1, length(s) - 2), lambda i: substr(s, i, 4)))) AS kmers, len(list_distinct(list_transform(range(1, length(s) - 2), lambda i: substr(s, i, 4))))::DOUBLE / least(256, length(s) - 3) AS complexity FROM seqs")
+@query(with_sql("kmer") + "SELECT seq_id, kmers, CASE WHEN n > 0 THEN kmers::DOUBLE / least(4 ** k, n - k + 1) ELSE 0 END AS complexity FROM kmer")
 def kmer_complexity(spark, d):
     s = F.col("seq")
     return B.sequences(spark, d).select("seq_id", S.distinct_kmers(s).alias("kmers"), S.kmer_complexity(s).alias("complexity"))
 
 
-@query()
+@query(with_sql("feat") + "SELECT * FROM feat")
 def sequence_features(spark, d):
     return models.sequence_features(B.sequences(spark, d))
 
 
-@query()
+def _local(spark, d):
+    return models.local_profiles(B.sequences(spark, d), 100)
+
+
+@query(with_sql("local_") + "SELECT seq_id, w * 100 AS start_, round(coalesce(gc, 0) / size, 9)::DOUBLE AS gc, round(entropy, 9) AS entropy FROM local_")
 def local_profiles(spark, d):
-    return rounded(models.local_profiles(B.sequences(spark, d), 100), "gc", "entropy")
+    own = _local(spark, d).select("seq_id", F.col("start").alias("start_"), "gc", F.abs("entropy").alias("entropy"))
+    return rounded(own, "gc", "entropy")
+
+
+@query(with_sql("three") + "SELECT seq_id, w * 100 AS start_, kmer, share FROM three")
+def local_kmers(spark, d):
+    rows = _local(spark, d).select("seq_id", F.col("start").alias("start_"), F.posexplode("kmers").alias("k", "share")).where("share > 0")
+    return rows.select("seq_id", "start_", F.element_at(F.array(*map(F.lit, models.KMERS)), F.col("k") + 1).alias("kmer"), "share")
 
 
 # --- density and models ------------------------------------------------------
 
 
-@query()
+
+STEP = "(1.0::DOUBLE / 999)"
+
+
+def _density_sql(points: str, width: str) -> str:
+    """CTE ``dens`` (length_bin, i, y): kernel density of the CTE ``points`` (length_bin, position)."""
+    return f"""st AS (SELECT length_bin, count(position) AS n, {width} AS h FROM {points} GROUP BY 1),
+    wt AS (SELECT length_bin, round(position, 6) AS p, count(*)::DOUBLE AS w FROM {points} WHERE position IS NOT NULL GROUP BY ALL),
+    dens AS (SELECT length_bin, i, y / sum(y) OVER (PARTITION BY length_bin) AS y FROM (
+      SELECT length_bin, CAST(g.range AS INTEGER) AS i, CASE WHEN any_value(n) >= 2 AND any_value(h) > 0 THEN sum(w * exp(-0.5::DOUBLE * power((g.range * {STEP} - p) / nullif(h, 0), 2))) ELSE 1 END AS y
+      FROM st JOIN wt USING (length_bin) CROSS JOIN range(1000) g GROUP BY 1, 2))"""
+
+
+_STRATA = "CASE WHEN len < 250 THEN 0 WHEN len < 400 THEN 1 ELSE 2 END"
+_POINTS = with_sql("aln", "tx") + f", pts AS (SELECT {_STRATA} AS length_bin, aln.s::DOUBLE / len AS position FROM aln JOIN tx USING (transcript_id)), "
+_RELATIVE = "stddev_samp(position) * 0.05::DOUBLE"
+
+
+@query(_POINTS + _density_sql("pts", _RELATIVE) + f"SELECT length_bin, i, i * {STEP} AS x, round(y, 9) AS y FROM dens")
 def position_density(spark, d):
+    return rounded(density.position_density(_points(spark, d), ["length_bin"]), "y")
+
+
+def _points(spark, d):
     own = intervals.annotated(B.alignments(spark, d), B.transcripts(spark, d))
-    points = own.select(R.length_bin(F.col("transcript_length"), [0, 250, 400, float("inf")]).alias("length_bin"), R.relative_position(F.col("start"), F.col("transcript_length")).alias("position"))
-    return rounded(density.position_density(points, ["length_bin"]), "y")
+    return own.select(R.length_bin(F.col("transcript_length"), [0, 250, 400, float("inf")]).alias("length_bin"), R.relative_position(F.col("start"), F.col("transcript_length")).alias("position"))
 
 
-@query()
+_MODEL = with_sql("aln", "tx") + """, q AS (SELECT quantile_cont(len::DOUBLE, [0.2, 0.4, 0.6, 0.8]) AS q FROM tx),
+    own AS (SELECT CASE WHEN len < q[1] THEN 0 WHEN len < q[2] THEN 1 WHEN len < q[3] THEN 2 WHEN len < q[4] THEN 3 ELSE 4 END AS length_bin, aln.s::DOUBLE / len AS position
+      FROM aln JOIN tx USING (transcript_id), q WHERE (flag & 4) = 0 AND (flag & 2304) = 0 QUALIFY count(*) OVER (PARTITION BY transcript_id) >= 3),
+    pts AS (SELECT * FROM own UNION ALL SELECT -1, position FROM own), """ + _density_sql("pts", _RELATIVE) + """,
+    filled AS (SELECT CAST(b.length_bin AS INTEGER) AS length_bin, o.i, coalesce(e.y, o.y) AS y FROM (SELECT unnest([-1, 0, 1, 2, 3, 4]) AS length_bin) b CROSS JOIN (SELECT * FROM dens WHERE length_bin = -1) o LEFT JOIN dens e ON e.length_bin = b.length_bin AND e.i = o.i)"""
+
+
+@query(_MODEL + f"SELECT length_bin, i, i * {STEP} AS x, round(y, 9) AS y FROM filled")
 def density_model(spark, d):
-    shape, _ = density.fit_density_model(B.alignments(spark, d).drop("transcript_length"), B.transcripts(spark, d), least=3)
+    shape, _ = density.choose_model(spark, alignments=B.alignments(spark, d).drop("transcript_length"), transcripts=B.transcripts(spark, d), least=3)
     return rounded(shape, "y")
 
 
-@query()
+@query(_MODEL + "SELECT length_bin, round(coalesce(sum(y) FILTER (i >= 500) / nullif(sum(y) FILTER (i < 500), 0), 1), 9) AS effect FROM filled WHERE length_bin >= 0 GROUP BY 1")
 def length_effect(spark, d):
     _, effect = density.fit_density_model(B.alignments(spark, d).drop("transcript_length"), B.transcripts(spark, d), least=3)
     return rounded(effect, "effect")
 
 
-@query()
+@query(with_sql("prim") + ", pts AS (SELECT 0 AS length_bin, accuracy AS position FROM prim WHERE accuracy IS NOT NULL), " + _density_sql("pts", _RELATIVE) + f"SELECT length_bin AS \"all\", i, i * {STEP} AS x, round(y, 9) AS y FROM dens")
 def accuracy_density(spark, d):
     return rounded(workflows.alignment_quality(B.alignments(spark, d), B.TIES)["accuracy"], "y")
 
@@ -482,18 +523,44 @@ def _features(spark, d):
     return models.sequence_features(B.sequences(spark, d)).withColumnRenamed("seq_id", "transcript_id")
 
 
-@query()
+_VALUE = lambda x, missing="0": f"coalesce({x}, {missing})"
+_DESIGN = {
+    "rel_pos": "pos", "log_length": "ln(1 + coalesce(length, 0)::DOUBLE)", "gc": "gc_content", "pos_gc": "pos * gc_content", "five_gc": "five_prime_gc", "rev_five_gc": "(1 - pos) * five_prime_gc", "three_gc": "three_prime_gc",
+    "pos_three_gc": "pos * three_prime_gc", "hairpin": "hairpin_potential", "mid_hairpin": "mid * hairpin_potential", "g_quadruplex": "g_quadruplex_potential", "homopolymer": "homopolymer_ratio",
+    "complexity": "complexity", "mid_complexity": "mid * complexity", "skew": "gc_skew", "pos_skew": "pos * gc_skew",
+}
+
+
+@query(with_sql("bins", "feat") + """, d AS (SELECT transcript_id, CAST(bin AS INTEGER) AS bin, bin / 20.0::DOUBLE AS pos, 1 - 2 * abs(bin / 20.0::DOUBLE - 0.5::DOUBLE) AS mid, length, 100 * v / (avg(v) OVER (PARTITION BY transcript_id) + 1e-10) AS value, coalesce(gc_content, 0.5) AS gc_content, """
+    + ", ".join(f"{_VALUE(k)} AS {k}" for k in models.SEQUENCE_FEATURES if k != "gc_content") + " FROM bins LEFT JOIN feat ON seq_id = transcript_id) SELECT transcript_id, bin, round(value, 6) AS value, " + ", ".join(f"round(({v})::DOUBLE, 9) + 0 AS {k}" for k, v in _DESIGN.items()) + " FROM d")
 def positional_design(spark, d):
     design = models.positional_design(_bins(spark, d, "mean100"), _features(spark, d), BINS)
-    return rounded(design, "value", *models.DESIGN)
+    return rounded(design, *models.DESIGN).withColumn("value", F.round("value", 6))
 
 
-@query()
-def positional_design_enhanced(spark, d):
+def _enhanced(spark, d, local=None):
     own = _lengths(spark, d).withColumn("length_bin", R.length_bin(F.col("length"), [0, 250, 400, float("inf")]))
-    points = intervals.annotated(B.alignments(spark, d), B.transcripts(spark, d)).select(R.length_bin(F.col("transcript_length"), [0, 250, 400, float("inf")]).alias("length_bin"), R.relative_position(F.col("start"), F.col("transcript_length")).alias("position"))
-    out = models.positional_design_enhanced(_bins(spark, d, "none"), own, density.position_density(points, ["length_bin"], absolute=True), BINS)
-    return rounded(out, "rel_pos", "log_length", "from_five", "from_three", "sin_pos", "cos_pos", "density", "target")
+    return models.positional_design_enhanced(_bins(spark, d, "none"), own, density.position_density(_points(spark, d), ["length_bin"], absolute=True), BINS, local=local)
+
+
+_ENHANCED = with_sql("bins") + f", pts AS (SELECT {_STRATA} AS length_bin, aln.s::DOUBLE / len AS position FROM aln JOIN tx USING (transcript_id)), " + _density_sql("pts", "0.05::DOUBLE") + f""",
+    own AS (SELECT transcript_id, CAST(bin AS INTEGER) AS bin, len, {_STRATA} AS length_bin, bin / 19.0::DOUBLE AS pos, v, v / nullif(sum(v) OVER (PARTITION BY transcript_id), 0) AS target FROM bins WHERE len >= 50)"""
+
+
+@query(_ENHANCED + """SELECT transcript_id, bin, round(pos, 9) AS rel_pos, round(ln(len::DOUBLE), 9) AS log_length, round(pos * len, 9) AS from_five, round((1 - pos) * len, 9) AS from_three, round(sin(2 * pi() * pos), 9) + 0 AS sin_pos, round(cos(2 * pi() * pos), 9) + 0 AS cos_pos,
+    round(coalesce(y, 0), 9) AS density, round(target, 9) AS target FROM own LEFT JOIN dens ON dens.length_bin = own.length_bin AND dens.i = least(floor(pos * 999 + 0.5::DOUBLE), 999) WHERE v > 0""")
+def positional_design_enhanced(spark, d):
+    return rounded(_enhanced(spark, d), "rel_pos", "log_length", "from_five", "from_three", "sin_pos", "cos_pos", "density", "target")
+
+
+_LOCAL = {"local_gc": "coalesce(gc / size, 0)", "pos_local_gc": "pos * coalesce(gc / size, 0)", "local_entropy": "coalesce(entropy, 0)", "pos_local_entropy": "pos * coalesce(entropy, 0)"}
+_SOME_KMERS = ("AAA", "ATC", "TTT")
+
+
+@query(_ENHANCED.replace("WITH ", with_sql("local_", "three") + ", ", 1) + """, last AS (SELECT seq_id AS transcript_id, max(w) AS last FROM local_ GROUP BY 1), pl AS (SELECT own.*, CAST(least(floor(pos * (len - 1) / 100), last) AS BIGINT) AS w FROM own LEFT JOIN last USING (transcript_id) WHERE v > 0)
+    SELECT transcript_id, bin, """ + ", ".join(f"round(({v})::DOUBLE, 9) AS {k}" for k, v in _LOCAL.items()) + ", " + ", ".join(f"coalesce((SELECT share FROM three t WHERE t.seq_id = transcript_id AND t.w = pl.w AND t.kmer = '{k}'), 0) AS kmer_{k}" for k in _SOME_KMERS) + " FROM pl LEFT JOIN (SELECT seq_id, w, coalesce(gc, 0) AS gc, size, entropy FROM local_) l ON l.seq_id = transcript_id AND l.w = pl.w")
+def positional_design_local(spark, d):
+    return rounded(_enhanced(spark, d, _local(spark, d)).select("transcript_id", "bin", *_LOCAL, *(f"kmer_{k}" for k in _SOME_KMERS)), *_LOCAL)
 
 
 _FOREST = {"trees": 10, "depth": 4}
@@ -531,10 +598,28 @@ def regression_metrics(spark, d):
 # --- sampling ----------------------------------------------------------------
 
 
+def _bits(seed, *columns: str) -> str:
+    """``R.hash_bits`` in SQL."""
+    return f"CAST('0x' || substr(md5({' || '.join([repr(str(seed)), *(f"':' || CAST({c} AS VARCHAR)" for c in columns)])}), 1, 15) AS BIGINT)"
+
+
+def _uniform(seed, *columns: str) -> str:
+    return f"(({_bits(seed, *columns)} >> 7)::DOUBLE * pow(2::DOUBLE, -53))"
+
+
+def _numbered(table: str, key: str, name: str, seed: int = 1) -> str:
+    """``sampling.numbered`` in SQL."""
+    return f"(SELECT *, row_number() OVER (ORDER BY {_bits(seed, key)}, {key}) - 1 AS {name} FROM {table})"
+
+
+def _letters(n: int, seed: int, *columns: str) -> str:
+    return " || ".join(f"substr('ACGT', CAST(({_bits(seed, *columns)} >> {2 * k}) & 3 AS INTEGER) + 1, 1)" for k in range(n))
+
+
 def _reads(spark, d):
     own = cells.parse_headers(B.headers(spark, d))
     seq = F.substring(F.md5(F.col("read_id").cast("string")), 1, 24)
-    return own.select("read_id", "header", F.concat(seq, seq, seq, seq, seq, seq, seq, seq, seq, seq).alias("seq"), F.repeat(F.lit("I"), F.lit(240)).alias("qual"), "barcode")
+    return own.select("read_id", "header", F.repeat(seq, 10).alias("seq"), F.repeat(F.lit("I"), F.lit(240)).alias("qual"), "barcode")
 
 
 def _pool(spark, d):
@@ -547,46 +632,227 @@ def _mix(spark, d):
     return sampling.mix(reads, _pool(spark, d), shape, rate=0.1, seed=11)
 
 
-@query()
+_MIX = with_sql("hdr", "seqs") + f""", rd AS (SELECT CAST(read_id AS VARCHAR) AS read_id, barcode, repeat(substr(md5(CAST(read_id AS VARCHAR)), 1, 24), 10) AS seq FROM hdr),
+    po AS (SELECT CAST(seq_id AS VARCHAR) AS read_id, seq_id % 50 AS transcript_id, s AS seq FROM seqs),
+    k AS (SELECT CAST(floor((SELECT count(*) FROM rd) * 0.1::DOUBLE / (1 - 0.1::DOUBLE)) AS BIGINT) AS n, (SELECT count(*) FROM po) AS pool, (SELECT count(*) FROM rd) AS reads),
+    tk AS (SELECT draw, read_id, transcript_id, seq FROM {_numbered("po", "read_id", "draw", 11)}, k WHERE pool >= n AND draw < n
+      UNION ALL SELECT g.draw, x.read_id, x.transcript_id, x.seq FROM (SELECT unnest(range(n)) AS draw, pool FROM k WHERE pool < n) g JOIN {_numbered("po", "read_id", "r")} x ON x.r = {_bits(11, "g.draw")} % g.pool),
+    cl AS (SELECT tk.*, b.barcode, {_letters(12, 13, "draw")} AS umi FROM tk, k JOIN {_numbered("rd", "read_id", "r")} b ON true WHERE b.r = {_bits(12, "tk.draw")} % k.reads),
+    le AS (SELECT read_id, length(seq) AS target FROM {_numbered("rd", "read_id", "draw", 14)} WHERE draw < 10000 AND length(seq) BETWEEN 200 AND 15000),
+    tl AS (SELECT cl.*, t.target FROM cl JOIN {_numbered("le", "read_id", "r")} t ON t.r = {_bits(15, "cl.draw")} % (SELECT count(*) FROM le)),
+    be AS (SELECT i, x, y / sum(y) OVER () AS y FROM (SELECT CAST(range AS INTEGER) AS i, range / 999.0::DOUBLE AS x, pow(range / 999.0::DOUBLE, 0.5::DOUBLE) * pow(1 - range / 999.0::DOUBLE, 3::DOUBLE) AS y FROM range(1000))),
+    cu AS (SELECT x, coalesce(lag(hi) OVER (ORDER BY i), 0) AS lo, CASE WHEN i = 999 THEN 1 ELSE hi END AS hi FROM (SELECT *, (sum(y) OVER (ORDER BY i)) / (sum(y) OVER ()) AS hi FROM be)),
+    ps AS (SELECT tl.*, cu.x AS position, CASE WHEN target > 0 THEN least(target, length(seq)) ELSE length(seq) END AS t FROM tl JOIN cu ON {_uniform(16, "draw")} >= lo AND {_uniform(16, "draw")} < hi),
+    tr AS (SELECT *, 'control_read_' || (draw + 1) || '_BC_' || barcode || '_UMI_' || umi || '_orig_' || read_id AS name, length(seq) AS original_length, substr(seq, CAST(greatest(0, least(floor((length(seq) - t) * (1 - position)), length(seq) - t)) AS BIGINT) + 1, t) AS piece FROM ps) """
+
+
+@query(_MIX + """SELECT CAST(event_id AS VARCHAR) AS read_id, CASE WHEN event_id % 3 = 0 THEN '@r' || event_id || ' CB:Z:' || user_id || ' UB:Z:' || event_type WHEN event_id % 3 = 1 THEN '@' || user_id || '_' || event_type || '#' || event_id ELSE '@' || user_id END AS header,
+    repeat(substr(md5(CAST(event_id AS VARCHAR)), 1, 24), 10) AS seq, repeat('I', 240) AS qual FROM events UNION ALL SELECT name, name, barcode || umi || piece, repeat('I', CAST(length(barcode || umi || piece) AS INTEGER)) FROM tr""")
 def mix_reads(spark, d):
     return _mix(spark, d)[0]
 
 
-@query()
+@query(_MIX + "SELECT name AS read_id, read_id AS original_read_id, barcode, umi, transcript_id, CAST(original_length AS INTEGER) AS original_length, CAST(length(piece) AS INTEGER) AS sampled_length FROM tr")
 def mix_tracking(spark, d):
     return _mix(spark, d)[1]
 
 
-@query()
+@query(_MIX + "SELECT barcode, transcript_id, count(*) AS expected_count FROM tr GROUP BY 1, 2")
 def mix_expected(spark, d):
     return _mix(spark, d)[2]
 
 
-@query()
+@query(with_sql("seqs") + f"SELECT seq_id AS read_id, CAST(length(s) AS INTEGER) AS length FROM {_numbered('seqs', 'seq_id', 'draw', 3)} WHERE draw < 500 AND length(s) BETWEEN 200 AND 15000")
 def sampled_lengths(spark, d):
     reads = B.sequences(spark, d).select(F.col("seq_id").alias("read_id"), "seq")
     return sampling.length_distribution(reads, 500, 3)
 
 
-@query()
+@query(with_sql("hdr") + f"SELECT a.read_id AS draw, b.barcode FROM hdr a JOIN {_numbered('hdr', 'read_id', 'r')} b ON b.r = {_bits(5, 'a.read_id')} % (SELECT count(*) FROM hdr)")
 def assigned_cells(spark, d):
     reads = cells.parse_headers(B.headers(spark, d))
     draws = reads.select(F.col("read_id").alias("draw"))
     return sampling.assign_cells(draws, reads, ["read_id"], 5)
 
 
-@query()
+@query(f"SELECT event_id, {_letters(16, 1, 'event_id')} AS barcode, {_letters(12, 2, 'event_id')} AS umi FROM events")
 def random_barcodes(spark, d):
-    return B.table(spark, d, "events").select("event_id", R.random_bases(16, 1, F.col("event_id")).alias("barcode"), R.random_bases(12, 2, F.col("event_id")).alias("umi"))
+    return B.table(spark, d, "events").select("event_id", R.random_bases(16, 1, "event_id").alias("barcode"), R.random_bases(12, 2, "event_id").alias("umi"))
 
 
-@query()
+_MATCHED = ", ".join(f"round(avg({c}), 9) AS mean_{n}, round(median({c}), 9) AS median_{n}, round(stddev_samp({c}), 9) AS std_{n}" for n, c in (("aligned_fraction", "fraction"), ("read_coverage", "coverage"), ("read_accuracy", "accuracy")))
+
+
+@query(ORACLE_SQL["match_by_length"].replace("SELECT g.dataset, ref_transcript", "SELECT m.*, coalesce(reads, 0) AS reads, z.* EXCLUDE (dataset, transcript_id, reads) FROM (SELECT g.dataset, ref_transcript")
+    + f") m LEFT JOIN (SELECT dataset, transcript_id, count(*) AS reads, {_MATCHED} FROM met GROUP BY 1, 2) z ON z.dataset = m.dataset AND z.transcript_id = m.transcript_id")
 def match_statistics(spark, d):
     rows = _metrics(spark, d)
     out = compare.matched_statistics(rows, compare.match_by_length(rows, "A", 0.1, 8))
     return rounded(out, *(f"{s}_{m}" for m in quality.METRICS for s in ("mean", "median", "std")))
 
 
-@query()
+_DATASETS = with_sql("met") + """, ln AS (SELECT dataset, transcript_id, max(tl) AS len FROM met GROUP BY 1, 2), cl AS (SELECT met.dataset, transcript_id, greatest(s, 0) AS a, least(e, len) AS b FROM met JOIN ln USING (dataset, transcript_id)),
+    ev AS (SELECT dataset, transcript_id, pos, sum(step) AS step FROM (SELECT dataset, transcript_id, a AS pos, 1 AS step FROM cl WHERE b > a UNION ALL SELECT dataset, transcript_id, b, -1 FROM cl WHERE b > a UNION ALL SELECT dataset, transcript_id, 0, 0 FROM ln UNION ALL SELECT dataset, transcript_id, len, 0 FROM ln) GROUP BY ALL),
+    ru AS (SELECT *, lead(pos) OVER w AS stop, CAST(sum(step) OVER w AS BIGINT) AS depth FROM ev WINDOW w AS (PARTITION BY dataset, transcript_id ORDER BY pos)),
+    bi AS (SELECT t.dataset, t.transcript_id, t.len, b.bin, coalesce(sum(greatest(0, least(stop, ((b.bin + 1) * len) // 20) - greatest(pos, (b.bin * len) // 20)) * depth)::DOUBLE / nullif(((b.bin + 1) * len) // 20 - (b.bin * len) // 20, 0), 0) AS v
+      FROM ln t CROSS JOIN (SELECT range AS bin FROM range(20)) b JOIN ru USING (dataset, transcript_id) WHERE stop IS NOT NULL GROUP BY 1, 2, 3, 4),
+    pr AS (SELECT *, 100 * v / (avg(v) OVER (PARTITION BY dataset, transcript_id) + 1e-10) AS value FROM bi), pf AS (SELECT dataset, bin, avg(value) AS v FROM pr GROUP BY 1, 2) """
+
+
+def _compared(spark, d, table):
+    return workflows.compare_datasets(_metrics(spark, d), "A", BINS, 8, ties=B.TIES, edges=(0, 250, 400, float("inf")))[table]
+
+
+@query(_DATASETS + "SELECT l.dataset AS a, r.dataset AS b, round(sum(l.v * r.v) / (sqrt(sum(l.v * l.v)) * sqrt(sum(r.v * r.v))), 9) AS cosine FROM pf l JOIN pf r ON l.bin = r.bin GROUP BY 1, 2")
 def dataset_comparison(spark, d):
-    return rounded(workflows.compare_datasets(_metrics(spark, d), "A", BINS)["similarity"], "cosine")
+    return rounded(_compared(spark, d, "similarity"), "cosine")
+
+
+@query(_DATASETS + "SELECT dataset, CASE WHEN len < 250 THEN 0 WHEN len < 400 THEN 1 ELSE 2 END AS length_bin, CAST(bin AS INTEGER) AS bin, round(avg(value), 6) AS value FROM pr GROUP BY 1, 2, 3")
+def dataset_profiles_by_length(spark, d):
+    return _compared(spark, d, "by_length").withColumn("value", F.round("value", 6))
+
+
+@query(with_sql("met") + """, prim AS (SELECT * FROM met QUALIFY row_number() OVER (PARTITION BY dataset, read_id ORDER BY mapq DESC, fraction DESC, line, supplier, price) = 1),
+    one AS (SELECT dataset, count(*)::DOUBLE AS reads, count(*) FILTER (coverage > 0.95)::DOUBLE AS full_length, (100.0 * count(*) FILTER (coverage > 0.95) / count(*))::DOUBLE AS percent_full_length,
+      median(coverage) AS median_coverage, median(al)::DOUBLE AS median_aligned_length, median(accuracy * 100) AS median_accuracy FROM prim GROUP BY 1),
+    two AS (SELECT dataset, count(*)::DOUBLE AS transcripts, median(c) AS median_of_medians, median(l)::DOUBLE AS median_transcript_length FROM (SELECT dataset, transcript_id, median(coverage) AS c, max(tl) AS l FROM prim GROUP BY 1, 2) GROUP BY 1)
+    SELECT dataset, metric, round(value, 9) AS value FROM (UNPIVOT (SELECT * FROM one JOIN two USING (dataset)) ON COLUMNS(* EXCLUDE (dataset)) INTO NAME metric VALUE value)""")
+def dataset_quality(spark, d):
+    return rounded(_compared(spark, d, "quality"), "value")
+
+
+@query(with_sql("met") + """, prim AS (SELECT * FROM met QUALIFY row_number() OVER (PARTITION BY dataset, read_id ORDER BY mapq DESC, fraction DESC, line, supplier, price) = 1)
+    SELECT dataset, bin, n, round(n / ((sum(n) OVER (PARTITION BY dataset))::DOUBLE * (5000.0::DOUBLE / 49)), 9) AS density FROM (SELECT dataset, least(CAST(floor(read_length * 49::DOUBLE / 5000::DOUBLE) AS INTEGER), 48) AS bin, count(*) AS n FROM prim WHERE read_length BETWEEN 0 AND 5000 GROUP BY 1, 2)""")
+def comparative_length_histogram(spark, d):
+    return rounded(_compared(spark, d, "lengths"), "density")
+
+
+# --- whole workflows ---------------------------------------------------------
+
+
+def _diagnosed(spark, d, table):
+    return workflows.mixing_diagnostics(B.tracking(spark, d), B.alignments(spark, d).drop("transcript_length"), _lengths(spark, d), BINS)[table]
+
+
+@query(with_sql("trk") + "SELECT count(*) AS reads, sum(ol)::DOUBLE / count(*) AS mean_original, sum(sl)::DOUBLE / count(*) AS mean_sampled FROM trk")
+def read_length_means(spark, d):
+    return _diagnosed(spark, d, "means")
+
+
+@query(with_sql("trk") + """, c AS (SELECT barcode, count(DISTINCT transcript_id)::DOUBLE AS x FROM trk GROUP BY 1), r AS (SELECT min(x) AS lo, max(x) AS hi FROM c)
+    SELECT CASE WHEN hi > lo THEN least(CAST(floor((x - lo) * 10 / (hi - lo)) AS INTEGER), 9) ELSE 5 END AS bin, count(*) AS n FROM c, r GROUP BY 1""")
+def transcripts_per_cell_histogram(spark, d):
+    return _diagnosed(spark, d, "per_cell_histogram")
+
+
+@query(with_sql("trk") + """, c AS (SELECT transcript_id, (ol - sl)::DOUBLE / ol AS x FROM trk WHERE ol > sl), r AS (SELECT min(x) AS lo, max(x) AS hi FROM c)
+    SELECT transcript_id, CASE WHEN hi > lo THEN least(CAST(floor((x - lo) * 30 / (hi - lo)) AS INTEGER), 29) ELSE 15 END AS bin, count(*) AS n FROM c, r GROUP BY 1, 2""")
+def truncation_ratio_histogram(spark, d):
+    return _diagnosed(spark, d, "truncation_ratio")
+
+
+_TOP = with_sql("bins") + ", top AS (SELECT transcript_id FROM aln GROUP BY 1 ORDER BY count(*) DESC, transcript_id LIMIT 50), m AS (SELECT transcript_id, bin, coalesce(v / nullif(max(v) OVER (PARTITION BY transcript_id), 0), 0) AS v FROM bins WHERE transcript_id IN (SELECT transcript_id FROM top)) "
+
+
+@query(_TOP + "SELECT transcript_id, " + ", ".join(f"max(v) FILTER (bin = {i}) AS bin_{i + 1}" for i in range(BINS)) + " FROM m GROUP BY 1")
+def top_profile_matrix(spark, d):
+    return _diagnosed(spark, d, "matrix")
+
+
+@query(_TOP + ", h AS (SELECT transcript_id, sum(v) FILTER (bin < 10) AS a, sum(v) FILTER (bin >= 10) AS b FROM m GROUP BY 1) SELECT transcript_id, round(a / (a + b), 9) AS five_prime, round(b / (a + b), 9) AS three_prime FROM h WHERE a + b > 0")
+def top_end_mass(spark, d):
+    return rounded(_diagnosed(spark, d, "end_mass").select("transcript_id", "five_prime", "three_prime"), "five_prime", "three_prime")
+
+
+@query()
+def coverage_evaluation(spark, d):
+    own = B.alignments(spark, d).select("read_id", F.col("transcript_id").alias("chrom"), "start", "end")
+    tables = workflows.evaluate_coverage(own, B.transcripts(spark, d), _features(spark, d), BINS, least=2, settings=_FOREST)
+    return rounded(tables["quality"], "train_r2", "test_r2")
+
+
+# --- sources -----------------------------------------------------------------
+
+
+def _written(lines, name):
+    """Lines (value) as text files in the shared folder."""
+    path = f"{new_path(lines.sparkSession)}/{name}"
+    lines.write.text(path)
+    return path
+
+
+@query(with_sql("hdr") + """SELECT read_id_ AS read_id, '@' || read_id_ || ' x' AS header, repeat(substr(md5(CAST(read_id AS VARCHAR)), 1, 24), 10) AS seq, repeat('I', 240) AS qual FROM (SELECT *, 'r' || read_id AS read_id_ FROM hdr)""")
+def fastq_round_trip(spark, d):
+    """The events' reads, written as FASTQ and read again."""
+    own = _reads(spark, d).withColumn("header", F.concat(F.lit("r"), F.col("read_id").cast("string"), F.lit(" x")))
+    return text.read_fastq(spark, _written(text.fastq_lines(own), "reads.fastq"))
+
+
+@query("SELECT 'd' || doc_id AS seq_id, regexp_replace(coalesce(text, ''), '[^A-Za-z]', '', 'g') AS seq, CAST(length(regexp_replace(coalesce(text, ''), '[^A-Za-z]', '', 'g')) AS INTEGER) AS length FROM documents")
+def fasta_round_trip(spark, d):
+    """The letters of the documents, written as FASTA in lines of 60 and read again."""
+    letters = F.regexp_replace(F.coalesce("text", F.lit("")), "[^A-Za-z]", "")
+    own = B.table(spark, d, "documents").select(F.concat(F.lit(">d"), F.col("doc_id").cast("string"), F.lit(" note\n"), F.regexp_replace(letters, "(.{60})", "$1\n")).alias("value"))
+    return text.concat_sequences(text.read_fasta(spark, _written(own, "documents.fa")))
+
+
+_GTF = "SELECT 'T' || p_partkey AS transcript_id, 'c' || p_partkey % 25 AS chrom, (p_partkey * 7) % 900 + 1 AS start_, (p_partkey * 7) % 900 + p_size * 4 AS end_, CASE WHEN p_partkey % 2 = 0 THEN '+' ELSE '-' END AS strand, p_size * 4 AS length FROM part"
+
+
+def _annotation(spark, d, mode):
+    own, k = B.transcripts(spark, d), F.col("transcript_id")
+    named = F.when(k % 2 == 0, F.format_string('gene_id "g"; transcript_id "T%d";', k)).otherwise(F.format_string("ID=transcript:T%d;Parent=g", k))
+    row = F.concat_ws("\t", F.format_string("c%d", "chrom"), F.lit("readlake"), F.when(k % 2 == 0, "transcript").otherwise("mRNA"), (F.col("start") + 1).cast("string"), F.col("end").cast("string"), F.lit("."), F.col("strand"), F.lit("."), named)
+    lines = own.select(row.alias("value")).unionByName(spark.createDataFrame([("# comment",)], "value string"))
+    return text.read_gtf(spark, _written(lines, "part.gtf"), mode).drop("ord").withColumnsRenamed({"start": "start_", "end": "end_"})
+
+
+@query(_GTF + " WHERE p_partkey % 2 = 0")
+def gtf_strict(spark, d):
+    return _annotation(spark, d, "strict")
+
+
+@query(_GTF)
+def gtf_lenient(spark, d):
+    return _annotation(spark, d, "lenient")
+
+
+@query("SELECT 'd' || doc_id AS transcript_id, CAST(1 AS INTEGER) AS start_, CAST(length(t) AS INTEGER) AS end_, '+' AS strand FROM (SELECT doc_id, regexp_replace(coalesce(text, ''), '[^A-Za-z]', '', 'g') AS t FROM documents)")
+def annotation_from_sequences(spark, d):
+    """An annotation made of the documents' sequences, written as GTF and read again."""
+    letters = F.regexp_replace(F.coalesce("text", F.lit("")), "[^A-Za-z]", "")
+    own = B.table(spark, d, "documents").select(F.concat(F.lit("d"), F.col("doc_id").cast("string")).alias("seq_id"), F.length(letters).alias("length"))
+    return text.read_gtf(spark, _written(text.annotation_from_sequences(own), "own.gtf")).select("transcript_id", F.col("start").alias("start_"), F.col("end").alias("end_"), "strand")
+
+
+def _sam(spark, d):
+    rows = B.alignments(spark, d).where("aligned_length > 0")
+    seq = F.repeat(F.lit("A"), F.col("aligned_length") + F.col("I"))
+    body = F.concat_ws("\t", F.col("read_id").cast("string"), F.col("flag").cast("string"), F.format_string("T%d", "transcript_id"), (F.col("start") + 1).cast("string"), F.col("mapq").cast("string"), F.when(F.col("I") > 0, F.format_string("%dM%dI%dD", "aligned_length", "I", "D")).otherwise(F.format_string("%dM%dD", "aligned_length", "D")), F.lit("*"), F.lit("0"), F.lit("0"), seq, seq, F.when(F.col("NM").isNotNull(), F.format_string("NM:i:%d", "NM")))
+    heads = B.transcripts(spark, d).select(F.format_string("@SQ\tSN:T%d\tLN:%d", "transcript_id", "length").alias("value"))
+    return _written(heads.unionByName(rows.select(body.alias("value"))), "lines.sam")
+
+
+_SAM = with_sql("aln") + ", sam AS (SELECT read_id, flag, 'T' || transcript_id AS transcript_id, s, mapq, al, i, d, al + d AS span, tl, CASE WHEN i > 0 THEN i + d END AS nm FROM aln WHERE al > 0 AND (flag & 4) = 0) "
+
+
+@query(_SAM + """SELECT CAST(read_id AS VARCHAR) AS read_id, flag, transcript_id, CAST(s AS INTEGER) AS start_, CAST(s + span AS INTEGER) AS end_, mapq, CAST(al AS INTEGER) AS M, CAST(i AS INTEGER) AS I, CAST(al + i AS INTEGER) AS read_length, CAST(tl AS INTEGER) AS transcript_length,
+    span::DOUBLE / tl AS read_coverage, CASE WHEN nm IS NULL THEN NULL ELSE (al + i + d - nm)::DOUBLE / (al + i + d) END AS read_accuracy FROM sam""")
+def sam_alignments(spark, d):
+    """The alignments, written as SAM text and read again."""
+    own = text.read_alignments(spark, _sam(spark, d)).withColumnsRenamed({"start": "start_", "end": "end_"})
+    return own.select("read_id", "flag", "transcript_id", "start_", "end_", "mapq", "M", "I", "read_length", "transcript_length", "read_coverage", "read_accuracy")
+
+
+@query(_SAM + "SELECT 2 * count(*) AS n FROM sam")
+def merged_record_count(spark, d):
+    """Two files and one that is missing, merged in coordinate order and counted."""
+    path = _sam(spark, d)
+    return text.record_count(text.merge_alignment_files(spark, [path, path, f"{path}.gone"]))
+
+
+@query(_SAM + "SELECT CAST(read_id AS VARCHAR) AS read_id, count(*) AS n FROM (SELECT DISTINCT read_id FROM sam WHERE (flag & 2304) = 0) GROUP BY 1")
+def alignments_to_reads(spark, d):
+    """Reads of the primary records, one each."""
+    return text.alignments_to_reads(text.read_alignments(spark, _sam(spark, d))).groupBy("read_id").agg(F.count(F.lit(1)).alias("n"))

@@ -7,7 +7,9 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from readlake.functions.reads import fit_quality, length_bin, overfit
 from readlake.operators import cells, compare, density, evaluate, intervals, models, quality
+from readlake.scratch import saved
 
 
 def evaluate_quantifier(expected: DataFrame, output: DataFrame, marker: str | None = None) -> dict[str, DataFrame]:
@@ -28,23 +30,40 @@ def alignment_quality(alignments: DataFrame, ties: Sequence[str], fill_nulls: bo
     }
 
 
-def compare_datasets(rows: DataFrame, reference: str, n_bins: int = 100, least: int = 10) -> dict[str, DataFrame]:
-    """Datasets side by side: profiles, their similarity and bias, length bins and matched lengths.
-    ``rows`` are metric rows with dataset, transcript_id, transcript_length, start and end."""
+def compare_datasets(rows: DataFrame, reference: str, n_bins: int = 100, least: int = 10, *, wanted: DataFrame | None = None, ties: Sequence[str] = ("transcript_id", "start"), edges: Sequence[float] = compare.FIXED_EDGES) -> dict[str, DataFrame]:
+    """Datasets side by side: the quality of each, profiles, their similarity and bias by dataset and
+    by length bin, length bins and matched lengths. ``rows`` are metric rows with dataset, read_id,
+    transcript_id, transcript_length, start and end; only reads of ``wanted`` (read_id) if given."""
+    if wanted is not None:
+        rows = cells.select_reads(rows, wanted)
     keyed = rows.withColumn("key", F.concat_ws("\u0001", F.col("dataset"), F.col("transcript_id").cast("string")))
     lengths = keyed.groupBy("key").agg(F.max("transcript_length").alias("length"), F.first("dataset").alias("dataset"))
-    own = keyed.select(F.col("key").alias("transcript_id"), "start", "end")
-    per = intervals.bin_depth(intervals.depth(own, lengths.select(F.col("key").alias("transcript_id"), "length")), lengths.select(F.col("key").alias("transcript_id"), "length"), n_bins, "mean100")
-    profile = per.join(lengths.select(F.col("key").alias("transcript_id"), "dataset"), "transcript_id").groupBy("dataset", "bin").agg(F.avg("value").alias("value"))
+    each = lengths.select(F.col("key").alias("transcript_id"), "length")
+    per = intervals.bin_depth(intervals.depth(keyed.select(F.col("key").alias("transcript_id"), "start", "end"), each), each, n_bins, "mean100")
+    strata = lengths.select(F.col("key").alias("transcript_id"), "dataset", length_bin(F.col("length"), edges).alias("length_bin"))
+    profile = per.join(strata, "transcript_id").groupBy("dataset", "bin").agg(F.avg("value").alias("value"))
     matches = compare.match_by_length(rows, reference, least=least)
-    return {"profile": profile, "similarity": compare.profile_similarity(profile), "bias": compare.profile_bias_metrics(profile, n_bins), "length_bins": compare.compare_by_length_bin(rows), "matches": matches, "matched": compare.matched_statistics(rows, matches)}
+    primary = quality.primary_alignment(rows.withColumn("read_id", F.struct("dataset", "read_id")), ties)
+    return {
+        "quality": quality.alignment_summary(primary, ["dataset"]), "lengths": quality.comparative_length_histogram(primary), "profile": profile, "by_length": compare.length_stratified_profile(per, strata),
+        "similarity": compare.profile_similarity(profile), "bias": compare.profile_bias_metrics(profile, n_bins), "length_bins": compare.compare_by_length_bin(rows), "matches": matches, "matched": compare.matched_statistics(rows, matches),
+    }
 
 
-def mixing_diagnostics(tracking: DataFrame) -> dict[str, DataFrame]:
-    return {
-        "lengths": quality.read_length_histogram(tracking), "correlation": quality.length_correlation(tracking), "truncation": quality.truncation_summary(tracking), "truncation_ratio": quality.truncation_histogram(tracking),
-        "per_transcript": quality.per_transcript_lengths(tracking), "per_cell": cells.transcripts_per_cell(tracking), "per_cell_summary": cells.transcripts_per_cell_summary(tracking),
+def mixing_diagnostics(tracking: DataFrame, alignments: DataFrame | None = None, lengths: DataFrame | None = None, n_bins: int = 100) -> dict[str, DataFrame]:
+    """The tables of a mix; with alignments and transcript lengths also the profiles of the transcripts
+    with the most reads, each as a part of its own height, and their mass at both ends."""
+    out = {
+        "lengths": quality.read_length_histogram(tracking), "means": quality.read_length_means(tracking), "correlation": quality.length_correlation(tracking), "truncation": quality.truncation_summary(tracking),
+        "truncation_ratio": quality.truncation_histogram(tracking), "per_transcript": quality.per_transcript_lengths(tracking), "per_cell": cells.transcripts_per_cell(tracking).orderBy(F.desc("transcripts"), "barcode"),
+        "per_cell_summary": cells.transcripts_per_cell_summary(tracking), "per_cell_histogram": cells.transcripts_per_cell_histogram(tracking),
     }
+    if alignments is not None and lengths is not None:
+        top = intervals.top_covered(alignments)
+        own = lengths.join(top.select("transcript_id").distinct(), "transcript_id", "left_semi")
+        profile = intervals.bin_depth(intervals.depth(top, own), own, n_bins, "max")
+        out |= {"top_covered": top, "matrix": intervals.profile_matrix(profile, n_bins), "end_mass": intervals.end_mass(profile, n_bins)}
+    return out
 
 
 def assign_transcripts(reads: DataFrame, transcripts: DataFrame, **settings) -> dict[str, DataFrame]:
@@ -57,14 +76,30 @@ def coverage_matrix(alignments: DataFrame, lengths: DataFrame, n_bins: int = 100
 
 
 def learn_coverage(alignments: DataFrame, lengths: DataFrame, features: DataFrame, n_bins: int = 100, *, technology: str = "default", boosted: bool = False, least: int = 15, seed: int = 42, settings: Mapping | None = None):
-    """Learn a tree model of positional coverage: (model, predictions with is_test, metrics by part)."""
+    """Learn a tree model of positional coverage: (model, predictions with is_test, metrics by part).
+    The design is written to the shared folder once; every pass of the learner reads it there."""
     kept = cells.min_reads(alignments, least)
     own = lengths.join(kept.select("transcript_id").distinct(), "transcript_id", "left_semi")
     profile = intervals.bin_depth(intervals.depth(kept, own), own, n_bins, "mean100")
-    weights = models.TECHNOLOGIES[technology]["weights"]
-    design = models.split(models.positional_design(profile, features, n_bins, weights), seed=seed).persist()
+    design = saved(models.split(models.positional_design(profile, features, n_bins, models.feature_weights(technology)), seed=seed))
     fit = models.fit_boosted if boosted else models.fit_forest
     options = dict(settings or ({} if boosted else models.forest_settings(technology)))
     model = fit(design.where("not is_test"), seed=seed, **options)
     predicted = model.transform(design).select("transcript_id", "bin", "value", "prediction", "is_test")
     return model, predicted, models.regression_metrics(predicted, by=["is_test"])
+
+
+def evaluate_coverage(alignments: DataFrame, transcripts: DataFrame, features: DataFrame, n_bins: int = 100, **settings) -> dict[str, DataFrame]:
+    """Learn on the reads of each transcript, by name or by place, and judge the model: metrics,
+    quality (train_r2, test_r2, fit, overfit), importance and predictions. ``alignments`` (read_id,
+    chrom, start, end), ``transcripts`` (transcript_id, chrom, start, end, length)."""
+    met = intervals.interval_reads(transcripts, alignments)
+    places = transcripts.select(F.col("transcript_id").cast("string").alias("transcript_id"), (F.col("start") - 1).alias("origin"))
+    shift = F.when(F.col("by_name"), 0).otherwise(F.col("origin"))
+    own = met.join(places, "transcript_id").select("transcript_id", "read_id", (F.col("start") - shift).alias("start"), (F.col("end") - shift).alias("end"))
+    named = features.withColumn("transcript_id", F.col("transcript_id").cast("string"))
+    lengths = transcripts.select(F.col("transcript_id").cast("string").alias("transcript_id"), "length")
+    model, predicted, metrics = learn_coverage(own, lengths, named, n_bins, **settings)
+    r2 = metrics.agg(F.max(F.when(~F.col("is_test"), F.col("r2"))).alias("train_r2"), F.max(F.when(F.col("is_test"), F.col("r2"))).alias("test_r2"))
+    fit = r2.select("train_r2", "test_r2", fit_quality(F.col("test_r2")).alias("fit"), overfit(F.col("train_r2"), F.col("test_r2")).alias("overfit"))
+    return {"metrics": metrics, "quality": fit, "importance": models.feature_importance(model), "predictions": predicted}

@@ -1,11 +1,12 @@
 """Sequencing text formats as DataFrames. Every reader goes through Spark's own text source, so any
-path that Spark can open will do."""
+path that Spark can open will do; lines never leave the JVM."""
 
 from __future__ import annotations
 
 from collections.abc import Sequence
 from functools import reduce
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -17,44 +18,50 @@ TRANSCRIPTS = "transcript_id string, chrom string, start int, end int, strand st
 _NO_LENGTH = 1000
 
 
-def _lines(spark: SparkSession, path: str) -> DataFrame:
-    """(n, line) of a file in its order; lines are numbered where they are read."""
-    return spark.createDataFrame(spark.sparkContext.textFile(path).zipWithIndex(), "line string, n long")
+def _paths(paths: str | Sequence[str]) -> list[str]:
+    return [paths] if isinstance(paths, str) else list(paths)
+
+
+def _lines(spark: SparkSession, paths: str | Sequence[str]) -> DataFrame:
+    """(file, n, line) with the lines of each file numbered from 0 in its order.
+
+    A block of a file is read by one task from its first line to its last, so ids that increase
+    along a partition are consecutive there: a line's number is its distance from the block's first
+    id, plus the lines of the blocks before. One row a block is all that is counted beforehand.
+    """
+    lines = spark.read.text(_paths(paths)).select(F.col("value").alias("line"), F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("id"))
+    blocks = lines.groupBy("file", "block").agg(F.min("id").alias("first"), F.count(F.lit(1)).alias("lines"))
+    before = F.sum("lines").over(W.partitionBy("file").orderBy("block")) - F.col("lines")
+    starts = blocks.select("file", "block", (before - F.col("first")).alias("shift"))
+    return lines.join(starts, ["file", "block"]).select("file", (F.col("id") + F.col("shift")).alias("n"), "line")
 
 
 def read_fastq(spark: SparkSession, paths: str | Sequence[str]) -> DataFrame:
     """read_id, header, seq, qual of 4-line records; ``.gz`` by suffix. Each file is numbered by
     itself, so records keep together however it is split."""
-
-    def one(path: str) -> DataFrame:
-        rec, part = F.floor(F.col("n") / 4), F.col("n") % 4
-        line = lambda k: F.max(F.when(part == k, F.col("line")))
-        rows = _lines(spark, path).groupBy(rec.alias("rec")).agg(line(0).alias("header"), line(1).alias("seq"), line(3).alias("qual"))
-        return rows.where(F.col("header").startswith("@")).select(F.regexp_extract("header", r"^@(\S*)", 1).alias("read_id"), "header", "seq", "qual")
-
-    return reduce(DataFrame.unionByName, map(one, [paths] if isinstance(paths, str) else paths))
+    part = F.col("n") % 4
+    line = lambda k: F.max(F.when(part == k, F.col("line")))
+    rows = _lines(spark, paths).groupBy("file", F.floor(F.col("n") / 4).alias("rec")).agg(line(0).alias("header"), line(1).alias("seq"), line(3).alias("qual"))
+    return rows.where(F.col("header").startswith("@")).select(F.regexp_extract("header", r"^@(\S*)", 1).alias("read_id"), "header", "seq", "qual")
 
 
 def read_fasta(spark: SparkSession, paths: str | Sequence[str]) -> DataFrame:
-    """seq_id, seq, length; a record's lines are joined in order. The record of a line is the number
-    of headers before it: counted by blocks of lines, then within the block."""
-
-    def one(path: str) -> DataFrame:
-        lines = _lines(spark, path).withColumn("head", F.col("line").startswith(">").cast("long")).withColumn("block", F.floor(F.col("n") / 100_000))
-        starts = lines.groupBy("block").agg(F.sum("head").alias("heads"))
-        starts = starts.select("block", (F.sum("heads").over(W.orderBy("block")) - F.col("heads")).alias("before"))
-        inside = F.sum("head").over(W.partitionBy("block").orderBy("n"))
-        rows = lines.withColumn("inside", inside).join(starts, "block").withColumn("rec", F.col("before") + F.col("inside")).where("rec > 0")
-        body = F.array_join(F.transform(F.array_sort(F.collect_list(F.when(F.col("head") == 0, F.struct("n", F.trim("line").alias("line"))))), lambda x: x["line"]), "")
-        out = rows.groupBy("rec").agg(F.max(F.when(F.col("head") == 1, F.col("line"))).alias("h"), body.alias("seq"))
-        return out.select(F.regexp_extract("h", r"^>(\S*)", 1).alias("seq_id"), "seq", F.length("seq").alias("length"))
-
-    return reduce(DataFrame.unionByName, map(one, [paths] if isinstance(paths, str) else paths))
+    """seq_id, seq, length; a record's lines are joined in order. A new line with ``>`` ends a record,
+    so Spark's text source gives one row each and nothing is moved. Files begin with ``>``; blank
+    lines before it are left out."""
+    record = F.regexp_replace("value", r"^\s*>?", "")
+    rows = spark.read.option("lineSep", "\n>").text(_paths(paths)).select(record.alias("r")).where("r <> ''")
+    body = F.when(F.col("r").contains("\n"), F.regexp_replace(F.col("r"), r"^[^\n]*\n", "")).otherwise("")
+    seq = F.regexp_replace(body, r"^\s+|\s*\n\s*|\s+$", "")
+    return rows.select(F.regexp_extract("r", r"^(\S*)", 1).alias("seq_id"), seq.alias("seq")).withColumn("length", F.length("seq"))
 
 
 def _fields(spark: SparkSession, path: str) -> DataFrame:
+    """(n, f): the fields of lines that are no comments; n orders them, files by name."""
     rows = _lines(spark, path).where(~F.col("line").startswith("#"))
-    return rows.select("n", F.split("line", "\t").alias("f"))
+    files = rows.groupBy("file").agg((F.max("n") + 1).alias("lines"))
+    before = files.select("file", (F.sum("lines").over(W.orderBy("file")) - F.col("lines")).alias("before"))  # one row a file
+    return rows.join(before, "file").select((F.col("n") + F.col("before")).alias("n"), F.split("line", "\t").alias("f"))
 
 
 def _attribute(attributes: Column, pattern: str) -> Column:
@@ -101,10 +108,11 @@ def read_gtf(spark: SparkSession, path: str, mode: str = "strict") -> DataFrame:
     return out
 
 
-def read_alignments(spark: SparkSession, path: str) -> DataFrame:
+def read_alignments(spark: SparkSession, path: str, skip_corrupt: bool = False) -> DataFrame:
     """Mapped records of SAM text with operation counts and metrics; records that don't parse are
-    skipped. Reference lengths come from the header's ``@SQ`` lines."""
-    lines = spark.read.text(path)
+    skipped, and with ``skip_corrupt`` so is what follows a break in a compressed file. Reference
+    lengths come from the header's ``@SQ`` lines."""
+    lines = spark.read.option("ignoreCorruptFiles", str(skip_corrupt).lower()).text(path)
     sq = lines.where(F.col("value").startswith("@SQ")).select(F.regexp_extract("value", r"SN:(\S+)", 1).alias("transcript_id"), F.regexp_extract("value", r"LN:(\d+)", 1).try_cast("int").alias("transcript_length"))
     f = F.split("value", "\t")
     body = lines.where(~F.col("value").startswith("@")).select(f.alias("f"), F.col("value")).where(F.size("f") >= 11)
@@ -152,3 +160,23 @@ def merge_alignments(*parts: DataFrame) -> DataFrame:
     """All alignments in coordinate order within range partitions."""
     both = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), parts)
     return both.repartitionByRange("transcript_id", "start").sortWithinPartitions("transcript_id", "start")
+
+
+def merge_alignment_files(spark: SparkSession, paths: Sequence[str]) -> DataFrame:
+    """The alignments of all files in coordinate order. A file that is missing is left out, and one
+    that is broken gives the records before the break. ValueError if none is there."""
+    parts = []
+    for path in paths:
+        try:
+            parts.append(read_alignments(spark, path, skip_corrupt=True))
+        except AnalysisException as error:
+            if error.getCondition() != "PATH_NOT_FOUND":
+                raise
+    if not parts:
+        raise ValueError("no alignment file is there")
+    return merge_alignments(*parts)
+
+
+def record_count(alignments: DataFrame) -> DataFrame:
+    """One row with the number of records, n."""
+    return alignments.agg(F.count(F.lit(1)).alias("n"))

@@ -1,5 +1,7 @@
 import gzip
 
+import pytest
+
 from readlake.operators import density
 from readlake.sources import tables, text
 
@@ -73,6 +75,32 @@ def test_alignments(spark, tmp_path):
     assert text.merge_alignments(al, al).count() == 4
 
 
+def test_files_split_into_blocks(spark, tmp_path):
+    """Lines are numbered by file and block, however small the pieces that are read."""
+    path = put(tmp_path, "a.fastq", "".join(f"@r{i}\n{'ACGT' * (i % 9 + 1)}\n+\n{'@III' * (i % 9 + 1)}\n" for i in range(3000)))
+    fasta = put(tmp_path, "a.fa", "\n" + "".join(f">s{i} x\r\nAC\r\n" for i in range(3000)))
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "7001")
+    spark.conf.set("spark.sql.files.openCostInBytes", "1")
+    try:
+        rows = text.read_fastq(spark, path).collect()
+        assert len(rows) == 3000 and all(r.seq == "ACGT" * (int(r.read_id[1:]) % 9 + 1) and len(r.qual) == len(r.seq) for r in rows)
+        assert sorted((r.seq_id, r.seq) for r in text.read_fasta(spark, fasta).collect()) == sorted((f"s{i}", "AC") for i in range(3000))
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+        spark.conf.unset("spark.sql.files.openCostInBytes")
+
+
+def test_merging_leaves_out_what_cannot_be_read(spark, tmp_path):
+    good = put(tmp_path, "a.sam", SAM)
+    broken = tmp_path / "b.sam.gz"
+    broken.write_bytes(gzip.compress(SAM.encode())[:60])
+    merged = text.merge_alignment_files(spark, [good, str(broken), str(tmp_path / "none.sam")])
+    assert text.record_count(merged).first()[0] >= 2
+    with pytest.raises(ValueError):
+        text.merge_alignment_files(spark, [str(tmp_path / "none.sam")])
+
+
 def test_tables_and_saved_models(spark, tmp_path):
     assert tables.empty(spark, "tracking").count() == 0
     df = spark.createDataFrame([("b", "t", 3)], tables.SCHEMAS["expected"])

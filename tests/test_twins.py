@@ -184,11 +184,39 @@ def test_labels(spark):
 def test_local_profiles(spark):
     r = random.Random(8)
     texts = ["".join(r.choices("ACGTNé", k=r.randrange(0, 90))) for _ in range(30)] + ["AAAAAAAAAA", "acgtacgtac", "short"]
-    got = {(x.seq_id, x.start): (x.gc, x.entropy) for x in models.local_profiles(spark.createDataFrame(enumerate(texts), "seq_id int, seq string"), 10).collect()}
+    got = {(x.seq_id, x.start): (x.gc, x.entropy, x.kmers) for x in models.local_profiles(spark.createDataFrame([*enumerate(texts), (99, None)], "seq_id int, seq string"), 10).collect()}
     want = {}
     for i, t in enumerate(texts):
-        for s in range(0, len(t) - 9, 10):
+        for s in range(0, len(t), 10):
             w = t[s : s + 10].upper().replace("É", "é")
-            counts = Counter(w)
-            want[(i, s)] = ((counts["G"] + counts["C"]) / 10, -sum(c / 10 * math.log2(c / 10) for c in counts.values()))
-    assert set(got) == set(want) and all(math.isclose(a, b, abs_tol=1e-9) for k in want for a, b in zip(got[k], want[k]))
+            counts, n = Counter(w), len(w)
+            three = Counter(w[k : k + 3] for k in range(n - 2))
+            want[(i, s)] = ((counts["G"] + counts["C"]) / n, -sum(c / n * math.log2(c / n) for c in counts.values()), [three[k] / max(1, n - 2) for k in models.KMERS])
+    assert set(got) == set(want)
+    for k, (gc, entropy, kmers) in want.items():
+        assert math.isclose(got[k][0], gc, abs_tol=1e-9) and math.isclose(got[k][1], entropy, abs_tol=1e-9) and all(math.isclose(a, b, abs_tol=1e-9) for a, b in zip(got[k][2], kmers))
+
+
+def test_local_profiles_of_long_sequences_come_in_pieces(spark, monkeypatch):
+    monkeypatch.setattr(models, "WINDOWS", 2)
+    rows = models.local_profiles(spark.createDataFrame([(1, "ACGTA" * 13)], "seq_id int, seq string"), 10).collect()
+    assert sorted(x.start for x in rows) == [0, 10, 20, 30, 40, 50, 60]
+
+
+def test_matches_grow_with_lengths_only(spark):
+    """A hundred thousand transcripts of two hundred lengths: no row is made for a pair of them."""
+    rows = spark.range(100_000).select(F.when(F.col("id") % 2 == 0, "R").otherwise("x").alias("dataset"), F.col("id").cast("string").alias("transcript_id"), (F.col("id") % 200 + 900).cast("int").alias("transcript_length"))
+    got = compare.match_by_length(rows, "R", 0.1, 1)
+    assert got.count() == 50_000 and got.where("transcript_id is null").count() == 0
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert "NestedLoop" not in plan and "Cartesian" not in plan
+    with pytest.raises(ValueError):
+        compare.match_by_length(rows.withColumn("dataset", F.col("transcript_id")), "R", 0.1, 1)
+
+
+def test_choice_of_a_model(spark):
+    assert density.choose_model(spark, preset="cdna")[1].count() == 5
+    for wrong in ({}, {"preset": "cdna", "alignments": spark.range(1)}):
+        with pytest.raises(ValueError):
+            density.choose_model(spark, **wrong)
+    assert models.feature_weights("direct_rna") == {"gc_content": 1.5, "complexity": 2.0, "hairpin_potential": 2.5, "g_quadruplex_potential": 2.5}
