@@ -1,41 +1,54 @@
-"""What the corpus operators share: cutting lineage, spreading rows and empty results."""
+"""What the corpus operators share: cutting lineage, spreading rows and joins with hot keys."""
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from readlake.scratch import checkpoint_dir, delete, new_path, saved, scope
 
-def checkpoint_dir(spark: SparkSession) -> str:
-    """The shared folder of ``spark.checkpoint.dir``; a temporary one only where that is unset."""
-    folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if not folder:
-        folder = tempfile.mkdtemp(prefix="spark-")
-        spark.sparkContext.setCheckpointDir(folder)
-    return folder
-
+__all__ = ["checkpoint_dir", "delete", "each_copy", "join_hot", "new_path", "saved", "scope", "spread", "uniform", "whole_text"]
 
-def saved(df: DataFrame) -> DataFrame:
-    """Write ``df`` as Parquet in the shared folder and read it back: a later loss of executors
-    costs no recomputation, and what follows sees real sizes and reads only its columns."""
-    spark = df.sparkSession
-    path = f"{checkpoint_dir(spark)}/readlake-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+#: A key is hot if it has more than this part of all rows; so fewer keys than its inverse are.
+HOT_PART = 1000
+#: Equal rows that one task makes at once.
+COPIES = 100_000
 
 
 def spread(df: DataFrame, *keys: str) -> DataFrame:
     """A table that is read in fewer pieces than there are cores is dealt over the shuffle
     partitions by key, since what follows costs far more than moving its rows; any other stays
-    where it is read. For tables as they are read: counting the pieces only plans the scan."""
+    where it is read. Only where rows are worked on depends on it, never a result. For tables as
+    they are read: counting the pieces only plans the scan."""
     if df.rdd.getNumPartitions() >= df.sparkSession.sparkContext.defaultParallelism:
         return df
     return df.repartition(*keys)
 
 
+def join_hot(left: DataFrame, right: DataFrame, key: str, size: str, total: int) -> DataFrame:
+    """Inner join of ``left``, of ``total`` rows, with ``right``, one row a key that tells in column
+    ``size`` how many rows of ``left`` have it. Keys with more than ``1 / HOT_PART`` of them, fewer
+    than ``HOT_PART`` whatever the input, are broadcast and their rows stay where they are; the
+    others meet by a shuffle. ``size`` does not come out."""
+    hot = F.col(size) > total / HOT_PART
+    many = left.join(F.broadcast(right.where(hot).drop(size)), key)
+    return many.unionByName(left.join(right.where(~hot).drop(size), key))
+
+
+def each_copy(df: DataFrame) -> DataFrame:
+    """The rows of ``df`` with a column ``copy`` that numbers equal rows from 0, so that every row has a
+    key of its own which does not depend on the layout. Equal rows are counted on the way and made
+    again, ``COPIES`` in a piece, so a row that repeats very often passes through no single task."""
+    counted = saved(df.groupBy(*df.columns).agg(F.count(F.lit(1)).alias("_n")))
+    most = counted.agg(F.max("_n")).first()[0] or 0
+    if most <= 1:
+        return counted.withColumn("copy", F.lit(0).cast("long")).drop("_n")
+    pieces = counted.withColumn("_piece", F.explode(F.expr(f"sequence(0L, (_n - 1L) div {COPIES}L)")))
+    if most > COPIES:
+        pieces = pieces.repartition(*df.columns, "_piece")
+    return pieces.withColumn("copy", F.explode(F.expr(f"sequence(_piece * {COPIES}L, least(_n, (_piece + 1L) * {COPIES}L) - 1L)"))).drop("_n", "_piece")
+
+
 def whole_text(name: str = "text") -> Column:
     """The text, a null one as empty."""
     return F.coalesce(F.col(name), F.lit(""))
