@@ -4,6 +4,7 @@ from collections import Counter, defaultdict
 
 from pyspark.sql import functions as F
 
+from readlake.llm import common as C
 from readlake.llm import sharding as K
 
 from .data import awkward, empty, table
@@ -68,6 +69,36 @@ def test_splits_are_weighted_medians(spark):
     assert got == want and len(Counter(want.values())) == 5
 
 
+def test_equal_texts_stay_together(spark):
+    """Every group that is no more than a fourth of a shard, also one of many rows or of long texts."""
+    r = random.Random(5)
+    texts = [" ".join(r.choices("abcdefgh", k=r.randrange(5, 400))) for _ in range(500)]
+    texts += [t for t in texts[:60] for _ in range(r.randrange(1, 6))] + ["many copies"] * 300
+    rows = K.shard_documents(table(spark, texts)).collect()
+    of, weight, total = defaultdict(set), Counter(), sum(x.size for x in rows)
+    for x in rows:
+        of[texts[x.doc_id]].add(x.shard)
+        weight[texts[x.doc_id]] += x.size
+    assert all(len(of[t]) == 1 for t in of if weight[t] <= total / 32)
+    assert all(abs(sum(x.size for x in own) - total / 8) < 0.1 * total / 8 for own in shards(rows).values())
+
+
+def test_target_bytes_give_the_number_of_leaves(spark):
+    texts = [f"document number {i} " * (1 + i % 7) for i in range(900)]
+    rows = K.shard_documents(table(spark, texts), target_bytes=1500).collect()
+    n = -(-sum(x.size for x in rows) // 1500)
+    by = shards(rows)
+    assert set(by) == set(range(n)) and n > 30 and max(sum(x.size for x in own) for own in by.values()) < 1.2 * 1500
+
+
+def test_rows_that_repeat_very_often(spark, monkeypatch):
+    monkeypatch.setattr(C, "COPIES", 100)
+    rows = K.shard_documents(table(spark, ["same"] * 700 + ["x", None], ids=[None] * 700 + [1, 2])).collect()
+    assert len(rows) == 702
+    for own in shards(rows).values():
+        assert sorted(x.slot for x in own) == list(range(len(own)))
+
+
 def test_few_rows(spark):
     assert K.shard_documents(empty(spark)).count() == 0
     rows = K.shard_documents(table(spark, ["a", "a", None], ids=[1, 1, None])).collect()
