@@ -10,10 +10,12 @@ from __future__ import annotations
 import hashlib
 import json
 import re
-import struct
+import sys
 import unicodedata
+from array import array
 from collections.abc import Callable, Iterable, Iterator
 from functools import lru_cache
+from heapq import heapify, heappop, heappush
 
 import pyarrow as pa
 import regex
@@ -23,6 +25,10 @@ from .common import spread, whole_text
 
 #: Entries of a generation of each of a worker's two tables.
 CACHE = 200_000
+#: Longer runs are encoded each time; only shorter ones are kept in the tables.
+LONGEST_KEPT = 256
+#: Fragments of more symbols are merged by a queue of pairs.
+SHORT = 24
 END = "</w>"
 SPECIAL = ("<|startoftext|>", "<|endoftext|>")
 _PIECES = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+")
@@ -67,6 +73,7 @@ class ForcedBoundaryBpe:
         self.rank = {tuple(m if isinstance(m, list) else m.split(" ")): k for k, m in enumerate(file["model"]["merges"])}
         self.special = {t["content"]: t["id"] for t in file["added_tokens"]}
         self.tokens = {i: t for t, i in (self.ids | self.special).items()}
+        self.token = [self.tokens.get(i) for i in range(max(self.tokens, default=-1) + 1)]
         self.letters = byte_letters()
         self.beside = {p for t in self.ids for s in [self.symbols(t)] for p in zip(s, s[1:])}
         self._cut = re.compile("|".join(map(re.escape, sorted(self.special)))) if self.special else None
@@ -93,6 +100,8 @@ class ForcedBoundaryBpe:
 
     def merge(self, fragment: tuple[str, ...]) -> tuple[int, ...]:
         """Ids of a fragment: the pair of lowest rank is joined, leftmost first, until none is left."""
+        if len(fragment) > SHORT:
+            return self._merge_long(fragment)
         parts, rank, none = list(fragment), self.rank.get, len(self.rank)
         ranks = [rank(p, none) for p in zip(parts, parts[1:])]
         while ranks and (low := min(ranks)) < none:
@@ -105,43 +114,93 @@ class ForcedBoundaryBpe:
                 ranks[k - 1] = rank((parts[k - 1], parts[k]), none)
         return tuple([self.ids[p] for p in parts if p in self.ids])
 
-    def piece(self, piece: str) -> tuple[bytes, str]:
-        """Packed ids and joined tokens of a match of the splitting pattern."""
-        ids = [i for fragment in self.split(piece) for i in self.merge(fragment)]
-        return struct.pack(f"<{len(ids)}I", *ids), " ".join([self.tokens[i] for i in ids])
+    def _merge_long(self, fragment: tuple[str, ...]) -> tuple[int, ...]:
+        """The same in n log n steps: symbols are a linked list and their pairs wait in a heap by rank
+        and place; an entry whose pair has changed since is passed over."""
+        parts, rank, n = list(fragment), self.rank.get, len(fragment)
+        after, before = list(range(1, n + 1)), list(range(-1, n - 1))
+        now = [rank(p) for p in zip(parts, parts[1:])] + [None]  # rank of the pair that begins at each symbol
+        heap = [(r, k) for k, r in enumerate(now) if r is not None]
+        heapify(heap)
+        while heap:
+            r, k = heappop(heap)
+            if now[k] != r:
+                continue
+            gone = after[k]
+            parts[k] += parts[gone]
+            parts[gone], now[gone] = None, None
+            after[k] = after[gone]
+            if after[k] < n:
+                before[after[k]] = k
+                now[k] = rank((parts[k], parts[after[k]]))
+                if now[k] is not None:
+                    heappush(heap, (now[k], k))
+            else:
+                now[k] = None
+            left = before[k]
+            if left >= 0:
+                now[left] = rank((parts[left], parts[k]))
+                if now[left] is not None:
+                    heappush(heap, (now[left], left))
+        return tuple([self.ids[p] for p in parts if p in self.ids])
+
+    def piece(self, piece: str) -> bytes:
+        """Packed ids of a match of the splitting pattern."""
+        return _packed([i for fragment in self.split(piece) for i in self.merge(fragment)])
 
-    def chunk(self, chunk: str) -> tuple[bytes, str]:
+    def chunk(self, chunk: str) -> bytes:
         """The same of a run without white space."""
         if chunk.isascii() and chunk.isalpha():
-            return self.pieces[chunk]
-        ids, tokens = zip(*map(self.pieces.__getitem__, _PIECES.findall(chunk)))
-        return b"".join(ids), " ".join(filter(None, tokens))
+            return self._kept(self.pieces, chunk)
+        return b"".join([self._kept(self.pieces, p) for p in _PIECES.findall(chunk)])
 
-    def pairs(self, text: str) -> Iterator[tuple[bytes, str]]:
-        """Packed ids and tokens of a whole text, chunk by chunk; special tokens stand for themselves."""
+    @staticmethod
+    def _kept(table: Generations, key: str) -> bytes:
+        return table[key] if len(key) <= LONGEST_KEPT else table.make(key)
+
+    def packed(self, text: str) -> bytes:
+        """Ids of a whole text, little-endian 32-bit integers; special tokens stand for themselves."""
         if not self._cut or "<|" not in text:
-            yield from self._plain(text)
-            return
-        start = 0
+            return b"".join(self._plain(text))
+        out, start = [], 0
         for m in self._cut.finditer(text):
-            yield from self._plain(text[start : m.start()])
-            yield struct.pack("<I", self.special[m[0]]), m[0]
+            out += self._plain(text[start : m.start()])
+            out.append(_packed([self.special[m[0]]]))
             start = m.end()
-        yield from self._plain(text[start:])
+        return b"".join([*out, *self._plain(text[start:])])
 
-    def _plain(self, text: str) -> Iterator[tuple[bytes, str]]:
+    def _plain(self, text: str) -> Iterator[bytes]:
         if not text.isascii():
             text = unicodedata.normalize("NFC", text).replace("Σ", "σ")  # no sigma of its own at a word's end
         text = text.lower()
         chunks = _SPACE.split(text) if _CONTROLS.search(text) else text.split()
-        return map(self.chunks.__getitem__, filter(None, chunks))
+        return (self._kept(self.chunks, c) for c in chunks if c)
 
     def encode(self, text: str) -> list[int]:
-        packed = b"".join(ids for ids, _ in self.pairs(text))
-        return list(struct.unpack(f"<{len(packed) // 4}I", packed))
+        return _unpacked(self.packed(text)).tolist()
 
     def decode(self, ids: Iterable[int]) -> str:
-        return " ".join(self.tokens[i] for i in ids if i in self.tokens)
+        """The tokens of the ids, apart by spaces; ids that no token has are left out."""
+        own, n = self.token, len(self.token)
+        try:
+            return " ".join([own[i] for i in ids])
+        except (IndexError, TypeError):
+            return " ".join([own[i] for i in ids if 0 <= i < n and own[i] is not None])
+
+
+def _packed(ids: list[int]) -> bytes:
+    out = array("I", ids)
+    if sys.byteorder == "big":
+        out.byteswap()
+    return out.tobytes()
+
+
+def _unpacked(packed: bytes) -> array:
+    out = array("I")
+    out.frombytes(packed)
+    if sys.byteorder == "big":
+        out.byteswap()
+    return out
 
 
 @lru_cache(maxsize=2)
@@ -161,8 +220,11 @@ def encode_documents(docs: DataFrame, path: str | None = None, with_ids: bool =
     ids as packed little-endian 32-bit integers.
 
     A null text counts as empty: no tokens, and the digests of nothing. Rows are encoded each for
-    itself, so repeated rows give repeated results and an empty table none. A worker keeps at most
-    ``2 * CACHE`` words and as many fragments.
+    itself, so repeated rows (and null or repeated ids) give repeated results and an empty table
+    none; only doc_id and text are read, so further columns cannot clash. Among pairs of equal rank
+    the leftmost is merged first. A very long text costs its length, a very long word n log n steps;
+    a worker keeps at most ``2 * CACHE`` words and as many pieces, none above ``LONGEST_KEPT``
+    letters. The decoded text is made from the packed ids alone.
     """
     path = path or vocabulary_path()
     schema = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string" + ", ids binary" * with_ids
@@ -175,10 +237,8 @@ def encode_documents(docs: DataFrame, path: str | None = None, with_ids: bool =
                 part = batch.slice(k, 500)
                 rows: list[list] = [[] for _ in names]
                 for doc_id, text in zip(part["doc_id"].to_pylist(), part["text"]):
-                    both = list(bpe.pairs(text.as_py()))
-                    packed = b"".join([x for x, _ in both])
-                    decoded = " ".join([t for _, t in both if t])
-                    # ids and text agree with decode(): both come from the same tokens
+                    packed = bpe.packed(text.as_py())
+                    decoded = bpe.decode(_unpacked(packed))
                     row = (doc_id, len(packed) // 4, hashlib.sha256(packed).hexdigest(), hashlib.sha256(decoded.encode()).hexdigest(), packed)
                     for column, value in zip(rows, row):
                         column.append(value)
@@ -189,4 +249,5 @@ def encode_documents(docs: DataFrame, path: str | None = None, with_ids: bool =
 
 
 def op7_forced_boundary_bpe(spark, sf_dir: str) -> DataFrame:
+    """``encode_documents`` of all ``documents``, which states what nulls, empty and long texts give."""
     return encode_documents(spark.read.parquet(f"{sf_dir}/documents.parquet"))

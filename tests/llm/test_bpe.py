@@ -1,6 +1,7 @@
 import hashlib
 import random
 import struct
+import time
 
 import pytest
 from tokenizers import Tokenizer
@@ -53,6 +54,32 @@ def test_full_tables_keep_results(monkeypatch, library):
     assert len(own.chunks) <= 3 and len(own.chunks.old) <= 3
 
 
+@pytest.mark.parametrize("word", ["a" * 1_000_000, "ab" * 500_000, "-" * 1_000_000, "é" * 300_000])
+def test_very_long_words(library, word):
+    """A word of a million letters is merged in n log n steps and kept in no table."""
+    own, began = bpe.ForcedBoundaryBpe(PATH), time.time()
+    ids = own.encode(word)
+    assert time.time() - began < 60
+    assert ids == library.encode(word, add_special_tokens=False).ids
+    assert max(map(len, [*own.chunks, *own.pieces]), default=0) <= bpe.LONGEST_KEPT
+
+
+def test_long_and_short_merges_agree(monkeypatch):
+    own, r = bpe.load(PATH), random.Random(2)
+    for _ in range(300):
+        letters = ["".join(r.choices("aeinrst", k=1)) for _ in range(r.randrange(2, 60))]
+        letters[-1] += bpe.END
+        monkeypatch.setattr(bpe, "SHORT", 100)
+        want = own.merge(tuple(letters))
+        monkeypatch.setattr(bpe, "SHORT", 0)
+        assert own.merge(tuple(letters)) == want
+
+
+def test_decoding_of_ids_that_no_token_has(library):
+    own = bpe.load(PATH)
+    assert own.decode([320, 10**6, 321]) == own.decode([320, 321]) == library.decode([320, 321], skip_special_tokens=False)
+
+
 def test_report(spark, library):
     texts = awkward() + odd_texts()[:40]
     rows = {r.doc_id: r for r in bpe.encode_documents(table(spark, texts), with_ids=True).collect()}
