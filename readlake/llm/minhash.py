@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .buckets import pairs_within, whole_runs
-from .common import saved, spread, whole_text
+from .common import join_hot, saved, spread, whole_text
 from .graph import components
 
 ROWS, BANDS, BATCH = 6, 48, 32
@@ -292,15 +292,21 @@ def verify_pairs(pairs: DataFrame, full: DataFrame, threshold: tuple[int, int])
 
 def verify_tasks(tasks: DataFrame, rooted: DataFrame, full: DataFrame, threshold: tuple[int, int]) -> DataFrame:
     """A link (a, b) for each task (a, root) and block of that root's members where there is one.
-    Members are dealt over blocks of about ``BLOCK`` and the tasks' sets go to every block of theirs."""
+    Members and the tasks of a root are both dealt over blocks of about ``BLOCK``; each block of
+    tasks meets each block of members in a group of its own."""
     num, den = threshold
     least = least_matches(num / den)
-    own = rooted.join(tasks.select("root").distinct(), "root", "left_semi").join(full, "set_id")
+    asked = tasks.groupBy("root").agg(F.ceil(F.count(F.lit(1)) / BLOCK).alias("ask_blocks"))
+    own = rooted.join(asked, "root").join(full, "set_id")
     blocks = own.groupBy("root").agg(F.ceil(F.count(F.lit(1)) / BLOCK).alias("blocks"))
-    mine = own.join(blocks, "root").select("root", F.pmod(F.xxhash64("set_id"), F.col("blocks")).alias("part"), F.lit(False).alias("asks"), "set_id", "n_shingles", "signature", "shingles")
+    every = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.col(n) - 1))
+    place = F.xxhash64("set_id", "root")
+    part = F.col("own") * F.col("ask_blocks") + F.col("ask")
+    columns = ["root", part.alias("part"), "asks", "set_id", "n_shingles", "signature", "shingles"]
+    mine = own.join(blocks, "root").withColumns({"own": F.pmod(place, "blocks"), "asks": F.lit(False)}).withColumn("ask", every("ask_blocks")).select(*columns)
     sets = rooted.drop("root").join(full, "set_id")
-    asks = tasks.select("root", F.col("a").alias("set_id")).join(blocks, "root").join(sets, "set_id")
-    asks = asks.select("root", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).alias("part"), F.lit(True).alias("asks"), "set_id", "n_shingles", "signature", "shingles")
+    asks = tasks.select("root", F.col("a").alias("set_id")).join(asked, "root").join(blocks, "root").join(sets, "set_id")
+    asks = asks.withColumns({"ask": F.pmod(place, "ask_blocks"), "asks": F.lit(True)}).withColumn("own", every("blocks")).select(*columns)
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for table in whole_runs(batches):
@@ -334,11 +340,13 @@ def near_duplicates(docs: DataFrame, k: int = 5, threshold: tuple[int, int] = (8
     component_id is the smallest doc_id that links reach, kept marks it; where no
     member has an id, component_id is null and kept marks the rows of one text. Equal texts are linked
     always; a pair of different sets at the threshold shares no bucket with chance ``(1 - s**ROWS)
-    ** BANDS`` (5e-7 at 0.8). Repeated rows of a doc_id give a row each; an empty table gives none.
+    ** BANDS`` (5e-7 at 0.8). A similarity of just the threshold links. Repeated rows of a doc_id
+    give a row each; an empty table gives none. A very long text is hashed whole, in pieces; only
+    doc_id and text are read, so further columns cannot clash.
     """
     docs = docs.select("doc_id", "text")
     members = saved(features(docs, k))
-    classes = saved(members.where(F.col("set_id").isNotNull()).groupBy("set_id").agg(F.min("doc_id").alias("least"), F.min("text_hash").alias("least_hash"), F.first("n_shingles").alias("n_shingles"), F.first("signature").alias("signature")))
+    classes = saved(members.where(F.col("set_id").isNotNull()).groupBy("set_id").agg(F.min("doc_id").alias("least"), F.min("text_hash").alias("least_hash"), F.count(F.lit(1)).alias("n"), F.first("n_shingles").alias("n_shingles"), F.first("signature").alias("signature")))
     bands = _bands(classes)
     shared = bands.groupBy("bucket").agg(F.count(F.lit(1)).alias("size")).where("size > 1")
     inside = saved(bands.join(shared, "bucket"))
@@ -366,22 +374,28 @@ def near_duplicates(docs: DataFrame, k: int = 5, threshold: tuple[int, int] = (8
     links = saved(links.unionByName(more))
     roots = components(links.select(F.col("a").alias("u"), F.col("b").alias("v")))
 
-    own = classes.select("set_id", "least", "least_hash").join(roots.withColumnRenamed("node", "set_id"), "set_id", "left").withColumn("root", F.coalesce("root", "set_id"))
+    own = classes.select("set_id", "n", "least", "least_hash").join(roots.withColumnRenamed("node", "set_id"), "set_id", "left").withColumn("root", F.coalesce("root", "set_id"))
     tops = own.groupBy("root").agg(F.min("least").alias("component_id"), F.min("least_hash").alias("top_hash"))
-    labels = own.join(tops, "root").select("set_id", "component_id", "top_hash")
-    out = members.select("doc_id", "n_shingles", "set_id", "text_hash").join(labels, "set_id", "left")
+    labels = saved(own.join(tops, "root").select("set_id", "n", "component_id", "top_hash"))
+    rows = members.select("doc_id", "n_shingles", "set_id", "text_hash")
+    found = join_hot(rows.where("set_id is not null"), labels, "set_id", "n", rows.count())
+    none = rows.where("set_id is null").withColumns({"component_id": F.lit(None).cast("long"), "top_hash": F.lit(None).cast("long")})
+    out = found.unionByName(none)
     component = F.coalesce("component_id", "doc_id")
     kept = F.col("doc_id").eqNullSafe(component) & (component.isNotNull() | F.coalesce(F.col("text_hash") == F.col("top_hash"), F.lit(True)))
     return out.select("doc_id", "n_shingles", component.alias("component_id"), kept.alias("kept"), "text_hash")
 
 
 def keep_one_of_each(docs: DataFrame, k: int = 5, threshold: tuple[int, int] = (80, 100)) -> DataFrame:
-    """The documents, with all their columns, without all but one of each group of near duplicates.
-    Rows are told apart by id and text, so one without an id stays if no group has taken it."""
+    """The documents, with all their columns, without all but one of each group of near duplicates:
+    that of the smallest id. Rows are told apart by id and text, so one without an id stays if no
+    group has taken it, of rows that repeat both one stays, and so does every empty or null text of
+    an id of its own. Columns of any name pass through."""
     found = near_duplicates(docs, k, threshold).where("kept").select(F.col("doc_id").alias("_readlake_doc"), F.col("text_hash").alias("_readlake_hash")).distinct()
     on = F.col("doc_id").cast("long").eqNullSafe(F.col("_readlake_doc")) & (F.xxhash64(whole_text()) == F.col("_readlake_hash"))
     return docs.join(found, on, "left_semi").dropDuplicates(["doc_id", "text"])
 
 
 def op9_bayes_minhash(spark, sf_dir: str) -> DataFrame:
+    """``near_duplicates`` of all ``documents`` by runs of two words; its docstring states every case."""
     return near_duplicates(spark.read.parquet(f"{sf_dir}/documents.parquet"), k=2).drop("text_hash")
