@@ -20,15 +20,16 @@ from pyspark.sql import functions as F
 
 from .common import spread, whole_text
 
-#: The sample that the model is fitted on: documents of a language, languages, and bytes of a text.
-TRAIN_DOCS, TRAIN_LANGS, TRAIN_BYTES = 300, 64, 2000
-#: Rows of each hashed feature table.
-TABLE = 1 << 16
+#: The sample that the model is fitted on: documents of a language at most and of all together (but one
+#: of each at least), and characters of a text, from a place that depends on its id.
+TRAIN_DOCS, TRAIN_ALL, TRAIN_CHARS = 300, 19_200, 2000
+#: Rows of each hashed feature table, and weights of one at most: many languages share fewer rows.
+TABLE, WEIGHTS = 1 << 16, 1 << 22
 #: A word is in the lexicon if the sample has it so often.
 LEXICON_COUNT = 3
 #: Words of a training sequence, words of one language in a row there, passes, step and decay.
 SEQUENCE, SWITCH, EPOCHS, STEP, DECAY = 64, 16, 6, 0.3, 1e-4
-#: Words of a block, and bytes of text that are worked on at once.
+#: Words of a block, and bytes of text that are worked on at once with up to 16 languages.
 BLOCK, CHUNK = 32, 1 << 18
 UNKNOWN = "und"
 #: Bytes that are no letters part words; A-Z are in lower case by then.
@@ -38,9 +39,14 @@ _LETTERS = bytes(b if b > 127 or chr(b).isalpha() else 32 for b in range(256))
 @dataclass
 class Model:
     labels: list[str]
-    weights: np.ndarray  # (3 * TABLE + lexicon + 1, labels)
+    weights: np.ndarray  # (3 * table + lexicon + 1, labels)
     transitions: np.ndarray
     lexicon: np.ndarray  # sorted word hashes
+    table: int = TABLE
+
+    def chunk(self) -> int:
+        """Bytes of text at once: the transfer matrices of its blocks grow with the square of the labels."""
+        return max(1 << 10, int(CHUNK / max(1.0, len(self.labels) / 16) ** 2))
 
 
 def prepare(text: bytes) -> bytes:
@@ -64,7 +70,7 @@ def word_hashes(data: np.ndarray, starts: np.ndarray, lengths: np.ndarray) -> np
     return np.add.reduceat(terms, np.cumsum(lengths) - lengths)
 
 
-def word_features(data: np.ndarray, lexicon: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def word_features(data: np.ndarray, lexicon: np.ndarray, table: int = TABLE) -> tuple[np.ndarray, np.ndarray]:
     """Feature rows of all words of prepared text, and where each word's begin: pairs and triples of
     bytes with the spaces at both ends, the two affixes of three bytes, and the lexicon entry."""
     space = data == 32
@@ -78,15 +84,15 @@ def word_features(data: np.ndarray, lexicon: np.ndarray) -> tuple[np.ndarray, np
     n = 2 * lengths + 4  # length + 1 pairs, length triples, two affixes, the entry
     begin = np.cumsum(n) - n
     out = np.empty(int(n.sum()), np.int64)
-    for values, count, shift, at in ((pair, lengths + 1, 0, 0), (triple, lengths, TABLE, lengths + 1)):
+    for values, count, shift, at in ((pair, lengths + 1, 0, 0), (triple, lengths, table, lengths + 1)):
         place = np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count)
-        out[np.repeat(begin + at, count) + place] = values[np.repeat(starts - 1, count) + place] + np.int64(shift)
-    out[begin + 2 * lengths + 1] = quad[starts - 1].astype(np.int64) + 2 * TABLE
-    out[begin + 2 * lengths + 2] = quad[np.maximum(ends - 3, 0)].astype(np.int64) + 2 * TABLE
+        out[np.repeat(begin + at, count) + place] = values[np.repeat(starts - 1, count) + place] % table + np.int64(shift)
+    out[begin + 2 * lengths + 1] = quad[starts - 1].astype(np.int64) % table + 2 * table
+    out[begin + 2 * lengths + 2] = quad[np.maximum(ends - 3, 0)].astype(np.int64) % table + 2 * table
     own = word_hashes(data, starts, lengths)
     at = np.searchsorted(lexicon, own)
     known = lexicon[np.minimum(at, len(lexicon) - 1)] == own if len(lexicon) else np.zeros(len(own), bool)
-    out[begin + 2 * lengths + 3] = 3 * TABLE + np.where(known, at, len(lexicon))
+    out[begin + 2 * lengths + 3] = 3 * table + np.where(known, at, len(lexicon))
     return out, begin
 
 
@@ -138,17 +144,29 @@ def marginals(scores: np.ndarray, counts: np.ndarray, transitions: np.ndarray) -
     return out
 
 
-def _batches(texts: list[bytes]) -> Iterator[tuple[list[int], np.ndarray]]:
-    """Indices and joined prepared texts of about CHUNK bytes; texts without words are left out."""
-    held, size = [], 0
+def pieces(text: bytes, size: int) -> Iterator[bytes]:
+    """Prepared text in pieces of about ``size`` bytes, cut between words; each has its outer spaces."""
+    start = 0
+    while len(text) - start > size:
+        cut = text.find(b" ", start + size)
+        if cut < 0 or cut == len(text) - 1:
+            break
+        yield text[start : cut + 1]
+        start = cut
+    if text[start:].strip():
+        yield text[start:]
+
+
+def _batches(texts: list[bytes], size: int) -> Iterator[tuple[list[int], list[bytes]]]:
+    """Indices and prepared pieces of texts of about ``size`` bytes together; texts without words are left out."""
+    held, total = [], 0
     for n, text in enumerate(texts):
-        own = prepare(text)
-        if own:
+        for own in pieces(prepare(text), size):
             held.append((n, own))
-            size += len(own)
-        if size >= CHUNK:
-            yield [i for i, _ in held], [t for _, t in held]
-            held, size = [], 0
+            total += len(own)
+            if total >= size:
+                yield [i for i, _ in held], [t for _, t in held]
+                held, total = [], 0
     if held:
         yield [i for i, _ in held], [t for _, t in held]
 
@@ -157,29 +175,46 @@ def label_words(model: Model, texts: list[bytes]) -> tuple[np.ndarray, np.ndarra
     """Chances of the labels at each word of prepared non-empty texts, and their numbers of words."""
     counts = np.array([t.count(b" ") - 1 for t in texts])
     data = np.frombuffer(b"".join([t[:-1] for t in texts]) + b" ", np.uint8)
-    features, begin = word_features(data, model.lexicon)
+    features, begin = word_features(data, model.lexicon, model.table)
     return marginals(emissions(features, begin, model.weights), counts, model.transitions), counts
 
 
-def judge(model: Model, texts: list[bytes]) -> list[tuple[str, float, float]]:
-    """Language, its mean chance over the words, and the mean of each word's highest chance, of each whole text."""
-    out = [(UNKNOWN, 0.0, 0.0)] * len(texts)
+@dataclass
+class Verdict:
+    """Language of a text and its mean chance over the words, the mean of each word's highest chance,
+    and how many words have each label as their likeliest."""
+
+    lang: str = UNKNOWN
+    score: float = 0.0
+    sure: float = 0.0
+    words: dict[str, int] | None = None
+
+
+def judge(model: Model, texts: list[bytes]) -> list[Verdict]:
+    """A verdict on each whole text. One that is longer than what is worked on at once is labelled in
+    pieces; of languages with equal means the first by name holds."""
+    out = [Verdict() for _ in texts]
     if not model.labels:
         return out
-    for rows, own in _batches([t if has_letter(t) else b"" for t in texts]):
+    size = len(model.labels)
+    total, sure, top = np.zeros((len(texts), size)), np.zeros(len(texts)), np.zeros((len(texts), size), np.int64)
+    for rows, own in _batches([t if has_letter(t) else b"" for t in texts], model.chunk()):
         chances, counts = label_words(model, own)
         first = np.cumsum(counts) - counts
-        mean = np.add.reduceat(chances, first, axis=0) / counts[:, None]
-        best = mean.argmax(1)
-        sure = np.add.reduceat(chances.max(1), first) / counts
-        for n, k, p, c in zip(rows, best.tolist(), mean[np.arange(len(best)), best].tolist(), sure.tolist()):
-            out[n] = (model.labels[k], round(min(1.0, p), 9), round(min(1.0, c), 9))  # batches differ in the last bits
+        np.add.at(total, rows, np.add.reduceat(chances, first, axis=0))
+        np.add.at(sure, rows, np.add.reduceat(chances.max(1), first))
+        np.add.at(top, (np.repeat(rows, counts), chances.argmax(1)), 1)
+    n = top.sum(1)
+    for k in np.flatnonzero(n).tolist():
+        mean = np.round(np.minimum(1.0, total[k] / n[k]), 9)  # batches differ in the last bits
+        best = int(mean.argmax())
+        out[k] = Verdict(model.labels[best], float(mean[best]), round(min(1.0, float(sure[k] / n[k])), 9), {model.labels[j]: int(top[k, j]) for j in np.flatnonzero(top[k]).tolist()})
     return out
 
 
 def predict(model: Model, texts: list[bytes]) -> list[tuple[str, float]]:
     """Language and its mean chance over the words of each whole text."""
-    return [(lang, score) for lang, score, _ in judge(model, texts)]
+    return [(v.lang, v.score) for v in judge(model, texts)]
 
 
 def fit(samples: list[tuple[str, bytes]], seed: int = 1) -> Model:
@@ -193,6 +228,7 @@ def fit(samples: list[tuple[str, bytes]], seed: int = 1) -> Model:
     labels = [label for label in labels if words[label]]
     if not labels:
         return Model([], np.zeros((3 * TABLE + 1, 0)), np.zeros((0, 0)), np.zeros(0, np.uint64))
+    table = min(TABLE, max(1 << 10, 1 << int(np.log2(WEIGHTS / len(labels)))))
     sequence, truth = [], []
     places = {label: 0 for label in labels}
     while places:
@@ -209,10 +245,10 @@ def fit(samples: list[tuple[str, bytes]], seed: int = 1) -> Model:
     hashes = word_hashes(data, space[:-1] + 1, np.diff(space) - 1)
     values, counts = np.unique(hashes, return_counts=True)
     lexicon = values[counts >= LEXICON_COUNT]
-    features, begin = word_features(data, lexicon)
+    features, begin = word_features(data, lexicon, table)
     n, size = len(truth), len(labels)
     width = np.diff(np.append(begin, len(features)))
-    weights, transitions = np.zeros((3 * TABLE + len(lexicon) + 1, size)), np.zeros((size, size))
+    weights, transitions = np.zeros((3 * table + len(lexicon) + 1, size)), np.zeros((size, size))
     seen, seen_t = np.full(weights.shape, 1e-2), np.full(transitions.shape, 1e-2)
     goal = np.eye(size)[truth]
     pieces = np.arange(0, n, SEQUENCE)
@@ -241,7 +277,7 @@ def fit(samples: list[tuple[str, bytes]], seed: int = 1) -> Model:
             grad_t = (joint - true) / SEQUENCE + DECAY * transitions
             seen_t += grad_t**2
             transitions -= STEP * grad_t / np.sqrt(seen_t)
-    return Model(labels, weights.astype(np.float32), transitions, lexicon)
+    return Model(labels, weights.astype(np.float32), transitions, lexicon, table)
 
 
 def _pairs(scores: np.ndarray, chances: np.ndarray, before: np.ndarray, now: np.ndarray, transitions: np.ndarray) -> np.ndarray:
@@ -260,29 +296,34 @@ def held_out(doc_id: Column) -> Column:
     return F.crc32(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary")) % 5 == 0
 
 
-def training_sample(docs: DataFrame, docs_each: int = TRAIN_DOCS, langs: int = TRAIN_LANGS, size: int = TRAIN_BYTES) -> list[tuple[str, bytes]]:
-    """Up to ``docs_each`` documents of each of the ``langs`` most frequent languages, by hash of
-    their id, ``size`` characters each: a bounded sample, the same in any layout."""
+def training_sample(docs: DataFrame, docs_each: int = TRAIN_DOCS, in_all: int = TRAIN_ALL, size: int = TRAIN_CHARS) -> list[tuple[str, bytes]]:
+    """Up to ``docs_each`` documents of every language, ``in_all`` of all together, by hash of their
+    id, and ``size`` characters of each from a place that the hash gives: a bounded sample, the same
+    in any layout. No language is left out; with very many of them each has fewer documents."""
     place = F.xxhash64(F.col("doc_id").cast("string"))
     usable = docs.where(~held_out(F.col("doc_id")) & F.col("lang").isNotNull())  # counted without the texts
-    most = usable.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(langs)
-    n = {r["lang"]: r["count"] for r in most.collect()}
+    n = {r["lang"]: r["count"] for r in usable.groupBy("lang").count().collect()}
     if not n:
         return []
+    each = max(1, min(docs_each, in_all // len(n)))
     # hashes are uniform, so a slightly generous share of them holds the sample; the smallest are kept
-    share = F.create_map(*[x for k, c in n.items() for x in (F.lit(k), F.lit(min(1.0, (docs_each + 6 * docs_each**0.5) / c)))])
+    share = F.create_map(*[x for k, c in sorted(n.items()) for x in (F.lit(k), F.lit(min(1.0, (each + 6 * each**0.5) / c)))])
     below = (place.cast("double") / F.lit(2.0**63) + 1) / 2 <= share[F.col("lang")]
-    rows = usable.where(F.col("text").isNotNull() & F.col("lang").isin(list(n)) & below).select("lang", place.alias("h"), F.substring("text", 1, size).alias("text"))
+    start = F.pmod(F.xxhash64(F.lit("window"), F.col("doc_id").cast("string")), F.greatest(F.lit(1), F.length("text") - size + 1)) + 1
+    rows = usable.where(F.col("text").isNotNull() & below).select("lang", place.alias("h"), F.substring(F.col("text"), start.cast("int"), F.lit(size)).alias("text"))
     first = F.row_number().over(W.partitionBy("lang").orderBy("h", "text"))
-    return [(r["lang"], r["text"].encode()) for r in rows.withColumn("k", first).where(F.col("k") <= docs_each).collect()]
+    return [(r["lang"], r["text"].encode()) for r in rows.withColumn("k", first).where(F.col("k") <= each).collect()]
 
 
 def identify(docs: DataFrame, model: Model | None = None) -> DataFrame:
-    """doc_id, held_out, lang_pred, score of every whole text; the model is learned from the
-    documents that aren't held out unless it is given.
-
-    ``und`` with score 0 where a text is null or has no letter, and everywhere if there is nothing
-    to learn from. Rows stand each for itself; an empty table gives none.
+    """doc_id, held_out, lang_pred, score, words of every whole text; words tells how many words have
+    which language, as ``de:3,en:40``. The model is learned from the documents that aren't held out
+    unless it is given.
+
+    ``und`` with score 0 and no words where a text is null, empty or has no letter, and everywhere if
+    there is nothing to learn from. Of languages with equal means the first by name holds. A text of
+    more than a chunk is labelled whole, in pieces cut between words. Rows stand each for itself,
+    repeated ids too; an empty table gives none; other columns are not read.
     """
     model = model or fit(training_sample(docs))
     shared = docs.sparkSession.sparkContext.broadcast(model)
@@ -291,17 +332,46 @@ def identify(docs: DataFrame, model: Model | None = None) -> DataFrame:
         for batch in batches:
             for a in range(0, batch.num_rows, 1000):
                 part = batch.slice(a, 1000)
-                langs, scores = zip(*predict(shared.value, part["data"].to_pylist()))
-                yield pa.RecordBatch.from_arrays([part["doc_id"], part["held_out"], pa.array(langs, pa.string()), pa.array(scores, pa.float64())], ["doc_id", "held_out", "lang_pred", "score"])
+                found = judge(shared.value, part["data"].to_pylist())
+                words = [",".join(f"{k}:{n}" for k, n in sorted((v.words or {}).items())) for v in found]
+                columns = [pa.array([v.lang for v in found], pa.string()), pa.array([v.score for v in found], pa.float64()), pa.array(words, pa.string())]
+                yield pa.RecordBatch.from_arrays([part["doc_id"], part["held_out"], *columns], ["doc_id", "held_out", "lang_pred", "score", "words"])
 
     rows = spread(docs.select(docs["doc_id"].cast("long").alias("doc_id"), held_out(F.col("doc_id")).alias("held_out"), whole_text().cast("binary").alias("data")), "doc_id")
-    return rows.mapInArrow(run, "doc_id long, held_out boolean, lang_pred string, score double")
+    return rows.mapInArrow(run, "doc_id long, held_out boolean, lang_pred string, score double, words string")
+
+
+def language_spans(docs: DataFrame, model: Model | None = None) -> DataFrame:
+    """(doc_id, start, end, lang): runs of words [start, end) of one language in every text, words
+    from 0 between non-letters. Texts without a letter have none."""
+    model = model or fit(training_sample(docs))
+    shared = docs.sparkSession.sparkContext.broadcast(model)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own = shared.value
+        for batch in batches:
+            ids = batch["doc_id"].to_pylist()
+            texts = [t if has_letter(t) else b"" for t in batch["data"].to_pylist()] if own.labels else []
+            held: dict[int, list[np.ndarray]] = {}
+            for rows, parts in _batches(texts, own.chunk()):
+                chances, counts = label_words(own, parts)
+                for k, best in zip(rows, np.split(chances.argmax(1), np.cumsum(counts)[:-1])):
+                    held.setdefault(k, []).append(best)
+            for k, best in held.items():
+                labels = np.concatenate(best)
+                starts = np.flatnonzero(np.concatenate([[True], labels[1:] != labels[:-1]]))
+                ends = np.append(starts[1:], len(labels))
+                yield pa.RecordBatch.from_arrays([pa.array([ids[k]] * len(starts), pa.int64()), pa.array(starts, pa.int64()), pa.array(ends, pa.int64()), pa.array([own.labels[x] for x in labels[starts]], pa.string())], ["doc_id", "start", "end", "lang"])
+
+    rows = spread(docs.select(docs["doc_id"].cast("long").alias("doc_id"), whole_text().cast("binary").alias("data")), "doc_id")
+    return rows.mapInArrow(run, "doc_id long, start long, end long, lang string")
 
 
 def keep_identified(docs: DataFrame, least: float, model: Model | None = None) -> DataFrame:
     """The documents, with all their columns, in which the mean of each word's highest chance is at
     least ``least``, or with more than three labels that share of three even chances; those that are
-    ``und`` go. Words may be of several languages, in any shares. Nothing is moved or joined."""
+    ``und`` (null, empty, no letter) go. Words may be of several languages, in any shares. Nothing is
+    moved or joined, so repeated rows, null ids and columns of any name pass through."""
     model = model or fit(training_sample(docs))
     least = least * 3 / max(3, len(model.labels))
     shared = docs.sparkSession.sparkContext.broadcast(model)
@@ -312,10 +382,11 @@ def keep_identified(docs: DataFrame, least: float, model: Model | None = None) -
             for a in range(0, batch.num_rows, 1000):
                 part = batch.slice(a, 1000)
                 found = judge(shared.value, [(t or "").encode("utf-8", "surrogatepass") for t in part.column(place).to_pylist()])
-                yield part.filter(pa.array([lang != UNKNOWN and sure >= least for lang, _, sure in found], pa.bool_()))
+                yield part.filter(pa.array([v.lang != UNKNOWN and v.sure >= least for v in found], pa.bool_()))
 
     return docs.mapInArrow(run, docs.schema)
 
 
 def op6_crf_language(spark, sf_dir: str) -> DataFrame:
+    """``identify`` for all ``documents``, learned from those that aren't held out; every case is stated there."""
     return identify(spark.read.parquet(f"{sf_dir}/documents.parquet"))
