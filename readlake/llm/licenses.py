@@ -12,14 +12,16 @@ from collections.abc import Iterator, Mapping, Sequence
 from dataclasses import dataclass
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from .common import spread, whole_text
 
 #: Phrases whose every occurrence counts, and their labels.
 PHRASES = {"mit license": "mit", "apache license": "apache", "general public license": "gpl"}
 
-#: Notices and openings of public licences, as (label, text).
+#: Notices, openings and short whole texts of public licences, as (label, text); fixed values.
+#: ``templates_from`` reads long ones from files.
 TEMPLATES = (
     ("apache-2.0", "Licensed under the Apache License, Version 2.0."),
     ("apache-2.0", "you may not use this file except in compliance with the License. You may obtain a copy of the License at http://www.apache.org/licenses/LICENSE-2.0"),
@@ -30,6 +32,9 @@ TEMPLATES = (
     ("gpl-notice", "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version."),
     ("bsd", "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met"),
     ("cc-by-nc", "Licensed under CC BY-NC 4.0."),
+    ("mit-full", "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the \"Software\"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions: The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software. THE SOFTWARE IS PROVIDED \"AS IS\", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE."),
+    ("bsd-3-full", "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met: 1. Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer. 2. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution. 3. Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission. THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS \"AS IS\" AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED. IN NO EVENT SHALL THE COPYRIGHT HOLDER OR CONTRIBUTORS BE LIABLE FOR ANY DIRECT, INDIRECT, INCIDENTAL, SPECIAL, EXEMPLARY, OR CONSEQUENTIAL DAMAGES (INCLUDING, BUT NOT LIMITED TO, PROCUREMENT OF SUBSTITUTE GOODS OR SERVICES; LOSS OF USE, DATA, OR PROFITS; OR BUSINESS INTERRUPTION) HOWEVER CAUSED AND ON ANY THEORY OF LIABILITY, WHETHER IN CONTRACT, STRICT LIABILITY, OR TORT (INCLUDING NEGLIGENCE OR OTHERWISE) ARISING IN ANY WAY OUT OF THE USE OF THIS SOFTWARE, EVEN IF ADVISED OF THE POSSIBILITY OF SUCH DAMAGE."),
+    ("isc-full", "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies. THE SOFTWARE IS PROVIDED \"AS IS\" AND THE AUTHOR DISCLAIMS ALL WARRANTIES WITH REGARD TO THIS SOFTWARE INCLUDING ALL IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS. IN NO EVENT SHALL THE AUTHOR BE LIABLE FOR ANY SPECIAL, DIRECT, INDIRECT, OR CONSEQUENTIAL DAMAGES OR ANY DAMAGES WHATSOEVER RESULTING FROM LOSS OF USE, DATA OR PROFITS, WHETHER IN AN ACTION OF CONTRACT, NEGLIGENCE OR OTHER TORTIOUS ACTION, ARISING OUT OF OR IN CONNECTION WITH THE USE OR PERFORMANCE OF THIS SOFTWARE."),
     ("mpl-2.0", "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0."),
 )
 
@@ -145,18 +150,25 @@ class TemplateAutomaton:
 
 
 def chain(spans: Sequence[Span], gap: int) -> list[tuple[int, int, int]]:
-    """The heaviest chain of one template's spans in order of text and template: (start, end, words)."""
+    """The heaviest chains of one template's spans in order of text and template: (start, end, words).
+
+    A span may follow any that ends at most ``gap`` words before it; only those are looked at, and
+    there are no more of them than the words within the gap have places in the template. Of equal
+    chains the one with the latest predecessors holds.
+    """
     spans = sorted(set(spans), key=lambda s: (s.start, s.at, s.end))
     best: list[tuple[int, int]] = []
+    near: list[int] = []
     for i, s in enumerate(spans):
+        near = [j for j in near if spans[j].end >= s.start - gap]
         score, before = s.end - s.start, -1
-        for j in range(i - 1, max(-1, i - 64), -1):
+        for j in reversed(near):
             t = spans[j]
-            ahead = t.at + (t.end - t.start)
-            over = max(0, t.end - s.start, ahead - s.at)
-            if t.start < s.start and t.at < s.at and s.start - t.end <= gap and over < s.end - s.start and best[j][0] + s.end - s.start - over > score:
+            over = max(0, t.end - s.start, t.at + (t.end - t.start) - s.at)
+            if t.start < s.start and t.at < s.at and over < s.end - s.start and best[j][0] + s.end - s.start - over > score:
                 score, before = best[j][0] + s.end - s.start - over, j
         best.append((score, before))
+        near.append(i)
     out, used = [], set()
     for i in sorted(range(len(spans)), key=lambda i: (-best[i][0], spans[i].start)):
         path, k = [], i
@@ -193,13 +205,19 @@ class LicenseScanner:
         return len(own), base, sorted(spans)
 
 
+def templates_from(spark: SparkSession, path: str) -> list[tuple[str, str]]:
+    """(label, text) of each file of a folder of licence texts, the label its name in lower case."""
+    rows = spark.read.text(path, wholetext=True).select("value", F.lower(F.regexp_extract(F.col("_metadata.file_path"), "([^/]+)$", 1)).alias("label"))
+    return sorted((r["label"], r["value"]) for r in rows.collect())
 
 
 def license_spans(docs: DataFrame, scanner: LicenseScanner | None = None) -> DataFrame:
     """One row per document: n_words, base occurrences and template spans (start, end, label, covered).
 
     A null text counts as empty: no words and no spans. Rows are scanned each for itself, so
-    repeated rows give repeated results and an empty table none.
+    repeated rows and null ids give repeated results and an empty table none. A very long text is
+    streamed whole, in time that grows with its length; only doc_id and text are read, so further
+    columns cannot clash. Templates of one label each give spans of their own.
     """
     scanner = scanner or LicenseScanner()
     span = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64()), ("label", pa.string()), ("covered", pa.float64())]))
@@ -223,8 +241,6 @@ def license_report(docs: DataFrame, scanner: LicenseScanner | None = None) -> Da
     """doc_id, n_words, n_base, first_word, last_word, base_labels, labels, score, n_spans: the base
     occurrences of each document and all labels found; score is the greatest covered part of a
     template, or 1 where only a base phrase stands, or 0."""
-    from pyspark.sql import functions as F
-
     spans = license_spans(docs, scanner)
     starts = F.transform("base", lambda b: b["start"])
     base_labels = F.array_sort(F.array_distinct(F.transform("base", lambda b: b["label"])))
@@ -234,4 +250,5 @@ def license_report(docs: DataFrame, scanner: LicenseScanner | None = None) -> Da
 
 
 def op1_license_automaton(spark, sf_dir: str) -> DataFrame:
+    """``license_report`` of all ``documents`` with the built-in phrases and templates."""
     return license_report(spark.read.parquet(f"{sf_dir}/documents.parquet"))
