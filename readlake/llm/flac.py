@@ -25,6 +25,10 @@ LANES = 8192
 PRECISION, SHIFT = 9, 6
 #: Coefficients of the fixed predictors by order.
 FIXED = ((), (1,), (2, -1), (3, -3, 1), (4, -6, 4, -1))
+#: Seek points that one metadata block holds: its length has 24 bits.
+MOST_POINTS = ((1 << 24) - 5) // 18
+#: Names the metadata blocks that hold the points of every frame where the seek table can't.
+_ALL_POINTS = b"rlsk"
 _SEEK = np.dtype([("sample", ">u8"), ("offset", ">u8"), ("samples", ">u2")])
 
 
@@ -269,26 +273,38 @@ def encode_streams(payloads: list[bytes]) -> list[bytes]:
         points = np.zeros(n, _SEEK)
         points["sample"], points["offset"], points["samples"] = np.arange(n) * BLOCK, end[a : a + n] - size - begin, BLOCK
         info = struct.pack(">HH", BLOCK, BLOCK) + int(size.min()).to_bytes(3, "big") + int(size.max()).to_bytes(3, "big") + (RATE << 44 | 7 << 36 | n * BLOCK).to_bytes(8, "big") + hashlib.md5(samples[a : a + n].tobytes()).digest()
-        seek = points.tobytes()
-        out.append(b"fLaC\x00" + len(info).to_bytes(3, "big") + info + b"\x83" + len(seek).to_bytes(3, "big") + seek + data[begin : int(end[a + n - 1])])
+        out.append(b"fLaC\x00" + len(info).to_bytes(3, "big") + info + _seek_blocks(points) + data[begin : int(end[a + n - 1])])
     return out
 
 
+def _seek_blocks(points: np.ndarray) -> bytes:
+    """The seek table, as the last metadata block. With more points than it holds it has every second
+    one, or third, and so on, and application blocks after it have them all."""
+    every = -(-len(points) // MOST_POINTS)
+    blocks = [(3, points[::every].tobytes())]
+    if every > 1:
+        blocks += [(2, _ALL_POINTS + points[a : a + MOST_POINTS].tobytes()) for a in range(0, len(points), MOST_POINTS)]
+    last = len(blocks) - 1
+    return b"".join(bytes([kind | 128 * (k == last)]) + len(body).to_bytes(3, "big") + body for k, (kind, body) in enumerate(blocks))
+
+
 def frame_places(stream: bytes) -> tuple[int, np.ndarray, bytes]:
     """Where the frames of a file begin, their seek points, and the samples' MD5."""
     if stream[:4] != b"fLaC":
         raise ValueError("not a FLAC file")
-    at, last, points, digest = 4, False, None, b""
+    at, last, points, digest, all_points = 4, False, None, b"", []
     while not last:
         last, kind, size = stream[at] >= 128, stream[at] & 127, int.from_bytes(stream[at + 1 : at + 4], "big")
         if kind == 0:
             digest = stream[at + 22 : at + 38]
         elif kind == 3:
             points = np.frombuffer(stream, _SEEK, size // _SEEK.itemsize, at + 4)
+        elif kind == 2 and stream[at + 4 : at + 8] == _ALL_POINTS:
+            all_points.append(np.frombuffer(stream, _SEEK, (size - 4) // _SEEK.itemsize, at + 8))
         at += 4 + size
     if points is None:
         raise ValueError("no seek table")
-    return at, points, digest
+    return at, np.concatenate(all_points) if all_points else points, digest
 
 
 def decode_streams(streams: list[bytes]) -> tuple[list[bytes], list[np.ndarray]]:
@@ -388,8 +404,10 @@ def pcm_blocks(media: DataFrame, samples: int = 16 * BLOCK) -> DataFrame:
 def media_report(docs: DataFrame) -> DataFrame:
     """Store each whole text as a FLAC file, read that back, and describe both: ``SCHEMA``.
 
-    A null or empty text is one block of spaces. Rows stand each for itself, so repeated rows give
-    repeated results and an empty table none. A worker holds about ``LANES`` frames at a time.
+    A null or empty text is one block of spaces. Rows stand each for itself, so repeated rows and
+    null ids give repeated results and an empty table none; equal texts have equal files. A worker
+    holds about ``LANES`` frames at a time, or one text that is longer, of any length. Only doc_id
+    and text are read, so further columns cannot clash.
     """
 
     def report(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -406,4 +424,5 @@ def media_report(docs: DataFrame) -> DataFrame:
 
 
 def op3_flac_media(spark, sf_dir: str) -> DataFrame:
+    """``media_report`` of all ``documents``, which states what nulls, empty and long texts give."""
     return media_report(spark.read.parquet(f"{sf_dir}/documents.parquet"))

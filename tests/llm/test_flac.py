@@ -59,6 +59,24 @@ def test_long_unary_parts_and_partitions_are_read():
     assert out[0].tolist() == samples and number[0] == 0 and kind[0] == 9
 
 
+def test_more_frames_than_a_seek_table_holds(monkeypatch):
+    raw = flac.payload(os.urandom(192 * 100))
+    (plain,) = flac.encode_streams([raw])
+    monkeypatch.setattr(flac, "MOST_POINTS", 30)
+    (media,) = flac.encode_streams([raw])
+    assert flac.decode_streams([media, media])[0] == [raw, raw]
+    at, points, _ = flac.frame_places(media)
+    assert len(points) == 100 and media[at:] == plain[-len(media) + at :]
+    table = 4 + 4 + 34  # after the stream's description
+    assert media[table] == 3 and int.from_bytes(media[table + 1 : table + 4], "big") == 25 * 18
+
+
+def test_very_long_text(spark):
+    text = "long words and more of them " * 400_000
+    (row,) = flac.media_report(table(spark, [text])).collect()
+    assert row.n_bytes == len(text) and row.payload_sha256 == hashlib.sha256(flac.payload(text.encode())).hexdigest()
+
+
 def test_report(spark):
     texts = awkward() + ["é" * 96, "x" * 192]
     rows = {r.doc_id: r for r in flac.media_report(table(spark, texts)).collect()}
