@@ -1,7 +1,7 @@
 """Secret scans with multipart credential linking, in Spark's own functions only.
 
-Strong patterns stand alone. Weak parts (an account name, an opaque string, an address) mean
-little by themselves: they are reported only where complementary parts lie within ``SCOPE`` code
+Strong patterns stand alone. Weak parts (an account name or mail address, an opaque string, a host)
+mean little by themselves: they are reported only where complementary parts lie within ``SCOPE`` code
 points of each other in one document, found by an interval join on buckets of that width.
 """
 
@@ -25,13 +25,17 @@ BASE = (
 WEAK = (
     ("identifier", r"(?i)(?:user|login|account|_id)", r"""(?i)(?:access_key_id|client_id|account_id|username|user|login|account)["']?\x20*[:=]\x20*["']?([A-Za-z0-9@._-]+)""", 1, 3, None),
     ("opaque", r"[A-Za-z0-9+/_-]{32}", r"[A-Za-z0-9+/_-]{32,}={0,2}", 0, 32, r"[0-9].*[A-Za-z]|[A-Za-z].*[0-9]"),
+    ("email", r"@", r"[A-Za-z0-9._%+-]{1,64}@[A-Za-z0-9.-]{1,255}\.[A-Za-z]{2,24}", 0, 6, None),
+    ("address", r"[0-9]\.[0-9]", r"[0-9]{1,3}(?:\.[0-9]{1,3}){3}(?::[0-9]{1,5})?", 0, 7, None),
     ("endpoint", r"://", r"""(?i)(?:https?|ftp|s3|jdbc:[a-z]+|mongodb|postgres|postgresql|mysql|redis|amqp)://[^\x20\x09-\x0D"'<>]+""", 0, 12, None),
 )
-ROLES = {"assign": "secret", "access": "identifier", "hex": "secret", "identifier": "identifier", "opaque": "secret", "endpoint": "endpoint"}
+ROLES = {"assign": "secret", "access": "identifier", "hex": "secret", "identifier": "identifier", "opaque": "secret", "email": "identifier", "address": "endpoint", "endpoint": "endpoint"}
 KINDS = [k for k, *_ in BASE] + [k for k, *_ in WEAK]
 #: Code points between two parts of one credential at most.
 SCOPE = 200
 MASK = "[secret]"
+#: Matches that one fold takes: places add up within pieces of so many, and then over the pieces.
+PIECE = 256
 _SPANS = "array<struct<start:int,kind_order:int,stop:int,kind:string>>"
 
 
@@ -52,14 +56,24 @@ def find_spans(text: Column, kind: str, pattern: str, group: int, least: int, ho
         span = F.struct(begin.alias("start"), F.lit(KINDS.index(kind)).alias("kind_order"), stop.alias("stop"), F.lit(kind).alias("kind"))
         return F.struct(stop.alias("at"), F.when(good, F.concat(acc["out"], F.array(span))).otherwise(acc["out"]).cast(_SPANS).alias("out"))
 
-    return F.aggregate(parts, start, step, lambda acc: acc["out"])
+    def shifted(spans: Column, by: Column) -> Column:
+        return F.transform(spans, lambda s: F.struct((s["start"] + by).alias("start"), s["kind_order"].alias("kind_order"), (s["stop"] + by).alias("stop"), s["kind"].alias("kind")))
+
+    def over_pieces(parts: Column) -> Column:
+        numbers = F.sequence(F.lit(0), F.floor((F.size(parts) - 1) / PIECE).cast("int"))
+        folded = F.transform(numbers, lambda i: F.aggregate(F.slice(parts, i * PIECE + 1, F.lit(PIECE)), start, step))
+        whole = F.struct(F.lit(0).alias("at"), F.array().cast(f"array<{_SPANS}>").alias("out"))
+        join = lambda acc, x: F.struct((acc["at"] + x["at"]).alias("at"), F.concat(acc["out"], F.array(shifted(x["out"], acc["at"]))).cast(f"array<{_SPANS}>").alias("out"))
+        return F.aggregate(folded, whole, join, lambda acc: F.flatten(acc["out"]).cast(_SPANS))
+
+    return F.transform(F.array(parts), over_pieces)[0]  # the matches are found once
 
 
 def scan_parts(docs: DataFrame) -> DataFrame:
     """doc_id, a hash of the text, base spans and weak parts of every row."""
     rows = spread(docs.select("doc_id", whole_text().alias("text")), "doc_id")
     text, none = F.col("text"), F.array().cast(_SPANS)
-    quick = {"access": text.contains("AKIA"), "endpoint": text.contains("://")}
+    quick = {"access": text.contains("AKIA"), "endpoint": text.contains("://"), "email": text.contains("@")}
     found = {k: F.when(quick.get(k, text.rlike(p)), find_spans(text, k, p, g, n)).otherwise(none) for k, p, g, n in BASE}
     weak = {k: F.when(quick.get(k, text.rlike(q)), find_spans(text, k, p, g, n, holds)).otherwise(none) for k, q, p, g, n, holds in WEAK}
     return rows.select("doc_id", F.xxhash64("text").alias("text_hash"), F.concat(*found.values()).alias("base"), F.concat(*weak.values()).alias("weak"))
@@ -83,8 +97,11 @@ def linked_parts(parts: DataFrame) -> DataFrame:
 def find_secrets(docs: DataFrame) -> DataFrame:
     """doc_id, text_hash, base spans and linked weak spans of every document row.
 
-    A null text counts as empty and has no spans; rows repeat as they came; an empty table gives
-    no rows. Rows of one doc_id and equal text share their links, which are the same.
+    A null text counts as empty and has no spans; rows repeat as they came, null ids too; an empty
+    table gives no rows. Rows of one doc_id and equal text share their links, which are the same.
+    Spans that begin together are told apart by kind, as listed. A very long text is searched
+    whole, its matches added up in pieces; only doc_id and text are read, so further columns
+    cannot clash.
     """
     parts = saved(scan_parts(docs))
     links = linked_parts(parts).withColumnsRenamed({"doc_id": "l_doc", "text_hash": "l_hash"})
@@ -94,7 +111,8 @@ def find_secrets(docs: DataFrame) -> DataFrame:
 
 def redact_secrets(docs: DataFrame) -> DataFrame:
     """The documents with every reported span replaced by ``MASK``, overlapping spans by one;
-    n_chars follows the text. Rows without a span stay as they are."""
+    n_chars follows the text. Rows without a span, null texts among them, stay as they are; rows
+    repeat as they came, and columns of any name pass through."""
     spans = find_secrets(docs).where((F.size("base") > 0) | (F.size("linked") > 0))
     spans = spans.select(F.col("doc_id").alias("_readlake_doc"), F.col("text_hash").alias("_readlake_hash"), F.array_sort(F.concat("base", "linked")).alias("_readlake_spans")).dropDuplicates(["_readlake_doc", "_readlake_hash"])
     start = F.struct(F.lit(0).alias("at"), F.array().cast("array<string>").alias("out"))
@@ -122,4 +140,5 @@ def secret_report(docs: DataFrame) -> DataFrame:
 
 
 def op4_linked_secrets(spark, sf_dir: str) -> DataFrame:
+    """``secret_report`` of all ``documents``; ``find_secrets`` states every case."""
     return secret_report(spark.read.parquet(f"{sf_dir}/documents.parquet"))
