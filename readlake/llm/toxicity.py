@@ -182,7 +182,9 @@ def classify(docs: DataFrame, chain: Sequence[Link]) -> DataFrame:
     """doc_id, then a chance and a decision for each category, of every whole text.
 
     A null or empty text has no words: its chances are the models' own. Rows stand each for
-    itself; an empty table gives none.
+    itself, repeated and null ids too; an empty table gives none. A very long text counts by its
+    distinct words. A chance of just the threshold decides for the category. Only doc_id and text
+    are read, so further columns cannot clash.
     """
     shared = docs.sparkSession.sparkContext.broadcast(list(chain))
     names = ["doc_id", *(x for link in chain for x in (f"{link.name}_score", link.name))]
@@ -207,4 +209,5 @@ def toxicity(docs: DataFrame, labels: DataFrame) -> DataFrame:
 
 
 def op8_chain_toxicity(spark, sf_dir: str) -> DataFrame:
+    """``toxicity`` of all ``documents`` with the ``labels``; ``classify`` states every case."""
     return toxicity(spark.read.parquet(f"{sf_dir}/documents.parquet"), spark.read.parquet(f"{sf_dir}/labels.parquet"))

@@ -53,6 +53,39 @@ def test_later_models_see_earlier_chances():
     assert p[0, 1] > 0.8 > 0.3 > p[1, 1]
 
 
+def test_models_are_plain_logistic_regressions():
+    """The sparse fit against the same steps on a dense matrix, and predictions word by word."""
+    r = np.random.default_rng(3)
+    words = [f"u{k}".encode() for k in range(40)]
+    texts = [b" ".join(r.choice(words, 12)) for _ in range(300)]
+    y = np.array([b"u1 " in t + b" " or b"u2 " in t + b" " for t in texts], float)
+    ids = [np.array(sorted(i for w in T.distinct_words(t) for i in T.word_ids(w))) for t in texts]
+    rows = T._Rows(ids)
+    extra = r.random((300, 1))
+    got_w, got_v, got_b = T._fit(rows, extra, y, np.ones(300, bool))
+    columns = rows.choose(y, T.KEPT, np.ones(300, bool))
+    x = np.zeros((300, len(columns)))
+    for n, own in enumerate(ids):
+        for j, c in enumerate(columns):
+            x[n, j] = rows.names[c] in set(own.tolist())
+    w, v, b = np.zeros(len(columns)), np.zeros(1), float(np.log((y.mean() + 1e-6) / (1 - y.mean() + 1e-6)))
+    sw, sv, sb = np.full(len(w), 1e-8), np.full(1, 1e-8), 1e-8
+    for _ in range(T.PASSES):
+        e = (1 / (1 + np.exp(-np.clip(x @ w + extra @ v + b, -30, 30))) - y) / 300
+        gw, gv, gb = x.T @ e + T.PENALTY * w, extra.T @ e + T.PENALTY * v, e.sum()
+        sw, sv, sb = sw + gw**2, sv + gv**2, sb + gb**2
+        w, v, b = w - T.STEP * gw / np.sqrt(sw), v - T.STEP * gv / np.sqrt(sv), b - T.STEP * gb / np.sqrt(sb)
+    assert len(columns) and np.allclose(got_w[columns], w, atol=1e-6) and np.allclose(got_v, v, atol=1e-6) and abs(got_b - b) < 1e-6
+    chain = T.fit_chain(ids, [("a", y > 0), ("b", y < 1)])
+    p = T.predict(chain, texts[:20])
+    for n, t in enumerate(texts[:20]):
+        earlier = []
+        for link in chain:
+            score = sum(float(link.weights[i]) for word in T.distinct_words(t) for i in T.word_ids(word)) + float(np.dot(link.earlier, earlier)) + link.bias
+            earlier.append(1 / (1 + np.exp(-score)))
+        assert np.allclose(p[n], earlier, atol=1e-4)
+
+
 def test_constant_labels_and_no_rows(spark):
     docs = table(spark, ["some text", None])
     rows = T.toxicity(docs, labels(spark, [(0, 1, 0)])).collect()
