@@ -244,7 +244,7 @@ def encode_documents(docs: DataFrame, path: str | None = None, with_ids: bool =
                         column.append(value)
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(rows, (pa.int64(), pa.int64(), pa.string(), pa.string(), pa.binary()))], names)
 
-    rows = spread(docs.select(docs["doc_id"].cast("long").alias("doc_id"), whole_text().alias("text")), "doc_id")
+    rows = spread(docs.select(docs["doc_id"].cast("long").alias("doc_id"), whole_text().alias("text")))
     return rows.mapInArrow(encode, schema)
 
 

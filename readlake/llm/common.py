@@ -15,24 +15,24 @@ HOT_PART = 1000
 COPIES = 100_000
 
 
-def spread(df: DataFrame, *keys: str) -> DataFrame:
+def spread(df: DataFrame) -> DataFrame:
     """A table that is read in fewer pieces than there are cores is dealt over the shuffle
-    partitions by key, since what follows costs far more than moving its rows; any other stays
+    partitions in turn, whatever its keys, since what follows costs far more than moving its rows; any other stays
     where it is read. Only where rows are worked on depends on it, never a result. For tables as
     they are read: counting the pieces only plans the scan."""
     if df.rdd.getNumPartitions() >= df.sparkSession.sparkContext.defaultParallelism:
         return df
-    return df.repartition(*keys)
+    return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
 
 
 def join_hot(left: DataFrame, right: DataFrame, key: str, size: str, total: int) -> DataFrame:
     """Inner join of ``left``, of ``total`` rows, with ``right``, one row a key that tells in column
     ``size`` how many rows of ``left`` have it. Keys with more than ``1 / HOT_PART`` of them, fewer
-    than ``HOT_PART`` whatever the input, are broadcast and their rows stay where they are; the
-    others meet by a shuffle. ``size`` does not come out."""
-    hot = F.col(size) > total / HOT_PART
-    many = left.join(F.broadcast(right.where(hot).drop(size)), key)
-    return many.unionByName(left.join(right.where(~hot).drop(size), key))
+    than ``HOT_PART`` whatever the input, are broadcast and their rows stay where they are; only
+    the others meet by a shuffle. ``size`` does not come out."""
+    hot = F.broadcast(right.where(F.col(size) > total / HOT_PART).drop(size))
+    cold = left.join(F.broadcast(hot.select(key)), key, "left_anti")
+    return left.join(hot, key).unionByName(cold.join(right.where(F.col(size) <= total / HOT_PART).drop(size), key))
 
 
 def each_copy(df: DataFrame) -> DataFrame:

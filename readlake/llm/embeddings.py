@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .buckets import whole_runs
-from .common import saved, spread
+from .common import join_hot, saved, spread
 from .graph import components
 
 #: Width of a cell, projections of a bucket and tables: a pair of cosine 0.9 (distance 0.447) falls
@@ -139,11 +139,12 @@ def near_vectors(vectors: DataFrame, least: float = 0.9, id_col: str = "vec_id",
     """vec_id, n_links, component_id, kept: vectors linked by a cosine of at least ``least``.
 
     Vectors that are null, empty or zero or hold a null or non-finite component link with nothing;
-    neither do vectors of different length. Equal vectors are one class and link always. Repeated
-    rows of an id count as vectors of their own; an empty table gives no rows. A bucket of more
-    than ``BLOCK`` classes is compared block by block, each pair of blocks in a group of its own.
+    neither do vectors of different length. Equal vectors are one class and link always; a cosine of
+    just ``least`` links. Repeated rows of an id, and rows without one, count as vectors of their own;
+    an empty table gives no rows. A bucket of more than ``BLOCK`` classes is compared block by block,
+    each pair of blocks in a group of its own. Only the two columns are read, so others cannot clash.
     """
-    rows = saved(spread(vectors.select(F.col(id_col).cast("long").alias("vec_id"), F.when(usable(F.col(vector_col)), F.col(vector_col)).alias("vector")), "vec_id"))
+    rows = saved(spread(vectors.select(F.col(id_col).cast("long").alias("vec_id"), F.when(usable(F.col(vector_col)), F.col(vector_col)).alias("vector"))))
     named = rows.where("vector is not null").select(F.xxhash64("vector").alias("rep"), "vec_id", "vector")
     classes = saved(named.groupBy("rep").agg(F.min("vec_id").alias("least"), F.count(F.lit(1)).alias("weight"), F.first("vector").alias("vector")))
     hashed = saved(_hashed(classes))
@@ -163,11 +164,13 @@ def near_vectors(vectors: DataFrame, least: float = 0.9, id_col: str = "vec_id",
     roots = components(found.select(F.col("rep").alias("u"), F.col("other").alias("v")))
     labelled = classes.select("rep", "least", "weight").join(roots.withColumnRenamed("node", "rep"), "rep", "left").withColumn("root", F.coalesce("root", "rep"))
     tops = labelled.groupBy("root").agg(F.min("least").alias("component_id"))
-    labels = labelled.join(tops, "root").join(links, "rep", "left").select("rep", "component_id", (F.coalesce("links", F.lit(0)) + F.col("weight") - 1).alias("n_links"))
-    out = rows.select("vec_id", F.when(F.col("vector").isNotNull(), F.xxhash64("vector")).alias("rep")).join(labels, "rep", "left")
-    component = F.coalesce("component_id", "vec_id")
-    return out.select("vec_id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), component.alias("component_id"), F.col("vec_id").eqNullSafe(component).alias("kept"))
+    labels = labelled.join(tops, "root").join(links, "rep", "left").select("rep", "weight", "component_id", (F.coalesce("links", F.lit(0)) + F.col("weight") - 1).alias("n_links"))
+    found = join_hot(named.select("rep", "vec_id"), saved(labels), "rep", "weight", rows.count()).select("vec_id", "n_links", "component_id")
+    alone = rows.where("vector is null").select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"))
+    out = found.unionByName(alone)
+    return out.select("vec_id", F.col("n_links").cast("long").alias("n_links"), F.coalesce("component_id", "vec_id").alias("component_id"), F.col("vec_id").eqNullSafe(F.coalesce("component_id", "vec_id")).alias("kept"))
 
 
 def op2_pstable_near_vectors(spark, sf_dir: str) -> DataFrame:
+    """``near_vectors`` of all ``embeddings`` at a cosine of 0.9; every case is stated there."""
     return near_vectors(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))

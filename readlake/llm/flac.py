@@ -371,7 +371,7 @@ def _text_slices(batches: Iterator[pa.RecordBatch], most: int = LANES * BLOCK) -
 
 
 def _texts(docs: DataFrame) -> DataFrame:
-    return spread(docs.select(docs["doc_id"].cast("long").alias("doc_id"), whole_text().cast("binary").alias("data")), "doc_id")
+    return spread(docs.select(docs["doc_id"].cast("long").alias("doc_id"), whole_text().cast("binary").alias("data")))
 
 
 def store_media(docs: DataFrame) -> DataFrame:

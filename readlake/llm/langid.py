@@ -337,7 +337,7 @@ def identify(docs: DataFrame, model: Model | None = None) -> DataFrame:
                 columns = [pa.array([v.lang for v in found], pa.string()), pa.array([v.score for v in found], pa.float64()), pa.array(words, pa.string())]
                 yield pa.RecordBatch.from_arrays([part["doc_id"], part["held_out"], *columns], ["doc_id", "held_out", "lang_pred", "score", "words"])
 
-    rows = spread(docs.select(docs["doc_id"].cast("long").alias("doc_id"), held_out(F.col("doc_id")).alias("held_out"), whole_text().cast("binary").alias("data")), "doc_id")
+    rows = spread(docs.select(docs["doc_id"].cast("long").alias("doc_id"), held_out(F.col("doc_id")).alias("held_out"), whole_text().cast("binary").alias("data")))
     return rows.mapInArrow(run, "doc_id long, held_out boolean, lang_pred string, score double, words string")
 
 
@@ -363,7 +363,7 @@ def language_spans(docs: DataFrame, model: Model | None = None) -> DataFrame:
                 ends = np.append(starts[1:], len(labels))
                 yield pa.RecordBatch.from_arrays([pa.array([ids[k]] * len(starts), pa.int64()), pa.array(starts, pa.int64()), pa.array(ends, pa.int64()), pa.array([own.labels[x] for x in labels[starts]], pa.string())], ["doc_id", "start", "end", "lang"])
 
-    rows = spread(docs.select(docs["doc_id"].cast("long").alias("doc_id"), whole_text().cast("binary").alias("data")), "doc_id")
+    rows = spread(docs.select(docs["doc_id"].cast("long").alias("doc_id"), whole_text().cast("binary").alias("data")))
     return rows.mapInArrow(run, "doc_id long, start long, end long, lang string")
 
 

@@ -233,7 +233,7 @@ def license_spans(docs: DataFrame, scanner: LicenseScanner | None = None) -> Dat
                 spans.append([{"start": a, "end": b, "label": c, "covered": d} for a, b, c, d in covered])
             yield pa.RecordBatch.from_arrays([batch["doc_id"], pa.array(n, pa.int64()), pa.array(bases, base), pa.array(spans, span)], ["doc_id", "n_words", "base", "spans"])
 
-    rows = spread(docs.select(docs["doc_id"].cast("long").alias("doc_id"), whole_text().alias("text")), "doc_id")
+    rows = spread(docs.select(docs["doc_id"].cast("long").alias("doc_id"), whole_text().alias("text")))
     return rows.mapInArrow(scan, "doc_id long, n_words long, base array<struct<start:long,length:long,label:string>>, spans array<struct<start:long,end:long,label:string,covered:double>>")
 
 

@@ -105,7 +105,7 @@ def features(docs: DataFrame, k: int) -> DataFrame:
                 signatures.append(signature(s).tobytes() if len(s) else None)
             yield pa.RecordBatch.from_arrays([batch["doc_id"], batch["text_hash"], pa.array(n, pa.int64()), pa.array(ids, pa.binary()), pa.array(signatures, pa.binary())], ["doc_id", "text_hash", "n_shingles", "set_id", "signature"])
 
-    rows = spread(docs.select(docs["doc_id"].cast("long").alias("doc_id"), F.xxhash64(whole_text()).alias("text_hash"), whole_text().cast("binary").alias("data")), "doc_id")
+    rows = spread(docs.select(docs["doc_id"].cast("long").alias("doc_id"), F.xxhash64(whole_text()).alias("text_hash"), whole_text().cast("binary").alias("data")))
     return rows.mapInArrow(make, "doc_id long, text_hash long, n_shingles long, set_id binary, signature binary")
 
 

@@ -71,7 +71,7 @@ def find_spans(text: Column, kind: str, pattern: str, group: int, least: int, ho
 
 def scan_parts(docs: DataFrame) -> DataFrame:
     """doc_id, a hash of the text, base spans and weak parts of every row."""
-    rows = spread(docs.select("doc_id", whole_text().alias("text")), "doc_id")
+    rows = spread(docs.select("doc_id", whole_text().alias("text")))
     text, none = F.col("text"), F.array().cast(_SPANS)
     quick = {"access": text.contains("AKIA"), "endpoint": text.contains("://"), "email": text.contains("@")}
     found = {k: F.when(quick.get(k, text.rlike(p)), find_spans(text, k, p, g, n)).otherwise(none) for k, p, g, n in BASE}

@@ -198,7 +198,7 @@ def classify(docs: DataFrame, chain: Sequence[Link]) -> DataFrame:
                 columns = [x for k, link in enumerate(shared.value) for x in (pa.array(chances[:, k]), pa.array(chances[:, k] >= link.threshold))]
                 yield pa.RecordBatch.from_arrays([part["doc_id"], *columns], names)
 
-    rows = spread(docs.select(docs["doc_id"].cast("long").alias("doc_id"), whole_text().cast("binary").alias("data")), "doc_id")
+    rows = spread(docs.select(docs["doc_id"].cast("long").alias("doc_id"), whole_text().cast("binary").alias("data")))
     return rows.mapInArrow(run, "doc_id long, " + ", ".join(f"{link.name}_score double, {link.name} boolean" for link in chain))
 
 

@@ -63,6 +63,44 @@ def test_run_is_the_stages_in_order(spark, folder):
     assert sorted(map(tuple, P.run(spark, folder).collect())) == sorted(map(tuple, rows))
 
 
+def test_awkward_rows_and_columns_of_clashing_names(spark, tmp_path):
+    """Null ids, null and empty texts, repeated rows, and columns that the operators use themselves."""
+    texts, langs = corpus(40)
+    texts += [texts[0], texts[1], None, "", "12 34", "token=deadbeefdeadbeef " + " ".join(reversed((texts[2] + " " + texts[5]).split())), "login=alice"]
+    langs += [None] * 7
+    ids = [None if i % 5 == 0 else i for i in range(39)] + [38, 0, 1] + [None, 60, 61, None, 63]
+    docs = table(spark, texts, langs=langs, ids=ids)
+    docs = docs.unionByName(docs.where("doc_id = 7"))
+    assert {"size", "bucket", "copies", "base", "s"} < set(docs.columns)
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+    got = spark.read.parquet(f"{tmp_path}/documents.parquet")
+    for name, function in P.STAGES[:-1]:
+        got = function(spark, got, str(tmp_path)).cache()
+        assert got.columns == docs.columns
+        rows = got.collect()
+        assert rows and all(r.base == "x" and r.copies == -1 for r in rows)
+        if name == "language":
+            assert all(r.text and r.text not in ("", "12 34") for r in rows)
+        if name == "near_dedup":
+            kept = [r.text for r in rows]
+            assert len(kept) == len(set(kept)) and len([r for r in rows if r.doc_id is None]) > 5
+        if name == "secrets":
+            assert not any("deadbeef" in r.text for r in rows) and any("[secret]" in r.text for r in rows)
+    out = P.encode(spark, got, str(tmp_path)).collect()
+    assert len(out) == got.count() and any(r.doc_id is None for r in out)
+    assert len(P.run(spark, str(tmp_path)).collect()) == len(out)
+
+
+def test_stages_leave_nothing_behind(spark, folder):
+    """After a run the shared folder holds the last stage's rows and nothing else of it."""
+    from readlake import scratch
+
+    before = {p for p, _, _ in os.walk(scratch.checkpoint_dir(spark).removeprefix("file://"))}
+    rows = P.run(spark, folder)
+    made = {p for p, _, files in os.walk(scratch.checkpoint_dir(spark).removeprefix("file://")) if any(f.endswith(".parquet") for f in files)} - before
+    assert [os.path.basename(p) for p in made] == ["encoding"] and rows.count()
+
+
 def test_empty_documents(spark, tmp_path):
     spark.createDataFrame([], "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{tmp_path}/documents.parquet")
     assert P.run(spark, str(tmp_path)).count() == 0
