@@ -1,15 +1,18 @@
-"""A corpus pipeline: language ID, near-dedup, secret scans, mixing, and encoding."""
+"""A corpus pipeline: language ID, near-dedup, secret scans, mixing, and encoding.
+
+Every stage takes all documents that the one before kept and returns them, but for the last, with
+the columns of documents, whatever their names. Null ids, repeated rows and null or empty texts
+are let through or dropped as each stage says; an empty table gives an empty result.
+"""
 
 from __future__ import annotations
 
-import uuid
 from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from readlake.llm import bpe, langid, minhash, mixing, secrets
-from readlake.llm.common import checkpoint_dir
+from readlake.llm.common import delete, new_path, scope
 
 #: A document is rejected if its words' highest chances are less than this on the average: 1.2 times
 #: an even chance among three languages, and as many times among more.
@@ -17,30 +20,34 @@ LEAST_SCORE = 0.4
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents whose text has a language: letters, and one that the model is not lost about."""
+    """Documents whose text has a language: letters, and words that the model is not lost about, of
+    one language or several. Null and empty texts and those without a letter go; repeated rows and
+    null ids stay; a mean of just the least score stays. A long text is judged whole."""
     return langid.keep_identified(docs, LEAST_SCORE)
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies (five-word shingles, similarity 0.8): that of the smallest id."""
+    """One document of each group of near copies (five-word shingles, similarity 0.8): that of the
+    smallest id, or one of those without id if none has one. Of rows that share id and text one
+    stays; texts without words are no copies of each other unless their id is the same."""
     return minhash.keep_one_of_each(docs)
 
 
 def redact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Secrets and linked weak parts are masked in the texts."""
+    """Secrets and linked weak parts are masked in the texts, and n_chars follows; every row stays,
+    and those without a secret, with a null or an empty text stay as they are."""
     return secrets.redact_secrets(docs)
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Every document as many times as the mix of the sources takes it; rows that share an id as
-    often as the most taken of them."""
-    copies = mixing.mix_sources(docs).groupBy(F.col("doc_id").alias("_readlake_taken_id")).agg(F.max("copies").alias("_readlake_taken_copies"))
-    taken = docs.join(copies.where("_readlake_taken_copies > 0"), F.col("doc_id").cast("long").eqNullSafe(F.col("_readlake_taken_id")))
-    return taken.withColumn("_readlake_taken_copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("_readlake_taken_copies")))).select(*docs.columns)
+    """Every document as many times as the mix of the sources takes it. Those without words are never
+    taken; rows are told apart by id and text, so null ids are documents of their own."""
+    return mixing.take_mix(docs)
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Tokens of every document that the mix took."""
+    """Tokens of every document that the mix took, a row for each time: doc_id, n_tokens, ids_sha256,
+    decoded_sha256. A null or empty text would have none."""
     return bpe.encode_documents(docs)
 
 
@@ -51,12 +58,16 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over ``documents``, each written and read again by the next."""
-    folder = f"{checkpoint_dir(spark)}/pipeline-{uuid.uuid4().hex}"
-
-    def step(docs: DataFrame, stage: tuple) -> DataFrame:
-        name, function = stage
-        function(spark, docs, sf_dir).write.parquet(f"{folder}/{name}")
+    """All stages over ``documents``, each written and read again by the next. What a stage has saved
+    for itself goes when it is written, and what it read of an earlier one too."""
+    folder = new_path(spark)
+
+    def step(docs: DataFrame, stage: tuple[int, tuple]) -> DataFrame:
+        number, (name, function) = stage
+        with scope(spark):
+            function(spark, docs, sf_dir).write.parquet(f"{folder}/{name}")
+        if number:
+            delete(spark, f"{folder}/{STAGES[number - 1][0]}")
         return spark.read.parquet(f"{folder}/{name}")
 
-    return reduce(step, STAGES, spark.read.parquet(f"{sf_dir}/documents.parquet"))
+    return reduce(step, enumerate(STAGES), spark.read.parquet(f"{sf_dir}/documents.parquet"))
