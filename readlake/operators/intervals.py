@@ -1,6 +1,6 @@
 """Interval joins, depth, and binned coverage profiles.
 
-Intervals meet in fixed-width buckets by an equi-join, so a theta join never becomes a nested
+Intervals meet in buckets of equal width by an equi-join, so a theta join never becomes a nested
 loop; of the buckets that two intervals share, only the one where the later of them starts keeps
 the pair, so nothing has to be made distinct. Depth is kept as runs of equal value.
 """
@@ -11,15 +11,26 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-BUCKET = 1000
+#: Least width of a bucket.
+LEAST_BUCKET = 100
+
+
+def bucket_width(intervals: DataFrame, start: str = "start", end: str = "end") -> int:
+    """A width that an interval of mean length spans about twice: buckets hold few intervals that don't
+    meet, and intervals few buckets. One number comes to the driver."""
+    mean = intervals.where(F.col(end) > F.col(start)).agg(F.avg(F.col(end) - F.col(start))).first()[0]
+    return max(LEAST_BUCKET, int(mean or 0))
 
 
 def _bucket(x: Column, width: int) -> Column:
     return F.floor(x / width).cast("long")
 
 
-def overlapping(left: DataFrame, right: DataFrame, *, key: str = "chrom", start: str = "start", end: str = "end", bucket: int = BUCKET) -> DataFrame:
-    """Pairs of rows (structs ``l`` and ``r``) of equal ``key`` whose [start, end) overlap."""
+def overlapping(left: DataFrame, right: DataFrame, *, key: str = "chrom", start: str = "start", end: str = "end", bucket: int | None = None) -> DataFrame:
+    """Pairs of rows (structs ``l`` and ``r``) of equal ``key`` whose [start, end) overlap. Without a
+    ``bucket`` its width comes from ``right``, the annotation. A bucket where very many rows of
+    ``left`` pile up is a skewed key of a plain equi-join, which Spark splits while it runs."""
+    bucket = bucket or bucket_width(right, start, end)
     a = left.where(F.col(end) > F.col(start)).select(F.struct(*left.columns).alias("l"), F.col(key).alias("k"), F.explode(F.sequence(_bucket(F.col(start), bucket), _bucket(F.col(end) - 1, bucket))).alias("b"))
     c = right.where(F.col(end) > F.col(start)).select(F.struct(*right.columns).alias("r"), F.col(key).alias("k"), F.explode(F.sequence(_bucket(F.col(start), bucket), _bucket(F.col(end) - 1, bucket))).alias("b"))
     l_start, r_start = F.col(f"l.{start}"), F.col(f"r.{start}")
@@ -27,7 +38,7 @@ def overlapping(left: DataFrame, right: DataFrame, *, key: str = "chrom", start:
     return a.join(c, ["k", "b"]).where(meet).select("l", "r")
 
 
-def assign_best_overlap(reads: DataFrame, transcripts: DataFrame, *, min_overlap: float = 0.5, coords: str = "reference", order: str = "ord", bucket: int = BUCKET) -> DataFrame:
+def assign_best_overlap(reads: DataFrame, transcripts: DataFrame, *, min_overlap: float = 0.5, coords: str = "reference", order: str = "ord", bucket: int | None = None) -> DataFrame:
     """Each read's transcript of the largest overlapped part: read_id, transcript_id,
     overlap_fraction, read_length, alignment_length.
 

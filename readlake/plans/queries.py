@@ -12,7 +12,7 @@ from readlake.functions import reads as R
 from readlake.functions import sequences as S
 from readlake.operators import cells, compare, density, evaluate, intervals, models, quality, sampling
 from readlake.scratch import new_path
-from readlake.sources import text
+from readlake.sources import tables, text
 
 from . import bindings as B
 from . import workflows
@@ -856,3 +856,71 @@ def merged_record_count(spark, d):
 def alignments_to_reads(spark, d):
     """Reads of the primary records, one each."""
     return text.alignments_to_reads(text.read_alignments(spark, _sam(spark, d))).groupBy("read_id").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("SELECT 's' || p_partkey AS transcript_id, 's' || p_partkey AS chrom, CAST(CASE WHEN p_partkey % 3 = 0 THEN 1 ELSE p_size END AS INTEGER) AS start_, CAST(p_size * 5 AS INTEGER) AS end_, '+' AS strand, CAST(CASE WHEN p_partkey % 3 = 0 THEN 1000 ELSE p_size * 4 + 1 END AS INTEGER) AS length FROM part")
+def gtf_fallback(spark, d):
+    """A table without any transcript row: every row is one, and numbers that don't parse have defaults."""
+    p, k = B.table(spark, d, "part"), F.col("p_partkey")
+    row = F.concat_ws("\t", F.format_string("s%d", k), F.lit("x"), F.lit("gene"), F.when(k % 3 == 0, "q").otherwise(F.col("p_size").cast("string")), (F.col("p_size") * 5).cast("string"), F.lit("."), F.lit("+"), F.lit("."), F.lit("k"))
+    return text.read_gtf(spark, _written(p.select(row.alias("value")), "genes.gtf"), "lenient").drop("ord").withColumnsRenamed({"start": "start_", "end": "end_"})
+
+
+@query("SELECT 'T' || p_partkey AS transcript_id, CAST(p_size AS INTEGER) AS start_, CAST(p_size * 5 AS INTEGER) AS end_, CAST(p_size * 5 AS INTEGER) AS length FROM part")
+def gff_end(spark, d):
+    """The id after the first '=', and the end as the length."""
+    p = B.table(spark, d, "part")
+    row = F.concat_ws("\t", F.lit("c"), F.lit("x"), F.lit("mRNA"), F.col("p_size").cast("string"), (F.col("p_size") * 5).cast("string"), F.lit("."), F.lit("+"), F.lit("."), F.format_string("ID=T%d;Parent=g", "p_partkey"))
+    own = text.read_gtf(spark, _written(p.select(row.alias("value")), "part.gff"), "gff_end")
+    return own.select("transcript_id", F.col("start").alias("start_"), F.col("end").alias("end_"), "length")
+
+
+@query(with_sql("ex") + "SELECT CAST(barcode AS VARCHAR) AS barcode, CAST(transcript_id AS VARCHAR) AS transcript_id, n AS expected_count FROM ex")
+def csv_round_trip(spark, d):
+    """The expected counts, written as CSV with a header and read again."""
+    path = new_path(spark)
+    tables.write_table(B.counts(spark, d)[0].selectExpr("cast(barcode as string) barcode", "cast(transcript_id as string) transcript_id", "expected_count"), path, "csv")
+    return tables.read_table(spark, path, "expected", "csv")
+
+
+@query(ORACLE_SQL["length_effect"])
+def saved_length_effect(spark, d):
+    """A learned model, saved and loaded."""
+    path = new_path(spark)
+    tables.save_density_model(*density.fit_density_model(B.alignments(spark, d).drop("transcript_length"), B.transcripts(spark, d), least=3), path)
+    return rounded(tables.load_density_model(spark, path)[1], "effect")
+
+
+@query(_MODEL + """SELECT length_bin, CASE WHEN arg_max(i, (round(y, 9), -i)) > 500 THEN '3''' ELSE '5''' END AS "end" FROM filled GROUP BY 1""")
+def dominant_end(spark, d):
+    return density.dominant_end(density_model(spark, d), density.GRID)
+
+
+@query(ORACLE_SQL["per_transcript_metrics"])
+def quantifier_evaluation(spark, d):
+    """Transcripts by detection rate, from counts under the quantifier's own column names."""
+    expected, observed = B.counts(spark, d)
+    raw = observed.select(F.col("transcript_id").alias("Transcript_ID"), F.col("barcode").alias("cell_barcode"), F.col("observed_count").alias("umi_count"))
+    return workflows.evaluate_quantifier(expected, raw)["per_transcript"]
+
+
+@query(ORACLE_SQL["assign_best_overlap"].replace("SELECT read_id, transcript_id, f AS", "SELECT transcript_id, count(*) AS n_reads FROM (SELECT read_id, transcript_id, f AS") + ") GROUP BY 1")
+def reads_per_assigned_transcript(spark, d):
+    return workflows.assign_transcripts(B.intervals(spark, d), B.transcripts(spark, d))["per_transcript"]
+
+
+@query(with_sql("bins") + ", m AS (SELECT transcript_id, bin, CASE WHEN len < 20 THEN 0 ELSE coalesce(v / nullif(sum(v) OVER (PARTITION BY transcript_id), 0), 0) END AS v FROM bins) SELECT transcript_id, " + ", ".join(f"round(max(v) FILTER (bin = {i}), 9) AS bin_{i + 1}" for i in range(BINS)) + " FROM m GROUP BY 1")
+def coverage_matrix(spark, d):
+    own = workflows.coverage_matrix(B.alignments(spark, d).drop("transcript_length"), _lengths(spark, d), BINS)
+    return rounded(own, *(f"bin_{i + 1}" for i in range(BINS)))
+
+
+@query("SELECT dataset, CASE WHEN r2 > 0.9 THEN 'excellent' WHEN r2 > 0.7 THEN 'good' WHEN r2 > 0.5 THEN 'moderate' ELSE 'limited' END AS fit, false AS overfit FROM (" + ORACLE_SQL["regression_metrics"] + ")")
+def fit_labels(spark, d):
+    own = models.regression_metrics(_metrics(spark, d), "aligned_fraction", "read_coverage", ["dataset"])
+    return own.select("dataset", R.fit_quality(F.col("r2")).alias("fit"), R.overfit(F.col("r2"), F.col("r2")).alias("overfit"))
+
+
+@query(with_sql("ivl") + "SELECT read_id, chrom, s AS start_, e AS end_ FROM ivl")
+def coordinate_sorted(spark, d):
+    return quality.coordinate_sorted(B.intervals(spark, d)).withColumnsRenamed({"start": "start_", "end": "end_"})
