@@ -163,7 +163,7 @@ def min_reads(spark, d):
     return cells.min_reads(B.alignments(spark, d), 30).select("read_id", *B.TIES, "transcript_id")
 
 
-@query(with_sql("aln", "tx") + "SELECT read_id, line, supplier, price, aln.s::DOUBLE / len AS position FROM (SELECT aln.*, tx.len FROM aln JOIN tx USING (transcript_id)) WHERE (flag & 2304) = 0")
+@query(with_sql("aln", "tx") + "SELECT read_id, line, supplier, price, s::DOUBLE / len AS position FROM (SELECT aln.*, tx.len FROM aln JOIN tx USING (transcript_id)) WHERE (flag & 2304) = 0")
 def relative_position(spark, d):
     own = intervals.annotated(B.alignments(spark, d), B.transcripts(spark, d)).where(R.is_primary(F.col("flag")))
     return own.select("read_id", *B.TIES, R.relative_position(F.col("start"), F.col("transcript_length")).alias("position"))
@@ -288,9 +288,9 @@ def bin_depth(spark, d):
     return _bins(spark, d, "none")
 
 
-@query(with_sql("bins") + "SELECT transcript_id, CAST(bin AS INTEGER) AS bin, round(CASE WHEN len < 20 THEN 0 ELSE coalesce(v / nullif(sum(v) OVER (PARTITION BY transcript_id), 0), 0) END, 9) AS value FROM bins")
+@query(with_sql("bins") + "SELECT transcript_id, CAST(bin AS INTEGER) AS bin, round(CASE WHEN len < 20 THEN 0 ELSE coalesce(v / nullif(sum(v) OVER (PARTITION BY transcript_id), 0), 0) END, 12) AS value FROM bins")
 def bin_depth_sum(spark, d):
-    return rounded(_bins(spark, d, "sum"), "value")
+    return _bins(spark, d, "sum").withColumn("value", F.round("value", 12))
 
 
 @query(with_sql("bins") + "SELECT transcript_id, CAST(bin AS INTEGER) AS bin, round(100 * v / (avg(v) OVER (PARTITION BY transcript_id) + 1e-10), 6) AS value FROM bins")
