@@ -563,7 +563,8 @@ def positional_design_local(spark, d):
     return rounded(_enhanced(spark, d, _local(spark, d)).select("transcript_id", "bin", *_LOCAL, *(f"kmer_{k}" for k in _SOME_KMERS)), *_LOCAL)
 
 
-_FOREST = {"trees": 10, "depth": 4}
+#: The operator's own settings. Boosting is registered with fewer rounds: they run one after the other.
+_FOREST: dict = {}
 
 
 @query()
