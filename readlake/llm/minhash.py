@@ -252,11 +252,10 @@ def _named_pairs(ids: list[bytes], i: np.ndarray, j: np.ndarray) -> pa.RecordBat
     return pa.RecordBatch.from_arrays([pa.array([p[k] for p in pairs], pa.binary()) for k in (0, 1)], ["a", "b"])
 
 
-def full_sets(docs: DataFrame, members: DataFrame, wanted: DataFrame, k: int) -> DataFrame:
-    """(set_id, shingles) of the wanted set ids, made again from the texts of one document each: of
-    that of the least id, or of any where none has an id."""
-    least = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_hash")).alias("least")
-    chosen = members.join(wanted, "set_id", "left_semi").groupBy("set_id").agg(least).select(F.col("least.doc_id").alias("own_id"), F.col("least.text_hash").alias("own_hash"))
+def full_sets(docs: DataFrame, classes: DataFrame, wanted: DataFrame, k: int) -> DataFrame:
+    """(set_id, shingles) of the wanted set ids, made again from the texts of one document each: the
+    class's own (doc_id, text_hash), that of the least id or of any where none has an id."""
+    chosen = classes.join(wanted, "set_id", "left_semi").select(F.col("own.doc_id").alias("own_id"), F.col("own.text_hash").alias("own_hash"))
     texts = docs.select(docs["doc_id"].cast("long").alias("doc_id"), F.xxhash64(whole_text()).alias("text_hash"), whole_text().cast("binary").alias("data"))
     texts = texts.join(chosen, F.col("doc_id").eqNullSafe(F.col("own_id")) & (F.col("text_hash") == F.col("own_hash")), "left_semi").select("data")
 
@@ -346,12 +345,12 @@ def near_duplicates(docs: DataFrame, k: int = 5, threshold: tuple[int, int] = (8
     """
     docs = docs.select("doc_id", "text")
     members = saved(features(docs, k))
-    classes = saved(members.where(F.col("set_id").isNotNull()).groupBy("set_id").agg(F.min("doc_id").alias("least"), F.min("text_hash").alias("least_hash"), F.count(F.lit(1)).alias("n"), F.first("n_shingles").alias("n_shingles"), F.first("signature").alias("signature")))
+    classes = saved(members.where(F.col("set_id").isNotNull()).groupBy("set_id").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_hash")).alias("own"), F.min("text_hash").alias("least_hash"), F.count(F.lit(1)).alias("n"), F.first("n_shingles").alias("n_shingles"), F.first("signature").alias("signature")))
     bands = _bands(classes)
     shared = bands.groupBy("bucket").agg(F.count(F.lit(1)).alias("size")).where("size > 1")
     inside = saved(bands.join(shared, "bucket"))
     signatures = classes.select("set_id", "signature")
-    slim = members.select("set_id", "doc_id", "text_hash")
+    slim = classes.select("set_id", "own")
 
     parts = F.ceil(F.col("size") / BLOCK)
     first = inside.withColumn("part", F.pmod(F.xxhash64("set_id", "bucket"), parts)).join(signatures, "set_id").select("bucket", "part", "set_id", "n_shingles", "signature")
@@ -374,7 +373,7 @@ def near_duplicates(docs: DataFrame, k: int = 5, threshold: tuple[int, int] = (8
     links = saved(links.unionByName(more))
     roots = components(links.select(F.col("a").alias("u"), F.col("b").alias("v")))
 
-    own = classes.select("set_id", "n", "least", "least_hash").join(roots.withColumnRenamed("node", "set_id"), "set_id", "left").withColumn("root", F.coalesce("root", "set_id"))
+    own = classes.select("set_id", "n", F.col("own.doc_id").alias("least"), "least_hash").join(roots.withColumnRenamed("node", "set_id"), "set_id", "left").withColumn("root", F.coalesce("root", "set_id"))
     tops = own.groupBy("root").agg(F.min("least").alias("component_id"), F.min("least_hash").alias("top_hash"))
     labels = saved(own.join(tops, "root").select("set_id", "n", "component_id", "top_hash"))
     rows = members.select("doc_id", "n_shingles", "set_id", "text_hash")
