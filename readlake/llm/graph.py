@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import join_hot, saved
+from .common import saved
 
 
 def _state(edges: DataFrame):
@@ -17,14 +17,14 @@ def components(links: DataFrame, most_rounds: int = 60) -> DataFrame:
 
     Each round joins every node's neighbours to the least of them, so paths shorten as their
     logarithm; nothing but a count and a sum reaches the driver. A node with very many neighbours
-    meets them by a broadcast of its row. Loops and repeated links are harmless; an empty table gives none.
+    is a skewed key of a plain join, which Spark splits while it runs. Loops and repeated links are harmless; an empty table gives none.
     """
     edges = saved(links.where(F.col("u") != F.col("v")).select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct())
     before = _state(edges)
     for _ in range(most_rounds):
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.min("v").alias("m"), F.count(F.lit(1)).alias("n")).select("u", F.least("u", "m").alias("m"), "n")
-        large = join_hot(both, least, "u", "n", 2 * before[0]).where(F.col("v") > F.col("u")).select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+        least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
+        large = both.join(least, "u").where(F.col("v") > F.col("u")).select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
         least = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(least, "u").select(F.when(F.col("v") == F.col("m"), F.col("u")).otherwise(F.col("v")).alias("u"), F.col("m").alias("v")).distinct()
         edges = saved(small)
