@@ -1,6 +1,7 @@
 """Tables that cut lineage: where they lie and how they go."""
 
 import os
+from urllib.parse import urlparse
 
 import pytest
 
@@ -8,7 +9,7 @@ from readlake import scratch
 
 
 def local(path):
-    return path.removeprefix("file:").replace("//", "/")
+    return urlparse(path).path
 
 
 def test_scopes_delete_what_was_saved_inside(spark):
