@@ -54,3 +54,56 @@ def linked_secrets(base, weak, roles, scope: int) -> str:
         AND p.s - w.e <= {scope} AND w.s - p.e <= {scope} AND (p.s >= w.e OR w.s >= p.e))),
     per AS (SELECT doc_id, {counts}, sha256(coalesce({listed} FILTER (o < {len(base)}), '')) AS base_sha256, {listed} AS spans, count(*) FILTER (o >= {len(base)}) AS n_linked FROM kept GROUP BY 1)
     SELECT d.doc_id, {names}, coalesce(base_sha256, sha256('')) AS base_sha256, coalesce(spans, '') AS spans, coalesce(n_linked, 0) AS n_linked FROM d LEFT JOIN per ON per.doc_id = d.doc_id"""
+
+
+
+
+def _tree(name: str, start: str, fanout: int, levels: int) -> str:
+    """CTEs of trees over ``start`` (g, i, h): ``{name}_top`` (g, h), and ``{name}_side`` (g, level, i, l, r), the
+    digests left and right of a node in its run, of the levels where its tree has several nodes."""
+    parts = [f"{name}0 AS (SELECT g, i, h FROM {start})"]
+    for k in range(levels):
+        many = f"(SELECT g AS m FROM {name}{k} GROUP BY g HAVING count(*) > 1)"
+        parts.append(f"{name}{k + 1} AS (SELECT g, i // {fanout} AS i, sha256(string_agg(h, '' ORDER BY i)) AS h FROM {name}{k} a SEMI JOIN {many} b ON a.g IS NOT DISTINCT FROM b.m GROUP BY 1, 2)")
+    runs = " UNION ALL ".join(f"SELECT {k} AS level, g, i, h, count(*) OVER (PARTITION BY g) AS n FROM {name}{k}" for k in range(levels + 1))
+    parts.append(f"{name}_all AS ({runs})")
+    parts.append(f"{name}_top AS (SELECT g, h FROM {name}_all WHERE n = 1)")
+    parts.append(
+        f"""{name}_side AS (SELECT a.g, a.level, a.i, coalesce(string_agg(b.h, '' ORDER BY b.i) FILTER (b.i < a.i), '') AS l, coalesce(string_agg(b.h, '' ORDER BY b.i) FILTER (b.i > a.i), '') AS r
+    FROM {name}_all a JOIN {name}_all b ON a.level = b.level AND a.g IS NOT DISTINCT FROM b.g AND a.i // {fanout} = b.i // {fanout} WHERE a.n > 1 GROUP BY ALL)"""
+    )
+    return ",\n".join(parts)
+
+
+def manifest(fanout: int, levels: int = 4) -> str:
+    """Trees of up to ``fanout ** levels`` documents a source, and as many sources. The checksum of an id
+    goes byte by byte through a table of 256 values, which is made bit by bit."""
+
+    def leaf(text: str) -> str:
+        values = ("doc_id::varchar", "source", "lang", "n_chars::varchar", text)
+        return "sha256(" + " || ".join(f"coalesce(strlen({v}) || ':' || {v}, '-')" for v in values) + ")"
+
+    bit = "i"
+    for _ in range(8):
+        bit = f"list_transform([{bit}], lambda c: xor(c // 2, 3988292384 * (c % 2)))[1]"
+    lower = "translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+    step = "lambda c, b: xor(c // 256, t[xor(c, b) % 256 + 1])"
+    folds = ["f0 AS (SELECT *, CASE WHEN hit THEN tampered ELSE leaf END AS f, '' AS proof FROM numbered)"]
+    for k in range(2 * levels):
+        side, place = (("inner_side", f"x.i // {fanout**k}") if k < levels else ("outer_side", f"x.place // {fanout ** (k - levels)}"))
+        on = f"s.level = {k % levels} AND s.i = {place}" + (" AND s.g IS NOT DISTINCT FROM x.g" if k < levels else "")
+        folds.append(f"f{k + 1} AS (SELECT x.* EXCLUDE (f, proof), CASE WHEN s.l IS NULL THEN f ELSE sha256(s.l || f || s.r) END AS f, proof || coalesce(s.l || s.r, '') AS proof FROM f{k} x LEFT JOIN {side} s ON {on})")
+    return f"""
+WITH crc AS (SELECT list(c ORDER BY i) AS t FROM (SELECT i, {bit} AS c FROM (SELECT range::BIGINT AS i FROM range(256)))),
+leaves AS (SELECT doc_id, source AS g, {leaf("text")} AS leaf, {leaf(lower)} AS tampered,
+    coalesce(xor(list_reduce(list_prepend(4294967295::BIGINT, list_transform(range(1, length(doc_id::varchar) + 1), lambda k: ascii((doc_id::varchar)[k])::BIGINT)), {step}), 4294967295) % 5 = 0, false) AS hit
+    FROM documents, crc),
+numbered AS (SELECT l.*, row_number() OVER (PARTITION BY g ORDER BY doc_id NULLS FIRST, leaf) - 1 AS i, dense_rank() OVER (ORDER BY g NULLS FIRST) - 1 AS place FROM leaves l),
+leafrow AS (SELECT g, i, leaf AS h FROM numbered),
+{_tree("inner", "leafrow", fanout, levels)},
+sources AS (SELECT 0 AS g, row_number() OVER (ORDER BY g NULLS FIRST) - 1 AS i, h FROM inner_top),
+{_tree("outer", "sources", fanout, levels)},
+{", ".join(folds)}
+SELECT doc_id, leaf, t.h AS subroot, o.h AS root, sha256(proof) AS proof_sha256, f AS folded_root, f = o.h AS verified
+FROM f{2 * levels} x JOIN inner_top t ON t.g IS NOT DISTINCT FROM x.g CROSS JOIN outer_top o
+"""

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import bpe, embeddings, flac, langid, licenses, minhash, mixing, oracles, secrets, sharding, toxicity
+from . import bpe, embeddings, flac, langid, licenses, merkle, minhash, mixing, oracles, secrets, sharding, toxicity
 
 QUERIES = {
     "op1_license_automaton": licenses.op1_license_automaton,
@@ -15,10 +15,12 @@ QUERIES = {
     "op8_chain_toxicity": toxicity.op8_chain_toxicity,
     "op9_bayes_minhash": minhash.op9_bayes_minhash,
     "op10_kd_tree_shards": sharding.op10_kd_tree_shards,
+    "op13_butterfly_manifest": merkle.op13_butterfly_manifest,
 }
 
 ORACLE_SQL: dict[str, str] = {
     "op2_pstable_near_vectors": oracles.NEAR_VECTORS,
     "op4_linked_secrets": oracles.linked_secrets(secrets.BASE, secrets.WEAK, secrets.ROLES, secrets.SCOPE),
     "op9_bayes_minhash": oracles.NEAR_DOCUMENTS,
+    "op13_butterfly_manifest": oracles.manifest(merkle.FANOUT),
 }
