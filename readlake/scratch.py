@@ -40,6 +40,16 @@ def saved(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def saved_buckets(df: DataFrame, key: str, pieces: int) -> DataFrame:
+    """Like ``saved``, in ``pieces`` buckets of hashed keys, each sorted: a join by the key brings the other
+    side to the buckets and leaves them where they are."""
+    spark = df.sparkSession
+    name = f"readlake_{uuid.uuid4().hex}"
+    writer = df.repartition(pieces, key).write.bucketBy(pieces, key).sortBy(key)
+    writer.option("path", new_path(spark)).saveAsTable(name)
+    return spark.table(name)
+
+
 def delete(spark: SparkSession, path: str) -> None:
     """Remove a folder of the shared file system; nothing happens where there is none."""
     where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
