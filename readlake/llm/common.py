@@ -5,9 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from readlake.scratch import checkpoint_dir, delete, new_path, saved, scope
+from readlake.scratch import checkpoint_dir, delete, new_path, saved, saved_buckets, scope
 
-__all__ = ["checkpoint_dir", "delete", "each_copy", "join_hot", "new_path", "saved", "scope", "spread", "uniform", "whole_text"]
+__all__ = ["checkpoint_dir", "delete", "each_copy", "join_hot", "new_path", "saved", "saved_buckets", "scope", "spread", "uniform", "whole_text"]
 
 #: A key is hot if it has more than this part of all rows; so fewer keys than its inverse are.
 HOT_PART = 1000
