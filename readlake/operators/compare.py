@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .quality import METRICS
+from .quantiles import with_medians
 
 #: Datasets that one is compared with at most; their names come to the driver.
 MOST_DATASETS = 1000
@@ -41,10 +42,11 @@ def compare_by_length_bin(rows: DataFrame, metrics: Sequence[str] = METRICS) ->
     in two; the four bins are joined as a broadcast table."""
     bins = quartile_bins(rows)
     met = rows.join(F.broadcast(bins), F.col("transcript_length").between(F.col("low"), F.col("high")))
-    stats = [F.count(F.lit(1)).alias("n"), F.avg("transcript_length").alias("mean_length"), F.median("transcript_length").cast("double").alias("median_length")]
+    stats = [F.count(F.lit(1)).alias("n"), F.avg("transcript_length").alias("mean_length")]
     for m in metrics:
-        stats += [F.avg(m).alias(f"mean_{m}"), F.median(m).alias(f"median_{m}"), F.stddev_samp(m).alias(f"std_{m}")]
-    found = met.groupBy("length_bin", "dataset").agg(*stats)
+        stats += [F.avg(m).alias(f"mean_{m}"), F.stddev_samp(m).alias(f"std_{m}")]
+    middle = {"median_length": F.col("transcript_length")} | {f"median_{m}": F.col(m) for m in metrics}
+    found = with_medians(met.groupBy("length_bin", "dataset").agg(*stats), met, middle, ["length_bin", "dataset"])
     grid = bins.crossJoin(rows.select("dataset").distinct())
     out = grid.join(found, ["length_bin", "dataset"], "left")
     return out.na.fill(0)
@@ -83,8 +85,9 @@ def match_by_length(rows: DataFrame, reference: str, tolerance: float = 0.1, lea
 
 def matched_statistics(rows: DataFrame, matches: DataFrame, metrics: Sequence[str] = METRICS) -> DataFrame:
     """Each match with count, mean, median and std of the metrics of its reads."""
-    stats = [F.count(F.lit(1)).alias("reads")] + [f(m).alias(f"{n}_{m}") for m in metrics for n, f in (("mean", F.avg), ("median", F.median), ("std", F.stddev_samp))]
-    found = rows.groupBy("dataset", "transcript_id").agg(*stats)
+    stats = [F.count(F.lit(1)).alias("reads")] + [f(m).alias(f"{n}_{m}") for m in metrics for n, f in (("mean", F.avg), ("std", F.stddev_samp))]
+    keys = ["dataset", "transcript_id"]
+    found = with_medians(rows.groupBy(*keys).agg(*stats), rows, {f"median_{m}": F.col(m) for m in metrics}, keys)
     return matches.join(found, ["dataset", "transcript_id"], "left").na.fill(0, ["reads"])
 
 

@@ -11,8 +11,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-#: Least width of a bucket.
-LEAST_BUCKET = 100
+#: Least width of a bucket, and places whose depth is swept together.
+LEAST_BUCKET, DEPTH_BLOCK = 100, 1 << 16
 
 
 def bucket_width(intervals: DataFrame, start: str = "start", end: str = "end") -> int:
@@ -45,7 +45,8 @@ def assign_best_overlap(reads: DataFrame, transcripts: DataFrame, *, min_overlap
     Reads (read_id, chrom, start, end[, read_length]) and transcripts (transcript_id, chrom, start,
     end, ``order``). ``coords='reference'`` compares the numbers as they are; ``'half_open'`` first
     takes the 1-based start of a transcript back by one. Ties go to the first in file order; reads
-    of no length and those below ``min_overlap`` have no row.
+    of no length and those below ``min_overlap`` have no row. A read with several records has a row
+    for each, equal ones too.
     """
     if coords not in ("reference", "half_open"):
         raise ValueError(coords)
@@ -56,7 +57,8 @@ def assign_best_overlap(reads: DataFrame, transcripts: DataFrame, *, min_overlap
     pairs = overlapping(own, transcripts.select("transcript_id", "chrom", "start", "end", F.col(order).alias("ord")), bucket=bucket)
     size = F.col("l.end") - F.col("l.start")
     fraction = (F.least("l.end", "r.end") - F.greatest("l.start", "r.start")).cast("double") / size.cast("double")
-    best = F.row_number().over(W.partitionBy("l.read_id").orderBy(F.desc("fraction"), F.col("r.ord")))
+    # equal records share a rank, so each keeps its row
+    best = F.rank().over(W.partitionBy("l").orderBy(F.desc("fraction"), F.col("r.ord"), F.col("r.transcript_id")))
     rows = pairs.withColumn("fraction", fraction).where(F.col("fraction") >= min_overlap).withColumn("n", best).where("n = 1")
     return rows.select(F.col("l.read_id").alias("read_id"), F.col("r.transcript_id").alias("transcript_id"), F.col("fraction").alias("overlap_fraction"), (F.col(f"l.{length}") if length else size).cast("int").alias("read_length"), size.cast("int").alias("alignment_length"))
 
@@ -81,15 +83,25 @@ def annotated(alignments: DataFrame, transcripts: DataFrame) -> DataFrame:
 def depth(alignments: DataFrame, lengths: DataFrame) -> DataFrame:
     """Runs of equal depth: transcript_id, seg_start, seg_end, depth, over the whole of every
     transcript of ``lengths`` (transcript_id, length). Alignments are clipped to it; a sweep over
-    starts and ends replaces the bases, and events of one place are summed before they move."""
+    starts and ends replaces the bases, and events of one place are summed before they move.
+
+    Events are swept in blocks of ``DEPTH_BLOCK`` places, each for itself; what the blocks before have
+    added up to, and where the next one begins, comes from a table of one row a block, so a long
+    contig is swept in many tasks and a run may cross any number of blocks."""
     clipped = alignments.join(lengths, "transcript_id").select("transcript_id", F.greatest(F.col("start"), F.lit(0)).cast("int").alias("start"), F.least("end", "length").cast("int").alias("end")).where("end > start")
     ends = F.explode(F.array(F.struct(F.col("start").alias("pos"), F.lit(1).alias("step")), F.struct(F.col("end").alias("pos"), F.lit(-1).alias("step")))).alias("e")
     whole = F.explode(F.array(F.struct(F.lit(0).alias("pos"), F.lit(0).alias("step")), F.struct(F.col("length").cast("int").alias("pos"), F.lit(0).alias("step")))).alias("e")
     events = clipped.select("transcript_id", ends).unionByName(lengths.select("transcript_id", whole)).select("transcript_id", "e.pos", "e.step")
-    steps = events.groupBy("transcript_id", "pos").agg(F.sum("step").alias("step"))
-    order = W.partitionBy("transcript_id").orderBy("pos")
-    runs = steps.select("transcript_id", F.col("pos").alias("seg_start"), F.lead("pos").over(order).alias("seg_end"), F.sum("step").over(order).cast("long").alias("depth"))
-    return runs.where("seg_end is not null")
+    block = F.expr(f"cast(pos div {DEPTH_BLOCK} as int)").alias("block")
+    steps = events.groupBy("transcript_id", block, "pos").agg(F.sum("step").alias("step"))
+    blocks = events.groupBy("transcript_id", block).agg(F.sum("step").alias("total"), F.min("pos").alias("first"))
+    along = W.partitionBy("transcript_id").orderBy("block")  # one row a block
+    carried = blocks.select("transcript_id", "block", (F.sum("total").over(along) - F.col("total")).alias("before"), F.lead("first").over(along).alias("next"))
+    order = W.partitionBy("transcript_id", "block").orderBy("pos")
+    runs = steps.select("transcript_id", "block", F.col("pos").alias("seg_start"), F.lead("pos").over(order).alias("inside"), F.sum("step").over(order).alias("own"))
+    met = runs.join(carried, ["transcript_id", "block"])
+    out = met.select("transcript_id", "seg_start", F.coalesce("inside", "next").alias("seg_end"), (F.col("own") + F.col("before")).cast("long").alias("depth"))
+    return out.where("seg_end is not null")
 
 
 def flip_by_strand(runs: DataFrame, transcripts: DataFrame) -> DataFrame:

@@ -9,6 +9,9 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from readlake.functions import reads as R
+from readlake.scratch import saved
+
+from .quantiles import with_medians
 
 METRICS = ("aligned_fraction", "read_coverage", "read_accuracy")
 
@@ -42,14 +45,22 @@ def primary_alignment(alignments: DataFrame, ties: Sequence[str], fill_nulls: bo
 
 
 def transcript_summary(primary: DataFrame, by: Sequence[str] = ()) -> DataFrame:
-    return primary.groupBy(*by, "transcript_id").agg(F.median("read_coverage").alias("median_coverage"), F.max("transcript_length").alias("max_length"), F.count(F.lit(1)).alias("reads"))
+    """(*by, transcript_id, median_coverage, max_length, reads)."""
+    keys = [*by, "transcript_id"]
+    rows = primary.groupBy(*keys).agg(F.max("transcript_length").alias("max_length"), F.count(F.lit(1)).alias("reads"))
+    return with_medians(rows, primary, {"median_coverage": F.col("read_coverage")}, keys).select(*keys, "median_coverage", "max_length", "reads")
 
 
 def alignment_summary(primary: DataFrame, by: Sequence[str] = ()) -> DataFrame:
     """(metric, value) rows over primary alignments, or (*by, metric, value) for each group of them."""
     full = F.count_if(F.col("read_coverage") > 0.95)
-    of_reads = primary.groupBy(*by).agg(F.count(F.lit(1)).cast("double").alias("reads"), full.cast("double").alias("full_length"), F.try_divide(100.0 * full, F.count(F.lit(1)).cast("double")).alias("percent_full_length"), F.median("read_coverage").alias("median_coverage"), F.median("aligned_length").alias("median_aligned_length"), F.median(F.col("read_accuracy") * 100).alias("median_accuracy"))
-    of_transcripts = transcript_summary(primary, by).groupBy(*by).agg(F.count(F.lit(1)).cast("double").alias("transcripts"), F.median("median_coverage").alias("median_of_medians"), F.median("max_length").cast("double").alias("median_transcript_length"))
+    n = F.count(F.lit(1)).cast("double")
+    of_reads = primary.groupBy(*by).agg(n.alias("reads"), full.cast("double").alias("full_length"), F.try_divide(100.0 * full, n).alias("percent_full_length"))
+    own = {"median_coverage": F.col("read_coverage"), "median_aligned_length": F.col("aligned_length"), "median_accuracy": F.col("read_accuracy") * 100}
+    of_reads = with_medians(of_reads, primary, own, by)
+    transcripts = saved(transcript_summary(primary, by))
+    of_transcripts = transcripts.groupBy(*by).agg(n.alias("transcripts"))
+    of_transcripts = with_medians(of_transcripts, transcripts, {"median_of_medians": F.col("median_coverage"), "median_transcript_length": F.col("max_length")}, by)
     both = of_reads.join(of_transcripts, list(by)) if by else of_reads.crossJoin(of_transcripts)  # one row each
     return both.unpivot(list(by), [c for c in both.columns if c not in by], "metric", "value")
 
@@ -84,6 +95,22 @@ def coverage_fraction_histogram(primary: DataFrame) -> DataFrame:
     return inside.groupBy(R.equal_bin(F.col("read_coverage"), 0.5, 1.0, 180).alias("bin")).agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("read_coverage") > 0.95).alias("n_full"))
 
 
+def hexagon_density(df: DataFrame, x: Column, y: Column, x_width: float, y_width: float, least: int = 1) -> DataFrame:
+    """(cell_x, cell_y, n): counts in hexagons, as doubled coordinates: a cell's centre is at
+    ``(cell_x * x_width / 2, cell_y * y_width / 2)`` where both are even or both odd.
+
+    The centres are two rectangular lattices, one shifted by half a cell; each point goes to the nearer
+    of its nearest ones in either, with y counted ``sqrt(3)`` times, so that the cells are hexagons, and
+    to the even one if both are as near. Points with a null have no cell."""
+    u, v = x / R.number(x_width), y / R.number(y_width)
+    i, j, k, m = F.floor(u + 0.5), F.floor(v + 0.5), F.floor(u), F.floor(v)
+    away = lambda a, b: (u - a) * (u - a) + (v - b) * (v - b) * 3
+    even = away(i, j) <= away(k + 0.5, m + 0.5)
+    cell = [F.when(even, 2 * a).otherwise(2 * b + 1).cast("long").alias(c) for a, b, c in ((i, k, "cell_x"), (j, m, "cell_y"))]
+    rows = df.where(x.isNotNull() & y.isNotNull()).groupBy(*cell).agg(F.count(F.lit(1)).alias("n"))
+    return rows.where(F.col("n") >= least)
+
+
 def density_2d(df: DataFrame, x: Column, y: Column, x_width: float, y_width: float, least: int = 1) -> DataFrame:
     cells = df.groupBy(F.floor(x / R.number(x_width)).alias("cell_x"), F.floor(y / R.number(y_width)).alias("cell_y")).agg(F.count(F.lit(1)).alias("n"))
     return cells.where(F.col("n") >= least)

@@ -41,6 +41,13 @@ def intervals(spark: SparkSession, sf_dir: str) -> DataFrame:
     return e.select(k.alias("read_id"), (F.col("user_id") % 25).alias("chrom"), start.alias("start"), (start + F.floor("value") + 1).alias("end"))
 
 
+def line_intervals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every line is a record of its order, so a read has several, and some that are equal."""
+    rows, k = table(spark, sf_dir, "lineitem"), F.col("l_partkey")
+    start = (k * 7) % 900
+    return rows.select((F.col("l_orderkey") % 50000).alias("read_id"), (k % 25).alias("chrom"), start.alias("start"), (start + F.col("l_quantity").cast("long")).alias("end"))
+
+
 def headers(spark: SparkSession, sf_dir: str) -> DataFrame:
     e, k = table(spark, sf_dir, "events"), F.col("event_id")
     user = F.col("user_id").cast("string")
@@ -88,6 +95,7 @@ SQL = {
     "tx": """SELECT p_partkey AS transcript_id, p_partkey % 25 AS chrom, (p_partkey * 7) % 900 AS s, (p_partkey * 7) % 900 + p_size * 4 AS e,
         CASE WHEN p_partkey % 2 = 0 THEN '+' ELSE '-' END AS strand, p_size * 10 + 100 AS len FROM part""",
     "ivl": """SELECT event_id AS read_id, user_id % 25 AS chrom, (event_id * 13) % 1000 AS s, (event_id * 13) % 1000 + CAST(floor("value") AS BIGINT) + 1 AS e FROM events""",
+    "lin": """SELECT l_orderkey % 50000 AS read_id, l_partkey % 25 AS chrom, (l_partkey * 7) % 900 AS s, (l_partkey * 7) % 900 + CAST(l_quantity AS BIGINT) AS e FROM lineitem""",
     "hdr": """SELECT event_id AS read_id, CAST(user_id AS VARCHAR) AS barcode,
         CASE WHEN event_id % 3 = 2 THEN NULL ELSE event_type END AS umi,
         CASE WHEN event_id % 3 = 0 THEN 'cb_tag' WHEN event_id % 3 = 1 THEN 'underscore' ELSE 'other' END AS fmt FROM events""",

@@ -5,13 +5,14 @@ Ratios are rounded to 9 decimals on both sides, since sums of doubles depend on
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Observation
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from readlake.functions import reads as R
 from readlake.functions import sequences as S
 from readlake.operators import cells, compare, density, evaluate, intervals, models, quality, sampling
-from readlake.scratch import new_path
+from readlake.scratch import new_path, saved
 from readlake.sources import tables, text
 
 from . import bindings as B
@@ -267,6 +268,14 @@ def assign_best_overlap(spark, d):
     return intervals.assign_best_overlap(B.intervals(spark, d), B.transcripts(spark, d))
 
 
+@query(with_sql("lin", "tx") + """SELECT read_id, transcript_id, f AS overlap_fraction, CAST(e - s AS INTEGER) AS read_length, CAST(e - s AS INTEGER) AS alignment_length FROM (
+    SELECT r.*, t.transcript_id, (least(r.e, t.e) - greatest(r.s, t.s))::DOUBLE / (r.e - r.s) AS f, row_number() OVER (PARTITION BY r.n ORDER BY (least(r.e, t.e) - greatest(r.s, t.s))::DOUBLE / (r.e - r.s) DESC, t.transcript_id) AS k
+    FROM (SELECT *, row_number() OVER () AS n FROM lin WHERE e > s) r JOIN tx t ON r.chrom = t.chrom AND r.s < t.e AND t.s < r.e WHERE (least(r.e, t.e) - greatest(r.s, t.s))::DOUBLE / (r.e - r.s) >= 0.5) WHERE k = 1""")
+def assign_repeated_reads(spark, d):
+    """Reads with several records, some of them equal: a row for each."""
+    return intervals.assign_best_overlap(B.line_intervals(spark, d), B.transcripts(spark, d))
+
+
 @query(ORACLE_SQL["assign_best_overlap"].replace("SELECT read_id, transcript_id, f AS", "SELECT count(*) AS total_reads, count(DISTINCT transcript_id) AS transcripts, max(c) AS most_reads FROM (SELECT transcript_id, count(*) OVER (PARTITION BY transcript_id) AS c FROM (SELECT read_id, transcript_id, f AS") + "))")
 def transcript_statistics(spark, d):
     return cells.transcript_statistics(intervals.assign_best_overlap(B.intervals(spark, d), B.transcripts(spark, d)))
@@ -792,10 +801,11 @@ def fastq_round_trip(spark, d):
 
 @query("SELECT 'd' || doc_id AS seq_id, regexp_replace(coalesce(text, ''), '[^A-Za-z]', '', 'g') AS seq, CAST(length(regexp_replace(coalesce(text, ''), '[^A-Za-z]', '', 'g')) AS INTEGER) AS length FROM documents")
 def fasta_round_trip(spark, d):
-    """The letters of the documents, written as FASTA in lines of 60 and read again."""
+    """The letters of the documents, written as FASTA in lines of 60, in two files, read again and put together."""
     letters = F.regexp_replace(F.coalesce("text", F.lit("")), "[^A-Za-z]", "")
-    own = B.table(spark, d, "documents").select(F.concat(F.lit(">d"), F.col("doc_id").cast("string"), F.lit(" note\n"), F.regexp_replace(letters, "(.{60})", "$1\n")).alias("value"))
-    return text.concat_sequences(text.read_fasta(spark, _written(own, "documents.fa")))
+    own = B.table(spark, d, "documents").select("doc_id", F.concat(F.lit(">d"), F.col("doc_id").cast("string"), F.lit(" note\n"), F.regexp_replace(letters, "(.{60})", "$1\n")).alias("value"))
+    halves = [own.where(F.col("doc_id") % 2 == k).select("value") for k in (0, 1)]
+    return text.concat_sequences(*(text.read_fasta(spark, _written(half, f"documents{k}.fa")) for k, half in enumerate(halves)))
 
 
 _GTF = "SELECT 'T' || p_partkey AS transcript_id, 'c' || p_partkey % 25 AS chrom, (p_partkey * 7) % 900 + 1 AS start_, (p_partkey * 7) % 900 + p_size * 4 AS end_, CASE WHEN p_partkey % 2 = 0 THEN '+' ELSE '-' END AS strand, p_size * 4 AS length FROM part"
@@ -829,13 +839,14 @@ def annotation_from_sequences(spark, d):
 
 def _sam(spark, d):
     rows = B.alignments(spark, d).where("aligned_length > 0")
-    seq = F.repeat(F.lit("A"), F.col("aligned_length") + F.col("I"))
-    body = F.concat_ws("\t", F.col("read_id").cast("string"), F.col("flag").cast("string"), F.format_string("T%d", "transcript_id"), (F.col("start") + 1).cast("string"), F.col("mapq").cast("string"), F.when(F.col("I") > 0, F.format_string("%dM%dI%dD", "aligned_length", "I", "D")).otherwise(F.format_string("%dM%dD", "aligned_length", "D")), F.lit("*"), F.lit("0"), F.lit("0"), seq, seq, F.when(F.col("NM").isNotNull(), F.format_string("NM:i:%d", "NM")))
+    size = F.col("aligned_length") + F.col("I")
+    seq, qual = F.substring(F.repeat(F.lit("ACGTTN"), 20), F.lit(1), size), F.substring(F.repeat(F.lit("#5IJ"), 30), F.lit(1), size)
+    body = F.concat_ws("\t", F.col("read_id").cast("string"), F.col("flag").cast("string"), F.format_string("T%d", "transcript_id"), (F.col("start") + 1).cast("string"), F.col("mapq").cast("string"), F.when(F.col("I") > 0, F.format_string("%dM%dI%dD", "aligned_length", "I", "D")).otherwise(F.format_string("%dM%dD", "aligned_length", "D")), F.lit("*"), F.lit("0"), F.lit("0"), seq, qual, F.when(F.col("NM").isNotNull(), F.format_string("NM:i:%d", "NM")))
     heads = B.transcripts(spark, d).select(F.format_string("@SQ\tSN:T%d\tLN:%d", "transcript_id", "length").alias("value"))
     return _written(heads.unionByName(rows.select(body.alias("value"))), "lines.sam")
 
 
-_SAM = with_sql("aln") + ", sam AS (SELECT read_id, flag, 'T' || transcript_id AS transcript_id, s, mapq, al, i, d, al + d AS span, tl, CASE WHEN i > 0 THEN i + d END AS nm FROM aln WHERE al > 0 AND (flag & 4) = 0) "
+_SAM = with_sql("aln") + ", sam AS (SELECT read_id, flag, 'T' || transcript_id AS transcript_id, s, mapq, al, i, d, al + d AS span, tl, CASE WHEN i > 0 THEN i + d END AS nm, CASE WHEN i > 0 THEN al || 'M' || i || 'I' || d || 'D' ELSE al || 'M' || d || 'D' END AS cigar FROM aln WHERE al > 0 AND (flag & 4) = 0) "
 
 
 @query(_SAM + """SELECT CAST(read_id AS VARCHAR) AS read_id, flag, transcript_id, CAST(s AS INTEGER) AS start_, CAST(s + span AS INTEGER) AS end_, mapq, CAST(al AS INTEGER) AS M, CAST(i AS INTEGER) AS I, CAST(al + i AS INTEGER) AS read_length, CAST(tl AS INTEGER) AS transcript_length,
@@ -846,6 +857,47 @@ def sam_alignments(spark, d):
     return own.select("read_id", "flag", "transcript_id", "start_", "end_", "mapq", "M", "I", "read_length", "transcript_length", "read_coverage", "read_accuracy")
 
 
+@query(with_sql("aln") + "SELECT count(*) AS total, count(*) FILTER ((flag & 4) != 0) AS unmapped, count(*) FILTER ((flag & 256) != 0) AS secondary, count(*) FILTER ((flag & 2048) != 0) AS supplementary, count(DISTINCT transcript_id) AS \"references\" FROM aln WHERE al > 0")
+def sam_flag_profile(spark, d):
+    """Flags of all records of the alignments' SAM text, those that are not mapped among them."""
+    return quality.flag_profile(text.read_alignments(spark, _sam(spark, d), keep_unmapped=True))
+
+
+@query(with_sql("aln") + """SELECT reason, count(*) AS n FROM (SELECT unnest(['fields', 'flag', 'place', 'alignment']) AS reason, unnest([0, 1, 2, 3]) AS k), aln WHERE al > 0 AND (flag & 4) = 0 AND read_id % 7 = k GROUP BY 1
+    UNION ALL SELECT 'kept', count(*) FROM aln WHERE al > 0 AND (flag & 4) = 0 UNION ALL SELECT 'unmapped', count(*) FROM aln WHERE al > 0 AND (flag & 4) != 0""")
+def sam_rejections(spark, d):
+    """The alignments' SAM text with a broken copy of some lines: what is kept, left out and rejected for which reason."""
+    path = _sam(spark, d)
+    whole = spark.read.text(path).where("not startswith(value, '@')").withColumn("f", F.split("value", "\t")).where((F.col("f")[1].cast("int").bitwiseAND(4)) == 0)
+    kind, f = F.col("f")[0].cast("long") % 7, F.col("f")
+    each = lambda k, x: F.transform(f, lambda v, i: F.when(i == k, F.lit(x)).otherwise(v))
+    broken = F.when(kind == 0, F.slice(f, 1, 9)).when(kind == 1, each(1, "x")).when(kind == 2, each(3, "?")).when(kind == 3, each(5, "*"))
+    more = _written(whole.where(kind < 4).select(F.array_join(broken, "\t").alias("value")), "broken.sam")
+    counts = Observation()
+    text.read_alignments(spark, [path, more], counts=counts).write.format("noop").mode("overwrite").save()
+    seen = counts.get
+    kept = spark.createDataFrame([(k, seen[k]) for k in ("kept", "unmapped")], "reason string, n long")
+    return kept.unionByName(text.rejected_records(spark, [path, more]).groupBy("reason").agg(F.count(F.lit(1)).alias("n")))
+
+
+@query(_SAM + """SELECT CAST(transcript_id AS VARCHAR) AS transcript_id, CAST(s AS INTEGER) AS start_, row_number() OVER (ORDER BY transcript_id, s) AS place
+    FROM (SELECT * FROM sam UNION ALL SELECT * FROM sam)""")
+def merged_order(spark, d):
+    """Two files merged: where each record stands in the order in which the merged table is read."""
+    path = _sam(spark, d)
+    merged = text.merge_alignments(text.read_alignments(spark, path), text.read_alignments(spark, path))
+    return _in_order(merged.select("transcript_id", F.col("start").alias("start_")))
+
+
+def _in_order(df):
+    """Rows with their place in the order of the table as it was written, from 1."""
+    rows = saved(df.withColumn("id", F.monotonically_increasing_id()))
+    part = F.shiftright("id", 33)
+    sizes = rows.groupBy(part.alias("part")).agg(F.count(F.lit(1)).alias("n"))
+    before = sizes.select("part", (F.sum("n").over(W.orderBy("part")) - F.col("n")).alias("before"))  # a row a partition
+    return rows.join(F.broadcast(before), part == F.col("part")).withColumn("place", F.col("id").bitwiseAND((1 << 33) - 1) + F.col("before") + 1).drop("id", "part", "before")
+
+
 @query(_SAM + "SELECT 2 * count(*) AS n FROM sam")
 def merged_record_count(spark, d):
     """Two files and one that is missing, merged in coordinate order and counted."""
@@ -853,10 +905,12 @@ def merged_record_count(spark, d):
     return text.record_count(text.merge_alignment_files(spark, [path, path, f"{path}.gone"]))
 
 
-@query(_SAM + "SELECT CAST(read_id AS VARCHAR) AS read_id, count(*) AS n FROM (SELECT DISTINCT read_id FROM sam WHERE (flag & 2304) = 0) GROUP BY 1")
+@query(_SAM + """, one AS (SELECT * FROM sam WHERE (flag & 2304) = 0 QUALIFY row_number() OVER (PARTITION BY read_id ORDER BY flag, transcript_id, s, cigar, al, i) = 1),
+    b AS (SELECT read_id, flag, substr(repeat('ACGTTN', 20), 1, CAST(al + i AS INTEGER)) AS seq, substr(repeat('#5IJ', 30), 1, CAST(al + i AS INTEGER)) AS qual FROM one)
+    SELECT CAST(read_id AS VARCHAR) AS read_id, '@' || read_id AS header, CASE WHEN (flag & 16) != 0 THEN reverse(translate(seq, 'ACGT', 'TGCA')) ELSE seq END AS seq, CASE WHEN (flag & 16) != 0 THEN reverse(qual) ELSE qual END AS qual FROM b""".replace(", one AS", ", one AS", 1))
 def alignments_to_reads(spark, d):
-    """Reads of the primary records, one each."""
-    return text.alignments_to_reads(text.read_alignments(spark, _sam(spark, d))).groupBy("read_id").agg(F.count(F.lit(1)).alias("n"))
+    """Reads of the primary records, one each, with bases and qualities as they were read."""
+    return text.alignments_to_reads(text.read_alignments(spark, _sam(spark, d)))
 
 
 @query("SELECT 's' || p_partkey AS transcript_id, 's' || p_partkey AS chrom, CAST(CASE WHEN p_partkey % 3 = 0 THEN 1 ELSE p_size END AS INTEGER) AS start_, CAST(p_size * 5 AS INTEGER) AS end_, '+' AS strand, CAST(CASE WHEN p_partkey % 3 = 0 THEN 1000 ELSE p_size * 4 + 1 END AS INTEGER) AS length FROM part")
@@ -916,12 +970,30 @@ def coverage_matrix(spark, d):
     return rounded(own, *(f"bin_{i + 1}" for i in range(BINS)))
 
 
-@query("SELECT dataset, CASE WHEN r2 > 0.9 THEN 'excellent' WHEN r2 > 0.7 THEN 'good' WHEN r2 > 0.5 THEN 'moderate' ELSE 'limited' END AS fit, false AS overfit FROM (" + ORACLE_SQL["regression_metrics"] + ")")
+_FIT = """, pr AS (SELECT dataset, supplier % 40 AS k, read_id % 2 AS half, al::DOUBLE AS y, al + (supplier % 40) * ((read_id * 7 + line * 13) % 11 - 5) / 4.0::DOUBLE AS p FROM met),
+    r AS (SELECT dataset, k, half, 1 - sum((y - p) * (y - p)) / nullif(var_pop(y) * count(*), 0) AS r2 FROM pr GROUP BY ALL),
+    t AS (SELECT a.dataset, a.k, a.r2 AS train, b.r2 AS test FROM r a JOIN r b ON a.dataset = b.dataset AND a.k = b.k AND a.half = 0 AND b.half = 1)"""
+
+
+@query(with_sql("met") + _FIT + "SELECT dataset, k, CASE WHEN test > 0.9 THEN 'excellent' WHEN test > 0.7 THEN 'good' WHEN test > 0.5 THEN 'moderate' ELSE 'limited' END AS fit, train - test > 0.2 AS overfit FROM t")
 def fit_labels(spark, d):
-    own = models.regression_metrics(_metrics(spark, d), "aligned_fraction", "read_coverage", ["dataset"])
-    return own.select("dataset", R.fit_quality(F.col("r2")).alias("fit"), R.overfit(F.col("r2"), F.col("r2")).alias("overfit"))
+    """Fit on one half of the reads and the other, of predictions that get worse from group to group."""
+    noise = F.col("k") * ((F.col("read_id") * 7 + F.col("line") * 13) % 11 - 5) / 4.0
+    rows = _metrics(spark, d).withColumns({"k": F.col("supplier") % 40, "half": F.col("read_id") % 2, "y": F.col("aligned_length").cast("double")}).withColumn("p", F.col("y") + noise)
+    of = lambda h, name: models.regression_metrics(rows.where(F.col("half") == h), "y", "p", ["dataset", "k"]).select("dataset", "k", F.col("r2").alias(name))
+    both = of(0, "train").join(of(1, "test"), ["dataset", "k"])
+    return both.select("dataset", "k", R.fit_quality(F.col("test")).alias("fit"), R.overfit(F.col("train"), F.col("test")).alias("overfit"))
 
 
-@query(with_sql("ivl") + "SELECT read_id, chrom, s AS start_, e AS end_ FROM ivl")
+@query(with_sql("ivl") + "SELECT chrom, s AS start_, row_number() OVER (ORDER BY chrom, s) AS place FROM ivl")
 def coordinate_sorted(spark, d):
-    return quality.coordinate_sorted(B.intervals(spark, d)).withColumnsRenamed({"start": "start_", "end": "end_"})
+    """Where each interval stands in the order in which the sorted table is read."""
+    return _in_order(quality.coordinate_sorted(B.intervals(spark, d)).select("chrom", F.col("start").alias("start_")))
+
+
+@query(with_sql("met") + """, u AS (SELECT fraction * 100 / 5 AS u, coverage * 100 / 4 AS v FROM met),
+    c AS (SELECT CAST(floor(u + 0.5) AS BIGINT) AS i, CAST(floor(v + 0.5) AS BIGINT) AS j, CAST(floor(u) AS BIGINT) AS k, CAST(floor(v) AS BIGINT) AS m, u, v FROM u),
+    h AS (SELECT *, (u - i) * (u - i) + (v - j) * (v - j) * 3 <= (u - (k + 0.5::DOUBLE)) * (u - (k + 0.5::DOUBLE)) + (v - (m + 0.5::DOUBLE)) * (v - (m + 0.5::DOUBLE)) * 3 AS even FROM c)
+    SELECT CASE WHEN even THEN 2 * i ELSE 2 * k + 1 END AS cell_x, CASE WHEN even THEN 2 * j ELSE 2 * m + 1 END AS cell_y, count(*) AS n FROM h GROUP BY ALL""")
+def hexagon_density(spark, d):
+    return quality.hexagon_density(_metrics(spark, d), F.col("aligned_fraction") * 100, F.col("read_coverage") * 100, 5.0, 4.0)

@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from functools import reduce
 
 from pyspark.errors import AnalysisException
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -16,6 +16,8 @@ from readlake.functions.sequences import reverse_complement
 
 TRANSCRIPTS = "transcript_id string, chrom string, start int, end int, strand string, length int, ord long"
 _NO_LENGTH = 1000
+#: Why a line is no record.
+REASONS = ("fields", "flag", "place", "alignment")
 
 
 def _paths(paths: str | Sequence[str]) -> list[str]:
@@ -108,29 +110,65 @@ def read_gtf(spark: SparkSession, path: str, mode: str = "strict") -> DataFrame:
     return out
 
 
-def read_alignments(spark: SparkSession, path: str, skip_corrupt: bool = False) -> DataFrame:
-    """Mapped records of SAM text with operation counts and metrics; records that don't parse are
-    skipped, and with ``skip_corrupt`` so is what follows a break in a compressed file. Reference
-    lengths come from the header's ``@SQ`` lines."""
-    lines = spark.read.option("ignoreCorruptFiles", str(skip_corrupt).lower()).text(path)
-    sq = lines.where(F.col("value").startswith("@SQ")).select(F.regexp_extract("value", r"SN:(\S+)", 1).alias("transcript_id"), F.regexp_extract("value", r"LN:(\d+)", 1).try_cast("int").alias("transcript_length"))
-    f = F.split("value", "\t")
-    body = lines.where(~F.col("value").startswith("@")).select(f.alias("f"), F.col("value")).where(F.size("f") >= 11)
+def _parsed(lines: DataFrame) -> DataFrame:
+    """Fields of SAM lines that are no header, with the reason why one is no record (null: it is one)."""
     f = F.col("f")
     nm = F.regexp_extract("value", r"\tNM:i:(\d+)", 1).try_cast("int")
-    rows = body.select(f[0].alias("read_id"), f[1].try_cast("int").alias("flag"), f[2].alias("transcript_id"), (f[3].try_cast("int") - 1).alias("start"), f[4].try_cast("int").alias("mapq"), f[5].alias("cigar"), f[9].alias("seq"), f[10].alias("qual"), nm.alias("NM"))
-    rows = rows.where("flag is not null and start is not null and transcript_id <> '*' and cigar <> '*'").where(~R.has_flag(F.col("flag"), R.UNMAPPED))
-    counts = {op: R.cigar_count(F.col("cigar"), op) for op in "MIDSHNX"} | {"EQ": R.cigar_count(F.col("cigar"), "=")}
-    rows = rows.withColumns(counts)
+    rows = lines.where(~F.col("value").startswith("@")).withColumn("f", F.split("value", "\t"))
+    field = lambda i: F.get(f, F.lit(i))
+    named = lambda c: F.nullif(c, F.lit("*"))
+    rows = rows.withColumns({"flag": field(1).try_cast("int"), "start": field(3).try_cast("int") - 1, "mapq": field(4).try_cast("int"), "cigar": named(field(5)), "transcript_id": named(field(2))})
+    unmapped = R.has_flag(F.col("flag"), R.UNMAPPED)
+    reason = F.when(F.size(f) < 11, "fields").when(F.col("flag").isNull(), "flag").when(F.col("start").isNull(), "place").when(~unmapped & (F.col("transcript_id").isNull() | F.col("cigar").isNull()), "alignment")
+    return rows.select("*", field(0).alias("read_id"), field(9).alias("seq"), field(10).alias("qual"), nm.alias("NM"), reason.alias("reason")).drop("f")
+
+
+def with_measures(records: DataFrame, references: DataFrame) -> DataFrame:
+    """Records (transcript_id, start, cigar, NM, ...) with operation counts, spans, reference lengths from
+    ``references`` (transcript_id, transcript_length) and metrics. An unmapped record has no operations."""
+    counts = {op: R.cigar_count(F.coalesce("cigar", F.lit("")), op) for op in "MIDSHNX"} | {"EQ": R.cigar_count(F.coalesce("cigar", F.lit("")), "=")}
+    rows = records.withColumns(counts)
     spans = {"end": F.col("start") + F.col("M") + F.col("D") + F.col("N") + F.col("X") + F.col("EQ"), "aligned_length": F.col("M") + F.col("I") + F.col("X") + F.col("EQ"), "read_length": F.col("M") + F.col("I") + F.col("S") + F.col("X") + F.col("EQ")}
-    rows = rows.withColumns(spans).join(sq, "transcript_id", "left")
+    rows = rows.withColumns(spans).join(references, "transcript_id", "left")
     metrics = {"aligned_fraction": R.aligned_fraction(F.col("aligned_length"), F.col("read_length")), "read_coverage": R.read_coverage(F.col("start"), F.col("end"), F.col("transcript_length")), "read_accuracy": R.read_accuracy(F.col("M"), F.col("I"), F.col("D"), F.col("NM"))}
     return rows.withColumns(metrics).drop("N", "X", "EQ")
 
 
+def read_alignments(spark: SparkSession, path: str | Sequence[str], skip_corrupt: bool = False, keep_unmapped: bool = False, counts: Observation | None = None) -> DataFrame:
+    """Mapped records of SAM text with operation counts and metrics, and with ``keep_unmapped`` the others
+    too. Records that don't parse are skipped (``rejected_records`` has them), and with ``skip_corrupt``
+    so is what follows a break in a compressed file. Reference lengths come from the ``@SQ`` lines of all
+    files; a reference that has two lengths is an error.
+
+    ``counts`` observes, in the same pass, lines that are no header, those ``kept``, ``unmapped`` ones left
+    out and those rejected for each reason."""
+    lines = spark.read.option("ignoreCorruptFiles", str(skip_corrupt).lower()).text(_paths(path))
+    sq = lines.where(F.col("value").startswith("@SQ")).select(F.regexp_extract("value", r"SN:(\S+)", 1).alias("transcript_id"), F.regexp_extract("value", r"LN:(\d+)", 1).try_cast("int").alias("length"))
+    sizes = sq.groupBy("transcript_id").agg(F.min("length").alias("low"), F.max("length").alias("high"))
+    clash = F.raise_error(F.concat(F.lit("two lengths of reference "), "transcript_id")).cast("int")
+    references = sizes.select("transcript_id", F.when(F.col("low") == F.col("high"), F.col("low")).when(F.col("low").isNotNull(), clash).alias("transcript_length"))
+    rows = _parsed(lines)
+    left_out = F.lit(False) if keep_unmapped else R.has_flag(F.col("flag"), R.UNMAPPED)
+    kept = F.col("reason").isNull() & ~left_out
+    if counts is not None:
+        reasons = [F.count_if(F.coalesce(F.col("reason") == r, F.lit(False))).alias(r) for r in REASONS]
+        rows = rows.observe(counts, F.count(F.lit(1)).alias("lines"), F.count_if(kept).alias("kept"), F.count_if(F.col("reason").isNull() & left_out).alias("unmapped"), *reasons)
+    names = ("read_id", "flag", "transcript_id", "start", "mapq", "cigar", "seq", "qual", "NM")
+    return with_measures(rows.where(kept).select(*names), references)
+
+
+def rejected_records(spark: SparkSession, path: str | Sequence[str], skip_corrupt: bool = False) -> DataFrame:
+    """(file, line, reason): the lines of SAM text that are neither headers nor records. Reasons: too few
+    ``fields``, a ``flag`` or a ``place`` that is no number, an ``alignment`` without reference or operations."""
+    lines = spark.read.option("ignoreCorruptFiles", str(skip_corrupt).lower()).text(_paths(path)).select("value", F.col("_metadata.file_path").alias("file"))
+    return _parsed(lines).where("reason is not null").select("file", F.col("value").alias("line"), "reason")
+
+
 def alignments_to_reads(alignments: DataFrame) -> DataFrame:
-    """Names, bases and qualities of primary records as they were read: reversed where the flag says so."""
-    own = alignments.where(R.is_primary(F.col("flag"))).dropDuplicates(["read_id"])
+    """Names, bases and qualities of primary records as they were read: reversed where the flag says so.
+    Of several primary records of a read the one of the smallest flag, reference and place is taken."""
+    record = F.struct("flag", "transcript_id", "start", "cigar", "seq", "qual")
+    own = alignments.where(R.is_primary(F.col("flag"))).groupBy("read_id").agg(F.min(record).alias("r")).select("read_id", "r.*")
     back = R.has_flag(F.col("flag"), R.REVERSE)
     return own.select("read_id", F.concat(F.lit("@"), "read_id").alias("header"), F.when(back, reverse_complement(F.col("seq"))).otherwise(F.col("seq")).alias("seq"), F.when(back, F.reverse("qual")).otherwise(F.col("qual")).alias("qual"))
 

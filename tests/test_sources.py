@@ -1,8 +1,9 @@
 import gzip
 
 import pytest
+from pyspark.sql import Observation
 
-from readlake.operators import density
+from readlake.operators import density, quality
 from readlake.sources import tables, text
 
 GTF = """# comment
@@ -75,6 +76,24 @@ def test_alignments(spark, tmp_path):
     assert text.merge_alignments(al, al).count() == 4
 
 
+def test_a_folder_of_alignment_files(spark, tmp_path):
+    """Headers that repeat give every record once; unmapped ones on request; breaks are counted and kept."""
+    put(tmp_path, "a.sam", SAM)
+    put(tmp_path, "b.sam", SAM + "r4\tx\tT1\t1\t7\t4M\t*\t0\t0\tAACG\tABCD\nr5\t0\t*\t1\t7\t4M\t*\t0\t0\tAACG\tABCD\n")
+    folder = str(tmp_path)
+    assert sorted(r.read_id for r in text.read_alignments(spark, folder).collect()) == ["r1", "r1", "r3", "r3"]
+    counts = Observation()
+    every = text.read_alignments(spark, folder, keep_unmapped=True, counts=counts)
+    assert every.count() == 6
+    assert counts.get == {"lines": 12, "kept": 6, "unmapped": 0, "fields": 2, "flag": 1, "place": 2, "alignment": 1}
+    flags = quality.flag_profile(every).first()
+    assert (flags.total, flags.unmapped, flags.references) == (6, 2, 1)
+    assert sorted(r.reason for r in text.rejected_records(spark, folder).collect()) == ["alignment", "fields", "fields", "flag", "place", "place"]
+    put(tmp_path, "c.sam", "@SQ\tSN:T1\tLN:300\n")
+    with pytest.raises(Exception, match="two lengths"):
+        text.read_alignments(spark, folder).collect()
+
+
 def test_files_split_into_blocks(spark, tmp_path):
     """Lines are numbered by file and block, however small the pieces that are read."""
     path = put(tmp_path, "a.fastq", "".join(f"@r{i}\n{'ACGT' * (i % 9 + 1)}\n+\n{'@III' * (i % 9 + 1)}\n" for i in range(3000)))

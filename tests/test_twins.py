@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from readlake.functions import reads as R
-from readlake.operators import cells, compare, density, intervals, models, sampling
+from readlake.operators import cells, compare, density, intervals, models, quality, quantiles, sampling
 
 
 def test_best_overlap_is_the_nested_loop(spark):
@@ -57,6 +57,74 @@ def test_depth_and_bins_base_by_base(spark):
     assert {(x.transcript_id, x.bin): x.value for x in intervals.profile_rows(matrix, n).collect()} == means
 
 
+def test_each_record_of_a_read_has_a_row(spark):
+    reads = [("a", "c", 0, 100), ("a", "c", 500, 600), ("a", "c", 0, 100), ("b", "c", 0, 10)]
+    tx = [("T1", "c", 0, 80, 0), ("T2", "c", 10, 90, 1), ("T3", "c", 500, 590, 2)]
+    got = intervals.assign_best_overlap(spark.createDataFrame(reads, "read_id string, chrom string, start int, end int"), spark.createDataFrame(tx, "transcript_id string, chrom string, start int, end int, ord int"))
+    assert sorted((x.read_id, x.transcript_id, x.overlap_fraction) for x in got.collect()) == [("a", "T1", 0.8), ("a", "T1", 0.8), ("a", "T3", 0.9), ("b", "T1", 1.0)]
+
+
+def test_depth_of_a_long_contig_in_blocks(spark, monkeypatch):
+    """A contig of 100 million places: the same runs as in one sweep, over many tasks, and no sweep
+    over the events of a whole contig."""
+    r = random.Random(6)
+    size = 100_000_000
+    al = [("c", s, s + r.choice((5, 300, 3_000_000))) for _ in range(3000) for s in [r.randrange(-50, size)]]
+    df, tx = spark.createDataFrame(al, "transcript_id string, start int, end int"), spark.createDataFrame([("c", size), ("d", 5), ("e", 0)], "transcript_id string, length int")
+    runs = intervals.depth(df, tx)
+    got = sorted((x.transcript_id, x.seg_start, x.seg_end, x.depth) for x in runs.collect())
+    step = defaultdict(int, {0: 0, size: 0})
+    for _, s, e in al:
+        if min(e, size) > max(s, 0):
+            step[max(s, 0)] += 1
+            step[min(e, size)] -= 1
+    places, now, want = sorted(step), 0, []
+    for a, b in zip(places, places[1:]):
+        now += step[a]
+        want.append(("c", a, b, now))
+    assert got == [*want, ("d", 0, 5, 0)]
+    plan = runs._jdf.queryExecution().executedPlan().toString()
+    swept = [line for line in plan.splitlines() if "Window [" in line and "pos" in line]
+    assert swept and all("block" in line.split("], [")[1] for line in swept)
+
+
+def test_quantiles_of_many_groups(spark):
+    r = random.Random(9)
+    rows = [(g, r.choice((None, 0.5, r.gauss(0, 1), r.gauss(0, 1e6)))) for g in ("a", "b", None) for _ in range(400)] + [("hot", 1.0)] * 500 + [("one", 3.5), ("none", None)]
+    df = spark.createDataFrame(rows, "g string, v double").repartition(7)
+    got = {(x.g, x.metric, x.share): x.value for x in quantiles.quantiles(df, {"v": F.col("v"), "w": F.col("v") * 2}, (0.0, 0.25, 0.5, 0.99, 1.0), ["g"]).collect()}
+    want = {}
+    for g in {g for g, _ in rows}:
+        own = sorted(v for h, v in rows if h == g and v is not None)
+        for q in (0.0, 0.25, 0.5, 0.99, 1.0):
+            if own:
+                at = (len(own) - 1) * q
+                low, high = own[math.floor(at)], own[math.ceil(at)]
+                want |= {(g, "v", q): low + (high - low) * (at % 1), (g, "w", q): 2 * (low + (high - low) * (at % 1))}
+    assert set(got) == set(want) and all(math.isclose(got[k], want[k], rel_tol=1e-12, abs_tol=1e-12) for k in want)
+    assert quantiles.quantiles(df.limit(0), {"v": F.col("v")}, by=["g"]).count() == 0
+
+
+def test_median_of_a_group_of_millions_is_not_in_one_task(spark):
+    n = 3_000_000
+    df = spark.range(n).select(F.lit(1).alias("g"), (F.pmod(F.col("id") * 1_000_003, F.lit(n)).cast("double")).alias("v"))
+    out = quantiles.medians(df, {"m": F.col("v")}, ["g"])
+    assert out.first().m == (n - 1) / 2
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert "percentile" not in plan and "SinglePartition" not in plan
+    swept = [line for line in plan.splitlines() if "Window [" in line and " v#" in line]
+    assert swept and all("part#" in line for line in swept)
+
+
+def test_hexagons_are_the_nearest_centres(spark):
+    r = random.Random(4)
+    points = [(r.uniform(-20, 20), r.uniform(-20, 20)) for _ in range(2000)] + [(None, 1.0), (1.0, None)]
+    got = {(x.cell_x, x.cell_y): x.n for x in quality.hexagon_density(spark.createDataFrame(points, "x double, y double"), F.col("x"), F.col("y"), 3.0, 5.0).collect()}
+    centres = [(i, j) for i in range(-20, 21) for j in range(-20, 21) if (i - j) % 2 == 0]
+    want = Counter(min(centres, key=lambda c: (x / 3 - c[0] / 2) ** 2 + 3 * (y / 5 - c[1] / 2) ** 2) for x, y in points[:-2])
+    assert got == want
+
+
 def test_matched_lengths_are_the_nearest(spark):
     r = random.Random(3)
     data = [(d, f"{d}{i}", r.randrange(50, 3000)) for d in "Rxy" for i in range(80)]
