@@ -41,7 +41,11 @@ PIECES = 64
 #: Vectors that the planes' places are taken from at most, and planes of a sorting.
 SAMPLE, PLANES = 4096, 40
 SEED = 20240811
-_LISTS = "node long, ids binary, scores binary, fresh binary"
+#: Entries that a task holds of a block's offers before it drops all that can't stay.
+HELD = 1 << 20
+_LISTS = "node long, block long, ids binary, scores binary, fresh binary"
+#: Offers to the nodes of a block, entry by entry; an old list has its one node in ``node``.
+_OFFERS = "block long, node long, nodes binary, ids binary, scores binary, fresh binary"
 
 
 def nodes_of(vectors: DataFrame, id_col: str, vector_col: str, copies: int) -> DataFrame:
@@ -95,54 +99,69 @@ def _decoded(codes: list[bytes] | np.ndarray) -> np.ndarray:
     return np.column_stack([raw[:, :-4] * rest[:, :1], rest[:, 1:]])
 
 
-def _packed_lists(node: np.ndarray, ids: np.ndarray, scores: np.ndarray, fresh: np.ndarray, width: int) -> tuple[np.ndarray, list, list, list]:
-    """Lists of the ``width`` best different entries of each node, by falling score and rising id; of an
-    entry that comes twice the one that isn't fresh counts."""
-    keep = node != ids
-    node, ids, scores, fresh = node[keep], ids[keep], scores[keep], fresh[keep]
-    order = np.lexsort((fresh, ids, node))
-    node, ids, scores, fresh = node[order], ids[order], scores[order], fresh[order]
+def _best(node: np.ndarray, ids: np.ndarray, scores: np.ndarray, fresh: np.ndarray, width: int) -> list[np.ndarray]:
+    """The ``width`` best different entries of each node, by falling score and rising id; of an entry that
+    comes twice the one that isn't fresh counts. Nodes rise."""
+    parts = (node, ids, scores, fresh)
+    keep = np.flatnonzero(node != ids)
+    order = keep[np.lexsort((fresh[keep], ids[keep], node[keep]))]
+    node, ids, scores, fresh = (x[order] for x in parts)
     first = np.ones(len(node), bool)
     first[1:] = (node[1:] != node[:-1]) | (ids[1:] != ids[:-1])
-    node, ids, scores, fresh = node[first], ids[first], scores[first], fresh[first]
+    node, ids, scores, fresh = (x[first] for x in (node, ids, scores, fresh))
     order = np.lexsort((ids, -scores, node))
-    node, ids, scores, fresh = node[order], ids[order], scores[order], fresh[order]
-    starts = np.flatnonzero(np.concatenate([[True], node[1:] != node[:-1]])) if len(node) else np.zeros(0, np.int64)
+    node, ids, scores, fresh = (x[order] for x in (node, ids, scores, fresh))
+    starts = _starts(node)
     place = np.arange(len(node)) - np.repeat(starts, np.diff(np.append(starts, len(node))))
-    keep = place < width
-    node, ids, scores, fresh = node[keep], ids[keep], scores[keep], fresh[keep]
-    starts = np.flatnonzero(np.concatenate([[True], node[1:] != node[:-1]])) if len(node) else np.zeros(0, np.int64)
-    cut = np.append(starts, len(node)).tolist()
-    return node[starts], *([x[a:b].tobytes() for a, b in zip(cut, cut[1:])] for x in (ids.astype(np.int64), scores.astype(np.float32), fresh.astype(np.int8)))
+    return [x[place < width] for x in (node, ids, scores, fresh)]
 
 
-def _unpacked(batch) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    ids, scores, fresh = (batch[c].to_pylist() for c in ("ids", "scores", "fresh"))
-    node = np.repeat(batch["node"].to_numpy(), [len(x) for x in fresh])
-    return node, np.frombuffer(b"".join(ids), np.int64), np.frombuffer(b"".join(scores), np.float32), np.frombuffer(b"".join(fresh), np.int8)
+def _starts(values: np.ndarray) -> np.ndarray:
+    """Where runs of equal values begin."""
+    return np.flatnonzero(np.concatenate([[True], values[1:] != values[:-1]])) if len(values) else np.zeros(0, np.int64)
+
+
+def _cut(keys: np.ndarray, *columns: np.ndarray) -> tuple[np.ndarray, list[list[bytes]]]:
+    """The different keys, which come in runs, and each column's bytes of their runs."""
+    starts = _starts(keys)
+    ends = [*starts[1:].tolist(), len(keys)]
+    return keys[starts], [[x[a:b].tobytes() for a, b in zip(starts.tolist(), ends)] for x in columns]
+
+
+def _typed(ids: np.ndarray, scores: np.ndarray, fresh: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    return ids.astype(np.int64), scores.astype(np.float32), fresh.astype(np.int8)
 
 
 def _merged(offers: DataFrame, width: int) -> DataFrame:
-    """One list a node from all its rows. Rows come sorted by node, and of a node whose rows go on only
-    the best ``width`` so far are held."""
+    """One list a node of each block's offers."""
 
     def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = [np.zeros(0, t) for t in (np.int64, np.int64, np.float32, np.int8)]
+        block, held, size = None, [], 0
+
+        def joined() -> list[np.ndarray]:
+            return _best(*(np.concatenate(x) for x in zip(*held)), width)
+
+        def done() -> pa.RecordBatch:
+            node, *rest = joined()
+            nodes, columns = _cut(node, *_typed(*rest))
+            return pa.RecordBatch.from_arrays([pa.array(nodes, pa.int64()), pa.array(np.full(len(nodes), block), pa.int64()), *(pa.array(x, pa.binary()) for x in columns)], ["node", "block", "ids", "scores", "fresh"])
+
         for batch in batches:
-            parts = [np.concatenate([a, b]) for a, b in zip(held, _unpacked(batch))]
-            if not len(parts[0]):
-                continue
-            out = _packed_lists(*parts, width)
-            if not len(out[0]):
-                continue
-            last = (np.full(len(out[3][-1]), out[0][-1]), np.frombuffer(out[1][-1], np.int64), np.frombuffer(out[2][-1], np.float32), np.frombuffer(out[3][-1], np.int8))
-            held = list(last)
-            yield pa.RecordBatch.from_arrays([pa.array(out[0][:-1], pa.int64()), *(pa.array(x[:-1], pa.binary()) for x in out[1:])], ["node", "ids", "scores", "fresh"])
-        if len(held[0]):
-            out = _packed_lists(*held, width)
-            yield pa.RecordBatch.from_arrays([pa.array(out[0], pa.int64()), *(pa.array(x, pa.binary()) for x in out[1:])], ["node", "ids", "scores", "fresh"])
-
-    return offers.repartition("node").sortWithinPartitions("node").mapInArrow(merge, _LISTS)
+            for own, node, nodes, ids, scores, fresh in zip(*(batch[c].to_pylist() for c in ("block", "node", "nodes", "ids", "scores", "fresh"))):
+                if own != block and held:
+                    yield done()
+                    held, size = [], 0
+                block = own
+                of = np.frombuffer(nodes, np.int64) if nodes is not None else np.full(len(fresh), node)
+                held.append([of, np.frombuffer(ids, np.int64), np.frombuffer(scores, np.float32), np.frombuffer(fresh, np.int8)])
+                size += len(fresh)
+                if size > HELD:
+                    held = [joined()]
+                    size = len(held[0][0]) // 2  # what can't shrink doesn't count at once again
+        if held:
+            yield done()
+
+    return offers.repartition("block").sortWithinPartitions("block").mapInArrow(merge, _LISTS)
 
 
 def sorted_rows(codes: DataFrame) -> DataFrame:
@@ -176,7 +195,7 @@ def sorted_rows(codes: DataFrame) -> DataFrame:
     return saved(keyed.select("node", "dim", "code", F.posexplode("keys").alias("sorting", "key")))
 
 
-def started(rows: DataFrame) -> DataFrame:
+def started(rows: DataFrame, codes: DataFrame) -> DataFrame:
     """Lists to start from: in each sorting a vector offers itself to its nearest in a stretch of about ``STRETCH``."""
     order = ("sorting", "dim", "key", "node")
 
@@ -210,13 +229,18 @@ def started(rows: DataFrame) -> DataFrame:
                     yield from stretches(False)
         yield from stretches(True)
 
-    offers = rows.repartitionByRange(*order).sortWithinPartitions(*order).mapInArrow(compare, _LISTS)
-    return _merged(offers, WIDTH)
+    offers = rows.repartitionByRange(*order).sortWithinPartitions(*order).mapInArrow(compare, "node long, ids binary, scores binary, fresh binary")
+    return _merged(_offered(offers.join(codes.select("node", "block"), "node")), WIDTH)
+
+
+def _offered(lists: DataFrame) -> DataFrame:
+    return lists.select("block", "node", F.lit(None).cast("binary").alias("nodes"), "ids", "scores", "fresh")
 
 
 def _blocks(lists: DataFrame, codes: DataFrame) -> DataFrame:
-    """Rows sorted by ``block``: first each different node that the block's lists name, with its code and the
-    least score that gets a place on its list, by rising node; then the block's lists."""
+    """Rows sorted by ``block``: first each different node that the block's lists name, with its own block
+    (``home``), its code and the least score that gets a place on its list, by rising node; then the
+    block's lists."""
 
     def named(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -224,19 +248,18 @@ def _blocks(lists: DataFrame, codes: DataFrame) -> DataFrame:
             block = np.repeat(batch["block"].to_numpy(), [len(x) // 8 for x in ids])
             yield pa.RecordBatch.from_arrays([pa.array(block), pa.array(np.frombuffer(b"".join(ids), np.int64))], ["block", "node"])
 
-    own = codes.select("node", "block").join(lists, "node")
-    others = own.select("block", "ids").mapInArrow(named, "block long, node long")
-    named_once = others.unionByName(own.select("block", "node")).distinct()
+    others = lists.select("block", "ids").mapInArrow(named, "block long, node long")
+    named_once = others.unionByName(lists.select("block", "node")).distinct()
     least = F.when(F.length("fresh") >= WIDTH, F.substring("scores", 4 * (WIDTH - 1) + 1, 4))
-    targets = codes.select("node", "code").join(lists.select("node", least.alias("least")), "node", "left")
+    targets = codes.select("node", "code", F.col("block").alias("home")).join(lists.select("node", least.alias("least")), "node", "left")
     empty = [F.lit(None).cast("binary").alias(c) for c in ("ids", "scores", "fresh")]
-    rows = named_once.join(targets, "node").select("block", F.lit(0).alias("kind"), "node", "code", "least", *empty)
-    more = own.select("block", F.lit(1).alias("kind"), "node", *(F.lit(None).cast("binary").alias(c) for c in ("code", "least")), "ids", "scores", "fresh")
+    rows = named_once.join(targets, "node").select("block", F.lit(0).alias("kind"), "node", "home", "code", "least", *empty)
+    more = lists.select("block", F.lit(1).alias("kind"), "node", F.lit(None).cast("long").alias("home"), *(F.lit(None).cast("binary").alias(c) for c in ("code", "least")), "ids", "scores", "fresh")
     return rows.unionByName(more).repartition("block").sortWithinPartitions("block", "kind", "node")
 
 
-def _lists_of(table: pa.Table) -> Iterator[tuple[np.ndarray, list, np.ndarray, list, np.ndarray, np.ndarray]]:
-    """For each block of a table: its different nodes, their codes, the least scores, and of its lists the
+def _lists_of(table: pa.Table) -> Iterator[tuple]:
+    """For each block of a table: its different nodes, their homes, codes and least scores, and of its lists the
     node's place among the different ones, the places of what it names, and which are fresh."""
     blocks, kinds = table["block"].to_numpy(), table["kind"].to_numpy()
     cuts = np.flatnonzero(np.concatenate([[True], blocks[1:] != blocks[:-1], [True]]))
@@ -246,7 +269,7 @@ def _lists_of(table: pa.Table) -> Iterator[tuple[np.ndarray, list, np.ndarray, l
         least = np.array([np.frombuffer(x, np.float32)[0] if x else -np.inf for x in table["least"][a:m].to_pylist()], np.float32)
         ids = [np.searchsorted(nodes, np.frombuffer(x, np.int64)) for x in table["ids"][m:b].to_pylist()]
         fresh = [np.frombuffer(x, np.int8) for x in table["fresh"][m:b].to_pylist()]
-        yield nodes, table["code"][a:m].to_pylist(), least, np.searchsorted(nodes, table["node"][m:b].to_numpy()), ids, fresh
+        yield nodes, table["home"][a:m].to_numpy(), table["code"][a:m].to_pylist(), least, np.searchsorted(nodes, table["node"][m:b].to_numpy()), ids, fresh
 
 
 def descended(lists: DataFrame, codes: DataFrame) -> DataFrame:
@@ -254,7 +277,7 @@ def descended(lists: DataFrame, codes: DataFrame) -> DataFrame:
 
     def offers(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for table in runs(batches, "block"):
-            for nodes, codes, least, places, ids, fresh in _lists_of(table):
+            for nodes, homes, codes, least, places, ids, fresh in _lists_of(table):
                 lengths = np.array([len(c) for c in codes])
                 found: list[tuple] = []
                 for length in np.unique(lengths).tolist():
@@ -276,11 +299,14 @@ def descended(lists: DataFrame, codes: DataFrame) -> DataFrame:
                         found.append((nodes[at[g, i]], nodes[at[g, j]], near[g, i, j]))
                 if found:
                     to, others, scores = (np.concatenate(f) for f in zip(*found))
-                    out = _packed_lists(to, others, scores, np.ones(len(to), np.int8), WIDTH)
-                    yield pa.RecordBatch.from_arrays([pa.array(out[0], pa.int64()), *(pa.array(f, pa.binary()) for f in out[1:])], ["node", "ids", "scores", "fresh"])
+                    to, others, scores, new = _best(to, others, scores, np.ones(len(to), np.int8), WIDTH)
+                    home = homes[np.searchsorted(nodes, to)]
+                    order = np.argsort(home, kind="stable")
+                    blocks, columns = _cut(home[order], to[order], *(x[order] for x in _typed(others, scores, new)))
+                    yield pa.RecordBatch.from_arrays([pa.array(blocks, pa.int64()), pa.nulls(len(blocks), pa.int64()), *(pa.array(x, pa.binary()) for x in columns)], ["block", "node", "nodes", "ids", "scores", "fresh"])
 
-    old = lists.select("node", "ids", "scores", F.expr("cast(repeat('\\0', length(fresh)) as binary)").alias("fresh"))
-    return _merged(_blocks(lists, codes).mapInArrow(offers, _LISTS).unionByName(old), WIDTH)
+    old = _offered(lists.withColumn("fresh", F.expr("cast(repeat('\\0', length(fresh)) as binary)")))
+    return _merged(_blocks(lists, codes).mapInArrow(offers, _OFFERS).unionByName(old), WIDTH)
 
 
 def runs(batches: Iterator[pa.RecordBatch], key: str) -> Iterator[pa.Table]:
@@ -316,8 +342,8 @@ def neighbour_lists(codes: DataFrame) -> tuple[DataFrame, DataFrame]:
     node; and the codes with their blocks."""
     rows = sorted_rows(codes)
     codes = in_blocks(codes, rows.where("sorting = 0").select("node", "key"))
-    alone = codes.select("node", *(F.lit(b"").alias(c) for c in ("ids", "scores", "fresh")))
-    lists = saved(started(rows))
+    alone = codes.select("node", "block", *(F.lit(b"").alias(c) for c in ("ids", "scores", "fresh")))
+    lists = saved(started(rows, codes))
     lists = saved(lists.unionByName(alone.join(lists, "node", "left_anti")))
     for _ in range(ROUNDS):
         after = saved(descended(lists, codes))
@@ -335,7 +361,7 @@ def graph_of(codes: DataFrame) -> DataFrame:
 
     def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for table in runs(batches, "block"):
-            for nodes, codes, _, places, ids, _ in _lists_of(table):
+            for nodes, _, codes, _, places, ids, _ in _lists_of(table):
                 for a in range(0, len(places), 256):
                     own = slice(a, a + 256)
                     columns = (nodes[places[own]], [codes[k] for k in places[own]], [nodes[x].tobytes() for x in ids[own]], [b"".join([codes[k] for k in x.tolist()]) for x in ids[own]])
