@@ -44,6 +44,19 @@ def byte_letters() -> list[str]:
     return [chr(b) if b in plain else chr(next(rest)) for b in range(256)]
 
 
+def _unassigned() -> re.Pattern:
+    """Finds what this Python's Unicode tables don't know; the library may know it as a letter."""
+    spans, start = [], None
+    for c in range(sys.maxunicode + 2):
+        unknown = c <= sys.maxunicode and unicodedata.category(chr(c)) == "Cn"
+        if unknown and start is None:
+            start = c
+        elif not unknown and start is not None:
+            spans.append(f"{re.escape(chr(start))}-{re.escape(chr(c - 1))}")
+            start = None
+    return re.compile(f"[{''.join(spans)}]")
+
+
 class Generations(dict):
     """A table of at most ``2 * CACHE`` values made on demand: when the young ones fill it they
     become the old ones, and an old one that is asked for is young again."""
@@ -77,6 +90,7 @@ class ForcedBoundaryBpe:
         self.letters = byte_letters()
         self.beside = {p for t in self.ids for s in [self.symbols(t)] for p in zip(s, s[1:])}
         self._cut = re.compile("|".join(map(re.escape, sorted(self.special)))) if self.special else None
+        self._path, self._library, self._unknown = path, None, _unassigned()
         self.pieces, self.chunks = Generations(self.piece), Generations(self.chunk)
 
     @staticmethod
@@ -89,7 +103,10 @@ class ForcedBoundaryBpe:
 
     def split(self, piece: str) -> Iterator[tuple[str, ...]]:
         """The fragments of a piece between its forced boundaries."""
-        letters = [*piece] if piece.isascii() and piece.isalnum() else [self.letters[b] for b in piece.encode()]
+        return self.cut([*piece] if piece.isascii() and piece.isalnum() else [self.letters[b] for b in piece.encode()])
+
+    def cut(self, letters: list[str]) -> Iterator[tuple[str, ...]]:
+        """The same of a piece's letters."""
         letters[-1] += END
         start = 0
         for k, pair in enumerate(zip(letters, letters[1:]), 1):
@@ -170,6 +187,21 @@ class ForcedBoundaryBpe:
         return b"".join([*out, *self._plain(text[start:])])
 
     def _plain(self, text: str) -> Iterator[bytes]:
+        if not text.isascii() and self._unknown.search(text):
+            return self._by_library(text)
+        return self._by_words(text)
+
+    def _by_library(self, text: str) -> Iterator[bytes]:
+        """Where a text has code points that only the library may know, it says what the pieces are; they
+        come with a letter for each byte."""
+        if self._library is None:
+            from tokenizers import Tokenizer
+
+            self._library = Tokenizer.from_file(self._path)
+        for letters, _ in self._library.pre_tokenizer.pre_tokenize_str(self._library.normalizer.normalize_str(text)):
+            yield _packed([i for fragment in self.cut([*letters]) for i in self.merge(fragment)])
+
+    def _by_words(self, text: str) -> Iterator[bytes]:
         if not text.isascii():
             text = unicodedata.normalize("NFC", text).replace("Σ", "σ")  # no sigma of its own at a word's end
         text = text.lower()

@@ -91,3 +91,11 @@ def test_report(spark, library):
         assert (rows[i].n_tokens, rows[i].ids_sha256, rows[i].decoded_sha256) == (len(ids), hashlib.sha256(packed).hexdigest(), hashlib.sha256(decoded.encode()).hexdigest())
         assert bytes(rows[i].ids) == packed
     assert bpe.encode_documents(empty(spark)).count() == 0
+
+
+def test_every_code_point_is_split_as_the_library_does(library):
+    """Also those that this Python's Unicode tables don't know: a sweep of all planes."""
+    texts = [" ".join(f"a{chr(c)}-{chr(c)}b" for c in range(k, k + 64) if not 0xD800 <= c < 0xE000) for k in [*range(0, 0x20000, 64), *range(0x2FC00, 0x33000, 64), *range(0xE0000, 0xE0400, 64)]]
+    own = bpe.load(PATH)
+    for text, e in zip(texts, library.encode_batch(texts, add_special_tokens=False)):
+        assert own.encode(text) == e.ids
