@@ -161,11 +161,16 @@ def predict(chain: Sequence[Link], texts: Sequence[bytes], words: _Words | None
 
 def training_rows(docs: DataFrame, labels: DataFrame, categories: Sequence[tuple[str, Column]], most: int = TRAIN_ROWS):
     """Feature ids and labels of up to ``most`` labelled documents, those of the smallest hash of
-    their id, with their whole texts; rows with a null label or text are left out."""
+    their id, with their whole texts; rows with a null label or text are left out. Rows that repeat id and
+    text are one, of an id with very many texts those of the smallest hashes are taken, and no more
+    than ``most`` rows are ever featurised or brought to the driver."""
     names = [f"y{k}" for k in range(len(categories))]
     marked = labels.select("doc_id", *(c.cast("int").alias(y) for y, (_, c) in zip(names, categories))).na.drop()
     chosen = marked.groupBy("doc_id").agg(*(F.max(y).alias(y) for y in names)).orderBy(F.xxhash64("doc_id"), "doc_id").limit(most)
-    rows = docs.where("text is not null").select("doc_id", F.col("text").cast("binary").alias("data")).join(F.broadcast(chosen), "doc_id")
+    own = docs.where("text is not null").select("doc_id", "text").join(F.broadcast(chosen), "doc_id")
+    same = F.xxhash64("text").alias("h")
+    keys = own.select("doc_id", same).distinct().orderBy(F.xxhash64("doc_id"), "doc_id", "h").limit(most)
+    rows = own.withColumn("h", same).join(F.broadcast(keys), ["doc_id", "h"]).groupBy("doc_id", "h", *names).agg(F.first(F.col("text").cast("binary")).alias("data"))
 
     def featurise(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -174,7 +179,6 @@ def training_rows(docs: DataFrame, labels: DataFrame, categories: Sequence[tuple
 
     got = rows.mapInArrow(featurise, "doc_id long, ids binary, " + ", ".join(f"{y} int" for y in names)).collect()
     got.sort(key=lambda r: (r["doc_id"], r["ids"]))
-    got = got[:most]
     return [np.frombuffer(r["ids"], "<i4").astype(np.int64) for r in got], [(name, np.array([r[y] for r in got])) for y, (name, _) in zip(names, categories)]
 
 

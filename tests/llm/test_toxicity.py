@@ -1,6 +1,7 @@
 import random
 
 import numpy as np
+from pyspark.sql import functions as F
 
 from readlake.llm import toxicity as T
 
@@ -92,3 +93,13 @@ def test_constant_labels_and_no_rows(spark):
     assert len(rows) == 2 and not any(r.toxic for r in rows)
     assert T.toxicity(docs, labels(spark, [])).count() == 2
     assert T.toxicity(empty(spark), labels(spark, [])).count() == 0
+
+
+def test_a_labelled_id_on_very_many_rows(spark):
+    """Equal rows are one, and no more rows than the bound are featurised, whatever an id repeats."""
+    docs = spark.createDataFrame([(1, "same text") for _ in range(3000)] + [(2, f"text {i}") for i in range(3000)] + [(i, f"word {i}") for i in range(3, 40)], "doc_id long, text string").repartition(5)
+    labels = spark.createDataFrame([(i, i % 2, i % 3 % 2) for i in range(1, 40)], "doc_id long, quality int, toxic int")
+    ids, marked = T.training_rows(docs, labels, [("toxic", F.col("toxic"))], most=50)
+    assert len(ids) == 50 == len(marked[0][1])
+    ids, _ = T.training_rows(docs.where("doc_id <> 2"), labels, [("toxic", F.col("toxic"))], most=50)
+    assert len(ids) == 38
