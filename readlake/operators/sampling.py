@@ -139,4 +139,4 @@ def mix(reads: DataFrame, pool: DataFrame, profile: DataFrame, *, rate: float, s
 
 def split_rows(*columns: str, seed: int = 42, test: float = 0.2) -> Column:
     """Whether a row belongs to the test part, by the hash of its key columns."""
-    return F.pmod(F.xxhash64(F.lit(seed), *columns), F.lit(100)) < int(round(100 * test))
+    return R.hash_bits(seed, *columns) % 100 < int(round(100 * test))

@@ -13,7 +13,7 @@ from readlake.functions import reads as R
 from readlake.functions import sequences as S
 from readlake.operators import cells, compare, density, evaluate, intervals, models, quality, sampling
 from readlake.scratch import new_path, saved
-from readlake.sources import tables, text
+from readlake.sources import bam, features, layout, tables, text
 
 from . import bindings as B
 from . import workflows
@@ -456,6 +456,14 @@ def sequence_features(spark, d):
     return models.sequence_features(B.sequences(spark, d))
 
 
+@query(ORACLE_SQL["sequence_features"])
+def stored_features(spark, d):
+    """The same from a store of features by content, filled by half of the sequences and then by all."""
+    path, own = new_path(spark), B.sequences(spark, d)
+    features.stored_features(own.where("seq_id % 2 = 0"), path)
+    return features.stored_features(own, path)
+
+
 def _local(spark, d):
     return models.local_profiles(B.sequences(spark, d), 100)
 
@@ -997,3 +1005,38 @@ def coordinate_sorted(spark, d):
     SELECT CASE WHEN even THEN 2 * i ELSE 2 * k + 1 END AS cell_x, CASE WHEN even THEN 2 * j ELSE 2 * m + 1 END AS cell_y, count(*) AS n FROM h GROUP BY ALL""")
 def hexagon_density(spark, d):
     return quality.hexagon_density(_metrics(spark, d), F.col("aligned_fraction") * 100, F.col("read_coverage") * 100, 5.0, 4.0)
+
+
+_SPREAD = "SELECT event_id AS read_id, user_id % 25 AS chrom, ((event_id * 13) % 1000) * 50000 AS s, ((event_id * 13) % 1000) * 50000 + CAST(floor(\"value\") AS BIGINT) * 1000 + 1 AS e FROM events"
+
+
+@query(f"WITH ivl AS ({_SPREAD}), reg AS (SELECT s_suppkey AS region_id, s_suppkey % 3 AS chrom, (s_suppkey * 37) % 50 * 1000000 AS s, (s_suppkey * 37) % 50 * 1000000 + 200000 AS e FROM supplier) SELECT region_id, read_id, ivl.s AS start_, ivl.e AS end_ FROM ivl JOIN reg ON ivl.chrom = reg.chrom AND ivl.s < reg.e AND reg.s < ivl.e")
+def region_reads(spark, d):
+    """The reads of some regions, from a saved layout of which only the tiles of these are read."""
+    e, k = B.table(spark, d, "events"), F.col("event_id")
+    start = ((k * 13) % 1000) * 50000
+    path = new_path(spark)
+    layout.save_layout(e.select(k.alias("read_id"), (F.col("user_id") % 25).alias("chrom"), start.alias("start"), (start + F.floor("value") * 1000 + 1).alias("end")), path)
+    s = F.col("s_suppkey")
+    low = (s * 37) % 50 * 1000000
+    regions = B.table(spark, d, "supplier").select(s.alias("region_id"), (s % 3).alias("chrom"), low.alias("start"), (low + 200000).alias("end"))
+    met = layout.region_reads(spark, path, regions)
+    return met.select("r.region_id", "l.read_id", F.col("l.start").alias("start_"), F.col("l.end").alias("end_"))
+
+
+@query(ORACLE_SQL["sam_alignments"])
+def bam_alignments(spark, d):
+    """The alignments, written as binary files by Spark's tasks and read again in pieces."""
+    whole = text.read_alignments(spark, _sam(spark, d), keep_unmapped=True)
+    references = [tuple(r) for r in whole.select("transcript_id", "transcript_length").distinct().collect()]  # a binary header holds them all
+    path = new_path(spark)
+    bam.write_bam(whole, references, path)
+    own = bam.read_bam(spark, path).withColumnsRenamed({"start": "start_", "end": "end_"})
+    return own.select("read_id", "flag", "transcript_id", "start_", "end_", "mapq", "M", "I", "read_length", "transcript_length", "read_coverage", "read_accuracy")
+
+
+@query(with_sql("aln") + f"SELECT dataset, count(*) AS n, count(*) FILTER ({_bits(42, 'read_id', 'line')} % 100 < 20) AS n_test FROM aln GROUP BY 1")
+def split_sizes(spark, d):
+    """How many rows of each dataset the split takes for its test part."""
+    rows = B.alignments(spark, d).withColumn("is_test", sampling.split_rows("read_id", "line"))
+    return rows.groupBy("dataset").agg(F.count(F.lit(1)).alias("n"), F.count_if("is_test").alias("n_test"))
