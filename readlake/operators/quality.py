@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
@@ -11,7 +12,7 @@ from pyspark.sql import functions as F
 from readlake.functions import reads as R
 from readlake.scratch import saved
 
-from .quantiles import with_medians
+from .quantiles import medians, quantiles, with_medians
 
 METRICS = ("aligned_fraction", "read_coverage", "read_accuracy")
 
@@ -124,6 +125,59 @@ def binned_trend(primary: DataFrame, bins: int = 19) -> DataFrame:
     return rows.groupBy(place.alias("bin")).agg(F.avg("read_coverage").alias("mean_coverage"), F.count(F.lit(1)).alias("n"))
 
 
+def local_trend(df: DataFrame, x: Column, y: Column, part: float = 0.2, robust: int = 3, grid: int = 100) -> DataFrame:
+    """(i, x, y): a locally weighted linear regression (LOWESS) at ``grid + 1`` equally spaced places, null
+    where it is not defined; one row if all x are equal, none without points.
+
+    At each place the nearest ``part`` of the points count, by the tricube of their distance over that
+    of the farthest; in each of ``robust`` further rounds also by the bisquare of their residual, from the
+    line between the places, over six times the median of all. A place whose points all are at one x
+    has their mean. Points with a null are left out.
+
+    Points of one x are added up, and what meets the places, a table of fixed size, is one row an x; the
+    distances of the farthest and the medians are exact quantiles. So no task sees all points."""
+    points = saved(df.select(x.cast("double").alias("x"), y.cast("double").alias("y")).where("x is not null and y is not null"))
+    ends = points.agg(F.min("x").alias("low"), F.max("x").alias("high"), F.count(F.lit(1)).alias("n")).first()
+    spark = df.sparkSession
+    if not ends["n"]:
+        return spark.createDataFrame([], "i int, x double, y double")
+    low, step = ends["low"], (ends["high"] - ends["low"]) / grid
+    count = grid + 1 if step > 0 else 1
+    places = F.broadcast(spark.createDataFrame([(i, low + i * step) for i in range(count)], "i int, at double"))
+    near = min(ends["n"], max(2, math.ceil(part * ends["n"])))
+    share = (near - 1) / (ends["n"] - 1) if ends["n"] > 1 else 0.0
+    sums = saved(points.groupBy("x").agg(F.count(F.lit(1)).alias("n"), F.sum("y").alias("wy")).withColumn("w", F.col("n").cast("double")))
+    reach = quantiles(sums.crossJoin(places), {"d": F.abs(F.col("x") - F.col("at"))}, [share], ["i"], F.col("n")).select("i", F.col("value").alias("reach"))
+    places = F.broadcast(saved(places.join(reach, "i")))
+
+    def fitted(sums: DataFrame) -> DataFrame:
+        d = F.col("x") - F.col("at")
+        u = F.coalesce(F.try_divide(F.abs(d), F.col("reach")), F.lit(0.0))
+        weight = F.when(F.abs(d) <= F.col("reach"), F.pow(1 - F.pow(u, 3), 3))
+        met = sums.join(places, F.abs(d) <= F.col("reach")).select("i", d.alias("d"), (weight * F.col("w")).alias("w"), (weight * F.col("wy")).alias("wy"))
+        w, wy, d = F.col("w"), F.col("wy"), F.col("d")
+        s = met.groupBy("i").agg(F.sum(w).alias("s0"), F.sum(w * d).alias("s1"), F.sum(w * d * d).alias("s2"), F.sum(wy).alias("t0"), F.sum(wy * d).alias("t1"))
+        spread = F.col("s0") * F.col("s2") - F.col("s1") * F.col("s1")
+        line = (F.col("s2") * F.col("t0") - F.col("s1") * F.col("t1")) / spread
+        value = F.when(spread > 1e-9 * F.col("s0") * F.col("s2"), line).otherwise(F.try_divide("t0", "s0"))
+        return saved(places.join(s.select("i", value.alias("y")), "i", "left").select("i", F.col("at").alias("x"), "y"))
+
+    out = fitted(sums)
+    for _ in range(robust):
+        ahead = out.select((F.col("i") - 1).alias("i"), F.col("y").alias("next"))
+        lines = F.broadcast(out.select("i", "y").withColumnRenamed("y", "here").join(ahead, "i", "left"))
+        at = (F.col("x") - low) / F.lit(step) if step > 0 else F.lit(0.0)
+        place = F.least(F.floor(at), F.lit(max(0, count - 2))).cast("int")
+        between = F.col("here") + F.coalesce(F.col("next") - F.col("here"), F.lit(0.0)) * (at - F.col("i"))
+        off = saved(points.withColumn("i", place).join(lines, "i").select("x", "y", F.abs(F.col("y") - between).alias("off")))
+        middle = F.broadcast(medians(off, {"middle": F.col("off")}))  # one row
+        ratio = F.coalesce(F.try_divide(F.col("off"), 6 * F.col("middle")), F.lit(0.0))
+        weight = F.when(ratio < 1, F.pow(1 - ratio * ratio, 2)).otherwise(0.0)
+        weighted = off.crossJoin(middle).select("x", weight.alias("w"), (weight * F.col("y")).alias("wy"))
+        out = fitted(saved(weighted.groupBy("x").agg(F.sum("w").alias("w"), F.sum("wy").alias("wy"))))
+    return out
+
+
 def transcript_length_histogram(alignments: DataFrame) -> DataFrame:
     own = alignments.select("transcript_id", "transcript_length").dropDuplicates()
     return histogram(own, F.col("transcript_length").cast("double"), 0.0, 10000.0, 179)

@@ -17,12 +17,14 @@ from pyspark.sql import functions as F
 from readlake.scratch import saved
 
 
-def quantiles(df: DataFrame, values: Mapping[str, Column], shares: Sequence[float] = (0.5,), by: Sequence[str] = ()) -> DataFrame:
+def quantiles(df: DataFrame, values: Mapping[str, Column], shares: Sequence[float] = (0.5,), by: Sequence[str] = (), count: Column | None = None) -> DataFrame:
     """(*by, metric, share, value): for every group of ``by`` and each named value its quantiles, between
-    ranks in proportion. Nulls don't count, NaN is the largest number, a group without values has no row."""
+    ranks in proportion. Nulls don't count, NaN is the largest number, a group without values has no row.
+    With ``count`` a row stands for as many."""
     each = F.explode(F.array(*(F.struct(F.lit(name).alias("metric"), value.cast("double").alias("v")) for name, value in values.items()))).alias("x")
     key = F.struct(*by, F.col("x.metric").alias("metric"))
-    counts = df.select(*by, each).where("x.v is not null").groupBy(key.alias("g"), F.col("x.v").alias("v")).agg(F.count(F.lit(1)).alias("n"))
+    rows = df.select(*by, each, (F.lit(1) if count is None else count).cast("long").alias("times")).where("x.v is not null and times > 0")
+    counts = rows.groupBy(key.alias("g"), F.col("x.v").alias("v")).agg(F.sum("times").alias("n"))
     dealt = saved(saved(counts).repartitionByRange("g", "v").withColumn("part", F.spark_partition_id()))
     pieces = dealt.groupBy("g", "part").agg(F.sum("n").alias("n"))
     group = W.partitionBy("g")

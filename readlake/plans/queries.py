@@ -582,11 +582,21 @@ def positional_design_local(spark, d):
 
 #: The operator's own settings. Boosting is registered with fewer rounds: they run one after the other.
 _FOREST: dict = {}
+_models: dict[tuple[str, str], tuple] = {}
+
+
+def _forest(spark, d):
+    """The model, its predictions and metrics; the queries of one application share one fit of a folder."""
+    key = (spark.sparkContext.applicationId, d)
+    if key not in _models:
+        _models.clear()
+        _models[key] = workflows.learn_coverage(B.alignments(spark, d), _lengths(spark, d), _features(spark, d), BINS, least=2, settings=_FOREST)
+    return _models[key]
 
 
 @query()
 def forest_metrics(spark, d):
-    _, _, metrics = workflows.learn_coverage(B.alignments(spark, d), _lengths(spark, d), _features(spark, d), BINS, least=2, settings=_FOREST)
+    _, _, metrics = _forest(spark, d)
     return rounded(metrics, "r2", "mse", "mae")
 
 
@@ -598,13 +608,13 @@ def boosted_metrics(spark, d):
 
 @query()
 def forest_importance(spark, d):
-    model, _, _ = workflows.learn_coverage(B.alignments(spark, d), _lengths(spark, d), _features(spark, d), BINS, least=2, settings=_FOREST)
+    model, _, _ = _forest(spark, d)
     return rounded(models.feature_importance(model, n=10), "importance")
 
 
 @query()
 def forest_profiles(spark, d):
-    model, _, _ = workflows.learn_coverage(B.alignments(spark, d), _lengths(spark, d), _features(spark, d), BINS, least=2, settings=_FOREST)
+    model, _, _ = _forest(spark, d)
     return rounded(models.predict_profiles(spark, model)[0], "y")
 
 
@@ -1040,3 +1050,23 @@ def split_sizes(spark, d):
     """How many rows of each dataset the split takes for its test part."""
     rows = B.alignments(spark, d).withColumn("is_test", sampling.split_rows("read_id", "line"))
     return rows.groupBy("dataset").agg(F.count(F.lit(1)).alias("n"), F.count_if("is_test").alias("n_test"))
+
+
+@query(with_sql("met") + """, p AS (SELECT tl::DOUBLE AS x, coverage AS y FROM met), n AS (SELECT count(*) AS n, min(x) AS low, (max(x) - min(x)) / 100.0::DOUBLE AS step FROM p),
+    g AS (SELECT CAST(range AS INTEGER) AS i, low + range * step AS c, n FROM range(101), n), s AS (SELECT x, count(*)::DOUBLE AS w, sum(y) AS wy FROM p GROUP BY 1),
+    d AS (SELECT i, c, x, w, wy, abs(x - c) AS d, n, sum(w) OVER (PARTITION BY i ORDER BY abs(x - c)) AS seen FROM g, s),
+    h AS (SELECT i, min(d) FILTER (seen >= ceil(0.2::DOUBLE * n)) AS h FROM d GROUP BY 1),
+    k AS (SELECT i, c, x - c AS d, w * pow(1 - pow(coalesce(d / nullif(h, 0), 0), 3), 3) AS w, wy * pow(1 - pow(coalesce(d / nullif(h, 0), 0), 3), 3) AS wy FROM d JOIN h USING (i) WHERE d <= h),
+    f AS (SELECT i, any_value(c) AS c, sum(w) AS s0, sum(w * d) AS s1, sum(w * d * d) AS s2, sum(wy) AS t0, sum(wy * d) AS t1 FROM k GROUP BY 1)
+    SELECT i, round(c, 9) AS x, round(CASE WHEN s0 * s2 - s1 * s1 > 1e-9 * s0 * s2 THEN (s2 * t0 - s1 * t1) / (s0 * s2 - s1 * s1) ELSE t0 / s0 END, 7) AS y FROM f""")
+def local_trend(spark, d):
+    """The trend of coverage over length before its robust rounds."""
+    own = quality.local_trend(_metrics(spark, d), F.col("transcript_length"), F.col("read_coverage"), robust=0)
+    return own.select("i", F.round("x", 9).alias("x"), F.round("y", 7).alias("y"))
+
+
+@query()
+def robust_trend(spark, d):
+    """The same with all its rounds."""
+    own = quality.local_trend(_metrics(spark, d), F.col("transcript_length"), F.col("read_coverage"))
+    return own.select("i", F.round("x", 9).alias("x"), F.round("y", 7).alias("y"))

@@ -3,13 +3,21 @@
 from __future__ import annotations
 
 import tempfile
+import threading
 import uuid
 from collections.abc import Iterator
 from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
-_scopes: list[str] = []
+class _Scopes(threading.local):
+    """The open scopes of a thread, so that two jobs of one driver don't end each other's."""
+
+    def __init__(self):
+        self.open: list[str] = []
+
+
+_scopes = _Scopes()
 
 
 def checkpoint_dir(spark: SparkSession) -> str:
@@ -26,7 +34,7 @@ def checkpoint_dir(spark: SparkSession) -> str:
 
 def new_path(spark: SparkSession) -> str:
     """A path of its own in the innermost scope, or in the application's folder."""
-    folder = _scopes[-1] if _scopes else f"{checkpoint_dir(spark)}/readlake-{spark.sparkContext.applicationId}"
+    folder = _scopes.open[-1] if _scopes.open else f"{checkpoint_dir(spark)}/readlake-{spark.sparkContext.applicationId}"
     return f"{folder}/{uuid.uuid4().hex}"
 
 
@@ -59,11 +67,11 @@ def delete(spark: SparkSession, path: str) -> None:
 @contextmanager
 def scope(spark: SparkSession) -> Iterator[None]:
     """What is saved inside is deleted at the end, so only results already written may outlive it."""
-    _scopes.append(new_path(spark))
+    _scopes.open.append(new_path(spark))
     try:
         yield
     finally:
-        delete(spark, _scopes.pop())
+        delete(spark, _scopes.open.pop())
 
 
 def clear(spark: SparkSession) -> None:

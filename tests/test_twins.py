@@ -4,6 +4,7 @@ import math
 import random
 from collections import Counter, defaultdict
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -116,6 +117,39 @@ def test_median_of_a_group_of_millions_is_not_in_one_task(spark):
     assert swept and all("part#" in line for line in swept)
 
 
+def lowess(points, part, robust, grid):
+    """Plainly, place by place."""
+    x, y = np.array(points).T
+    at = np.linspace(x.min(), x.max(), grid + 1)
+    k = min(len(x), max(2, math.ceil(part * len(x))))
+    w, out = np.ones(len(x)), None
+    for _ in range(robust + 1):
+        out = np.zeros(len(at))
+        for i, p in enumerate(at):
+            d = np.abs(x - p)
+            h = np.sort(d)[k - 1]
+            own = np.where(d <= h, (1 - (d / h if h else 0 * d) ** 3) ** 3, 0) * w
+            e = x - p
+            s0, s1, s2, t0, t1 = (own.sum(), (own * e).sum(), (own * e * e).sum(), (own * y).sum(), (own * e * y).sum())
+            out[i] = (s2 * t0 - s1 * t1) / (s0 * s2 - s1 * s1) if s0 * s2 - s1 * s1 > 1e-9 * s0 * s2 else t0 / s0
+        off = np.abs(y - np.interp(x, at, out))
+        r = off / (6 * np.median(off)) if np.median(off) else 0 * off
+        w = np.where(r < 1, (1 - r * r) ** 2, 0.0)
+    return out
+
+
+def test_local_trend_is_the_plain_one(spark):
+    r = random.Random(8)
+    points = [(float(x), math.sin(x / 60) + r.gauss(0, 0.1) + (5 if r.random() < 0.05 else 0)) for _ in range(700) for x in [r.randrange(0, 400)]]
+    df = spark.createDataFrame(points + [(None, 1.0), (1.0, None)], "x double, y double").repartition(5)
+    for robust in (0, 2):
+        got = sorted(map(tuple, quality.local_trend(df, F.col("x"), F.col("y"), 0.2, robust, 20).collect()))
+        assert np.allclose([g[2] for g in got], lowess(points, 0.2, robust, 20), atol=1e-9, rtol=0)
+    one = quality.local_trend(df.where("x = 7"), F.col("x"), F.col("y")).collect()
+    assert len(one) == 1 and abs(one[0].y - sum(y for x, y in points if x == 7) / sum(x == 7 for x, _ in points)) < 1
+    assert quality.local_trend(df.limit(0), F.col("x"), F.col("y")).count() == 0
+
+
 def test_hexagons_are_the_nearest_centres(spark):
     r = random.Random(4)
     points = [(r.uniform(-20, 20), r.uniform(-20, 20)) for _ in range(2000)] + [(None, 1.0), (1.0, None)]
