@@ -4,16 +4,18 @@ from __future__ import annotations
 
 import math
 from collections.abc import Iterator, Mapping, Sequence
+from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
 from pyspark.ml import Pipeline
 from pyspark.ml.feature import RobustScaler, VectorAssembler
 from pyspark.ml.regression import GBTRegressor, RandomForestRegressor
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from readlake.functions import reads as R
 from readlake.functions import sequences as S
 
 from .density import length_effect
@@ -155,6 +157,62 @@ def fit_forest(design: DataFrame, columns: Sequence[str] = DESIGN, label: str =
     return Pipeline(stages=[VectorAssembler(inputCols=list(columns), outputCol="features"), forest]).fit(design)
 
 
+#: Chances of at most 0, 1, 2, ... copies of a row in a bag (Poisson with mean 1; fixed values).
+_COPIES = tuple(sum(math.exp(-1) / math.factorial(i) for i in range(k + 1)) for k in range(8))
+
+
+def bag_weight(bag: int, seed: int, *keys: str) -> Column:
+    """How often a bag has the row: Poisson with mean 1, by the hash of bag and keys, so that any engine
+    can tell which rows a bag has left out."""
+    u = R.hash_uniform(seed, F.lit(bag), *keys)
+    return sum(((u >= F.lit(c)).cast("int") for c in _COPIES), F.lit(0)).cast("double")
+
+
+@dataclass
+class BaggedForest:
+    """Forests of one bag each; a prediction is the mean of all their trees'."""
+
+    bags: list
+    seed: int
+    keys: tuple[str, ...]
+
+    def _each(self, rows: DataFrame) -> DataFrame:
+        for k, model in enumerate(self.bags):
+            rows = model.transform(rows).withColumnRenamed("prediction", f"_bag_{k}").drop("features")
+        return rows
+
+    def transform(self, rows: DataFrame) -> DataFrame:
+        names = [f"_bag_{k}" for k in range(len(self.bags))]
+        return self._each(rows).withColumn("prediction", sum((F.col(c) for c in names), F.lit(0.0)) / len(names)).drop(*names)
+
+    def out_of_bag(self, rows: DataFrame) -> DataFrame:
+        """The rows of the training part with ``prediction``, the mean over the bags that left them out, and
+        ``n_bags``, how many did; null where none did."""
+        names = [f"_bag_{k}" for k in range(len(self.bags))]
+        out = [(bag_weight(k, self.seed, *self.keys) == 0).cast("int") for k in range(len(names))]
+        n = sum(out, F.lit(0))
+        total = sum((F.col(c) * o for c, o in zip(names, out)), F.lit(0.0))
+        return self._each(rows).withColumns({"n_bags": n, "prediction": F.try_divide(total, n.cast("double"))}).drop(*names)
+
+
+def fit_bagged_forest(design: DataFrame, columns: Sequence[str] = DESIGN, label: str = "value", *, trees: int = 100, bags: int = 10, depth: int = 10, min_leaf: int = 1, seed: int = 42, keys: Sequence[str] = ("transcript_id", "bin")) -> BaggedForest:
+    """A forest with an out-of-bag score: ``bags`` bags of the rows, told apart by ``keys``, and as many trees
+    in each; trees of a bag differ by the features that they see. With as many bags as trees it is a
+    bag a tree."""
+    each = max(1, round(trees / bags))
+    models = []
+    for k in range(bags):
+        own = design.withColumn("_weight", bag_weight(k, seed, *keys)).where("_weight > 0")
+        forest = RandomForestRegressor(labelCol=label, featuresCol="features", weightCol="_weight", numTrees=each, maxDepth=max(1, depth), minInstancesPerNode=min_leaf, featureSubsetStrategy="sqrt", bootstrap=False, subsamplingRate=1.0, seed=seed + k)
+        models.append(Pipeline(stages=[VectorAssembler(inputCols=list(columns), outputCol="features"), forest]).fit(own))
+    return BaggedForest(models, seed, tuple(keys))
+
+
+def oob_score(forest: BaggedForest, training: DataFrame, label: str = "value") -> DataFrame:
+    """n, r2, mse, mae of the out-of-bag predictions of the rows that at least one bag left out."""
+    return regression_metrics(forest.out_of_bag(training).where("prediction is not null"), label)
+
+
 def fit_boosted(design: DataFrame, columns: Sequence[str] = DESIGN, label: str = "value", *, rounds: int = 100, depth: int = 6, rate: float = 0.1, subsample: float = 0.8, seed: int = 42, validation: str | None = None):
     """Boosted trees on robustly scaled features; with ``validation``, a boolean column, they stop
     when that part no longer improves."""

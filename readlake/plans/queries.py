@@ -1070,3 +1070,10 @@ def robust_trend(spark, d):
     """The same with all its rounds."""
     own = quality.local_trend(_metrics(spark, d), F.col("transcript_length"), F.col("read_coverage"))
     return own.select("i", F.round("x", 9).alias("x"), F.round("y", 7).alias("y"))
+
+
+@query()
+def forest_oob(spark, d):
+    """R2 of a bagged forest on its training part, its test part, and out of bag."""
+    own = workflows.score_coverage(B.alignments(spark, d), _lengths(spark, d), _features(spark, d), BINS, least=2)
+    return rounded(own, "r2", "mse", "mae")

@@ -75,13 +75,18 @@ def coverage_matrix(alignments: DataFrame, lengths: DataFrame, n_bins: int = 100
     return intervals.profile_matrix(intervals.bin_depth(intervals.depth(alignments, lengths), lengths, n_bins, "sum"), n_bins)
 
 
-def learn_coverage(alignments: DataFrame, lengths: DataFrame, features: DataFrame, n_bins: int = 100, *, technology: str = "default", boosted: bool = False, least: int = 15, seed: int = 42, settings: Mapping | None = None):
-    """Learn a tree model of positional coverage: (model, predictions with is_test, metrics by part).
-    The design is written to the shared folder once; every pass of the learner reads it there."""
+def coverage_design(alignments: DataFrame, lengths: DataFrame, features: DataFrame, n_bins: int = 100, *, technology: str = "default", least: int = 15, seed: int = 42) -> DataFrame:
+    """The saved design of the transcripts with at least ``least`` reads, with ``is_test``."""
     kept = cells.min_reads(alignments, least)
     own = lengths.join(kept.select("transcript_id").distinct(), "transcript_id", "left_semi")
     profile = intervals.bin_depth(intervals.depth(kept, own), own, n_bins, "mean100")
-    design = saved(models.split(models.positional_design(profile, features, n_bins, models.feature_weights(technology)), seed=seed))
+    return saved(models.split(models.positional_design(profile, features, n_bins, models.feature_weights(technology)), seed=seed))
+
+
+def learn_coverage(alignments: DataFrame, lengths: DataFrame, features: DataFrame, n_bins: int = 100, *, technology: str = "default", boosted: bool = False, least: int = 15, seed: int = 42, settings: Mapping | None = None):
+    """Learn a tree model of positional coverage: (model, predictions with is_test, metrics by part).
+    The design is written to the shared folder once; every pass of the learner reads it there."""
+    design = coverage_design(alignments, lengths, features, n_bins, technology=technology, least=least, seed=seed)
     fit = models.fit_boosted if boosted else models.fit_forest
     options = dict(settings or ({} if boosted else models.forest_settings(technology)))
     model = fit(design.where("not is_test"), seed=seed, **options)
@@ -89,6 +94,16 @@ def learn_coverage(alignments: DataFrame, lengths: DataFrame, features: DataFram
     return model, predicted, models.regression_metrics(predicted, by=["is_test"])
 
 
+def score_coverage(alignments: DataFrame, lengths: DataFrame, features: DataFrame, n_bins: int = 100, *, technology: str = "default", least: int = 15, seed: int = 42, bags: int = 10) -> DataFrame:
+    """(part, n, r2, mse, mae) of a bagged forest: its training part, its test part, and out of bag."""
+    design = coverage_design(alignments, lengths, features, n_bins, technology=technology, least=least, seed=seed)
+    training = design.where("not is_test")
+    forest = models.fit_bagged_forest(training, seed=seed, bags=bags, **models.forest_settings(technology))
+    both = models.regression_metrics(forest.transform(design), by=["is_test"])
+    parts = both.select(F.when(F.col("is_test"), "test").otherwise("train").alias("part"), "n", "r2", "mse", "mae")
+    return parts.unionByName(models.oob_score(forest, training).select(F.lit("out_of_bag").alias("part"), "n", "r2", "mse", "mae"))
+
+
 def evaluate_coverage(alignments: DataFrame, transcripts: DataFrame, features: DataFrame, n_bins: int = 100, **settings) -> dict[str, DataFrame]:
     """Learn on the reads of each transcript, by name or by place, and judge the model: metrics,
     quality (train_r2, test_r2, fit, overfit), importance and predictions. ``alignments`` (read_id,

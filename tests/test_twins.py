@@ -150,6 +150,29 @@ def test_local_trend_is_the_plain_one(spark):
     assert quality.local_trend(df.limit(0), F.col("x"), F.col("y")).count() == 0
 
 
+def test_out_of_bag_score_is_the_recount(spark):
+    """Votes of the bags that left a row out, counted row by row; rows fall out of a bag as often as they should."""
+    r = random.Random(2)
+    rows = [(i, k, r.random(), r.random()) for i in range(60) for k in range(10)]
+    rows = [(*x, 3 * x[2] + (x[3] > 0.5) + r.gauss(0, 0.1)) for x in rows]
+    design = spark.createDataFrame(rows, "transcript_id int, bin int, a double, b double, value double").repartition(3)
+    forest = models.fit_bagged_forest(design, ["a", "b"], trees=12, bags=6, depth=5)
+    votes, weights = defaultdict(list), []
+    for k, bag in enumerate(forest.bags):
+        own = bag.transform(design).withColumn("w", models.bag_weight(k, 42, "transcript_id", "bin")).collect()
+        weights += [x.w for x in own]
+        for x in own:
+            if x.w == 0:
+                votes[x.transcript_id, x.bin].append((x.value, x.prediction))
+    assert abs(sum(w == 0 for w in weights) / len(weights) - math.exp(-1)) < 0.03 and abs(sum(weights) / len(weights) - 1) < 0.06
+    y, p = zip(*((v[0][0], sum(q for _, q in v) / len(v)) for v in votes.values()))
+    want = 1 - sum((a - b) ** 2 for a, b in zip(y, p)) / sum((a - sum(y) / len(y)) ** 2 for a in y)
+    score = models.oob_score(forest, design).first()
+    assert score.n == len(votes) > 500 and abs(score.r2 - want) < 1e-9 and want > 0.8
+    inside = models.regression_metrics(forest.transform(design)).first()
+    assert inside.n == 600 and inside.r2 > score.r2
+
+
 def test_hexagons_are_the_nearest_centres(spark):
     r = random.Random(4)
     points = [(r.uniform(-20, 20), r.uniform(-20, 20)) for _ in range(2000)] + [(None, 1.0), (1.0, None)]
