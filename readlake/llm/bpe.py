@@ -45,16 +45,17 @@ def byte_letters() -> list[str]:
 
 
 def _unassigned() -> re.Pattern:
-    """Finds what this Python's Unicode tables don't know; the library may know it as a letter."""
+    """Finds what this Python's Unicode tables may not know: code points of the first plane that they
+    don't, and all of the others. (Many ranges beyond the first plane would be tried one by one.)"""
     spans, start = [], None
-    for c in range(sys.maxunicode + 2):
-        unknown = c <= sys.maxunicode and unicodedata.category(chr(c)) == "Cn"
+    for c in range(0x10001):
+        unknown = c < 0x10000 and unicodedata.category(chr(c)) == "Cn"
         if unknown and start is None:
             start = c
         elif not unknown and start is not None:
             spans.append(f"{re.escape(chr(start))}-{re.escape(chr(c - 1))}")
             start = None
-    return re.compile(f"[{''.join(spans)}]")
+    return re.compile(f"[{''.join(spans)}\U00010000-\U0010ffff]")
 
 
 class Generations(dict):
@@ -187,7 +188,7 @@ class ForcedBoundaryBpe:
         return b"".join([*out, *self._plain(text[start:])])
 
     def _plain(self, text: str) -> Iterator[bytes]:
-        if not text.isascii() and self._unknown.search(text):
+        if not text.isascii() and self._unknown.search(text) and any(unicodedata.category(c) == "Cn" for c in set(text)):
             return self._by_library(text)
         return self._by_words(text)
 
