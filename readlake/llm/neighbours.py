@@ -7,11 +7,14 @@ neither is new to the list have met before and are passed over, and what can't e
 row, so rounds become cheap and end when few lists change. The start is better than chance: vectors
 sorted by which side of random planes they are on are compared in short stretches.
 
-The largest inner product is sought, so the graph is that of the vectors scaled and lifted to one
-length, where the nearest are those of the largest cosine; they move as one byte a component. A
-query walks the graph in rounds: the best ``EXPAND`` of its ``POOL`` candidates that have not been
-asked are asked for their lists, until there are none. What is left is measured on the original
-vectors in double precision.
+Nodes are numbered along one of the sortings and worked on in blocks of ``1 << BLOCK_BITS`` numbers. A
+block asks each block that its lists name for all the vectors that it needs of it at once, gets each
+once, and sends its offers in the same way. Vectors move as 16-bit integers.
+
+Lists are by cosine, and queries seek the largest inner product. A query is a node of the graph: it walks
+in rounds from its own and from the ``ENTRIES`` longest vectors, and all of its ``POOL`` best candidates that
+have not been asked are asked for their lists, until there are none. What is left is measured on the
+original vectors in double precision.
 
 Equal vectors are one node, known by its smallest id, with as many of its smallest ids as a query
 can return of it; so copies don't fill lists, and none that belongs in a result is lost.
@@ -23,7 +26,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -34,8 +37,9 @@ from .embeddings import usable
 WIDTH, SORTINGS, STRETCH, OFFERED = 64, 8, 256, 20
 #: Rounds end when at most this part of all entries is new; and rounds at most.
 SETTLED, ROUNDS = 0.1, 12
-#: Nodes whose lists are worked on together, candidates of a query, and long vectors that it starts from.
-BLOCK, POOL, ENTRIES = 2048, 64, 16
+#: Bits of a node's number that tell its place in its block, candidates of a query, and long vectors
+#: that it starts from.
+BLOCK_BITS, POOL, ENTRIES = 11, 64, 16
 #: Pieces of the finished graph, in which it lies sorted by node for the walk.
 PIECES = 64
 #: Vectors that the planes' places are taken from at most, and planes of a sorting.
@@ -43,6 +47,7 @@ SAMPLE, PLANES = 4096, 40
 SEED = 20240811
 #: Entries that a task holds of a block's offers before it drops all that can't stay.
 HELD = 1 << 20
+_NONE = np.float32(-np.inf).tobytes()
 _LISTS = "node long, block long, ids binary, scores binary, fresh binary"
 #: Offers to the nodes of a block, entry by entry; an old list has its one node in ``node``.
 _OFFERS = "block long, node long, nodes binary, ids binary, scores binary, fresh binary"
@@ -50,12 +55,11 @@ _OFFERS = "block long, node long, nodes binary, ids binary, scores binary, fresh
 
 def nodes_of(vectors: DataFrame, id_col: str, vector_col: str, copies: int) -> DataFrame:
     """node (smallest id), vector, dim, ids (the ``copies`` smallest, ascending) of each different vector."""
-    kind = vectors.schema[vector_col].dataType.simpleString()
-    rows = vectors.select(F.col(id_col).cast("long").alias("id"), F.col(vector_col).alias("vector")).where(F.col("id").isNotNull() & usable(F.col("vector"))).distinct()
+    rows = spread(vectors.select(F.col(id_col).cast("long").alias("id"), F.col(vector_col).alias("vector"))).where(F.col("id").isNotNull() & usable(F.col("vector"))).distinct()
     rank = F.row_number().over(W.partitionBy("vector").orderBy("id"))  # its bound is kept before the shuffle too
     few = rows.withColumn("_rank", rank).where(F.col("_rank") <= copies)
     nodes = few.groupBy("vector").agg(F.min("id").alias("node"), F.array_sort(F.collect_list("id")).alias("ids"))
-    return saved(spread(nodes).select("node", F.col("vector").cast(kind).alias("vector"), F.size("vector").alias("dim"), "ids"))
+    return saved(nodes.select("node", "vector", F.size("vector").alias("dim"), "ids"))
 
 
 def _matrix(column) -> np.ndarray:
@@ -164,10 +168,10 @@ def _merged(offers: DataFrame, width: int) -> DataFrame:
     return offers.repartition("block").sortWithinPartitions("block").mapInArrow(merge, _LISTS)
 
 
-def sorted_rows(codes: DataFrame) -> DataFrame:
-    """node, dim, code, sorting, key: for each of ``SORTINGS`` sets of planes the sides that a vector is on. The
-    planes are random, and each goes through the median of at most ``SAMPLE`` vectors, those of the
-    smallest hash."""
+def numbered(codes: DataFrame) -> DataFrame:
+    """The codes with ``keys``, for each of ``SORTINGS`` sets of planes the sides that a vector is on, and a new
+    number ``node``, by the first of them (the old one is ``vec``). The planes are random, and each goes
+    through the median of at most ``SAMPLE`` vectors, those of the smallest hash."""
     sample: dict[int, list[bytes]] = {}
     for r in codes.orderBy(F.xxhash64("node"), "node").limit(SAMPLE).collect():
         sample.setdefault(r["dim"], []).append(bytes(r["code"]))
@@ -189,15 +193,19 @@ def sorted_rows(codes: DataFrame) -> DataFrame:
                 above = at >= shared.value.get(dim, np.zeros(at.shape[1]))
                 keys[own] = above.reshape(len(own), SORTINGS, PLANES) @ powers
             ends = np.arange(len(dims) + 1, dtype=np.int32) * SORTINGS
-            yield pa.RecordBatch.from_arrays([batch["node"], batch["dim"], batch["code"], pa.ListArray.from_arrays(pa.array(ends), pa.array(keys.ravel()))], ["node", "dim", "code", "keys"])
+            yield pa.RecordBatch.from_arrays([batch["node"], batch["dim"], batch["code"], batch["size"], pa.ListArray.from_arrays(pa.array(ends), pa.array(keys.ravel()))], ["vec", "dim", "code", "size", "keys"])
 
-    keyed = codes.mapInArrow(sides, "node long, dim int, code binary, keys array<long>")
-    return saved(keyed.select("node", "dim", "code", F.posexplode("keys").alias("sorting", "key")))
+    keyed = saved(codes.mapInArrow(sides, "vec long, dim int, code binary, size float, keys array<long>"))
+    order = ("dim", F.col("keys")[0], "vec")
+    dealt = saved(keyed.repartitionByRange(*order).withColumn("_part", F.spark_partition_id().cast("long")))
+    at = F.row_number().over(W.partitionBy("_part").orderBy(*order)).cast("long") - 1
+    return saved(dealt.withColumn("node", F.shiftleft("_part", 40) + at).drop("_part"))
 
 
-def started(rows: DataFrame, codes: DataFrame) -> DataFrame:
+def started(codes: DataFrame) -> DataFrame:
     """Lists to start from: in each sorting a vector offers itself to its nearest in a stretch of about ``STRETCH``."""
     order = ("sorting", "dim", "key", "node")
+    rows = saved(codes.select("node", "dim", "code", F.posexplode("keys").alias("sorting", "key")))
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         run, nodes, codes = None, [], []
@@ -230,54 +238,94 @@ def started(rows: DataFrame, codes: DataFrame) -> DataFrame:
         yield from stretches(True)
 
     offers = rows.repartitionByRange(*order).sortWithinPartitions(*order).mapInArrow(compare, "node long, ids binary, scores binary, fresh binary")
-    return _merged(_offered(offers.join(codes.select("node", "block"), "node")), WIDTH)
+    return _merged(_offered(offers), WIDTH)
+
+
+def _block(node: str) -> Column:
+    return F.shiftright(node, BLOCK_BITS)
 
 
 def _offered(lists: DataFrame) -> DataFrame:
-    return lists.select("block", "node", F.lit(None).cast("binary").alias("nodes"), "ids", "scores", "fresh")
+    return lists.select(_block("node").alias("block"), "node", F.lit(None).cast("binary").alias("nodes"), "ids", "scores", "fresh")
 
 
 def _blocks(lists: DataFrame, codes: DataFrame) -> DataFrame:
-    """Rows sorted by ``block``: first each different node that the block's lists name, with its own block
-    (``home``), its code and the least score that gets a place on its list, by rising node; then the
-    block's lists."""
+    """Rows sorted by ``block``: what it gets of the nodes that its lists name and of its own, packed: numbers,
+    codes of one length, and the least scores that get a place on their lists (``kind`` 0); then its lists."""
+    bits = BLOCK_BITS
 
-    def named(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def asks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ids = batch["ids"].to_pylist()
-            block = np.repeat(batch["block"].to_numpy(), [len(x) // 8 for x in ids])
-            yield pa.RecordBatch.from_arrays([pa.array(block), pa.array(np.frombuffer(b"".join(ids), np.int64))], ["block", "node"])
-
-    others = lists.select("block", "ids").mapInArrow(named, "block long, node long")
-    named_once = others.unionByName(lists.select("block", "node")).distinct()
-    least = F.when(F.length("fresh") >= WIDTH, F.substring("scores", 4 * (WIDTH - 1) + 1, 4))
-    targets = codes.select("node", "code", F.col("block").alias("home")).join(lists.select("node", least.alias("least")), "node", "left")
-    empty = [F.lit(None).cast("binary").alias(c) for c in ("ids", "scores", "fresh")]
-    rows = named_once.join(targets, "node").select("block", F.lit(0).alias("kind"), "node", "home", "code", "least", *empty)
-    more = lists.select("block", F.lit(1).alias("kind"), "node", F.lit(None).cast("long").alias("home"), *(F.lit(None).cast("binary").alias(c) for c in ("code", "least")), "ids", "scores", "fresh")
-    return rows.unionByName(more).repartition("block").sortWithinPartitions("block", "kind", "node")
+            node, ids = batch["node"].to_numpy(), batch["ids"].to_pylist()
+            named = np.concatenate([node, np.frombuffer(b"".join(ids), np.int64)])
+            block = np.concatenate([node, np.repeat(node, [len(x) // 8 for x in ids])]) >> bits
+            order = np.lexsort((named, block))
+            named, block = named[order], block[order]
+            keep = np.ones(len(named), bool)
+            keep[1:] = (named[1:] != named[:-1]) | (block[1:] != block[:-1])
+            named, block = named[keep], block[keep]
+            starts = np.flatnonzero(np.concatenate([[True], (block[1:] != block[:-1]) | (named[1:] >> bits != named[:-1] >> bits)])) if len(named) else []
+            ends = [*starts[1:], len(named)]
+            yield pa.RecordBatch.from_arrays([pa.array(named[starts] >> bits, pa.int64()), pa.array(block[starts], pa.int64()), pa.array([named[a:b].tobytes() for a, b in zip(starts, ends)], pa.binary())], ["home", "block", "nodes"])
+
+    def replies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        home, numbers, codes, least = None, [], [], []
+        for batch in batches:
+            out: tuple[list, ...] = ([], [], [], [])
+            for own, kind, node, code, last, block, asked in zip(*(batch[c].to_pylist() for c in ("home", "kind", "node", "code", "least", "block", "nodes"))):
+                if own != home:
+                    home, numbers, codes, least = own, [], [], []
+                if kind == 0:
+                    numbers.append(node)
+                    codes.append(code)
+                    least.append(last or _NONE)
+                    continue
+                wanted = np.frombuffer(asked, np.int64)
+                at = np.searchsorted(np.array(numbers, np.int64), wanted).tolist()
+                lengths = np.array([len(codes[k]) for k in at])
+                for length in np.unique(lengths).tolist():
+                    mine = np.flatnonzero(lengths == length).tolist()
+                    for x, y in zip(out, (block, wanted[mine].tobytes(), b"".join([codes[at[k]] for k in mine]), b"".join([least[at[k]] for k in mine]))):
+                        x.append(y)
+            yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(out, (pa.int64(), pa.binary(), pa.binary(), pa.binary()))], ["block", "nodes", "codes", "least"])
+
+    least = F.when(F.length("fresh") >= WIDTH, F.substring("scores", 4 * (WIDTH - 1) + 1, 4)).alias("least")
+    null = lambda kind, *names: [F.lit(None).cast(kind).alias(c) for c in names]
+    there = codes.select("node", "code").join(lists.select("node", least), "node", "left")
+    there = there.select(_block("node").alias("home"), F.lit(0).alias("kind"), "node", "code", "least", *null("long", "block"), *null("binary", "nodes"))
+    asked = lists.select("node", "ids").mapInArrow(asks, "home long, block long, nodes binary")
+    asked = asked.select("home", F.lit(1).alias("kind"), *null("long", "node"), *null("binary", "code", "least"), "block", "nodes")
+    met = there.unionByName(asked).repartition("home").sortWithinPartitions("home", "kind", "node")
+    got = met.mapInArrow(replies, "block long, nodes binary, codes binary, least binary")
+    got = got.select("block", F.lit(0).alias("kind"), *null("long", "node"), "nodes", "codes", "least", *null("binary", "ids", "fresh"))
+    own = lists.select("block", F.lit(1).alias("kind"), "node", *null("binary", "nodes", "codes", "least"), "ids", "fresh")
+    return got.unionByName(own).repartition("block").sortWithinPartitions("block", "kind", "node")
 
 
 def _lists_of(table: pa.Table) -> Iterator[tuple]:
-    """For each block of a table: its different nodes, their homes, codes and least scores, and of its lists the
-    node's place among the different ones, the places of what it names, and which are fresh."""
+    """For each block of a table: the different nodes that it has got, their codes and least scores, and of its
+    lists the node's place among them, the places of what it names, and which are fresh."""
     blocks, kinds = table["block"].to_numpy(), table["kind"].to_numpy()
     cuts = np.flatnonzero(np.concatenate([[True], blocks[1:] != blocks[:-1], [True]]))
     for a, b in zip(cuts.tolist(), cuts[1:].tolist()):
         m = a + int((kinds[a:b] == 0).sum())
-        nodes = table["node"][a:m].to_numpy()
-        least = np.array([np.frombuffer(x, np.float32)[0] if x else -np.inf for x in table["least"][a:m].to_pylist()], np.float32)
+        parts = [np.frombuffer(x, np.int64) for x in table["nodes"][a:m].to_pylist()]
+        codes = [c[k : k + len(c) // len(x)] for x, c in zip(parts, table["codes"][a:m].to_pylist()) for k in range(0, len(c), len(c) // len(x))]
+        nodes, first = np.unique(np.concatenate(parts), return_index=True)  # what two batches asked for came twice
+        least = np.frombuffer(b"".join(table["least"][a:m].to_pylist()), np.float32)[first]
         ids = [np.searchsorted(nodes, np.frombuffer(x, np.int64)) for x in table["ids"][m:b].to_pylist()]
         fresh = [np.frombuffer(x, np.int8) for x in table["fresh"][m:b].to_pylist()]
-        yield nodes, table["home"][a:m].to_numpy(), table["code"][a:m].to_pylist(), least, np.searchsorted(nodes, table["node"][m:b].to_numpy()), ids, fresh
+        yield nodes, [codes[k] for k in first.tolist()], least, np.searchsorted(nodes, table["node"][m:b].to_numpy()), ids, fresh
 
 
 def descended(lists: DataFrame, codes: DataFrame) -> DataFrame:
     """One round: the lists after each node has brought those on its list together."""
 
+    bits = BLOCK_BITS
+
     def offers(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for table in runs(batches, "block"):
-            for nodes, homes, codes, least, places, ids, fresh in _lists_of(table):
+            for nodes, codes, least, places, ids, fresh in _lists_of(table):
                 lengths = np.array([len(c) for c in codes])
                 found: list[tuple] = []
                 for length in np.unique(lengths).tolist():
@@ -300,9 +348,7 @@ def descended(lists: DataFrame, codes: DataFrame) -> DataFrame:
                 if found:
                     to, others, scores = (np.concatenate(f) for f in zip(*found))
                     to, others, scores, new = _best(to, others, scores, np.ones(len(to), np.int8), WIDTH)
-                    home = homes[np.searchsorted(nodes, to)]
-                    order = np.argsort(home, kind="stable")
-                    blocks, columns = _cut(home[order], to[order], *(x[order] for x in _typed(others, scores, new)))
+                    blocks, columns = _cut(to >> bits, to, *_typed(others, scores, new))  # nodes rise, and so do blocks
                     yield pa.RecordBatch.from_arrays([pa.array(blocks, pa.int64()), pa.nulls(len(blocks), pa.int64()), *(pa.array(x, pa.binary()) for x in columns)], ["block", "node", "nodes", "ids", "scores", "fresh"])
 
     old = _offered(lists.withColumn("fresh", F.expr("cast(repeat('\\0', length(fresh)) as binary)")))
@@ -329,21 +375,11 @@ def runs(batches: Iterator[pa.RecordBatch], key: str) -> Iterator[pa.Table]:
         yield pa.Table.from_batches(held)
 
 
-def in_blocks(codes: DataFrame, key: DataFrame) -> DataFrame:
-    """The codes with the number of their node's block: ``BLOCK`` nodes that follow one another by ``key``."""
-    order = ("dim", "key", "node")
-    dealt = saved(codes.join(key, "node").repartitionByRange(*order).withColumn("_part", F.spark_partition_id()))
-    at = F.row_number().over(W.partitionBy("_part").orderBy(*order)).cast("long") - 1
-    return saved(dealt.withColumn("block", F.shiftleft(F.col("_part").cast("long"), 40) + F.floor(at / BLOCK)).drop("_part", "key"))
-
-
-def neighbour_lists(codes: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """node, ids, scores, fresh: packed lists of each node's nearest, the nearest first, a row for every
-    node; and the codes with their blocks."""
-    rows = sorted_rows(codes)
-    codes = in_blocks(codes, rows.where("sorting = 0").select("node", "key"))
-    alone = codes.select("node", "block", *(F.lit(b"").alias(c) for c in ("ids", "scores", "fresh")))
-    lists = saved(started(rows, codes))
+def neighbour_lists(codes: DataFrame) -> DataFrame:
+    """node, block, ids, scores, fresh: packed lists of each node's nearest, the nearest first, a row for
+    every node of the numbered ``codes``."""
+    alone = codes.select("node", _block("node").alias("block"), *(F.lit(b"").alias(c) for c in ("ids", "scores", "fresh")))
+    lists = saved(started(codes))
     lists = saved(lists.unionByName(alone.join(lists, "node", "left_anti")))
     for _ in range(ROUNDS):
         after = saved(descended(lists, codes))
@@ -351,17 +387,17 @@ def neighbour_lists(codes: DataFrame) -> tuple[DataFrame, DataFrame]:
         sizes = lists.agg(F.sum(F.length("fresh")), F.sum(F.length(F.expr("replace(cast(fresh as string), '\\0', '')")))).first()
         if not sizes[0] or sizes[1] <= SETTLED * sizes[0]:
             break
-    return lists, codes
+    return lists
 
 
 def graph_of(codes: DataFrame) -> DataFrame:
     """node, code, ids, codes: each node's own code and the ids and codes on its list, packed; in ``PIECES``
     buckets by node, so that what asks for nodes is brought to them and the graph itself stays."""
-    lists, codes = neighbour_lists(codes)
+    lists = neighbour_lists(codes)
 
     def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for table in runs(batches, "block"):
-            for nodes, _, codes, _, places, ids, _ in _lists_of(table):
+            for nodes, codes, _, places, ids, _ in _lists_of(table):
                 for a in range(0, len(places), 256):
                     own = slice(a, a + 256)
                     columns = (nodes[places[own]], [codes[k] for k in places[own]], [nodes[x].tobytes() for x in ids[own]], [b"".join([codes[k] for k in x.tolist()]) for x in ids[own]])
@@ -443,12 +479,15 @@ def nearest(vectors: DataFrame, is_query, k: int = 20, id_col: str = "vec_id", v
     no rows. Only the two columns are read, so others cannot clash.
     """
     nodes = nodes_of(vectors, id_col, vector_col, k + 1)
-    codes = coded(nodes)
+    codes = numbered(coded(nodes))
     graph = graph_of(codes)
     rows = vectors.select(F.col(id_col).cast("long").alias("query_id"), F.col(vector_col).alias("vector")).where(is_query & usable(F.col("vector"))).distinct()
     own = saved(rows.join(nodes.select("vector", "node"), "vector").withColumn("query", F.xxhash64("query_id", "node")))
     longest = F.broadcast(codes.orderBy(F.desc("size"), "node").limit(ENTRIES).select("node"))
-    pools = _walked(own.select("query", "node").join(codes.select("node", "code"), "node"), graph, graph.join(longest, "node").select("node", "code", "ids", "codes"), max(POOL, 2 * k))
+    numbers = codes.select("vec", "node")
+    starts = own.select("query", F.col("node").alias("vec")).join(codes.select("vec", "node", "code"), "vec").drop("vec")
+    pools = _walked(starts, graph, graph.join(longest, "node").select("node", "code", "ids", "codes"), max(POOL, 2 * k))
+    pools = pools.join(numbers, "node").select("query", F.col("vec").alias("node"))
     pairs = pools.join(own.select("query", "query_id", F.col("vector").alias("sought")), "query").join(nodes.select("node", "vector", "ids"), "node")
     product = F.aggregate(F.zip_with("sought", "vector", lambda x, y: x.cast("double") * y.cast("double")), F.lit(0.0), lambda acc, x: acc + x)
     scored = pairs.select("query_id", product.alias("score"), F.explode("ids").alias("vec_id")).where("vec_id <> query_id").distinct()

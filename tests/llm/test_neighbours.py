@@ -50,7 +50,7 @@ def lists_of(df):
 
 def test_recall_on_vectors_of_all_lengths(spark, monkeypatch):
     """Small lists and stretches, so that the rounds and the walk have work to do."""
-    for name, value in (("WIDTH", 24), ("SORTINGS", 3), ("STRETCH", 40), ("OFFERED", 8), ("POOL", 40), ("BLOCK", 100)):
+    for name, value in (("WIDTH", 24), ("SORTINGS", 3), ("STRETCH", 40), ("OFFERED", 8), ("POOL", 40), ("BLOCK_BITS", 6)):
         monkeypatch.setattr(N, name, value)
     r = np.random.default_rng(2)
     x = r.standard_normal((1500, 16)) * np.exp(0.2 * r.standard_normal((1500, 1)))
@@ -69,19 +69,23 @@ def test_rounds_find_most_of_the_graph(spark, monkeypatch):
     r = np.random.default_rng(5)
     x = r.standard_normal((800, 12))
     x /= np.linalg.norm(x, axis=1)[:, None]
-    codes = N.coded(N.nodes_of(frame(spark, [list(map(float, v)) for v in x]), "vec_id", "embedding", 21))
+    codes = N.numbered(N.coded(N.nodes_of(frame(spark, [list(map(float, v)) for v in x]), "vec_id", "embedding", 21)))
+    vec = {q.node: q.vec for q in codes.collect()}
+    named = lambda df: {vec[i]: np.array([vec[j] for j in v.tolist()]) for i, v in lists_of(df).items()}
     near = x @ x.T
     np.fill_diagonal(near, -9)
     truth = np.argsort(-near, axis=1)[:, :10]
     share = lambda lists: np.mean([len(set(lists[i].tolist()) & set(truth[i].tolist())) / 10 for i in range(800)])
-    first, last = share(lists_of(N.started(N.sorted_rows(codes), codes.withColumn("block", F.lit(0).cast("long"))))), share(lists_of(N.neighbour_lists(codes)[0]))
+    found = named(N.neighbour_lists(codes))
+    first, last = share(named(N.started(codes))), share(found)
     assert first < 0.6 and last > 0.95
-    assert all(len(v) == 20 and len(set(v.tolist())) == 20 and i not in v for i, v in lists_of(N.neighbour_lists(codes)[0]).items())
+    assert all(len(v) == 20 and len(set(v.tolist())) == 20 and i not in v for i, v in found.items())
 
 
 def test_one_round_is_the_join_of_neighbours_of_neighbours(spark, monkeypatch):
     """From given lists a round finds what bringing every list together by hand finds."""
     monkeypatch.setattr(N, "WIDTH", 6)
+    monkeypatch.setattr(N, "BLOCK_BITS", 4)
     r = np.random.default_rng(7)
     x = r.standard_normal((60, 8))
     codes = N.saved(N.coded(N.nodes_of(frame(spark, [list(map(float, v)) for v in x]), "vec_id", "embedding", 21)))
@@ -90,7 +94,7 @@ def test_one_round_is_the_join_of_neighbours_of_neighbours(spark, monkeypatch):
     start = {i: r.permutation([j for j in range(60) if j != i])[:6] for i in range(60)}
     start = {i: v[np.lexsort((v, -near[i, v]))] for i, v in start.items()}
     fresh = {i: r.integers(0, 2, 6).astype(np.int8) for i in range(60)}
-    lists = spark.createDataFrame([(i, i % 3, v.astype(np.int64).tobytes(), near[i, v].tobytes(), fresh[i].tobytes()) for i, v in start.items()], N._LISTS)
+    lists = spark.createDataFrame([(i, i >> 4, v.astype(np.int64).tobytes(), near[i, v].tobytes(), fresh[i].tobytes()) for i, v in start.items()], N._LISTS)
     want = {i: set(v.tolist()) for i, v in start.items()}
     for v in range(60):
         own = [*zip(start[v].tolist(), fresh[v].tolist()), (v, 1)]
@@ -98,7 +102,7 @@ def test_one_round_is_the_join_of_neighbours_of_neighbours(spark, monkeypatch):
             for b, new_b in own:
                 if a != b and (new_a or new_b):
                     want[a].add(b)
-    out = lists_of(N.descended(lists, codes.withColumn("block", F.col("node") % 3)))
+    out = lists_of(N.descended(lists, codes))
     for i, offered in want.items():
         best = sorted(offered, key=lambda j: (-near[i, j], j))[:6]
         assert np.allclose(sorted(near[i, best]), sorted(near[i, out[i]]), atol=1e-6)
