@@ -336,6 +336,27 @@ def decode_streams(streams: list[bytes]) -> tuple[list[bytes], list[np.ndarray]]
     return payloads, types
 
 
+def decode_samples(stream: bytes, first: int, count: int, places: tuple[int, np.ndarray, bytes] | None = None) -> bytes:
+    """The payload's bytes from sample ``first`` on, ``count`` of them or as many as there are. The seek
+    points say which frames hold them; no others are read, and the checksums of these are verified."""
+    at, points, _ = places or frame_places(stream)
+    sample = points["sample"].astype(np.int64)
+    stop = min(first + count, int(sample[-1]) + int(points["samples"][-1]))
+    if first < 0 or first >= stop:
+        return b""
+    low, high = int(np.searchsorted(sample, first, "right")) - 1, int(np.searchsorted(sample, stop))
+    begin = np.append(at + points["offset"].astype(np.int64), len(stream))
+    data, parts = np.frombuffer(stream, np.uint8), []
+    for a in range(low, high, LANES):
+        b = min(a + LANES, high)
+        block, number, _ = decode_frames(data[begin[a] : begin[b]], begin[a:b] - begin[a], begin[a + 1 : b + 1] - begin[a])
+        if np.any(number != np.arange(a, b)):
+            raise ValueError("frames are out of order")
+        parts.append((block.astype(np.int16) + 128).astype(np.uint8).ravel())
+    skip = first - int(sample[low])
+    return np.concatenate(parts)[skip : skip + stop - first].tobytes()
+
+
 def payload(text: bytes) -> bytes:
     """The text's bytes and as many spaces as make a positive multiple of BLOCK."""
     return text.ljust(max(1, -(-len(text) // BLOCK)) * BLOCK, b" ")
@@ -385,20 +406,52 @@ def store_media(docs: DataFrame) -> DataFrame:
     return _texts(docs).mapInArrow(store, "doc_id long, media binary")
 
 
+_BLOCKS = "doc_id long, first_sample long, pcm binary"
+
+
+def _block_batch(doc_id: int | None, starts: list[int], blocks: list[bytes]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array([doc_id] * len(starts), pa.int64()), pa.array(starts, pa.int64()), pa.array(blocks, pa.binary())], ["doc_id", "first_sample", "pcm"])
+
+
 def pcm_blocks(media: DataFrame, samples: int = 16 * BLOCK) -> DataFrame:
     """(doc_id, first_sample, pcm): the decoded samples of each file in blocks that start at
-    multiples of ``samples``, so that a reader filters on the offset it wants."""
+    multiples of ``samples``, so that a reader filters on the offset it wants. A null file has none.
+
+    A file is decoded from seek point to seek point, about ``LANES`` frames at a time, and the digest of
+    all its samples is compared at the end: a worker holds the file and one stretch of it.
+    """
+    stretch = max(1, LANES * BLOCK // samples) * samples
 
     def decode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for doc_id, stream in zip(batch["doc_id"].to_pylist(), batch["media"]):
                 if not stream.is_valid:
                     continue
-                pcm = decode_streams([stream.as_py()])[0][0]
-                starts = range(0, len(pcm), samples)
-                yield pa.RecordBatch.from_arrays([pa.array([doc_id] * len(starts), pa.int64()), pa.array(starts, pa.int64()), pa.array([pcm[a : a + samples] for a in starts], pa.binary())], ["doc_id", "first_sample", "pcm"])
+                stream = stream.as_py()
+                places, digest, at = frame_places(stream), hashlib.md5(), 0
+                while pcm := decode_samples(stream, at, stretch, places):
+                    digest.update((np.frombuffer(pcm, np.uint8) ^ 128).tobytes())
+                    starts = range(0, len(pcm), samples)
+                    yield _block_batch(doc_id, [at + a for a in starts], [pcm[a : a + samples] for a in starts])
+                    at += len(pcm)
+                if digest.digest() != places[2]:
+                    raise ValueError("wrong digest of the samples")
+
+    return media.select("doc_id", "media").mapInArrow(decode, _BLOCKS)
+
+
+def pcm_range(media: DataFrame, first: int, count: int) -> DataFrame:
+    """(doc_id, first_sample, pcm) with ``count`` samples of each file from ``first`` on, fewer where the
+    file ends before; files that end before ``first`` and null files have no row. The file is sought,
+    not decoded: only the frames that hold the range are read."""
+
+    def decode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for doc_id, stream in zip(batch["doc_id"].to_pylist(), batch["media"]):
+                if stream.is_valid and (pcm := decode_samples(stream.as_py(), first, count)):
+                    yield _block_batch(doc_id, [first], [pcm])
 
-    return media.select("doc_id", "media").mapInArrow(decode, "doc_id long, first_sample long, pcm binary")
+    return media.select("doc_id", "media").mapInArrow(decode, _BLOCKS)
 
 
 def media_report(docs: DataFrame) -> DataFrame:

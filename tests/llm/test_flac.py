@@ -95,3 +95,32 @@ def test_stored_media_has_seekable_blocks(spark):
     blocks = flac.pcm_blocks(flac.store_media(docs)).orderBy("doc_id", "first_sample").collect()
     joined = b"".join(r.pcm for r in blocks if r.doc_id == 0)
     assert joined == flac.payload(b"abc " * 3000) and [r.first_sample for r in blocks if r.doc_id == 0][:2] == [0, 3072]
+
+
+def test_ranges_are_sought(spark, monkeypatch):
+    r = random.Random(5)
+    raw = flac.payload(bytes(r.choices(range(256), k=20_000)))
+    (media,) = flac.encode_streams([raw])
+    for lanes in (7, flac.LANES):
+        monkeypatch.setattr(flac, "LANES", lanes)
+        for first, count in [(0, 1), (191, 2), (192, 192), (5, 5000), (len(raw) - 3, 99), (0, len(raw)), (len(raw), 1), (3, 0), (-1, 4)]:
+            assert flac.decode_samples(media, first, count) == (raw[first : first + count] if first >= 0 else b"")
+    at, points, _ = flac.frame_places(media)
+    bad = bytearray(media)
+    bad[at + int(points["offset"][3]) + 9] ^= 4  # the fourth frame: nothing else notices
+    assert flac.decode_samples(bytes(bad), 0, 576) == raw[:576] and flac.decode_samples(bytes(bad), 768, 9999) == raw[768:10767]
+    with pytest.raises(ValueError):
+        flac.decode_samples(bytes(bad), 570, 7)
+    files = spark.createDataFrame([(1, media), (2, flac.encode_streams([flac.payload(b"short")])[0]), (3, None), (None, media)], "doc_id long, media binary")
+    rows = {x.doc_id: x for x in flac.pcm_range(files, 300, 1000).collect()}
+    assert set(rows) == {1, None} and rows[1].pcm == rows[None].pcm == raw[300:1300] and rows[1].first_sample == 300
+    blocks = flac.pcm_blocks(files.where("doc_id = 1"), 500).orderBy("first_sample").collect()
+    assert b"".join(x.pcm for x in blocks) == raw and [x.first_sample for x in blocks] == list(range(0, len(raw), 500))
+    assert flac.pcm_range(files.where("false"), 0, 5).count() == flac.pcm_blocks(files.where("false")).count() == 0
+
+
+def test_blocks_verify_the_digest(spark):
+    media = bytearray(flac.encode_streams([flac.payload(b"some text " * 100)])[0])
+    media[8 + 18] ^= 1  # the digest in the stream's description
+    with pytest.raises(Exception, match="wrong digest"):
+        flac.pcm_blocks(spark.createDataFrame([(1, bytes(media))], "doc_id long, media binary")).collect()
