@@ -47,6 +47,9 @@ def assign_best_overlap(reads: DataFrame, transcripts: DataFrame, *, min_overlap
     takes the 1-based start of a transcript back by one. Ties go to the first in file order; reads
     of no length and those below ``min_overlap`` have no row. A read with several records has a row
     for each, equal ones too.
+
+    Only different places meet, each is decided once and then joined to its reads, so the pairs grow
+    with the places and neither with the reads nor with the transcripts that lie alike.
     """
     if coords not in ("reference", "half_open"):
         raise ValueError(coords)
@@ -54,13 +57,26 @@ def assign_best_overlap(reads: DataFrame, transcripts: DataFrame, *, min_overlap
         transcripts = transcripts.withColumn("start", F.col("start") - 1)
     length = "read_length" if "read_length" in reads.columns else None
     own = reads.select("read_id", "chrom", "start", "end", *([length] if length else []))
-    pairs = overlapping(own, transcripts.select("transcript_id", "chrom", "start", "end", F.col(order).alias("ord")), bucket=bucket)
-    size = F.col("l.end") - F.col("l.start")
-    fraction = (F.least("l.end", "r.end") - F.greatest("l.start", "r.start")).cast("double") / size.cast("double")
-    # equal records share a rank, so each keeps its row
-    best = F.rank().over(W.partitionBy("l").orderBy(F.desc("fraction"), F.col("r.ord"), F.col("r.transcript_id")))
-    rows = pairs.withColumn("fraction", fraction).where(F.col("fraction") >= min_overlap).withColumn("n", best).where("n = 1")
-    return rows.select(F.col("l.read_id").alias("read_id"), F.col("r.transcript_id").alias("transcript_id"), F.col("fraction").alias("overlap_fraction"), (F.col(f"l.{length}") if length else size).cast("int").alias("read_length"), size.cast("int").alias("alignment_length"))
+    places = own.select("chrom", "start", "end").distinct()
+    pairs = overlapping(places, _leading(transcripts.select("transcript_id", "chrom", "start", "end", F.col(order).alias("ord"))), bucket=bucket)
+    size = F.col("end") - F.col("start")
+    fraction = (F.least("l.end", "r.end") - F.greatest("l.start", "r.start")).cast("double") / (F.col("l.end") - F.col("l.start")).cast("double")
+    # the pairs of a task are aggregated before anything is moved
+    first = F.min(F.struct((-F.col("fraction")).alias("minus"), F.col("r.ord").alias("ord"), F.col("r.transcript_id").alias("transcript_id"))).alias("best")
+    best = pairs.withColumn("fraction", fraction).where(F.col("fraction") >= min_overlap).groupBy("l.chrom", "l.start", "l.end").agg(first)
+    rows = own.join(best, ["chrom", "start", "end"])
+    return rows.select("read_id", "best.transcript_id", (-F.col("best.minus")).alias("overlap_fraction"), (F.col(length) if length else size).cast("int").alias("read_length"), size.cast("int").alias("alignment_length"))
+
+
+def _leading(transcripts: DataFrame) -> DataFrame:
+    """The transcripts that can be the best of a read: of equal places the first, and none that lies in a
+    longer one of the same start or end and comes after it."""
+    name = F.struct("ord", "transcript_id")
+    rows = transcripts.where("end > start").groupBy("chrom", "start", "end").agg(F.min(name).alias("name"))
+    for same, longest in (("start", F.desc("end")), ("end", F.asc("start"))):
+        longer = W.partitionBy("chrom", same).orderBy(longest).rowsBetween(W.unboundedPreceding, -1)
+        rows = rows.withColumn("before", F.min("name").over(longer)).where("before is null or name < before").drop("before")
+    return rows.select("name.transcript_id", "chrom", "start", "end", "name.ord")
 
 
 def interval_reads(transcripts: DataFrame, alignments: DataFrame) -> DataFrame:
