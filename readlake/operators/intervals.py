@@ -172,9 +172,10 @@ def end_mass(profile: DataFrame, n_bins: int, by: str = "transcript_id") -> Data
     """Share of a profile in its 5' and 3' half, their ratio (null without 5' mass), and its label."""
     from readlake.functions.reads import bias_category
 
-    five = F.sum(F.when(F.col("bin") < n_bins // 2, F.col("value")).otherwise(0.0))
-    three = F.sum(F.when(F.col("bin") >= n_bins // 2, F.col("value")).otherwise(0.0))
-    rows = profile.groupBy(by).agg(five.alias("a"), three.alias("b")).where("a + b > 0")
+    # added up in the order of the bins: any other may move a ratio across the limit of a label
+    ordered = profile.groupBy(by).agg(F.array_sort(F.collect_list(F.struct("bin", "value"))).alias("bins"))
+    half = lambda inside: F.aggregate(F.filter("bins", inside), F.lit(0.0), lambda total, x: total + F.coalesce(x["value"], F.lit(0.0)))
+    rows = ordered.select(by, half(lambda x: x["bin"] < n_bins // 2).alias("a"), half(lambda x: x["bin"] >= n_bins // 2).alias("b")).where("a + b > 0")
     return rows.select(by, (F.col("a") / (F.col("a") + F.col("b"))).alias("five_prime"), (F.col("b") / (F.col("a") + F.col("b"))).alias("three_prime"), F.try_divide("b", "a").alias("ratio")).withColumn("category", bias_category(F.col("ratio")))
 
 

@@ -26,4 +26,12 @@ def test_only_different_places_meet(spark, monkeypatch):
         if hits and -min(hits)[0] >= 0.5:
             want.add((i, min(hits)[2], -min(hits)[0]))
     assert got == want
-    assert seen[0] <= 16 and seen[1] <= 18
+    assert seen[0] <= 24 and seen[1] <= 18
+
+
+def test_end_mass_adds_in_the_order_of_the_bins(spark):
+    values = [0.1, 0.2, 0.3, 0.25, 0.15, 0.2]
+    rows = spark.createDataFrame([("t", i, v) for i, v in reversed(list(enumerate(values)))], "transcript_id string, bin int, value double").coalesce(1)
+    got = intervals.end_mass(rows, 6).first()
+    a, b = (0.1 + 0.2) + 0.3, (0.25 + 0.15) + 0.2
+    assert (got.five_prime, got.ratio) == (a / (a + b), b / a)
