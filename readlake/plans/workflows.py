@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping, Sequence
+from collections.abc import Callable, Iterator, Mapping, Sequence
+from functools import partial
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -12,6 +13,25 @@ from readlake.operators import cells, compare, density, evaluate, intervals, mod
 from readlake.scratch import saved
 
 
+class Tables(Mapping[str, DataFrame]):
+    """Tables by name, each made when it is first asked for: some write what they need beforehand, which
+    those who want another table don't wait for."""
+
+    def __init__(self, **makers: Callable[[], DataFrame]):
+        self._makers, self._made = makers, {}
+
+    def __getitem__(self, name: str) -> DataFrame:
+        if name not in self._made:
+            self._made[name] = self._makers[name]()
+        return self._made[name]
+
+    def __iter__(self) -> Iterator[str]:
+        return iter(self._makers)
+
+    def __len__(self) -> int:
+        return len(self._makers)
+
+
 def evaluate_quantifier(expected: DataFrame, output: DataFrame, marker: str | None = None) -> dict[str, DataFrame]:
     """Comparison, summary, metrics of transcripts and detection by expected count."""
     comparison = evaluate.compare_counts(expected, evaluate.resolve_count_columns(output, marker))
@@ -30,7 +50,7 @@ def alignment_quality(alignments: DataFrame, ties: Sequence[str], fill_nulls: bo
     }
 
 
-def compare_datasets(rows: DataFrame, reference: str, n_bins: int = 100, least: int = 10, *, wanted: DataFrame | None = None, ties: Sequence[str] = ("transcript_id", "start"), edges: Sequence[float] = compare.FIXED_EDGES) -> dict[str, DataFrame]:
+def compare_datasets(rows: DataFrame, reference: str, n_bins: int = 100, least: int = 10, *, wanted: DataFrame | None = None, ties: Sequence[str] = ("transcript_id", "start"), edges: Sequence[float] = compare.FIXED_EDGES) -> Mapping[str, DataFrame]:
     """Datasets side by side: the quality of each, profiles, their similarity and bias by dataset and
     by length bin, length bins and matched lengths. ``rows`` are metric rows with dataset, read_id,
     transcript_id, transcript_length, start and end; only reads of ``wanted`` (read_id) if given."""
@@ -42,12 +62,13 @@ def compare_datasets(rows: DataFrame, reference: str, n_bins: int = 100, least:
     per = intervals.bin_depth(intervals.depth(keyed.select(F.col("key").alias("transcript_id"), "start", "end"), each), each, n_bins, "mean100")
     strata = lengths.select(F.col("key").alias("transcript_id"), "dataset", length_bin(F.col("length"), edges).alias("length_bin"))
     profile = per.join(strata, "transcript_id").groupBy("dataset", "bin").agg(F.avg("value").alias("value"))
-    matches = compare.match_by_length(rows, reference, least=least)
     primary = quality.primary_alignment(rows.withColumn("read_id", F.struct("dataset", "read_id")), ties)
-    return {
-        "quality": quality.alignment_summary(primary, ["dataset"]), "lengths": quality.comparative_length_histogram(primary), "profile": profile, "by_length": compare.length_stratified_profile(per, strata),
-        "similarity": compare.profile_similarity(profile), "bias": compare.profile_bias_metrics(profile, n_bins), "length_bins": compare.compare_by_length_bin(rows), "matches": matches, "matched": compare.matched_statistics(rows, matches),
-    }
+    tables = Tables(
+        quality=partial(quality.alignment_summary, primary, ["dataset"]), lengths=partial(quality.comparative_length_histogram, primary), profile=lambda: profile, by_length=partial(compare.length_stratified_profile, per, strata),
+        similarity=partial(compare.profile_similarity, profile), bias=partial(compare.profile_bias_metrics, profile, n_bins), length_bins=partial(compare.compare_by_length_bin, rows), matches=partial(compare.match_by_length, rows, reference, least=least),
+        matched=lambda: compare.matched_statistics(rows, tables["matches"]),
+    )
+    return tables
 
 
 def mixing_diagnostics(tracking: DataFrame, alignments: DataFrame | None = None, lengths: DataFrame | None = None, n_bins: int = 100) -> dict[str, DataFrame]:

@@ -35,3 +35,18 @@ def test_end_mass_adds_in_the_order_of_the_bins(spark):
     got = intervals.end_mass(rows, 6).first()
     a, b = (0.1 + 0.2) + 0.3, (0.25 + 0.15) + 0.2
     assert (got.five_prime, got.ratio) == (a / (a + b), b / a)
+
+
+def test_a_table_of_a_comparison_waits_for_no_other(spark, monkeypatch):
+    from readlake.operators import compare, quantiles
+    from readlake.plans import workflows
+
+    def refused(*_, **__):
+        raise AssertionError("not asked for")
+
+    monkeypatch.setattr(quantiles, "saved", refused)
+    monkeypatch.setattr(compare, "match_by_length", refused)
+    rows = spark.createDataFrame([("A", 1, 7, 100, 10, 60, 30, 50, 50, 1.0, 0.5, 0.9)], "dataset string, read_id long, transcript_id long, transcript_length int, start int, end int, mapq int, aligned_length int, read_length int, aligned_fraction double, read_coverage double, read_accuracy double")
+    tables = workflows.compare_datasets(rows, "A", 20, 1)
+    assert {"quality", "lengths", "by_length", "similarity", "matched"} <= set(tables)
+    assert tables["lengths"].first()["n"] == 1 and tables["by_length"].count() == 20 and tables["similarity"].count() == 1
