@@ -53,8 +53,9 @@ def expected_counts(tracking: DataFrame) -> DataFrame:
 
 
 def min_reads(alignments: DataFrame, least: int) -> DataFrame:
-    """Alignments of transcripts with at least ``least`` of them."""
-    many = reads_per_transcript(alignments).where(F.col("n_reads") >= least).select("transcript_id")
+    """Alignments of transcripts with at least ``least`` of them; with a column ``times`` a row is as many."""
+    counted = alignments.groupBy("transcript_id").agg(F.sum("times").alias("n_reads")) if "times" in alignments.columns else reads_per_transcript(alignments)
+    many = counted.where(F.col("n_reads") >= least).select("transcript_id")
     return alignments.join(many, "transcript_id", "left_semi")
 
 

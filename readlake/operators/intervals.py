@@ -99,14 +99,16 @@ def annotated(alignments: DataFrame, transcripts: DataFrame) -> DataFrame:
 def depth(alignments: DataFrame, lengths: DataFrame) -> DataFrame:
     """Runs of equal depth: transcript_id, seg_start, seg_end, depth, over the whole of every
     transcript of ``lengths`` (transcript_id, length). Alignments are clipped to it; a sweep over
-    starts and ends replaces the bases, and events of one place are summed before they move.
+    starts and ends replaces the bases, and events of one place are summed before they move. With a column
+    ``times`` a row stands for as many alignments.
 
     Events are swept in blocks of ``DEPTH_BLOCK`` places, each for itself; what the blocks before have
     added up to, and where the next one begins, comes from a table of one row a block, so a long
     contig is swept in many tasks and a run may cross any number of blocks."""
-    clipped = alignments.join(lengths, "transcript_id").select("transcript_id", F.greatest(F.col("start"), F.lit(0)).cast("int").alias("start"), F.least("end", "length").cast("int").alias("end")).where("end > start")
-    ends = F.explode(F.array(F.struct(F.col("start").alias("pos"), F.lit(1).alias("step")), F.struct(F.col("end").alias("pos"), F.lit(-1).alias("step")))).alias("e")
-    whole = F.explode(F.array(F.struct(F.lit(0).alias("pos"), F.lit(0).alias("step")), F.struct(F.col("length").cast("int").alias("pos"), F.lit(0).alias("step")))).alias("e")
+    times = F.col("times").cast("long") if "times" in alignments.columns else F.lit(1).cast("long")
+    clipped = alignments.join(lengths, "transcript_id").select("transcript_id", F.greatest(F.col("start"), F.lit(0)).cast("int").alias("start"), F.least("end", "length").cast("int").alias("end"), times.alias("times")).where("end > start")
+    ends = F.explode(F.array(F.struct(F.col("start").alias("pos"), F.col("times").alias("step")), F.struct(F.col("end").alias("pos"), (-F.col("times")).alias("step")))).alias("e")
+    whole = F.explode(F.array(F.struct(F.lit(0).alias("pos"), F.lit(0).cast("long").alias("step")), F.struct(F.col("length").cast("int").alias("pos"), F.lit(0).cast("long").alias("step")))).alias("e")
     events = clipped.select("transcript_id", ends).unionByName(lengths.select("transcript_id", whole)).select("transcript_id", "e.pos", "e.step")
     block = F.expr(f"cast(pos div {DEPTH_BLOCK} as int)").alias("block")
     steps = events.groupBy("transcript_id", block, "pos").agg(F.sum("step").alias("step"))

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator, Mapping, Sequence
-from functools import partial
+from functools import partial, reduce
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -96,18 +96,22 @@ def coverage_matrix(alignments: DataFrame, lengths: DataFrame, n_bins: int = 100
     return intervals.profile_matrix(intervals.bin_depth(intervals.depth(alignments, lengths), lengths, n_bins, "sum"), n_bins)
 
 
-def coverage_design(alignments: DataFrame, lengths: DataFrame, features: DataFrame, n_bins: int = 100, *, technology: str = "default", least: int = 15, seed: int = 42) -> DataFrame:
-    """The saved design of the transcripts with at least ``least`` reads, with ``is_test``."""
+def coverage_design(alignments: DataFrame, lengths: DataFrame, features: DataFrame, n_bins: int = 100, *, technology: str = "default", least: int = 15, seed: int = 42, members: DataFrame | None = None) -> DataFrame:
+    """The saved design of the transcripts with at least ``least`` reads, with ``is_test``. With a column
+    ``times`` a row stands for as many reads; with ``members`` (transcript_id, own) the others are those
+    of ``own`` transcripts, whose profile each of their members has."""
     kept = cells.min_reads(alignments, least)
     own = lengths.join(kept.select("transcript_id").distinct(), "transcript_id", "left_semi")
     profile = intervals.bin_depth(intervals.depth(kept, own), own, n_bins, "mean100")
+    if members is not None:
+        profile = profile.withColumnRenamed("transcript_id", "own").join(members, "own").select("transcript_id", "bin", "value")
     return saved(models.split(models.positional_design(profile, features, n_bins, models.feature_weights(technology)), seed=seed))
 
 
-def learn_coverage(alignments: DataFrame, lengths: DataFrame, features: DataFrame, n_bins: int = 100, *, technology: str = "default", boosted: bool = False, least: int = 15, seed: int = 42, settings: Mapping | None = None):
+def learn_coverage(alignments: DataFrame, lengths: DataFrame, features: DataFrame, n_bins: int = 100, *, technology: str = "default", boosted: bool = False, least: int = 15, seed: int = 42, settings: Mapping | None = None, members: DataFrame | None = None):
     """Learn a tree model of positional coverage: (model, predictions with is_test, metrics by part).
     The design is written to the shared folder once; every pass of the learner reads it there."""
-    design = coverage_design(alignments, lengths, features, n_bins, technology=technology, least=least, seed=seed)
+    design = coverage_design(alignments, lengths, features, n_bins, technology=technology, least=least, seed=seed, members=members)
     fit = models.fit_boosted if boosted else models.fit_forest
     options = dict(settings or ({} if boosted else models.forest_settings(technology)))
     model = fit(design.where("not is_test"), seed=seed, **options)
@@ -125,17 +129,33 @@ def score_coverage(alignments: DataFrame, lengths: DataFrame, features: DataFram
     return parts.unionByName(models.oob_score(forest, training).select(F.lit("out_of_bag").alias("part"), "n", "r2", "mse", "mae"))
 
 
+def _placed(alignments: DataFrame, transcripts: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """``intervals.interval_reads`` for profiles: reads with ``times``, lengths, and members (transcript_id, own).
+    Equal reads are one row that counts as many times, and transcripts of one place and length share the
+    profile of the smallest id; those with reads by name have their own. So the pairs grow with the places."""
+    text = lambda c: F.col(c).cast("string").alias(c)
+    reads = alignments.groupBy(text("chrom"), "start", "end").agg(F.count(F.lit(1)).alias("times"))
+    places = transcripts.select(text("transcript_id"), text("chrom"), "start", "end", "length")
+    names = places.join(reads.select(F.col("chrom").alias("transcript_id")).distinct(), "transcript_id", "left_semi")
+    rest = places.join(names.select("transcript_id"), "transcript_id", "left_anti")
+    alike = ["chrom", "start", "end", "length"]
+    classes = saved(rest.groupBy(*alike).agg(F.min("transcript_id").alias("own")))
+    same = reduce(lambda a, b: a & b, (F.col(f"r.{c}").eqNullSafe(F.col(f"c.{c}")) for c in alike))
+    members = rest.alias("r").join(classes.alias("c"), same).select("r.transcript_id", "c.own").unionByName(names.select("transcript_id", F.col("transcript_id").alias("own")))
+    by_name = reads.join(names.select(F.col("transcript_id").alias("chrom")).distinct(), "chrom", "left_semi").select(F.col("chrom").alias("transcript_id"), "start", "end", "times")
+    met = intervals.overlapping(reads, classes.select("own", "chrom", (F.col("start") - 1).alias("start"), "end"))
+    by_place = met.select(F.col("r.own").alias("transcript_id"), (F.col("l.start") - F.col("r.start")).alias("start"), (F.col("l.end") - F.col("r.start")).alias("end"), "l.times")
+    lengths = classes.select(F.col("own").alias("transcript_id"), "length").unionByName(names.select("transcript_id", "length"))
+    return by_name.unionByName(by_place), lengths, members
+
+
 def evaluate_coverage(alignments: DataFrame, transcripts: DataFrame, features: DataFrame, n_bins: int = 100, **settings) -> dict[str, DataFrame]:
     """Learn on the reads of each transcript, by name or by place, and judge the model: metrics,
     quality (train_r2, test_r2, fit, overfit), importance and predictions. ``alignments`` (read_id,
     chrom, start, end), ``transcripts`` (transcript_id, chrom, start, end, length)."""
-    met = intervals.interval_reads(transcripts, alignments)
-    places = transcripts.select(F.col("transcript_id").cast("string").alias("transcript_id"), (F.col("start") - 1).alias("origin"))
-    shift = F.when(F.col("by_name"), 0).otherwise(F.col("origin"))
-    own = met.join(places, "transcript_id").select("transcript_id", "read_id", (F.col("start") - shift).alias("start"), (F.col("end") - shift).alias("end"))
+    own, lengths, members = _placed(alignments, transcripts)
     named = features.withColumn("transcript_id", F.col("transcript_id").cast("string"))
-    lengths = transcripts.select(F.col("transcript_id").cast("string").alias("transcript_id"), "length")
-    model, predicted, metrics = learn_coverage(own, lengths, named, n_bins, **settings)
+    model, predicted, metrics = learn_coverage(own, lengths, named, n_bins, members=members, **settings)
     r2 = metrics.agg(F.max(F.when(~F.col("is_test"), F.col("r2"))).alias("train_r2"), F.max(F.when(F.col("is_test"), F.col("r2"))).alias("test_r2"))
     fit = r2.select("train_r2", "test_r2", fit_quality(F.col("test_r2")).alias("fit"), overfit(F.col("train_r2"), F.col("test_r2")).alias("overfit"))
     return {"metrics": metrics, "quality": fit, "importance": models.feature_importance(model), "predictions": predicted}

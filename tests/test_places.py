@@ -65,3 +65,25 @@ def test_windows_are_measured_once_and_only_where_bins_lie(spark):
     got = {(r.transcript_id, r.bin): (r.local_gc, r.kmer_ACG) for r in design.collect()}
     assert len(got) == 12 and all(got[t, b][0] == (0.0 if t == 2 else 0.5) for t in (1, 2, 3) for b in range(4))
     assert got[1, 3][1] == 25 / 98 and got[3, 3][1] == 0.0
+
+
+def test_profiles_by_place_equal_those_of_all_pairs(spark):
+    from pyspark.sql import functions as F
+
+    from readlake.operators import cells
+    from readlake.plans import workflows
+
+    rng = random.Random(2)
+    reads = [(i, rng.randrange(3), s, s + rng.choice((5, 30, 90))) for i, s in enumerate(rng.choices(range(0, 200, 40), k=300))]
+    tx = [(k, k % 3, 20 * (k % 4), 20 * (k % 4) + 60, 100 + 40 * (k % 2)) for k in range(1, 90)]
+    r = spark.createDataFrame(reads, "read_id long, chrom long, start long, end long")
+    t = spark.createDataFrame(tx, "transcript_id long, chrom long, start long, end long, length int")
+    own, lengths, members = workflows._placed(r, t)
+    got = {(x.transcript_id, x.bin): x.value for x in intervals.bin_depth(intervals.depth(cells.min_reads(own, 2), lengths), lengths, 4).withColumnRenamed("transcript_id", "own").join(members, "own").collect()}
+    met = intervals.interval_reads(t, r).join(t.select(F.col("transcript_id").cast("string"), (F.col("start") - 1).alias("o")), "transcript_id")
+    shift = F.when(F.col("by_name"), 0).otherwise(F.col("o"))
+    pairs = met.select("transcript_id", "read_id", (F.col("start") - shift).alias("start"), (F.col("end") - shift).alias("end"))
+    sizes = t.select(F.col("transcript_id").cast("string"), "length")
+    want = {(x.transcript_id, x.bin): x.value for x in intervals.bin_depth(intervals.depth(cells.min_reads(pairs, 2), sizes), sizes, 4).collect()}
+    assert got == want and len(got) == 89 * 4
+    assert own.count() * 10 < pairs.count()
