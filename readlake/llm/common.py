@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from readlake.scratch import checkpoint_dir, delete, new_path, saved, saved_buckets, scope
+from readlake.sources.tables import spread
 
 __all__ = ["checkpoint_dir", "delete", "each_copy", "join_hot", "new_path", "saved", "saved_buckets", "scope", "spread", "uniform", "whole_text"]
 
@@ -15,16 +16,6 @@ HOT_PART = 1000
 COPIES = 100_000
 
 
-def spread(df: DataFrame) -> DataFrame:
-    """A table that is read in fewer pieces than there are cores is dealt over the shuffle
-    partitions in turn, whatever its keys, since what follows costs far more than moving its rows; any other stays
-    where it is read. Only where rows are worked on depends on it, never a result. For tables as
-    they are read: counting the pieces only plans the scan."""
-    if df.rdd.getNumPartitions() >= df.sparkSession.sparkContext.defaultParallelism:
-        return df
-    return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
-
-
 def join_hot(left: DataFrame, right: DataFrame, key: str, size: str, total: int) -> DataFrame:
     """Inner join of ``left``, of ``total`` rows, with ``right``, one row a key that tells in column
     ``size`` how many rows of ``left`` have it. Keys with more than ``1 / HOT_PART`` of them, fewer

@@ -87,3 +87,12 @@ def test_profiles_by_place_equal_those_of_all_pairs(spark):
     want = {(x.transcript_id, x.bin): x.value for x in intervals.bin_depth(intervals.depth(cells.min_reads(pairs, 2), sizes), sizes, 4).collect()}
     assert got == want and len(got) == 89 * 4
     assert own.count() * 10 < pairs.count()
+
+
+def test_one_piece_of_documents_is_measured_by_all_cores(spark, tmp_path):
+    from readlake.plans import bindings, queries
+
+    spark.createDataFrame([(i, "ACGT" * (i % 50)) for i in range(2000)], "doc_id long, text string").coalesce(1).write.parquet(f"{tmp_path}/documents.parquet")
+    assert bindings.table(spark, str(tmp_path), "documents").rdd.getNumPartitions() == 1
+    for rows in (queries.sequence_features(spark, str(tmp_path)), queries._features(spark, str(tmp_path))):
+        assert rows.rdd.getNumPartitions() >= spark.sparkContext.defaultParallelism and rows.count() == 2000
