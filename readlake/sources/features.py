@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from readlake.functions import sequences as S
 from readlake.operators import models
+from readlake.scratch import saved
 
 
 def digest(seq) -> F.Column:
@@ -42,6 +43,7 @@ def stored_features(sequences: DataFrame, path: str) -> DataFrame:
     new = own.groupBy("digest").agg(F.first("seq").alias("seq"))
     if there:
         new = new.join(spark.read.parquet(*there).select("digest"), "digest", "left_anti")
+    new = saved(new)  # looked at twice: whether there is any, and for its features
     if not new.isEmpty():
         models.sequence_features(new.select(F.col("digest").alias("seq_id"), "seq")).withColumnRenamed("seq_id", "digest").write.parquet(f"{path}/{uuid.uuid4().hex}")
     found = spark.read.parquet(*versions(spark, path)).dropDuplicates(["digest"])
