@@ -115,7 +115,7 @@ def learn_coverage(alignments: DataFrame, lengths: DataFrame, features: DataFram
     fit = models.fit_boosted if boosted else models.fit_forest
     options = dict(settings or ({} if boosted else models.forest_settings(technology)))
     model = fit(design.where("not is_test"), seed=seed, **options)
-    predicted = model.transform(design).select("transcript_id", "bin", "value", "prediction", "is_test")
+    predicted = models.by_features(design, model.transform).select("transcript_id", "bin", "value", "prediction", "is_test")
     return model, predicted, models.regression_metrics(predicted, by=["is_test"])
 
 
@@ -124,9 +124,10 @@ def score_coverage(alignments: DataFrame, lengths: DataFrame, features: DataFram
     design = coverage_design(alignments, lengths, features, n_bins, technology=technology, least=least, seed=seed)
     training = design.where("not is_test")
     forest = models.fit_bagged_forest(training, seed=seed, bags=bags, **models.forest_settings(technology))
-    both = models.regression_metrics(forest.transform(design), by=["is_test"])
+    every = saved(models.by_features(design, forest.each))
+    both = models.regression_metrics(forest.transform(every), by=["is_test"])
     parts = both.select(F.when(F.col("is_test"), "test").otherwise("train").alias("part"), "n", "r2", "mse", "mae")
-    return parts.unionByName(models.oob_score(forest, training).select(F.lit("out_of_bag").alias("part"), "n", "r2", "mse", "mae"))
+    return parts.unionByName(models.oob_score(forest, every.where("not is_test")).select(F.lit("out_of_bag").alias("part"), "n", "r2", "mse", "mae"))
 
 
 def _placed(alignments: DataFrame, transcripts: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:

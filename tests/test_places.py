@@ -96,3 +96,23 @@ def test_one_piece_of_documents_is_measured_by_all_cores(spark, tmp_path):
     assert bindings.table(spark, str(tmp_path), "documents").rdd.getNumPartitions() == 1
     for rows in (queries.sequence_features(spark, str(tmp_path)), queries._features(spark, str(tmp_path))):
         assert rows.rdd.getNumPartitions() >= spark.sparkContext.defaultParallelism and rows.count() == 2000
+
+
+def test_learners_meet_equal_features_in_bundles(spark, monkeypatch):
+    from pyspark.sql import functions as F
+
+    from readlake.operators import models
+
+    monkeypatch.setattr(models, "BUNDLES", 8)
+    rows = spark.range(4000).select(F.col("id").alias("transcript_id"), (F.col("id") % 4).cast("int").alias("bin"), (F.col("id") % 4).cast("double").alias("a"), F.lit(1.0).alias("b"), (F.col("id") % 4 * 10 + F.col("id") % 7).cast("double").alias("value"))
+    own = models.bundled(rows, ["a", "b"])
+    assert own.count() <= 32 and own.agg(F.sum("_weight"), F.sum(F.col("_weight") * F.col("value"))).first()[:] == rows.agg(F.count("*"), F.sum("value")).first()[:]
+    seen, plain = [], models._kept
+    monkeypatch.setattr(models, "_kept", lambda r, c: seen.append(r.count()) or plain(r, c))
+    mean = {x.a: x.m for x in rows.groupBy("a").agg(F.avg("value").alias("m")).collect()}
+    for model in (models.fit_forest(rows, ["a", "b"], trees=10, depth=3), models.fit_boosted(rows, ["a", "b"], rounds=40, depth=2, rate=0.5)):
+        got = models.by_features(rows, model.transform, ["a", "b"])
+        assert got.count() == 4000 and set(got.columns) == {"transcript_id", "bin", "value", "prediction"}
+        assert all(abs(x.prediction - mean[float(x.bin)]) < 1.5 for x in got.collect())
+    forest = models.fit_bagged_forest(rows, ["a", "b"], trees=4, bags=2, depth=3)
+    assert max(seen) <= 32 and models.oob_score(forest, models.by_features(rows, forest.each, ["a", "b"])).first().r2 > 0.9
