@@ -13,6 +13,7 @@ import struct
 import uuid
 import zlib
 from collections.abc import Iterator, Sequence
+from functools import lru_cache
 
 import pyarrow as pa
 import pyarrow.fs as pafs
@@ -39,6 +40,10 @@ _TAG_NUMBERS = {"c": "b", "C": "B", "s": "h", "S": "H", "i": "i", "I": "I"}
 _FROM_HEX = str.maketrans(dict(zip("0123456789abcdef", BASES)))
 _TO_HEX = str.maketrans(dict(zip(BASES + BASES.lower(), "0123456789abcdef" * 2)))
 _QUALITY = bytes(min(126, q + 33) for q in range(256))
+_RAW_QUALITY = bytes(max(0, c - 33) for c in range(256))
+_WORD = struct.Struct("<i").unpack_from
+#: Operations of a record up to this length are kept, as records of short ones repeat them.
+SHORT = 64
 
 
 class Broken(ValueError):
@@ -111,16 +116,15 @@ class Blocks:
 
 def header_of(path: str) -> tuple[list[tuple[str, int]], int, int]:
     """References (name, length), and where the records begin: a block's place, and the byte in it."""
-    blocks, data, places = Blocks(path, 0), b"", []
+    blocks, data, places = Blocks(path, 0), bytearray(), []
 
     def need(n: int) -> None:
-        nonlocal data
         while len(data) < n:
             got = blocks.next()
             if got is None:
                 raise Broken("the header ends early")
             places.append((len(data), got[0]))
-            data += got[1]
+            data.extend(got[1])
 
     need(12)
     if data[:4] != b"BAM\x01":
@@ -130,11 +134,13 @@ def header_of(path: str) -> tuple[list[tuple[str, int]], int, int]:
     (n,) = struct.unpack_from("<i", data, at)
     at, references = at + 4, []
     for _ in range(n):
-        need(at + 4)
-        (size,) = struct.unpack_from("<i", data, at)
-        need(at + 8 + size)
-        references.append((data[at + 4 : at + 3 + size].decode(), struct.unpack_from("<i", data, at + 4 + size)[0]))
-        at += 8 + size
+        if at + 4 > len(data):
+            need(at + 4)
+        after = at + 8 + _WORD(data, at)[0]
+        if after > len(data):
+            need(after)
+        references.append((data[at + 4 : after - 5].decode(), _WORD(data, after - 4)[0]))
+        at = after
     need(at)
     if at == len(data):
         return references, blocks.at, 0
@@ -169,13 +175,33 @@ def _first_record(data: bytes, bound: int, references: Sequence[tuple[str, int]]
     return None
 
 
+@lru_cache(1 << 16)
+def _named(raw: bytes) -> str:
+    """The text of packed operations."""
+    return "".join(f"{x >> 4}{OPERATIONS[x & 15]}" for x in struct.unpack(f"<{len(raw) // 4}I", raw))
+
+
+@lru_cache(1 << 16)
+def _packed(cigar: str) -> bytes:
+    """Operations of a text, packed."""
+    ops, n = [], ""
+    for c in cigar:
+        if c.isdigit():
+            n += c
+        else:
+            ops.append(int(n) << 4 | OPERATIONS.index(c))
+            n = ""
+    return struct.pack(f"<{len(ops)}I", *ops)
+
+
 def decoded(data: bytes, at: int, references: Sequence[tuple[str, int]]) -> tuple:
     """Fields of the record at a place."""
     size, ref, pos, name, mapq, _, ops, flag, length = struct.unpack_from("<iiiBBHHHi", data, at)
     end, at = at + 4 + size, at + 36
     read_id = data[at : at + name - 1].decode()
     at += name
-    cigar = "".join(f"{x >> 4}{OPERATIONS[x & 15]}" for x in struct.unpack_from(f"<{ops}I", data, at)) or None
+    raw = bytes(data[at : at + 4 * ops])
+    cigar = (_named(raw) if len(raw) <= SHORT else _named.__wrapped__(raw)) or None
     at += 4 * ops
     seq = data[at : at + (length + 1) // 2].hex().translate(_FROM_HEX)[:length] or "*"
     at += (length + 1) // 2
@@ -270,7 +296,8 @@ class BamReader(DataSourceReader):
 
     def read(self, piece: Piece) -> Iterator[pa.RecordBatch]:
         if self.table == "references":
-            names, sizes = zip(*header_of(piece.path)[0]) if header_of(piece.path)[0] else ((), ())
+            found = header_of(piece.path)[0]
+            names, sizes = zip(*found) if found else ((), ())
             yield pa.RecordBatch.from_arrays([pa.array(names, pa.string()), pa.array(sizes, pa.int32())], ["transcript_id", "transcript_length"])
             return
         kinds = [("read_id", pa.string()), ("flag", pa.int32()), ("transcript_id", pa.string()), ("start", pa.int32()), ("mapq", pa.int32()), ("cigar", pa.string()), ("seq", pa.string()), ("qual", pa.string()), ("NM", pa.int32())]
@@ -302,19 +329,21 @@ class BamWriter(DataSourceArrowWriter):
     def write(self, batches: Iterator[pa.RecordBatch]) -> Written:
         fs, folder = file_system(self.path)
         number = {name: k for k, (name, _) in enumerate(self.references)}
-        name, out, data = f"{uuid.uuid4().hex}.bam", None, b""
+        name, out, data = f"{uuid.uuid4().hex}.bam", None, bytearray()
         for batch in batches:
             for row in batch.to_pylist():
                 if out is None:
                     fs.create_dir(f"{folder}/_temporary", recursive=True)
-                    out, data = fs.open_output_stream(f"{folder}/_temporary/{name}"), _header(self.references)
+                    out, data = fs.open_output_stream(f"{folder}/_temporary/{name}"), bytearray(_header(self.references))
                 data += encoded(row, number)
-                while len(data) >= BLOCK:
-                    out.write(_block(data[:BLOCK]))
-                    data = data[BLOCK:]
+                if len(data) >= BLOCK:  # a header of many references is many blocks at once
+                    whole = len(data) - len(data) % BLOCK
+                    for at in range(0, whole, BLOCK):
+                        out.write(_block(bytes(data[at : at + BLOCK])))
+                    del data[:whole]
         if out is None:
             return Written(None)
-        out.write(_block(data) + END)
+        out.write(_block(bytes(data)) + END)
         out.close()
         return Written(name)
 
@@ -342,22 +371,23 @@ def _header(references: Sequence[tuple[str, int]]) -> bytes:
     return b"BAM\x01" + struct.pack("<i", len(text)) + text + struct.pack("<i", len(references)) + names
 
 
+def _raw_quality(text: bytes) -> bytes:
+    if text and min(text) < 33:
+        raise ValueError("no quality")
+    return text.translate(_RAW_QUALITY)
+
+
 def encoded(row: dict, number: dict[str, int]) -> bytes:
     """A record of ``RECORDS``, as bytes."""
     name, seq = row["read_id"].encode() + b"\0", "" if row["seq"] in (None, "*") else row["seq"]
-    ops, n = [], ""
-    for c in "" if row["cigar"] in (None, "*") else row["cigar"]:
-        if c.isdigit():
-            n += c
-        else:
-            ops.append(int(n) << 4 | OPERATIONS.index(c))
-            n = ""
+    cigar = "" if row["cigar"] in (None, "*") else row["cigar"]
+    ops = _packed(cigar) if len(cigar) <= SHORT else _packed.__wrapped__(cigar)
     packed = bytes.fromhex((seq + "=" * (len(seq) % 2)).translate(_TO_HEX))
-    qual = b"\xff" * len(seq) if row["qual"] in (None, "*") else bytes(ord(c) - 33 for c in row["qual"])
+    qual = b"\xff" * len(seq) if row["qual"] in (None, "*") else _raw_quality(row["qual"].encode("latin-1"))
     tag = b"" if row["NM"] is None else b"NMi" + struct.pack("<i", row["NM"])
     ref = number.get(row["transcript_id"], -1)
-    core = struct.pack("<iiBBHHHiiii", ref, row["start"], len(name), row["mapq"] or 0, 0, len(ops), row["flag"], len(seq), -1, -1, 0)
-    body = core + name + struct.pack(f"<{len(ops)}I", *ops) + packed + qual + tag
+    core = struct.pack("<iiBBHHHiiii", ref, row["start"], len(name), row["mapq"] or 0, 0, len(ops) // 4, row["flag"], len(seq), -1, -1, 0)
+    body = core + name + ops + packed + qual + tag
     return struct.pack("<i", len(body)) + body
 
 

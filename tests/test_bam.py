@@ -85,3 +85,25 @@ def test_broken_files(spark, both, tmp_path):
     bam.write_bam(both[1].limit(0), [("T1", 5)], str(tmp_path / "none"))
     assert not glob.glob(f"{tmp_path}/none/*.bam")
     assert both[1].where(F.col("read_id") == "r1").count() == 1
+
+
+def test_a_header_of_many_references_is_copied_once(tmp_path, monkeypatch):
+    """Written block by block from one buffer that does not shrink by copies of what is left, and read into one that grows."""
+    import json
+
+    import pyarrow as pa
+
+    references = [(f"T{i}", i + 1) for i in range(40_000)]
+    row = {"read_id": "r", "flag": 0, "transcript_id": "T7", "start": 1, "mapq": 3, "cigar": "4M", "seq": "ACGT", "qual": "IIII", "NM": None}
+    writer = bam.BamWriter({"path": f"{tmp_path}/x", "references": json.dumps(references)})
+    blocks, plain = [], bam._block
+    monkeypatch.setattr(bam, "_block", lambda data: blocks.append(len(data)) or plain(data))
+    writer.commit([writer.write([pa.RecordBatch.from_pylist([row] * 3)])])
+    assert len(blocks) > 10 and set(blocks[:-1]) == {bam.BLOCK}
+    [(path, size)] = bam.files_of(f"{tmp_path}/x")
+    opened, header = [], bam.header_of
+    monkeypatch.setattr(bam, "header_of", lambda p: opened.append(p) or header(p))
+    reader = bam.BamReader({"path": path, "table": "references"})
+    [batch] = reader.read(bam.Piece(path, 0, size))
+    assert list(zip(*(c.to_pylist() for c in batch.columns))) == references and len(opened) == 1
+    assert list(bam.records_of(path, 0, size, False)) == [tuple(row.values())] * 3
