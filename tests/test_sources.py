@@ -130,3 +130,18 @@ def test_tables_and_saved_models(spark, tmp_path):
     tables.save_density_model(shape, effect, str(tmp_path / "model"))
     again = tables.load_density_model(spark, str(tmp_path / "model"))
     assert again[0].count() == 300 and {r.length_bin: r.effect for r in again[1].collect()}[4] == 4 / 1.2
+
+
+def test_lines_are_split_once_and_counted_in_one_pass(spark, tmp_path):
+    """The fields that filters look at are a column, not a split for each look; missing operations cost no search."""
+    from pyspark.sql import functions as F
+
+    from readlake.functions import reads as R
+
+    path = str(tmp_path / "a.sam")
+    open(path, "w").write("@SQ\tSN:T1\tLN:90\nr1\t0\tT1\t5\t7\t10M2D\t*\t0\t0\tACGT\tIIII\tNM:i:2\nr2\tx\tT1\t5\t7\t10M\t*\t0\t0\tA\tI\nr3\t0\tT1\n")
+    rows = text.rejected_records(spark, path)
+    assert rows._jdf.queryExecution().optimizedPlan().toString().count("split(") == 1
+    assert sorted(r.reason for r in rows.collect()) == ["fields", "flag"]
+    got = spark.createDataFrame([("10M2D3M",), ("",), (None,)], "c string").select(R.cigar_count(F.col("c"), "M"), R.cigar_count(F.col("c"), "I")).collect()
+    assert [tuple(r) for r in got] == [(13, 0), (0, 0), (None, None)]
