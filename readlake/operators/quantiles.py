@@ -1,4 +1,4 @@
-"""Exact quantiles of many groups at once, none of which is ever in one task.
+"""Exact quantiles of many groups at once; only medians of small groups are taken in one task each.
 
 Equal values are counted first, so a very common one is one row. The distinct values are then sorted
 by range over all groups together and their counts added up: inside a range partition by a window,
@@ -9,6 +9,7 @@ at the wanted ranks are picked, and interpolated.
 from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
@@ -44,8 +45,27 @@ def quantiles(df: DataFrame, values: Mapping[str, Column], shares: Sequence[floa
     return picked.select("g.*", "share", value.alias("value"))
 
 
+#: Rows of a group whose median one task takes by itself.
+SMALL = 10_000
+
+
 def medians(df: DataFrame, values: Mapping[str, Column], by: Sequence[str] = ()) -> DataFrame:
-    """(*by, a column a value) with the exact medians, a row a group that has any."""
+    """(*by, a column a value) with the exact medians, a row a group that has any. Groups of at most ``SMALL``
+    rows are aggregated at once; only larger ones are sorted over many tasks."""
+    if not by:
+        return _sorted_medians(df, values, by)
+    each = [F.median(v.cast("double")).alias(name) for name, v in values.items()]
+    any_value = F.coalesce(*(F.col(name) for name in values)).isNotNull()
+    large = df.groupBy(*by).agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > SMALL).drop("_n")
+    if large.isEmpty():
+        return df.groupBy(*by).agg(*each).where(any_value)
+    keys = F.broadcast(large.withColumnsRenamed({c: f"_{c}" for c in by}))  # fewer than rows / SMALL
+    same = reduce(lambda a, b: a & b, (F.col(c).eqNullSafe(F.col(f"_{c}")) for c in by))
+    few = df.join(keys, same, "left_anti").groupBy(*by).agg(*each).where(any_value)
+    return few.unionByName(_sorted_medians(df.join(keys, same, "left_semi"), values, by))
+
+
+def _sorted_medians(df: DataFrame, values: Mapping[str, Column], by: Sequence[str]) -> DataFrame:
     found = quantiles(df, values, by=by)
     return found.groupBy(*by).agg(*(F.max(F.when(F.col("metric") == name, F.col("value"))).alias(name) for name in values))
 

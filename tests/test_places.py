@@ -116,3 +116,21 @@ def test_learners_meet_equal_features_in_bundles(spark, monkeypatch):
         assert all(abs(x.prediction - mean[float(x.bin)]) < 1.5 for x in got.collect())
     forest = models.fit_bagged_forest(rows, ["a", "b"], trees=4, bags=2, depth=3)
     assert max(seen) <= 32 and models.oob_score(forest, models.by_features(rows, forest.each, ["a", "b"])).first().r2 > 0.9
+
+
+def test_medians_of_small_groups_are_not_sorted_together(spark, monkeypatch):
+    import statistics
+
+    from pyspark.sql import functions as F
+
+    from readlake.operators import quantiles
+
+    rng = random.Random(3)
+    rows = [(g, float(rng.randrange(9)) if rng.random() < 0.9 else None) for g in [None, 1, 2, 2, 3] for _ in range(rng.randrange(5, 40))] + [(4, None)]
+    df = spark.createDataFrame(rows, "g int, x double")
+    want = {g: statistics.median([x for k, x in rows if k == g and x is not None]) for g in (None, 1, 2, 3)}
+    monkeypatch.setattr(quantiles, "SMALL", 30)
+    assert {r.g: r.m for r in quantiles.medians(df, {"m": F.col("x")}, ["g"]).collect()} == want
+    monkeypatch.setattr(quantiles, "SMALL", 1000)
+    monkeypatch.setattr(quantiles, "saved", lambda _: 1 / 0)
+    assert {r.g: r.m for r in quantiles.medians(df, {"m": F.col("x")}, ["g"]).collect()} == want
