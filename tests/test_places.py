@@ -134,3 +134,31 @@ def test_medians_of_small_groups_are_not_sorted_together(spark, monkeypatch):
     monkeypatch.setattr(quantiles, "SMALL", 1000)
     monkeypatch.setattr(quantiles, "saved", lambda _: 1 / 0)
     assert {r.g: r.m for r in quantiles.medians(df, {"m": F.col("x")}, ["g"]).collect()} == want
+
+
+def test_all_pairs_are_dealt_by_their_number(spark, monkeypatch):
+    from collections import Counter
+
+    from pyspark.sql import functions as F
+
+    for name, value in {"READS": 4, "TOGETHER": 8, "MET": 50, "PAIRS": 2000}.items():
+        monkeypatch.setattr(intervals, name, value, raising=False)
+    rng = random.Random(4)
+    reads = [(i % 250, "c", s, s + n) for i, (s, n) in enumerate((rng.randrange(-4, 8) * 10, rng.choice((0, 15, 40, 300))) for _ in range(400))]
+    reads += [(7, "c", 5, 20)] * 60 + [(None, "c", 5, 20), (None, "c", 5, 20), (1, None, 5, 20), (2, "d", 9, 30), (3, "5", 1, 2), (3, "5", 1, 2)]
+    tx = [(k, "c", s, s + n) for k, (s, n) in enumerate((rng.randrange(6) * 10, rng.choice((0, 20, 30, 60))) for _ in range(200))]
+    tx += [(900, "c", 1, 40)] * 30 + [(None, "c", 1, 40), (901, "d", 31, 90), (902, "d", 30, 90), (903, None, 1, 40)]
+    r = spark.createDataFrame(reads, "read_id long, chrom string, start long, end long")
+    t = spark.createDataFrame(tx, "transcript_id long, chrom string, start long, end long")
+    found = intervals.interval_reads(t, r)
+    got = found.withColumn("task", F.spark_partition_id()).collect()
+    text = lambda x: None if x is None else str(x)
+    named = {c for _, c, _, _ in reads if c} & {text(k) for k, *_ in tx}
+    want = Counter((c, i, s, e, True) for i, c, s, e in reads if c in named)
+    for k, chrom, a, b in tx:
+        want.update((text(k), i, s, e, False) for i, c, s, e in reads if text(k) not in named and c == chrom and chrom and e > s and b > a - 1 and s < b and a - 1 < e)
+    assert Counter((x.transcript_id, x.read_id, x.start, x.end, x.by_name) for x in got) == want
+    assert sum(want.values()) > 40_000 and named == {"5"}
+    assert max(Counter(x.task for x in got).values()) < 20_000 and len({x.task for x in got}) > 20
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "NestedLoop" not in plan and "Cartesian" not in plan
