@@ -86,28 +86,36 @@ def numbered(leaves: DataFrame) -> DataFrame:
     return met.select("doc_id", "source", "leaf", "tampered", (F.col("_at") + F.col("_before")).alias("idx"), "n")
 
 
+def _with_levels(parts: DataFrame) -> DataFrame:
+    """Parts with the digests of the levels inside them: ``level0``, the sorted leaves, and so on, and the ``top``.
+    A level only exists where the source has several nodes below it; else it is that below."""
+    level = F.transform("leaves", lambda x: x["leaf"])
+    for k in range(INNER):
+        parts = parts.withColumn(f"level{k}", level)
+        level = F.when(F.col("n") > FANOUT**k, _parents(F.col(f"level{k}"))).otherwise(F.col(f"level{k}"))
+    return parts.withColumn("top", level)
+
+
 def parts_of(rows: DataFrame) -> DataFrame:
-    """A row a part: source, n, part (its place in the source), root, and its leaves, each with the
-    siblings of its levels inside the part, from below."""
+    """A row a part: source, n, part (its place in the source), root, and its sorted leaves. Siblings are left
+    out: they are some 15 digests a leaf and level, and would be held for thousands of parts at once."""
     leaf = F.struct("idx", "doc_id", "leaf", "tampered")
     parts = rows.withColumn("part", F.expr(f"idx div {FANOUT**INNER}")).groupBy("source", "n", "part").agg(F.array_sort(F.collect_list(leaf)).alias("leaves"))
-    level, splits = F.transform("leaves", lambda x: x["leaf"]), []
-    for k in range(INNER):  # a level only exists where the source has several nodes below it
-        exists, name = F.col("n") > FANOUT**k, f"level{k}"
-        parts = parts.withColumn(name, level)
-        splits.append((exists, name))
-        level = F.when(exists, _parents(F.col(name))).otherwise(F.col(name))
-    parts = parts.withColumn("top", level)
+    own = F.transform("leaves", lambda x: F.struct(x["doc_id"].alias("doc_id"), x["leaf"].alias("leaf"), x["tampered"].alias("tampered")))
+    return _with_levels(parts).select("source", "n", "part", F.col("top")[0].alias("root"), own.alias("leaves"))
 
-    def with_proof(x: Column, place: Column) -> Column:
-        proof = F.array().cast(f"array<{_SPLIT}>")
-        for k, (exists, name) in enumerate(splits):
-            at = F.floor(place / FANOUT**k).cast("int")
-            run = F.slice(F.col(name), F.floor(at / FANOUT).cast("int") * FANOUT + 1, F.lit(FANOUT))
-            proof = F.concat(proof, F.when(exists, F.array(_split(run, at % FANOUT))).otherwise(F.array().cast(f"array<{_SPLIT}>")))
-        return F.struct(x["doc_id"].alias("doc_id"), x["leaf"].alias("leaf"), x["tampered"].alias("tampered"), proof.alias("inner"))
 
-    return parts.select("source", "n", "part", F.col("top")[0].alias("root"), F.transform("leaves", with_proof).alias("leaves"))
+def _with_inner(parts: DataFrame) -> DataFrame:
+    """The other columns and a row a leaf: ``x``, the leaf with its siblings of the levels inside its part, from below."""
+    names = [f"level{k}" for k in range(INNER)]
+    rest = [c for c in parts.columns if c not in ("n", "leaves")]
+    each = _with_levels(parts).select(*rest, "n", *names, F.posexplode("leaves").alias("place", "x"))
+    proof = F.array().cast(f"array<{_SPLIT}>")
+    for k, name in enumerate(names):
+        at = F.floor(F.col("place") / FANOUT**k).cast("int")
+        run = F.slice(F.col(name), F.floor(at / FANOUT).cast("int") * FANOUT + 1, F.lit(FANOUT))
+        proof = F.concat(proof, F.when(F.col("n") > FANOUT**k, F.array(_split(run, at % FANOUT))).otherwise(F.array().cast(f"array<{_SPLIT}>")))
+    return each.select(*rest, F.struct("x.doc_id", "x.leaf", "x.tampered", proof.alias("inner")).alias("x"))
 
 
 def _swap(parts: DataFrame, tree: list[str]) -> DataFrame:
@@ -209,7 +217,7 @@ def manifest(docs: DataFrame) -> DataFrame:
     parts = saved(parts_of(numbered(leaves_of(docs))))
     upper = exchanged(parts).withColumnsRenamed({"source": "_source", "part": "_part", "root": "top"})
     met = parts.drop("root").join(upper, F.col("source").eqNullSafe(F.col("_source")) & (F.col("part") == F.col("_part")))
-    rows = met.select("source", "subroot", F.col("top").alias("root"), "upper", F.explode("leaves").alias("x"))
+    rows = _with_inner(met.select("source", "n", "subroot", F.col("top").alias("root"), "upper", "leaves"))
     proof = F.concat("x.inner", "upper")
     fold = F.aggregate(proof, F.coalesce("x.tampered", "x.leaf"), lambda acc, s: digest(F.concat(s["left"], acc, s["right"])))
     siblings = F.array_join(F.transform(proof, lambda s: F.concat(s["left"], s["right"])), "")

@@ -113,3 +113,11 @@ def test_each_part_gets_one_message_of_each_sibling(spark):
     lanes = M._lanes(M._ranked(parts.groupBy("source").agg(F.count(F.lit(1)).alias("units"))), 2)
     sent = sum(x.units // x.levels[0].members * x.levels[0].lanes for x in lanes.collect())
     assert sent <= M.FANOUT * 36
+
+
+def test_saved_parts_are_as_large_as_their_leaves(spark):
+    """Siblings are some 15 digests a leaf and level; a task holds thousands of parts at once, so they have none."""
+    docs = table(spark, [f"t{i}" for i in range(600)], ["s"] * 600)
+    parts = M.parts_of(M.numbered(M.leaves_of(docs)))
+    size = parts.selectExpr("max(octet_length(to_json(leaves)) / size(leaves)) AS bytes").first().bytes
+    assert size < 250 and got(docs) == brute(docs.collect())
