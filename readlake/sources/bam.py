@@ -9,7 +9,9 @@ neither an index nor one another, and each record is read by the piece where its
 from __future__ import annotations
 
 import json
+import shutil
 import struct
+import tempfile
 import uuid
 import zlib
 from collections.abc import Iterator, Sequence
@@ -31,6 +33,8 @@ PIECE, BLOCK, BATCH = 32 << 20, 65_280, 10_000
 CHAIN = 24
 RECORDS = "read_id string, flag int, transcript_id string, start int, mapq int, cigar string, seq string, qual string, NM int"
 REFERENCES = "transcript_id string, transcript_length int"
+#: Records that are written with the lengths of their references.
+OWN = f"{RECORDS}, transcript_length int"
 # Fixed values of the format: the last block of a file, operations, and bases by their number.
 END = bytes.fromhex("1f8b08040000000000ff0600424302001b0003000000000000000000")
 OPERATIONS = "MIDNSHP=X"
@@ -42,6 +46,8 @@ _TO_HEX = str.maketrans(dict(zip(BASES + BASES.lower(), "0123456789abcdef" * 2))
 _QUALITY = bytes(min(126, q + 33) for q in range(256))
 _RAW_QUALITY = bytes(max(0, c - 33) for c in range(256))
 _WORD = struct.Struct("<i").unpack_from
+#: References in the header of a file that names its own, and bytes of records that wait for it in memory.
+NAMED, WAITING = 1 << 16, 32 << 20
 #: Operations of a record up to this length are kept, as records of short ones repeat them.
 SHORT = 64
 
@@ -266,7 +272,7 @@ class Piece(InputPartition):
 
 class BamSource(DataSource):
     """Format ``bam``. Options: ``table`` (``records`` or ``references``), ``pieceBytes``, ``skipCorrupt``; for
-    writing ``references``, the names and lengths as JSON."""
+    writing ``references``, the names and lengths as JSON, without which records have a transcript_length."""
 
     @classmethod
     def name(cls) -> str:
@@ -316,41 +322,84 @@ class BamReader(DataSourceReader):
 
 
 class Written(WriterCommitMessage):
-    def __init__(self, name: str | None):
-        self.name = name
+    def __init__(self, names: Sequence[str]):
+        self.names = names
+
+
+class BamFile:
+    """A file that is written. With ``references`` its header comes first; else it names the references of its own
+    records, and these wait, compressed, until it is closed."""
+
+    def __init__(self, fs: pafs.FileSystem, path: str, references: Sequence[tuple[str, int]] | None):
+        self.out, self.named = fs.open_output_stream(path), dict(references or ())
+        self.number = {name: k for k, name in enumerate(self.named)}
+        self.waiting = tempfile.SpooledTemporaryFile(WAITING) if references is None else None
+        self.data = bytearray() if references is None else bytearray(_header(references))
+
+    def takes(self, row: dict) -> bool:
+        """Whether the record's reference is in the header, or can come into it."""
+        name = row["transcript_id"]
+        if self.waiting is None or name is None:
+            return True
+        if name not in self.number:
+            if len(self.number) >= NAMED:
+                return False
+            if row["transcript_length"] is None:
+                raise ValueError(f"no length of reference {name}")
+            self.number[name], self.named[name] = len(self.number), row["transcript_length"]
+        if self.named[name] != row["transcript_length"]:
+            raise ValueError(f"two lengths of reference {name}")
+        return True
+
+    def add(self, row: dict) -> None:
+        self.data += encoded(row, self.number)
+        if len(self.data) >= BLOCK:  # a header of many references is many blocks at once
+            whole = len(self.data) - len(self.data) % BLOCK
+            _blocks(self.data, whole, self.waiting or self.out)
+            del self.data[:whole]
+
+    def close(self) -> None:
+        if self.waiting is not None:
+            header = _header(list(self.named.items()))
+            _blocks(header, len(header), self.out)
+            self.waiting.seek(0)
+            shutil.copyfileobj(self.waiting, self.out)
+            self.waiting.close()
+        if self.data:
+            self.out.write(_block(bytes(self.data)))
+        self.out.write(END)
+        self.out.close()
 
 
 class BamWriter(DataSourceArrowWriter):
-    """A file for each partition that has rows, which appears when the whole write is committed."""
+    """Files for each partition that has rows, which appear when the whole write is committed: one, or where files
+    name their own references one for each ``NAMED`` of these."""
 
     def __init__(self, options):
-        self.path, self.references = options["path"], [tuple(x) for x in json.loads(options["references"])]
+        self.path = options["path"]
+        self.references = [tuple(x) for x in json.loads(options["references"])] if options.get("references") else None
 
     def write(self, batches: Iterator[pa.RecordBatch]) -> Written:
         fs, folder = file_system(self.path)
-        number = {name: k for k, (name, _) in enumerate(self.references)}
-        name, out, data = f"{uuid.uuid4().hex}.bam", None, bytearray()
+        names, own = [], None
         for batch in batches:
             for row in batch.to_pylist():
-                if out is None:
+                if own is None or not own.takes(row):
+                    if own is not None:
+                        own.close()
                     fs.create_dir(f"{folder}/_temporary", recursive=True)
-                    out, data = fs.open_output_stream(f"{folder}/_temporary/{name}"), bytearray(_header(self.references))
-                data += encoded(row, number)
-                if len(data) >= BLOCK:  # a header of many references is many blocks at once
-                    whole = len(data) - len(data) % BLOCK
-                    for at in range(0, whole, BLOCK):
-                        out.write(_block(bytes(data[at : at + BLOCK])))
-                    del data[:whole]
-        if out is None:
-            return Written(None)
-        out.write(_block(bytes(data)) + END)
-        out.close()
-        return Written(name)
+                    names.append(f"{uuid.uuid4().hex}.bam")
+                    own = BamFile(fs, f"{folder}/_temporary/{names[-1]}", self.references)
+                    own.takes(row)
+                own.add(row)
+        if own is not None:
+            own.close()
+        return Written(names)
 
     def commit(self, messages: list[Written]) -> None:
         fs, folder = file_system(self.path)
-        for k, m in enumerate(m for m in messages if m is not None and m.name):
-            fs.move(f"{folder}/_temporary/{m.name}", f"{folder}/part-{k:05}-{m.name}")
+        for k, name in enumerate(name for m in messages if m is not None for name in m.names):
+            fs.move(f"{folder}/_temporary/{name}", f"{folder}/part-{k:05}-{name}")
         self.abort(messages)
 
     def abort(self, messages: list[Written]) -> None:
@@ -365,6 +414,12 @@ def _block(data: bytes) -> bytes:
     return struct.pack("<4BI2BH2s2H", 31, 139, 8, 4, 0, 0, 255, 6, b"BC", 2, len(body) + 25) + body + struct.pack("<2I", zlib.crc32(data), len(data))
 
 
+def _blocks(data: bytes | bytearray, end: int, out) -> None:
+    """The first ``end`` bytes as blocks."""
+    for at in range(0, end, BLOCK):
+        out.write(_block(bytes(data[at : min(end, at + BLOCK)])))
+
+
 def _header(references: Sequence[tuple[str, int]]) -> bytes:
     text = "".join(f"@SQ\tSN:{n}\tLN:{size}\n" for n, size in references).encode()
     names = b"".join(struct.pack("<i", len(n.encode()) + 1) + n.encode() + b"\0" + struct.pack("<i", size) for n, size in references)
@@ -402,8 +457,13 @@ def read_bam(spark: SparkSession, path: str, keep_unmapped: bool = False, skip_c
     return with_measures(records if keep_unmapped else records.where(mapped), references)
 
 
-def write_bam(records: DataFrame, references: Sequence[tuple[str, int]], path: str) -> None:
-    """Records (columns of ``RECORDS``) as a folder of binary files, each with all references in its header."""
+def write_bam(records: DataFrame, references: Sequence[tuple[str, int]] | None, path: str) -> None:
+    """Records (columns of ``RECORDS``) as a folder of binary files, each with all references in its header. Without
+    ``references`` the records have their ``transcript_length``, and each file names the references of its own
+    records, so that no header, nor the driver, has to hold all of very many."""
     records.sparkSession.dataSource.register(BamSource)
-    columns = [F.col(c.split()[0]).cast(c.split()[1]) for c in RECORDS.split(", ")]
-    records.select(*columns).write.format("bam").option("references", json.dumps([list(r) for r in references])).mode("append").save(path)
+    columns = [F.col(c.split()[0]).cast(c.split()[1]) for c in (RECORDS if references is not None else OWN).split(", ")]
+    writer = records.select(*columns).write.format("bam").mode("append")
+    if references is not None:
+        writer = writer.option("references", json.dumps([list(r) for r in references]))
+    writer.save(path)

@@ -107,3 +107,35 @@ def test_a_header_of_many_references_is_copied_once(tmp_path, monkeypatch):
     [batch] = reader.read(bam.Piece(path, 0, size))
     assert list(zip(*(c.to_pylist() for c in batch.columns))) == references and len(opened) == 1
     assert list(bam.records_of(path, 0, size, False)) == [tuple(row.values())] * 3
+
+
+def test_files_name_their_own_references(spark, both, tmp_path):
+    """No list of all references is made: a header has those of its file's records."""
+    folder, whole = both
+    records = whole.where("transcript_id is not null")
+    bam.write_bam(records.repartition(4, "transcript_id"), None, str(tmp_path / "own"))
+    files = bam.files_of(str(tmp_path / "own"))
+    headers = [bam.header_of(p)[0] for p, _ in files]
+    assert 1 < len(files) <= 4 and sorted(x for h in headers for x in h) == sam(900)[0]
+    assert rows(bam.read_bam(spark, str(tmp_path / "own"), piece=20_000)) == rows(records.where("cigar is not null"))
+    bam.write_bam(whole.coalesce(1), None, str(tmp_path / "all"))
+    assert rows(bam.read_bam(spark, str(tmp_path / "all"), keep_unmapped=True, piece=50_000)) == rows(whole)
+    with pytest.raises(Exception, match="no length of reference"):
+        bam.write_bam(whole.withColumn("transcript_length", F.lit(None)), None, str(tmp_path / "none"))
+
+
+def test_a_header_of_own_references_is_bounded(tmp_path, monkeypatch):
+    import pyarrow as pa
+
+    monkeypatch.setattr(bam, "NAMED", 100)
+    monkeypatch.setattr(bam, "WAITING", 1000)
+    row = {"read_id": "r", "flag": 0, "transcript_id": "T7", "start": 1, "mapq": 3, "cigar": "4M", "seq": "ACGT", "qual": "IIII", "NM": None, "transcript_length": 9}
+    writer = bam.BamWriter({"path": f"{tmp_path}/x"})
+    some = [row | {"transcript_id": f"T{k % 250}", "read_id": f"r{k}"} for k in range(1000)]
+    writer.commit([writer.write([pa.RecordBatch.from_pylist(some)]), writer.write([])])
+    files = bam.files_of(f"{tmp_path}/x")
+    assert all(len(bam.header_of(p)[0]) <= 100 for p, _ in files) and len(files) == 10
+    got = sorted(r[:3] for p, n in files for r in bam.records_of(p, 0, n, False))
+    assert got == sorted((x["read_id"], 0, x["transcript_id"]) for x in some)
+    with pytest.raises(ValueError, match="two lengths"):
+        writer.write([pa.RecordBatch.from_pylist([row, row | {"transcript_length": 8}])])
