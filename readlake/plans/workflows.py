@@ -115,7 +115,8 @@ def learn_coverage(alignments: DataFrame, lengths: DataFrame, features: DataFram
     fit = models.fit_boosted if boosted else models.fit_forest
     options = dict(settings or ({} if boosted else models.forest_settings(technology)))
     model = fit(design.where("not is_test"), seed=seed, **options)
-    predicted = models.by_features(design, model.transform).select("transcript_id", "bin", "value", "prediction", "is_test")
+    made = models.by_features(design, model.transform) if boosted else model.transform(design)
+    predicted = made.select("transcript_id", "bin", "value", "prediction", "is_test")
     return model, predicted, models.regression_metrics(predicted, by=["is_test"])
 
 
@@ -124,10 +125,14 @@ def score_coverage(alignments: DataFrame, lengths: DataFrame, features: DataFram
     design = coverage_design(alignments, lengths, features, n_bins, technology=technology, least=least, seed=seed)
     training = design.where("not is_test")
     forest = models.fit_bagged_forest(training, seed=seed, bags=bags, **models.forest_settings(technology))
-    every = saved(models.by_features(design, forest.each))
-    both = models.regression_metrics(forest.transform(every), by=["is_test"])
-    parts = both.select(F.when(F.col("is_test"), "test").otherwise("train").alias("part"), "n", "r2", "mse", "mae")
-    return parts.unionByName(models.oob_score(forest, every.where("not is_test")).select(F.lit("out_of_bag").alias("part"), "n", "r2", "mse", "mae"))
+    names = [f"_bag_{k}" for k in range(bags)]
+    every = forest.each(design.select(*models.DESIGN, *models.KEYS, "value", "is_test")).select(*models.KEYS, "value", "is_test", *names)
+    every = forest.out_of_bag(every.withColumn("mean", sum((F.col(c) for c in names), F.lit(0.0)) / bags))
+    # each row counts in its part, and out of bag where a bag has left it out
+    part = F.struct(F.when(F.col("is_test"), "test").otherwise("train").alias("part"), F.col("mean").alias("prediction"))
+    left_out = F.when(~F.col("is_test") & F.col("prediction").isNotNull(), F.struct(F.lit("out_of_bag").alias("part"), "prediction"))
+    judged = every.select("value", F.explode(F.array(part, left_out)).alias("x")).where("x is not null")
+    return models.regression_metrics(judged.select("value", "x.*"), by=["part"])
 
 
 def _placed(alignments: DataFrame, transcripts: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
