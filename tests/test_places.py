@@ -162,3 +162,26 @@ def test_all_pairs_are_dealt_by_their_number(spark, monkeypatch):
     assert max(Counter(x.task for x in got).values()) < 20_000 and len({x.task for x in got}) > 20
     plan = found._jdf.queryExecution().executedPlan().toString()
     assert "NestedLoop" not in plan and "Cartesian" not in plan
+
+
+def test_boosted_metrics_has_all_rounds_of_the_operator(spark, monkeypatch):
+    import inspect
+
+    from readlake.operators import models
+    from readlake.plans import queries
+
+    class Seen(Exception):
+        pass
+
+    plain, given = models.fit_boosted, {}
+
+    def fit(design, **options):
+        given.update(inspect.signature(plain).bind(design, **options).arguments)
+        raise Seen
+
+    monkeypatch.setattr(models, "fit_boosted", fit)
+    try:
+        queries.QUERIES["boosted_metrics"](spark, "/root/testdata/sf0.001")
+    except Seen:
+        pass
+    assert given and given.get("rounds", 100) == 100 and given.get("depth", 6) == 6 and given.get("subsample", 0.8) == 0.8
