@@ -345,3 +345,22 @@ def test_choice_of_a_model(spark):
         with pytest.raises(ValueError):
             density.choose_model(spark, **wrong)
     assert models.feature_weights("direct_rna") == {"gc_content": 1.5, "complexity": 2.0, "hairpin_potential": 2.5, "g_quadruplex_potential": 2.5}
+
+
+def test_measures_are_those_of_each_feature_by_itself(spark):
+    """One pass over a decoded sequence gives what the features give one by one, and it is decoded once."""
+    from readlake.functions import sequences as S
+
+    r = random.Random(12)
+    texts = [None, "", "a", "acgt", "GgGgG", "é" * 40, "straße ACGT", "İst" * 20, "你好ACGTacgt😀" * 9, "n" * 31]
+    texts += ["".join(r.choices(letters, k=r.randrange(1, 200))) for letters in ("ACGT", "acgtn", "GGGGC", "ab cdé😀", "ATıK") for _ in range(30)]
+    df = spark.createDataFrame(list(enumerate(texts)), "seq_id int, seq string").repartition(3)
+    s = F.col("s")
+    for norm in ("capped", "windows"):
+        own = df.select("seq_id", F.translate(F.coalesce("seq", F.lit("")), "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ").alias("s"))
+        want = own.select("seq_id", F.length(s), S.gc_content(s), S.five_prime_gc(s), S.three_prime_gc(s), S.kmer_complexity(s, norm), S.hairpin_potential(s), S.g_quadruplex_potential(s), S.homopolymer_ratio(s), S.gc_skew(s))
+        got = models.sequence_features(df, norm)
+        assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect()))
+        plan = got._jdf.queryExecution().executedPlan().toString()
+        assert "measures(" in plan and "translate(" not in plan and "hairpin_potential(" not in plan
+    assert [x.u for x in df.orderBy("seq_id").select(S.ascii_upper(F.col("seq")).alias("u")).collect()] == [t and "".join(c.upper() if c.isascii() else c for c in t) for t in texts]
